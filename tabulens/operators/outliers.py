@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabulens.functions import formulas
 from tabulens.functions.coerce import as_double, col, is_numeric, normalize, percent
 from tabulens.operators.types import outlier_columns
-from tabulens.plans.quantiles import collect_quantiles, long_numbers, quantile_frame
+from tabulens.plans.quantiles import collect_quantiles
 
 # Name fragments of domains, and codes that stand for a missing number.
 NON_NEGATIVE_NAMES = [

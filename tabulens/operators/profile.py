@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulens.functions.coerce import (as_double, as_timestamp, col, groupable_columns, is_text, normalize, percent,
-                                       render, to_boolean)
+from tabulens.functions.coerce import col, groupable_columns, is_text, normalize, percent, render, to_boolean
 from tabulens.operators import stats
 from tabulens.operators.types import chart_role, class_map, column_features, semantic_class
 from tabulens.plans.frequency import top_values, value_counts

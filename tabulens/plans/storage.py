@@ -1,12 +1,13 @@
-"""Materialising an intermediate frame in shared storage, and size-checked broadcasts."""
+"""Materialising an intermediate frame in shared storage."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+# most lookup rows that may be broadcast; bigger lookups join by shuffle
 BROADCAST_ROWS = 100_000
 
 
@@ -26,10 +27,3 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tabulens-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a lookup frame and broadcast it only when its counted size allows;
-    a bigger one joins by shuffle, with AQE splitting skewed keys."""
-    stored = materialize(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
