@@ -133,7 +133,10 @@ def strip(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    return F.initcap(F.lower(c))
+    """Upper case for the first letter of every run of letters, lower case for the others."""
+    chars = F.split(F.lower(c), "")
+    word_start = lambda i: (i == 0) | ~F.get(chars, i - 1).rlike(r"\p{L}")
+    return F.array_join(F.transform(chars, lambda x, i: F.when(word_start(i), F.upper(x)).otherwise(x)), "")
 
 
 def is_missing_word(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulens.functions import formulas
-from tabulens.functions.coerce import as_double, as_timestamp, col, normalize, percent, span_text
+from tabulens.functions.coerce import as_double, as_timestamp, nan_to_null, normalize, percent, span_text
 from tabulens.operators.types import class_map
 from tabulens.plans.frequency import mode_of, number_counts, top_values, value_counts
 from tabulens.plans.quantiles import column_quantiles, quantile_frame
@@ -52,16 +52,18 @@ def moment_summary(df: DataFrame, columns: list[str], level: float = 0.95) -> Da
     m = m.withColumn("is_constant", constant).withColumn("is_empty", F.col("valid_count") == 0)
     n = F.col("valid_count")
     zero_if_constant = lambda c: F.when(F.col("is_constant"), F.lit(0.0)).otherwise(c)
+    # infinite values leave no spread (NULL) and count as unskewed
+    defined = lambda c: F.when(F.isnan(c), F.lit(0.0)).otherwise(c)
     m = m.withColumn("missing_count", F.col("total_count") - n) \
         .withColumn("missing_percentage", percent(F.col("missing_count"), F.col("total_count"))) \
         .withColumn("range", F.col("max") - F.col("min")) \
-        .withColumn("std", zero_if_constant(F.col("std"))) \
+        .withColumn("std", zero_if_constant(nan_to_null(F.col("std")))) \
         .withColumn("variance", F.col("std") * F.col("std")) \
         .withColumn("sem", F.try_divide(F.col("std"), F.sqrt(n))) \
         .withColumn("cv_percentage", F.when(F.col("is_constant"), 0.0)
                     .otherwise(F.round(F.try_divide(F.col("std"), F.abs("mean")) * 100, 2))) \
-        .withColumn("skewness", zero_if_constant(formulas.adjusted_skewness(n, F.col("g1")))) \
-        .withColumn("kurtosis", zero_if_constant(formulas.adjusted_kurtosis(n, F.col("g2")))) \
+        .withColumn("skewness", zero_if_constant(defined(formulas.adjusted_skewness(n, F.col("g1"))))) \
+        .withColumn("kurtosis", zero_if_constant(defined(formulas.adjusted_kurtosis(n, F.col("g2"))))) \
         .withColumn("zeros_percentage", percent(F.col("zeros_count"), n))
     margin = F.when(F.col("is_constant"), 0.0).otherwise(
         formulas.t_quantile((1 + level) / 2, n - 1) * F.col("sem"))
@@ -215,21 +217,22 @@ def datetime_cadence(df: DataFrame, columns: list[str], slices: int = 4096) -> D
     to order a whole column."""
     times = _long_times(df, columns).where("ts is not null") \
         .select("column_name", F.unix_micros("ts").alias("us"))
-    counts = times.groupBy("column_name", "us").agg(F.count(F.lit(1)).alias("n"))
     span = times.groupBy("column_name").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
     width = F.greatest(F.floor((F.col("hi") - F.col("lo")) / slices), F.lit(1))
-    sliced = counts.join(F.broadcast(span), "column_name") \
-        .select("column_name", "us", "n", F.floor((F.col("us") - F.col("lo")) / width).alias("slice"))
+    sliced = times.join(F.broadcast(span), "column_name") \
+        .select("column_name", "us", F.floor((F.col("us") - F.col("lo")) / width).alias("slice"))
+    edges = sliced.groupBy("column_name", "slice").agg(F.max("us").alias("last"))
+    before = F.lag("last").over(Window.partitionBy("column_name").orderBy("slice"))
+    edges = edges.select("column_name", "slice", before.alias("before"))
     inside = Window.partitionBy("column_name", "slice").orderBy("us")
-    within = sliced.select("column_name", (F.col("us") - F.lag("us").over(inside)).alias("gap"),
-                           F.lit(1).cast("long").alias("weight"))
-    edges = sliced.groupBy("column_name", "slice").agg(F.min("us").alias("first"), F.max("us").alias("last"))
-    between = edges.select("column_name",
-                           (F.col("first") - F.lag("last").over(Window.partitionBy("column_name").orderBy("slice")))
-                           .alias("gap"), F.lit(1).cast("long").alias("weight"))
-    repeats = sliced.where("n > 1").select("column_name", F.lit(0).cast("long").alias("gap"),
-                                           (F.col("n") - 1).alias("weight"))
-    gaps = within.unionByName(between).unionByName(repeats).where("gap is not null") \
+    one = F.lit(1).cast("long")
+    counts = sliced.groupBy("column_name", "slice", "us").agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("previous", F.lag("us").over(inside)).join(F.broadcast(edges), ["column_name", "slice"]) \
+        .withColumn("gap", F.col("us") - F.coalesce("previous", "before"))
+    gaps = counts.select("column_name", F.inline(F.array(
+        F.struct(F.col("gap"), one.alias("weight")),
+        F.struct(F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("weight"))))) \
+        .where("gap is not null and weight > 0") \
         .groupBy("column_name", "gap").agg(F.sum("weight").alias("weight"))
     median = quantile_frame(gaps, ["column_name"], "gap", {"median_gap": 0.5}, weight="weight", levels=1)
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
@@ -264,65 +267,68 @@ def split_by_class(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
     return numeric, categorical, temporal
 
 
-def _note(frame: DataFrame, when: Column, kind: str, severity, title: Column, message: Column) -> DataFrame:
+def _note(when: Column, kind: str, severity, title: str, message: str, *values: Column) -> Column:
+    """One remark, NULL where its rule does not hold; ``%s`` in the title is the column name."""
     severity = F.lit(severity) if isinstance(severity, str) else severity
-    return frame.where(when).select(F.col("column_name"), F.lit(kind).alias("type"), severity.alias("severity"),
-                                    title.alias("title"), message.alias("message"))
+    return F.when(when, F.struct(F.lit(kind).alias("type"), severity.alias("severity"),
+                                 F.format_string(title, F.col("column_name")).alias("title"),
+                                 F.format_string(message, *values).alias("message")))
+
+
+def _notes(frame: DataFrame, *notes: Column) -> DataFrame:
+    return frame.select("column_name", F.inline(F.array_compact(F.array(*notes))))
 
 
 def observations(df: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None,
                  temporal: list[str] | None = None) -> DataFrame:
-    """Rule-based remarks on emptiness, variance, shape, outliers, dispersion, imbalance and coverage."""
+    """Rule-based remarks on emptiness, variance, shape, outliers, dispersion, imbalance and coverage.
+
+    Every summary is computed once; its rules are conditions on the summary row."""
     if numeric is None or categorical is None or temporal is None:
         numeric, categorical, temporal = split_by_class(df)
     df = normalize(df)
-    text = F.format_string
     name = F.col("column_name")
     r4 = lambda c: F.round(c, 4).cast("string")
+    text = lambda c: F.col(c).cast("string")
     notes = []
     if numeric:
         s = numeric_summary(df, numeric)
         varied = ~F.col("is_empty") & ~F.col("is_constant")
-        notes.append(_note(s, F.col("is_empty"), "Quality Warning", "high",
-                           text("Column '%s' is Completely Empty", name),
-                           text("Feature '%s' contains no non-null numerical values.", name)))
-        notes.append(_note(s, F.col("is_constant"), "Zero Variance", "medium",
-                           text("Zero-Variance Feature: '%s'", name),
-                           text("Column '%s' is constant with uniform value %s.", name, r4(F.col("mean")))))
         side = F.when(F.col("skewness") > 0, "right (positive tail)").otherwise("left (negative tail)")
-        notes.append(_note(s, varied & (F.abs("skewness") >= 1.5), "Distribution Shape", "info",
-                           text("High Skewness Detected in '%s'", name),
-                           text("Feature '%s' is heavily skewed to the %s (skewness %s, mean %s, median %s).", name,
-                                side, r4(F.col("skewness")), r4(F.col("mean")), r4(F.col("median")))))
-        notes.append(_note(s, varied & (F.col("kurtosis") > 3.0), "Heavy Tails", "info",
-                           text("Heavy-Tailed Distribution in '%s'", name),
-                           text("Excess kurtosis of %s indicates heavy tails.", r4(F.col("kurtosis")))))
         level = F.when(F.col("outlier_percentage") > 5.0, "warning").otherwise("info")
-        notes.append(_note(s, varied & (F.col("outlier_count") > 0) & (F.col("outlier_percentage") >= 2.0),
-                           "Outlier Alert", level, text("Statistical Outliers in '%s'", name),
-                           text("Found %s outliers (%s%%) outside [%s, %s].", F.format_number("outlier_count", 0),
-                                F.col("outlier_percentage").cast("string"), r4(F.col("lower_bound")),
-                                r4(F.col("upper_bound")))))
-        notes.append(_note(s, varied & (F.col("cv_percentage") > 100.0), "High Dispersion", "info",
-                           text("High Relative Dispersion in '%s'", name),
-                           text("High coefficient of variation (%s%%).", F.col("cv_percentage").cast("string"))))
+        notes.append(_notes(
+            s,
+            _note(F.col("is_empty"), "Quality Warning", "high", "Column '%s' is Completely Empty",
+                  "Feature '%s' contains no non-null numerical values.", name),
+            _note(F.col("is_constant"), "Zero Variance", "medium", "Zero-Variance Feature: '%s'",
+                  "Column '%s' is constant with uniform value %s.", name, r4("mean")),
+            _note(varied & (F.abs("skewness") >= 1.5), "Distribution Shape", "info", "High Skewness Detected in '%s'",
+                  "Feature '%s' is heavily skewed to the %s (skewness %s, mean %s, median %s).", name, side,
+                  r4("skewness"), r4("mean"), r4("median")),
+            _note(varied & (F.col("kurtosis") > 3.0), "Heavy Tails", "info", "Heavy-Tailed Distribution in '%s'",
+                  "Excess kurtosis of %s indicates heavy tails.", r4("kurtosis")),
+            _note(varied & (F.col("outlier_count") > 0) & (F.col("outlier_percentage") >= 2.0), "Outlier Alert", level,
+                  "Statistical Outliers in '%s'", "Found %s outliers (%s%%) outside [%s, %s].",
+                  F.format_number("outlier_count", 0), text("outlier_percentage"), r4("lower_bound"),
+                  r4("upper_bound")),
+            _note(varied & (F.col("cv_percentage") > 100.0), "High Dispersion", "info",
+                  "High Relative Dispersion in '%s'", "High coefficient of variation (%s%%).",
+                  text("cv_percentage"))))
     if categorical:
-        c = category_summary(df, categorical)
-        notes.append(_note(c, (F.col("mode_percentage") >= 70.0) & (F.col("num_categories") > 1), "Class Imbalance",
-                           "warning", text("Dominant Category in '%s'", name),
-                           text("Category '%s' holds %s%% of the rows across %s categories.",
-                                F.col("most_frequent_category"), F.col("mode_percentage").cast("string"),
-                                F.col("num_categories").cast("string"))))
-        notes.append(_note(c, F.col("num_categories") > 50, "High Cardinality", "info",
-                           text("High Cardinality in '%s'", name),
-                           text("Contains %s distinct categories.", F.col("num_categories").cast("string"))))
+        notes.append(_notes(
+            category_summary(df, categorical),
+            _note((F.col("mode_percentage") >= 70.0) & (F.col("num_categories") > 1), "Class Imbalance", "warning",
+                  "Dominant Category in '%s'", "Category '%s' holds %s%% of the rows across %s categories.",
+                  F.col("most_frequent_category"), text("mode_percentage"), text("num_categories")),
+            _note(F.col("num_categories") > 50, "High Cardinality", "info", "High Cardinality in '%s'",
+                  "Contains %s distinct categories.", text("num_categories"))))
     if temporal:
-        d = datetime_spans(df, temporal).join(datetime_cadence(df, temporal), "column_name")
-        notes.append(_note(d, F.col("valid_count") > 0, "Temporal Span", "info",
-                           text("Temporal Coverage in '%s'", name),
-                           text("Data spans %s from %s to %s with an inferred %s recording cadence.",
-                                F.col("date_range_formatted"), F.date_format("min_date", "yyyy-MM-dd"),
-                                F.date_format("max_date", "yyyy-MM-dd"), F.col("cadence"))))
+        day = lambda c: F.date_format(c, "yyyy-MM-dd")
+        notes.append(_notes(
+            datetime_spans(df, temporal).join(datetime_cadence(df, temporal), "column_name"),
+            _note(F.col("valid_count") > 0, "Temporal Span", "info", "Temporal Coverage in '%s'",
+                  "Data spans %s from %s to %s with an inferred %s recording cadence.",
+                  F.col("date_range_formatted"), day("min_date"), day("max_date"), F.col("cadence"))))
     found = notes[0]
     for extra in notes[1:]:
         found = found.unionByName(extra)
