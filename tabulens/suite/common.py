@@ -77,7 +77,7 @@ def pct_sql(part: str, whole: str, digits: int = 2) -> str:
 
 
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
-TITLE = ("array_to_string(list_transform(str_split(lower({0}), ''), (x, i) -> CASE WHEN i = 1 OR NOT "
+TITLE = ("array_to_string(list_transform(str_split(lower({0}), ''), lambda x, i: CASE WHEN i = 1 OR NOT "
          "regexp_matches(str_split(lower({0}), '')[i - 1], '[a-z]') THEN upper(x) ELSE x END), '')")
 
 
