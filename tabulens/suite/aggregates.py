@@ -109,24 +109,24 @@ CORRELATION_TOP = "SELECT variable_a, variable_b, round(r, 6) AS correlation, n
 
 
 def outlier_overview(spark, sf):
-    return rounded(tools.outlier_overview(table(spark, sf, "events"), ["value", "user_id"]).drop("status"))
+    return rounded(tools.outlier_overview(table(spark, sf, "events"), ["value", "user_id"]).drop("status"), 6)
 
 
 OUTLIER_OVERVIEW = " UNION ALL ".join(f"""SELECT '{c}' AS column_name, o AS outlier_count, {pct_sql('o', 'n')} AS outlier_percentage,
-  round(lo, 4) AS lower_threshold, round(hi, 4) AS upper_threshold FROM (SELECT any_value(n) AS n, any_value(lo) AS lo,
+  round(lo, 6) AS lower_threshold, round(hi, 6) AS upper_threshold FROM (SELECT any_value(n) AS n, any_value(lo) AS lo,
   any_value(hi) AS hi, count(*) FILTER ({c} < lo OR {c} > hi) AS o FROM events, (SELECT n, a - 1.5 * (b - a) AS lo,
   b + 1.5 * (b - a) AS hi FROM (SELECT count({c}) AS n, quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM events)))
 WHERE o > 0""" for c in ("value", "user_id"))
 
 
 def outlier_samples(spark, sf):
-    return rounded(tools.outlier_samples(table(spark, sf, "events"), "value"))
+    return rounded(tools.outlier_samples(table(spark, sf, "events"), "value"), 6)
 
 
 OUTLIER_SAMPLES = """WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events),
 f AS (SELECT value, a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi FROM events, q)
-SELECT 'value' AS column_name, round(value, 4) AS value, CASE WHEN value < lo THEN 'below_lower' ELSE 'above_upper' END AS direction,
-  round(abs(value - CASE WHEN value < lo THEN lo ELSE hi END), 4) AS deviation FROM f WHERE value < lo OR value > hi
+SELECT 'value' AS column_name, round(value, 6) AS value, CASE WHEN value < lo THEN 'below_lower' ELSE 'above_upper' END AS direction,
+  round(abs(value - CASE WHEN value < lo THEN lo ELSE hi END), 6) AS deviation FROM f WHERE value < lo OR value > hi
 ORDER BY abs(value - CASE WHEN value < lo THEN lo ELSE hi END) DESC, value LIMIT 6"""
 
 
@@ -158,9 +158,9 @@ def ts_auto_events(spark, sf):
 
 
 TS_EVENTS = """WITH sp AS (SELECT floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000) AS days FROM events),
-b AS (SELECT CASE WHEN days > 730 THEN date_trunc('year', ts) WHEN days > 60 THEN date_trunc('month', ts) ELSE date_trunc('day', ts) END AS d,
-  CASE WHEN days > 730 THEN '%Y' WHEN days > 60 THEN '%Y-%m' ELSE '%Y-%m-%d' END AS f, value FROM events, sp)
-SELECT strftime(d, f) AS period, round(sum(value), 2) AS value FROM b GROUP BY d, f ORDER BY d LIMIT 36"""
+b AS (SELECT CASE WHEN days > 730 THEN strftime(ts, '%Y') WHEN days > 60 THEN strftime(ts, '%Y-%m')
+  ELSE strftime(ts, '%Y-%m-%d') END AS period, value FROM events, sp)
+SELECT period, round(sum(value), 2) AS value FROM b GROUP BY period ORDER BY period LIMIT 36"""
 
 
 def ts_growth(spark, sf):

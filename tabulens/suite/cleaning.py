@@ -110,7 +110,7 @@ sp AS (SELECT *, lower(s) AS f, count(*) OVER (PARTITION BY column_name, lower(s
   first_value(s) OVER (PARTITION BY column_name, lower(s) ORDER BY n DESC, s) AS best FROM st),
 va AS (SELECT column_name, s AS o, {TITLE.format('best')} AS cl, f FROM sp WHERE forms > 1),
 vr AS (SELECT *, dense_rank() OVER (PARTITION BY column_name ORDER BY f) AS r FROM va WHERE o <> cl),
-md AS (SELECT round(quantile_cont(price, 0.5), 2) AS m FROM dirty),
+md AS (SELECT CAST(format('{{:.2f}}', quantile_cont(price, 0.5)) AS DOUBLE) AS m FROM dirty),
 st2 AS (SELECT v AS m FROM c WHERE column_name = 'status' ORDER BY n DESC, v LIMIT 1),
 every AS (SELECT column_name, 'Whitespace Standardization' AS category, o, cl FROM ws
 UNION ALL SELECT column_name, 'Categorical Normalization', o, cl FROM vr WHERE r <= 3

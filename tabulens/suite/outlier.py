@@ -20,7 +20,7 @@ SUMMARY_COLUMNS = ["column_name", "method", "total_observations", "valid_observa
 
 
 def _summary(df, columns, method):
-    return rounded(outliers.outlier_summary(df, columns, method).select(*SUMMARY_COLUMNS))
+    return rounded(outliers.outlier_summary(df, columns, method).select(*SUMMARY_COLUMNS), 6)
 
 
 def outliers_iqr(spark, sf):
@@ -30,7 +30,7 @@ def outliers_iqr(spark, sf):
 OUTLIERS_IQR = IQR + f""", s AS (SELECT count(*) AS n, count(amount) AS k, count(*) FILTER (is_out) AS o,
   count(*) FILTER (is_out AND is_err) AS e, any_value(lo) AS lo, any_value(hi) AS hi FROM f)
 SELECT 'amount' AS column_name, 'iqr' AS method, n AS total_observations, k AS valid_observations, o AS outlier_count,
-  {pct_sql('o', 'k')} AS outlier_percentage, round(lo, 4) AS lower_threshold, round(hi, 4) AS upper_threshold,
+  {pct_sql('o', 'k')} AS outlier_percentage, round(lo, 6) AS lower_threshold, round(hi, 6) AS upper_threshold,
   e AS confirmed_error_count, o - e AS potential_outlier_count, CASE WHEN o = 0 THEN 'Clean'
   WHEN e > 0 THEN 'Data Errors Detected' WHEN {pct_sql('o', 'k')} > 5 THEN 'High Outliers' ELSE 'Moderate Outliers' END AS status
 FROM s"""
@@ -47,8 +47,8 @@ def _sentinels(c):
 
 def _z_sql(tab, c):
     return f"""SELECT '{c}' AS column_name, 'zscore' AS method, n AS total_observations, n AS valid_observations,
-  o AS outlier_count, {pct_sql('o', 'n')} AS outlier_percentage, round(m - 3 * sd, 4) AS lower_threshold,
-  round(m + 3 * sd, 4) AS upper_threshold, e AS confirmed_error_count, o - e AS potential_outlier_count,
+  o AS outlier_count, {pct_sql('o', 'n')} AS outlier_percentage, round(m - 3 * sd, 6) AS lower_threshold,
+  round(m + 3 * sd, 6) AS upper_threshold, e AS confirmed_error_count, o - e AS potential_outlier_count,
   CASE WHEN o = 0 THEN 'Clean' WHEN e > 0 THEN 'Data Errors Detected' WHEN {pct_sql('o', 'n')} > 5 THEN 'High Outliers'
     ELSE 'Moderate Outliers' END AS status
 FROM (SELECT any_value(n) AS n, any_value(m) AS m, any_value(sd) AS sd, count(*) FILTER (abs((x - m) / sd) > 3) AS o,
@@ -70,27 +70,27 @@ f AS (SELECT event_id, value, n, med, mad, med - 3.5 * mad / 0.6745 AS lo, med +
 OUTLIERS_MAD = MAD_CTE + f""", s AS (SELECT any_value(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi,
   count(*) FILTER (z > 3.5) AS o, count(*) FILTER (z > 3.5 AND {_sentinels('value')}) AS e FROM f)
 SELECT 'value' AS column_name, 'modified_zscore' AS method, n AS total_observations, n AS valid_observations,
-  o AS outlier_count, {pct_sql('o', 'n')} AS outlier_percentage, round(lo, 4) AS lower_threshold,
-  round(hi, 4) AS upper_threshold, e AS confirmed_error_count, o - e AS potential_outlier_count,
+  o AS outlier_count, {pct_sql('o', 'n')} AS outlier_percentage, round(lo, 6) AS lower_threshold,
+  round(hi, 6) AS upper_threshold, e AS confirmed_error_count, o - e AS potential_outlier_count,
   CASE WHEN o = 0 THEN 'Clean' WHEN e > 0 THEN 'Data Errors Detected' ELSE 'Moderate Outliers' END AS status FROM s"""
 
 
 def records_iqr(spark, sf):
-    return rounded(outliers.outlier_records(dirty(spark, sf), ["amount"], "iqr", id_cols=["order_key"]).drop("score"))
+    return rounded(outliers.outlier_records(dirty(spark, sf), ["amount"], "iqr", id_cols=["order_key"]).drop("score"), 6)
 
 
-RECORDS_IQR = IQR + """ SELECT order_key, 'amount' AS column_name, round(amount, 4) AS value, round(lo, 4) AS lower_threshold,
-  round(hi, 4) AS upper_threshold, CASE WHEN amount < lo THEN 'below_lower' ELSE 'above_upper' END AS direction,
-  round(abs(amount - CASE WHEN amount < lo THEN lo ELSE hi END), 4) AS deviation, is_err AS is_data_error,
+RECORDS_IQR = IQR + """ SELECT order_key, 'amount' AS column_name, round(amount, 6) AS value, round(lo, 6) AS lower_threshold,
+  round(hi, 6) AS upper_threshold, CASE WHEN amount < lo THEN 'below_lower' ELSE 'above_upper' END AS direction,
+  round(abs(amount - CASE WHEN amount < lo THEN lo ELSE hi END), 6) AS deviation, is_err AS is_data_error,
   CASE WHEN is_err THEN 'Confirmed Data Error' ELSE 'Potential Outlier' END AS classification FROM f WHERE is_out"""
 
 
 def records_mad(spark, sf):
     return rounded(outliers.outlier_records(table(spark, sf, "events"), ["value"], "modified_zscore",
-                                            id_cols=["event_id"]).select("event_id", "value", "score", "direction"))
+                                            id_cols=["event_id"]).select("event_id", "value", "score", "direction"), 6)
 
 
-RECORDS_MAD = MAD_CTE + """ SELECT event_id, round(value, 4) AS value, round(z, 4) AS score,
+RECORDS_MAD = MAD_CTE + """ SELECT event_id, round(value, 6) AS value, round(z, 6) AS score,
   CASE WHEN value < lo THEN 'below_lower' ELSE 'above_upper' END AS direction FROM f WHERE z > 3.5"""
 
 
@@ -145,7 +145,7 @@ UNION ALL SELECT 'remove_errors_only', n, e, 0, n - e FROM s UNION ALL SELECT 'c
 
 
 def critical_columns(spark, sf):
-    return rounded(outliers.critical_columns(dirty(spark, sf), ["amount", "price"], 0.5))
+    return rounded(outliers.critical_columns(dirty(spark, sf), ["amount", "price"], 0.5), 6)
 
 
 CRITICAL = IQR + f""", s AS (SELECT count(amount) AS k, count(*) FILTER (is_out) AS o, any_value(lo) AS lo, any_value(hi) AS hi FROM f),
@@ -153,8 +153,8 @@ p AS (SELECT price, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
   (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM dirty)),
 ps AS (SELECT count(price) AS k, count(*) FILTER (price < lo OR price > hi) AS o, any_value(lo) AS lo, any_value(hi) AS hi FROM p),
 u AS (SELECT 'amount' AS column_name, * FROM s UNION ALL SELECT 'price', * FROM ps)
-SELECT column_name, o AS outlier_count, {pct_sql('o', 'k')} AS outlier_percentage, round(lo, 4) AS lower_threshold,
-  round(hi, 4) AS upper_threshold FROM u WHERE {pct_sql('o', 'k')} >= 0.5"""
+SELECT column_name, o AS outlier_count, {pct_sql('o', 'k')} AS outlier_percentage, round(lo, 6) AS lower_threshold,
+  round(hi, 6) AS upper_threshold FROM u WHERE {pct_sql('o', 'k')} >= 0.5"""
 
 QUERIES = {
     "outliers_iqr": (outliers_iqr, OUTLIERS_IQR),

@@ -111,14 +111,14 @@ FROM omni JOIN f USING (column_name)"""
 
 
 def fence_outliers(spark, sf):
-    return rounded(stats.fence_outliers(table(spark, sf, "events"), ["value"]))
+    return rounded(stats.fence_outliers(table(spark, sf, "events"), ["value"]), 6)
 
 
 FENCES = f"""WITH q AS (SELECT count(value) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
 b AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q),
 c AS (SELECT count(*) AS o FROM events, b WHERE value < lo OR value > hi)
-SELECT 'value' AS column_name, n AS valid_count, round(q1, 4) AS q1, round(q3, 4) AS q3, round(iqr, 4) AS iqr,
-  round(lo, 4) AS lower_bound, round(hi, 4) AS upper_bound, o AS outlier_count, {pct_sql('o', 'n')} AS outlier_percentage
+SELECT 'value' AS column_name, n AS valid_count, round(q1, 6) AS q1, round(q3, 6) AS q3, round(iqr, 6) AS iqr,
+  round(lo, 6) AS lower_bound, round(hi, 6) AS upper_bound, o AS outlier_count, {pct_sql('o', 'n')} AS outlier_percentage
 FROM b, c"""
 
 
