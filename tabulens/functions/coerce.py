@@ -73,15 +73,27 @@ def groupable_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
 
+def quoted(name: str) -> str:
+    """A column name inside a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(value: str) -> str:
+    """A string constant inside a SQL expression."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
 def normalize(df: DataFrame) -> DataFrame:
     """NaN becomes NULL in every floating point column; other columns pass through."""
-    floats = {f.name: nan_to_null(col(f.name)) for f in df.schema
-              if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    return df.withColumns(floats) if floats else df
+    kinds = {f.name: isinstance(f.dataType, (T.FloatType, T.DoubleType)) for f in df.schema}
+    if not any(kinds.values()):
+        return df
+    return df.selectExpr(*[f"nullif({quoted(c)}, {'double' if isinstance(df.schema[c].dataType, T.DoubleType) else 'float'}"
+                           f"('NaN')) AS {quoted(c)}" if floating else quoted(c) for c, floating in kinds.items()])
 
 
 def to_number(c: Column, wide: bool = False) -> Column:
@@ -90,17 +102,22 @@ def to_number(c: Column, wide: bool = False) -> Column:
     return F.when(cleaned.rlike(NUMBER_SHAPE), cleaned.try_cast("double"))
 
 
-def as_double(df: DataFrame, name: str) -> Column:
-    """The numeric view of a column: numbers as they are, text parsed, booleans and others NULL."""
-    dtype = df.schema[name].dataType
-    c = col(name)
+def double_sql(df: DataFrame, name: str) -> str:
+    """SQL of the numeric view of a column: numbers as they are, text parsed, booleans and others NULL."""
+    dtype, c = df.schema[name].dataType, quoted(name)
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return nan_to_null(c).cast("double")
+        return f"nullif(cast({c} AS double), double('NaN'))"
     if is_numeric(dtype):
-        return c.cast("double")
+        return f"cast({c} AS double)"
     if is_text(dtype):
-        return to_number(c)
-    return F.lit(None).cast("double")
+        cleaned = f"regexp_replace({c}, r'{NUMERIC_NOISE}', '')"
+        return f"CASE WHEN {cleaned} RLIKE r'{NUMBER_SHAPE}' THEN try_cast({cleaned} AS double) END"
+    return "cast(NULL AS double)"
+
+
+def as_double(df: DataFrame, name: str) -> Column:
+    """The numeric view of a column as an expression."""
+    return F.expr(double_sql(df, name))
 
 
 def to_datetime(c: Column) -> Column:

@@ -1,65 +1,54 @@
-"""Closed-form statistics as ``Column`` expressions over a small frame of moments.
+"""Closed-form statistics over a small frame of moments, as SQL select items.
 
 ``n`` is the number of values, ``g1`` and ``g2`` the biased skewness and excess kurtosis that
-Spark's ``skewness`` and ``kurtosis`` return."""
+Spark's ``skewness`` and ``kurtosis`` return.  The lists are meant for ``selectExpr("*", *items)``:
+later items use the names of earlier ones, so every intermediate value is computed once."""
 
 from __future__ import annotations
 
 import math
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, functions as F
 
-
-def adjusted_skewness(n: Column, g1: Column) -> Column:
+def adjusted_skewness(n: str, g1: str) -> str:
     """Bias-corrected G1, defined from three values on."""
-    n = n.cast("double")
-    return F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
+    return f"CASE WHEN {n} >= 3 THEN {g1} * sqrt(double({n}) * ({n} - 1)) / ({n} - 2) END"
 
 
-def adjusted_kurtosis(n: Column, g2: Column) -> Column:
+def adjusted_kurtosis(n: str, g2: str) -> str:
     """Bias-corrected excess G2, from four values on; three values keep the biased form."""
-    n = n.cast("double")
-    corrected = ((n + 1) * g2 + 6) * (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0))
-    return F.when(n >= 4, corrected).when(n == 3, g2)
-
+    return (f"CASE WHEN {n} >= 4 THEN ((double({n}) + 1) * {g2} + 6) * ({n} - 1) / ((double({n}) - 2) * ({n} - 3))"
+            f" WHEN {n} = 3 THEN {g2} END")
 
-def with_skew_statistic(frame: DataFrame, n: str, g1: str, out: str) -> DataFrame:
-    """D'Agostino's normal transform of the skewness, n >= 8.
 
-    Built in steps so that every intermediate value is computed once."""
-    c = F.col
-    m = c("_m")
-    steps = frame.withColumn("_m", F.when(c(n) >= 8, c(n).cast("double"))) \
-        .withColumn("_y", c(g1) * F.sqrt((m + 1) * (m + 3) / (6 * (m - 2)))) \
-        .withColumn("_beta", 3 * (m * m + 27 * m - 70) * (m + 1) * (m + 3)
-                    / ((m - 2) * (m + 5) * (m + 7) * (m + 9))) \
-        .withColumn("_w2", F.sqrt(2 * (c("_beta") - 1)) - 1) \
-        .withColumn("_y", F.when(c("_y") == 0, 1.0).otherwise(c("_y")) / F.sqrt(2 / (c("_w2") - 1))) \
-        .withColumn(out, F.asinh(c("_y")) / F.sqrt(0.5 * F.ln(c("_w2"))))
-    return steps.drop("_m", "_y", "_beta", "_w2")
+def skew_statistic(n: str, g1: str, out: str) -> list[str]:
+    """D'Agostino's normal transform of the skewness, n >= 8."""
+    return [f"CASE WHEN {n} >= 8 THEN double({n}) END AS _sn",
+            f"{g1} * sqrt((_sn + 1) * (_sn + 3) / (6 * (_sn - 2))) AS _sy",
+            "3 * (_sn * _sn + 27 * _sn - 70) * (_sn + 1) * (_sn + 3)"
+            " / ((_sn - 2) * (_sn + 5) * (_sn + 7) * (_sn + 9)) AS _sb",
+            "sqrt(2 * (_sb - 1)) - 1 AS _sw",
+            "CASE WHEN _sy = 0 THEN 1D ELSE _sy END / sqrt(2 / (_sw - 1)) AS _sa",
+            f"asinh(_sa) / sqrt(0.5D * ln(_sw)) AS {out}"]
 
 
-def with_kurtosis_statistic(frame: DataFrame, n: str, g2: str, out: str) -> DataFrame:
+def kurtosis_statistic(n: str, g2: str, out: str) -> list[str]:
     """Anscombe and Glynn's normal transform of the kurtosis, n >= 5."""
-    c = F.col
-    m, s, a, q = c("_m"), c("_s"), c("_a"), c("_q")
-    steps = frame.withColumn("_m", F.when(c(n) >= 5, c(n).cast("double"))) \
-        .withColumn("_x", (c(g2) + 3 - 3 * (m - 1) / (m + 1))
-                    / F.sqrt(24 * m * (m - 2) * (m - 3) / ((m + 1) * (m + 1) * (m + 3) * (m + 5)))) \
-        .withColumn("_s", 6 * (m * m - 5 * m + 2) / ((m + 7) * (m + 9))
-                    * F.sqrt(6 * (m + 3) * (m + 5) / (m * (m - 2) * (m - 3)))) \
-        .withColumn("_a", 6 + 8 / s * (2 / s + F.sqrt(1 + 4 / (s * s)))) \
-        .withColumn("_q", F.nullif(1 + c("_x") * F.sqrt(2 / (a - 4)), F.lit(0.0))) \
-        .withColumn(out, (1 - 2 / (9 * a) - F.signum(q) * F.cbrt((1 - 2 / a) / F.abs(q))) / F.sqrt(2 / (9 * a)))
-    return steps.drop("_m", "_x", "_s", "_a", "_q")
-
-
-def with_omnibus(frame: DataFrame, n: str, g1: str, g2: str, out: str) -> DataFrame:
+    return [f"CASE WHEN {n} >= 5 THEN double({n}) END AS _kn",
+            f"({g2} + 3 - 3 * (_kn - 1) / (_kn + 1))"
+            " / sqrt(24 * _kn * (_kn - 2) * (_kn - 3) / ((_kn + 1) * (_kn + 1) * (_kn + 3) * (_kn + 5))) AS _kx",
+            "6 * (_kn * _kn - 5 * _kn + 2) / ((_kn + 7) * (_kn + 9))"
+            " * sqrt(6 * (_kn + 3) * (_kn + 5) / (_kn * (_kn - 2) * (_kn - 3))) AS _ks",
+            "6 + 8 / _ks * (2 / _ks + sqrt(1 + 4 / (_ks * _ks))) AS _ka",
+            "nullif(1 + _kx * sqrt(2 / (_ka - 4)), 0D) AS _kq",
+            "(1 - 2 / (9 * _ka) - signum(_kq) * cbrt((1 - 2 / _ka) / abs(_kq))) / sqrt(2 / (9 * _ka))"
+            f" AS {out}"]
+
+
+def omnibus_k2(n: str, g1: str, g2: str, out: str) -> list[str]:
     """D'Agostino-Pearson statistic for 20 values and more, NULL below."""
-    both = with_kurtosis_statistic(with_skew_statistic(frame, n, g1, "_zs"), n, g2, "_zk")
-    zs, zk = F.col("_zs"), F.col("_zk")
-    return both.withColumn(out, F.when(F.col(n) >= 20, zs * zs + zk * zk)).drop("_zs", "_zk")
+    return [*skew_statistic(n, g1, "_zs"), *kurtosis_statistic(n, g2, "_zk"),
+            f"CASE WHEN {n} >= 20 THEN _zs * _zs + _zk * _zk END AS {out}"]
 
 
 def _t_cdf(t: float, v: int) -> float:
@@ -90,17 +79,13 @@ def t_quantile_value(p: float, v: int) -> float:
     return (low + high) / 2
 
 
-def t_quantile(p: float, v: Column, exact_until: int = 30) -> Column:
+def t_quantile(p: float, v: str, exact_until: int = 30) -> str:
     """Upper t quantile: exact for small ``v``, Cornish-Fisher series in 1/v above."""
     z = NormalDist().inv_cdf(p)
     g = [(z**3 + z) / 4,
          (5 * z**5 + 16 * z**3 + 3 * z) / 96,
          (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
          (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
-    v = F.when(v > 0, v.cast("double"))
-    series = F.lit(z)
-    for power, coefficient in enumerate(g, start=1):
-        series = series + F.lit(coefficient) / F.pow(v, F.lit(float(power)))
-    small = F.element_at(F.array(*[F.lit(t_quantile_value(p, k)) for k in range(1, exact_until + 1)]),
-                         F.greatest(F.least(v, F.lit(float(exact_until))), F.lit(1.0)).cast("int"))
-    return F.when(v <= exact_until, small).otherwise(series)
+    series = " + ".join([f"{z!r}D"] + [f"{c!r}D / pow(double({v}), {k})" for k, c in enumerate(g, start=1)])
+    small = " ".join(f"WHEN {v} = {k} THEN {t_quantile_value(p, k)!r}D" for k in range(1, exact_until + 1))
+    return f"CASE {small} WHEN {v} > {exact_until} THEN {series} END"

@@ -99,7 +99,7 @@ def grouped_bar(df: DataFrame, category: str, metric: str, agg: str = "mean", to
     kept = top.select("category", "value", F.lit(False).alias("is_other"))
     rest = rows.join(F.broadcast(top.select("category")), "category", "left_anti")
     others = grouped(rest.withColumn("category", F.lit(OTHER))).select("category", "value", F.lit(True).alias("is_other"))
-    return kept.unionByName(others).withColumn("value", F.round("value", 2))
+    return kept.unionByName(others)
 
 
 def scatter_fit(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -149,9 +149,9 @@ def line_points(df: DataFrame, date: str, metric: str, agg: str = "mean") -> Dat
     head = rows.limit(LINE_POINTS + 1)
     raw = head.count() <= LINE_POINTS and rows.groupBy("ts").count().where("count > 1").isEmpty()
     if raw:
-        return rows.select(F.col("ts").cast("string").alias("period"), F.round("v", 2).alias("value"))
+        return rows.select(F.col("ts").cast("string").alias("period"), F.col("v").alias("value"))
     value = F.sum("v") if agg.lower() == "sum" else F.avg("v")
-    return rows.groupBy(F.to_date("ts").cast("string").alias("period")).agg(F.round(value, 2).alias("value"))
+    return rows.groupBy(F.to_date("ts").cast("string").alias("period")).agg(value.alias("value"))
 
 
 def time_category(df: DataFrame, date: str, category: str, top_n: int = 6) -> DataFrame:
@@ -181,7 +181,7 @@ def pie_aggregate(df: DataFrame, category: str, metric: str, agg: str = "sum", g
     df = normalize(df)
     value = F.sum("v") if agg == "sum" else F.avg("v")
     return df.select(col(category).cast("string").alias("category"), as_double(df, metric).alias("v")) \
-        .where("category is not null and v is not null").groupBy("category").agg(F.round(value, 2).alias("value")) \
+        .where("category is not null and v is not null").groupBy("category").agg(value.alias("value")) \
         .orderBy("category").limit(groups)
 
 
@@ -190,8 +190,8 @@ def plain_line(df: DataFrame, x: str, y: str, agg: str = "mean") -> DataFrame:
     df = normalize(df)
     rows = df.select(col(x).alias("x"), as_double(df, y).alias("v")).where("x is not null and v is not null")
     if agg == "median":
-        return group_quantiles(rows, ["x"], "v", {"value": 0.5}).select("x", F.round("value", 2).alias("value"))
-    return rows.groupBy("x").agg(F.round(F.sum("v") if agg == "sum" else F.avg("v"), 2).alias("value"))
+        return group_quantiles(rows, ["x"], "v", {"value": 0.5}).select("x", "value")
+    return rows.groupBy("x").agg((F.sum("v") if agg == "sum" else F.avg("v")).alias("value"))
 
 
 def custom_chart(df: DataFrame, kind: str, x: str, y: str | None = None, color: str | None = None,

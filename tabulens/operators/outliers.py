@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulens.functions import formulas
 from tabulens.functions.coerce import as_double, col, is_numeric, normalize, percent
+from tabulens.operators.stats import per_column
 from tabulens.operators.types import outlier_columns
 from tabulens.plans.quantiles import collect_quantiles
 
@@ -64,14 +65,11 @@ def bounds(df: DataFrame, columns: list[str], method: str = "iqr", param: float
     df = normalize(df)
     found: dict[str, dict] = {c: {"n": 0, "lower": None, "upper": None, "status": "No Data"} for c in columns}
     if method == "zscore":
-        wide = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)]).agg(
-            *[fn(F.col(f"c{i}")).alias(f"c{i}_{m}") for i in range(len(columns)) for m, fn in (
-                ("n", F.count), ("center", F.avg), ("scale", F.stddev_samp), ("min", F.min), ("max", F.max),
-                ("g1", F.skewness))])
-        skews = wide.select("*", *[formulas.adjusted_skewness(F.col(f"c{i}_n"), F.col(f"c{i}_g1")).alias(f"c{i}_skew")
-                                   for i in range(len(columns))]).first()
-        for i, c in enumerate(columns):
-            s = {m: skews[f"c{i}_{m}"] for m in ("n", "center", "scale", "min", "max", "skew")}
+        measures = {"n": "count({0})", "center": "avg({0})", "scale": "stddev_samp({0})", "min": "min({0})",
+                    "max": "max({0})", "g1": "skewness({0})"}
+        rows = per_column(df, columns, measures).selectExpr("*", f"{formulas.adjusted_skewness('n', 'g1')} AS skew")
+        for row in rows.collect():
+            c, s = row["column_name"], {m: row[m] for m in ("n", "center", "scale", "min", "max", "skew")}
             if s["n"]:
                 flat = not _finite(s["scale"]) or s["scale"] == 0 or s["min"] == s["max"]
                 s |= {"lower": None, "upper": None, "status": "Constant Feature"} if flat else {

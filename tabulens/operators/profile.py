@@ -94,9 +94,9 @@ def sample_values(df: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` smallest distinct values of every column, as display text."""
     df = normalize(df)
     names = groupable_columns(df)
-    counts = value_counts(df, names, lambda c: render(df, c))
+    shown = df.select(*[render(df, c).alias(c) for c in names])
     order = Window.partitionBy("column_name").orderBy("value")
-    return counts.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k) \
+    return value_counts(shown, names).withColumn("position", F.row_number().over(order)).where(F.col("position") <= k) \
         .select("column_name", "position", "value")
 
 

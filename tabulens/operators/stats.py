@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulens.functions import formulas
-from tabulens.functions.coerce import as_double, as_timestamp, nan_to_null, normalize, percent, span_text
+from tabulens.functions.coerce import as_double, as_timestamp, double_sql, normalize, percent, span_text, text_literal
 from tabulens.operators.types import class_map
 from tabulens.plans.frequency import mode_of, number_counts, top_values, value_counts
 from tabulens.plans.quantiles import column_quantiles, quantile_frame
@@ -17,65 +17,61 @@ def _percentile_names() -> dict[str, float]:
     return {f"p{p}": p / 100 for p in PERCENTILES}
 
 
+# aggregates of one numeric expression
+MEASURES = {"valid_count": "count({0})", "mean": "avg({0})", "min": "min({0})", "max": "max({0})", "sum": "sum({0})",
+            "std": "stddev_samp({0})", "g1": "skewness({0})", "g2": "kurtosis({0})",
+            "zeros_count": "count_if({0} = 0)"}
+
+# labels in order; the first that fits wins
+SHAPES = [("is_empty", "Undefined (Empty Data)"), ("is_constant", "Constant (Zero Variance)"),
+          ("valid_count < 5", "Insufficient Sample Size"),
+          ("skewness > 1.5D", "Highly Skewed Right (Positive Tail)"),
+          ("skewness < -1.5D", "Highly Skewed Left (Negative Tail)"),
+          ("skewness > 0.5D", "Moderately Skewed Right"), ("skewness < -0.5D", "Moderately Skewed Left"),
+          ("kurtosis > 2D", "Leptokurtic (Heavy Tails & Sharp Peak)"),
+          ("kurtosis < -1D", "Platykurtic (Light Tails & Flat Peak)"),
+          ("is_normal", "Approximately Normal (Gaussian)")]
+
+
+def per_column(df: DataFrame, columns: list[str], measures: dict[str, str]) -> DataFrame:
+    """One row per column with the given aggregates, all from one scan."""
+    wide = df.selectExpr(*[f"{double_sql(df, c)} AS c{i}" for i, c in enumerate(columns)]).selectExpr(
+        "count(1) AS total_count", *[f"{sql.format(f'c{i}')} AS c{i}_{m}"
+                                     for i in range(len(columns)) for m, sql in measures.items()])
+    rows = ", ".join("named_struct('column_name', {}, 'total_count', total_count, {})".format(
+        text_literal(c), ", ".join(f"'{m}', c{i}_{m}" for m in measures)) for i, c in enumerate(columns))
+    return wide.selectExpr(f"inline(array({rows}))")
+
+
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, extremes, spread and biased shape moments of every column in one scan."""
-    measures = {"valid_count": F.count, "mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum,
-                "std": F.stddev_samp, "g1": F.skewness, "g2": F.kurtosis,
-                "zeros_count": lambda c: F.count_if(c == 0)}
-    values = {c: as_double(df, c) for c in columns}
-    wide = df.select(*[v.alias(f"c{i}") for i, v in enumerate(values.values())]).agg(
-        F.count(F.lit(1)).alias("total_count"),
-        *[fn(F.col(f"c{i}")).alias(f"c{i}_{m}") for i in range(len(columns)) for m, fn in measures.items()])
-    rows = F.array(*[F.struct(F.lit(name).alias("column_name"), F.col("total_count"),
-                              *[F.col(f"c{i}_{m}").alias(m) for m in measures])
-                     for i, name in enumerate(columns)])
-    return wide.select(F.inline(rows))
-
-
-def shape_label(n: Column, constant: Column, skew: Column, kurt: Column, normal: Column) -> Column:
-    return (F.when(constant, "Constant (Zero Variance)")
-            .when(n < 5, "Insufficient Sample Size")
-            .when(skew > 1.5, "Highly Skewed Right (Positive Tail)")
-            .when(skew < -1.5, "Highly Skewed Left (Negative Tail)")
-            .when(skew > 0.5, "Moderately Skewed Right")
-            .when(skew < -0.5, "Moderately Skewed Left")
-            .when(kurt > 2.0, "Leptokurtic (Heavy Tails & Sharp Peak)")
-            .when(kurt < -1.0, "Platykurtic (Light Tails & Flat Peak)")
-            .when(normal, "Approximately Normal (Gaussian)")
-            .otherwise("Symmetric / Non-Gaussian"))
+    """Count, mean, extremes, spread and biased shape moments of every column."""
+    return per_column(df, columns, MEASURES)
 
 
 def moment_summary(df: DataFrame, columns: list[str], level: float = 0.95) -> DataFrame:
-    """Everything that needs no order statistics: dispersion, shape, interval, normality."""
-    m = moments(df, columns)
-    constant = F.coalesce(F.col("min") == F.col("max"), F.lit(False))
-    m = m.withColumn("is_constant", constant).withColumn("is_empty", F.col("valid_count") == 0)
-    n = F.col("valid_count")
-    zero_if_constant = lambda c: F.when(F.col("is_constant"), F.lit(0.0)).otherwise(c)
-    # infinite values leave no spread (NULL) and count as unskewed
-    defined = lambda c: F.when(F.isnan(c), F.lit(0.0)).otherwise(c)
-    m = m.withColumn("missing_count", F.col("total_count") - n) \
-        .withColumn("missing_percentage", percent(F.col("missing_count"), F.col("total_count"))) \
-        .withColumn("range", F.col("max") - F.col("min")) \
-        .withColumn("std", zero_if_constant(nan_to_null(F.col("std")))) \
-        .withColumn("variance", F.col("std") * F.col("std")) \
-        .withColumn("sem", F.try_divide(F.col("std"), F.sqrt(n))) \
-        .withColumn("cv_percentage", F.when(F.col("is_constant"), 0.0)
-                    .otherwise(F.round(F.try_divide(F.col("std"), F.abs("mean")) * 100, 2))) \
-        .withColumn("skewness", zero_if_constant(defined(formulas.adjusted_skewness(n, F.col("g1"))))) \
-        .withColumn("kurtosis", zero_if_constant(defined(formulas.adjusted_kurtosis(n, F.col("g2"))))) \
-        .withColumn("zeros_percentage", percent(F.col("zeros_count"), n))
-    margin = F.when(F.col("is_constant"), 0.0).otherwise(
-        formulas.t_quantile((1 + level) / 2, n - 1) * F.col("sem"))
-    m = formulas.with_omnibus(m, "valid_count", "g1", "g2", "k2")
-    m = m.withColumn("k2", F.when(~F.col("is_constant"), F.col("k2"))).withColumn("margin_of_error", F.when(n >= 2, margin)) \
-        .withColumn("ci_lower", F.col("mean") - F.col("margin_of_error")) \
-        .withColumn("ci_upper", F.col("mean") + F.col("margin_of_error")) \
-        .withColumn("normal_p", F.exp(-F.col("k2") / 2)) \
-        .withColumn("is_normal", F.col("normal_p") > 0.05)
-    return m.withColumn("shape", F.when(F.col("is_empty"), "Undefined (Empty Data)").otherwise(
-        shape_label(n, F.col("is_constant"), F.col("skewness"), F.col("kurtosis"), F.col("is_normal")))) \
-        .drop("g1", "g2")
+    """Everything that needs no order statistics: dispersion, shape, interval, normality.
+
+    Infinite values leave no spread (NULL) and count as unskewed."""
+    n = "valid_count"
+    flat = "CASE WHEN is_constant THEN 0D ELSE {} END"
+    skew, kurt = formulas.adjusted_skewness(n, "g1"), formulas.adjusted_kurtosis(n, "g2")
+    share = "coalesce(round(try_divide(double({}), double({})) * 100, 2), 0D) AS {}".format
+    shape = " ".join(f"WHEN {when} THEN '{label}'" for when, label in SHAPES)
+    staged = moments(df, columns).withColumnsRenamed({"std": "_std"}).selectExpr(
+        "*", "coalesce(min = max, false) AS is_constant", f"{n} = 0 AS is_empty", f"total_count - {n} AS missing_count",
+        share("missing_count", "total_count", "missing_percentage"), "max - min AS range",
+        flat.format("nullif(_std, double('NaN'))") + " AS std", "std * std AS variance",
+        f"try_divide(std, sqrt({n})) AS sem",
+        "CASE WHEN is_constant THEN 0D ELSE round(try_divide(std, abs(mean)) * 100, 2) END AS cv_percentage",
+        f"{flat.format(f'nanvl({skew}, 0D)')} AS skewness", f"{flat.format(f'nanvl({kurt}, 0D)')} AS kurtosis",
+        share("zeros_count", n, "zeros_percentage"),
+        f"CASE WHEN {n} >= 2 THEN {flat.format(f'({formulas.t_quantile((1 + level) / 2, f"({n} - 1)")}) * sem')} END"
+        " AS margin_of_error",
+        "mean - margin_of_error AS ci_lower", "mean + margin_of_error AS ci_upper",
+        *formulas.omnibus_k2(n, "g1", "g2", "_k2"), "CASE WHEN NOT is_constant THEN _k2 END AS k2",
+        "exp(-k2 / 2) AS normal_p", "normal_p > 0.05D AS is_normal",
+        f"CASE {shape} ELSE 'Symmetric / Non-Gaussian' END AS shape")
+    return staged.select(*[c for c in staged.columns if not c.startswith("_") and c not in ("g1", "g2")])
 
 
 def percentiles(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -85,12 +81,9 @@ def percentiles(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def approximate_percentiles(df: DataFrame, columns: list[str], accuracy: int = 10_000) -> DataFrame:
     """The same percentiles from a sketch in one scan; rank error below ``1 / accuracy``."""
-    wide = df.agg(*[F.percentile_approx(as_double(df, c), [p / 100 for p in PERCENTILES], accuracy).alias(f"c{i}")
-                    for i, c in enumerate(columns)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                              *[F.element_at(F.col(f"c{i}"), k + 1).alias(f"p{p}") for k, p in enumerate(PERCENTILES)])
-                     for i, c in enumerate(columns)])
-    return wide.select(F.inline(rows))
+    shares = ", ".join(f"{p / 100}D" for p in PERCENTILES)
+    found = per_column(normalize(df), columns, {"q": f"percentile_approx({{0}}, array({shares}), {accuracy})"})
+    return found.selectExpr("column_name", *[f"q[{k}] AS p{p}" for k, p in enumerate(PERCENTILES)])
 
 
 def numeric_modes(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,24 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulens.functions.coerce import as_double, col
+from tabulens.functions.coerce import double_sql, quoted, text_literal
 
 
-def value_counts(df: DataFrame, columns: list[str], text=None) -> DataFrame:
+def long_rows(df: DataFrame, expressions: dict[str, str], value: str = "value") -> DataFrame:
+    """``(column_name, value)`` rows of several expressions of a frame, one per name."""
+    pairs = ", ".join(f"named_struct('column_name', {text_literal(name)}, '{value}', {sql})"
+                      for name, sql in expressions.items())
+    return df.selectExpr(f"inline(array({pairs}))")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.where("value IS NOT NULL").groupBy("column_name", "value").agg(F.expr("count(1) AS n"))
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column_name, value, n)`` over the non-null values, as text.
 
     Counts combine on the map side, so a frequent value costs one row per task."""
-    text = text or (lambda c: col(c).cast("string"))
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), text(c).alias("value")) for c in columns])
-    return df.select(F.inline(pairs)).where("value is not null") \
-        .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return _counted(long_rows(df, {c: f"cast({quoted(c)} AS string)" for c in columns}))
 
 
 def number_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column_name, value, n)`` over numeric values, kept as doubles."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), as_double(df, c).alias("value")) for c in columns])
-    return df.select(F.inline(pairs)).where("value is not null") \
-        .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return _counted(long_rows(df, {c: double_sql(df, c) for c in columns}))
 
 
 def top_values(counts: DataFrame, k: int, rank: str = "rank") -> DataFrame:

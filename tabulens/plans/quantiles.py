@@ -7,9 +7,10 @@ on the map side, so a value or bin that holds a third of all rows is one row per
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tabulens.functions.coerce import as_double, col
+from tabulens.functions.coerce import double_sql, quoted
+from tabulens.plans.frequency import long_rows
 
 BINS_PER_E = 128
 LINEAR_BINS = 4096
@@ -17,32 +18,12 @@ FEW_GROUPS = 20_000
 ONE_LEVEL_ROWS = 50_000_000
 
 
-def magnitude_bin(x: Column) -> Column:
-    """Order-preserving bin number of a double: sign and scaled logarithm, 0 for zero."""
-    scaled = F.floor(F.least(F.ln(F.abs(x)), F.lit(750.0)) * BINS_PER_E) + 100_000
-    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("long") * scaled)
-
-
-def linear_bin(x: Column, low: Column, high: Column) -> Column:
-    position = F.try_divide(x - low, high - low) * LINEAR_BINS
-    return F.when(high > low, F.least(F.floor(position), F.lit(LINEAR_BINS - 1))).otherwise(F.lit(0))
-
-
-def _ranks(total: Column, probs: list[float]) -> Column:
-    """0-based ranks on both sides of every quantile position."""
-    sides = []
-    for p in probs:
-        position = F.lit(p) * (total - 1)
-        sides += [F.floor(position), F.ceil(position)]
-    return F.array(*[s.cast("long") for s in sides])
-
-
-def _interpolate(total: Column, p: float) -> Column:
-    position = F.lit(p) * (total - 1)
-    low = F.max(F.when(F.col("_rank") == F.floor(position), F.col("_x")))
-    high = F.max(F.when(F.col("_rank") == F.ceil(position), F.col("_x")))
-    share = F.max(position - F.floor(position))
-    return F.when(high == low, low).otherwise(low + (high - low) * share)
+# order-preserving bin number of a double: sign and scaled logarithm, 0 for zero
+MAGNITUDE_BIN = (f"CASE WHEN _x = 0 THEN 0L ELSE bigint(signum(_x))"
+                 f" * (floor(least(ln(abs(_x)), 750D) * {BINS_PER_E}) + 100000) END")
+LINEAR_BIN = (f"CASE WHEN _high > _low THEN least(floor((_x - _low) / (_high - _low) * {LINEAR_BINS}),"
+              f" {LINEAR_BINS - 1}L) ELSE 0L END")
+RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
 def quantile_frame(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float],
@@ -52,52 +33,48 @@ def quantile_frame(rows: DataFrame, keys: list[str], value: str, probs: dict[str
     Linear interpolation between neighbouring ranks.  ``weight`` counts a row several times.
     ``few_groups`` says the number of keys is known to be small, so the selected bins (at most
     two per key and probability) may be broadcast; otherwise the join is left to Spark."""
-    plist = list(probs.values())
     hint = F.broadcast if few_groups else (lambda d: d)
-    count = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
-    kept = [col(k) for k in keys]
-
-    def running_start(frame, within, order, offset):
-        """First rank of each ordered row inside its partition, shifted by ``offset``."""
-        upto = Window.partitionBy(*within).orderBy(order) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return frame.withColumn("_base", offset + F.sum("_n").over(upto) - F.col("_n"))
-
-    tallies = [count.alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high")]
-    cur = rows.select(*kept, col(value).cast("double").alias("_x"), *([col(weight)] if weight else [])) \
-        .where("_x is not null").withColumn("_bin", magnitude_bin(F.col("_x")))
-    bins = cur.groupBy(*kept, "_bin").agg(*tallies) \
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*kept)))
-    bins = running_start(bins, kept, "_bin", F.lit(0))
-    path = list(keys) + ["_bin"]
+    names = [quoted(k) for k in keys]
+    by_key = ", ".join(names)
+    position = {out: f"({p!r}D * (_total - 1))" for out, p in probs.items()}
+    ranks = "array({})".format(", ".join(f"floor({p}), ceil({p})" for p in position.values()))
+    inside = "r -> r >= _base AND r < _base + _n"
+    count = f"bigint(sum({quoted(weight)})) AS _n" if weight else "count(1) AS _n"
+    tallies = [F.expr(e) for e in (count, "min(_x) AS _low", "max(_x) AS _high")]
+
+    cur = rows.selectExpr(*names, f"cast({quoted(value)} AS double) AS _x", *([quoted(weight)] if weight else [])) \
+        .where("_x IS NOT NULL").selectExpr("*", f"{MAGNITUDE_BIN} AS _bin")
+    bins = cur.groupBy(*names, "_bin").agg(*tallies).selectExpr(
+        "*", f"sum(_n) OVER (PARTITION BY {by_key}) AS _total",
+        f"sum(_n) OVER (PARTITION BY {by_key} ORDER BY _bin {RUNNING}) - _n AS _base")
+    path = [*keys, "_bin"]
 
     for level in range(levels):
         if level:
-            cur = cur.withColumn("_bin", linear_bin(F.col("_x"), F.col("_low"), F.col("_high"))) \
-                .drop("_low", "_high").withColumnRenamed("_base", "_parent")
-            path = list(keys) + ["_total", "_parent", "_bin"]
-            bins = cur.groupBy(*path).agg(*tallies)
-            bins = running_start(bins, [*kept, "_parent"], "_bin", F.col("_parent"))
-        hit = F.exists(_ranks(F.col("_total"), plist),
-                       lambda r: (r >= F.col("_base")) & (r < F.col("_base") + F.col("_n")))
-        cur = cur.join(hint(bins.where(hit).drop("_n")), path)
-
-    values = cur.groupBy(*kept, "_base", "_total", "_x").agg(count.alias("_n")) \
-        .withColumnRenamed("_base", "_parent")
-    values = running_start(values, [*kept, "_parent"], "_x", F.col("_parent"))
-    inside = F.filter(F.array_distinct(_ranks(F.col("_total"), plist)),
-                      lambda r: (r >= F.col("_base")) & (r < F.col("_base") + F.col("_n")))
-    ranked = values.select(*kept, "_total", "_x", F.explode(inside).alias("_rank"))
-    return ranked.groupBy(*kept, "_total").agg(
-        *[_interpolate(F.col("_total"), p).alias(name) for name, p in probs.items()]) \
-        .withColumnRenamed("_total", "n_values")
+            # split every bin that was kept between its own extremes
+            extra = [quoted(weight)] if weight else []
+            cur = cur.selectExpr(*names, "_x", *extra, "_total", "_base AS _parent", f"{LINEAR_BIN} AS _bin")
+            path = [*keys, "_total", "_parent", "_bin"]
+            bins = cur.groupBy(*[quoted(c) for c in path]).agg(*tallies).selectExpr(
+                "*", f"_parent + sum(_n) OVER (PARTITION BY {by_key}, _parent ORDER BY _bin {RUNNING}) - _n AS _base")
+        cur = cur.join(hint(bins.where(f"exists({ranks}, {inside})").drop("_n")), path)
+
+    values = cur.groupBy(*names, "_base", "_total", "_x").agg(tallies[0]).selectExpr(
+        *names, "_total", "_x", "_n",
+        f"_base + sum(_n) OVER (PARTITION BY {by_key}, _base ORDER BY _x {RUNNING}) - _n AS _base")
+    ranked = values.selectExpr(*names, "_total", "_x", f"explode(filter(array_distinct({ranks}), {inside})) AS _rank")
+    sides = [F.expr(f"max(CASE WHEN _rank = {side}({p}) THEN _x END) AS _{side}_{i}")
+             for i, p in enumerate(position.values()) for side in ("floor", "ceil")]
+    return ranked.groupBy(*names, "_total").agg(*sides).selectExpr(*names, "_total AS n_values", *[
+        f"CASE WHEN _floor_{i} = _ceil_{i} THEN _floor_{i}"
+        f" ELSE _floor_{i} + (_ceil_{i} - _floor_{i}) * ({p} - floor({p})) END AS {quoted(out)}"
+        for i, (out, p) in enumerate(position.items())])
 
 
 def long_numbers(df: DataFrame, columns: list[str], finite_only: bool = False) -> DataFrame:
     """Numeric columns as ``(column_name, value)`` rows, NULL and NaN left out."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), as_double(df, c).alias("value")) for c in columns])
-    rows = df.select(F.inline(pairs)).where("value is not null")
-    return rows.where(F.abs("value") < float("inf")) if finite_only else rows
+    rows = long_rows(df, {c: double_sql(df, c) for c in columns}).where("value IS NOT NULL")
+    return rows.where("abs(value) < double('Infinity')") if finite_only else rows
 
 
 def _levels(df: DataFrame) -> int:
@@ -122,8 +99,8 @@ def collect_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float]
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Quantiles per group; the number of groups is estimated first to decide on the broadcast."""
-    size = df.agg(F.approx_count_distinct(F.struct(*[col(k) for k in keys])).alias("groups"),
-                  F.count(F.lit(1)).alias("rows")).first()
-    rows = df.select(*[col(k) for k in keys], as_double(df, value).alias("_value"))
+    names = [quoted(k) for k in keys]
+    size = df.selectExpr(f"approx_count_distinct(struct({', '.join(names)})) AS groups", "count(1) AS rows").first()
+    rows = df.selectExpr(*names, f"{double_sql(df, value)} AS _value")
     return quantile_frame(rows, keys, "_value", probs, levels=1 if size["rows"] <= ONE_LEVEL_ROWS else 2,
                           few_groups=size["groups"] * len(probs) <= FEW_GROUPS)

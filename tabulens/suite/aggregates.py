@@ -131,21 +131,21 @@ ORDER BY abs(value - CASE WHEN value < lo THEN lo ELSE hi END) DESC, value LIMIT
 
 
 def ts_year(spark, sf):
-    return tools.time_series(table(spark, sf, "lineitem"), "l_shipdate", "l_extendedprice")
+    return rounded(tools.time_series(table(spark, sf, "lineitem"), "l_shipdate", "l_extendedprice"), 2)
 
 
 TS_YEAR = """SELECT strftime(l_shipdate, '%Y') AS period, round(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1"""
 
 
 def ts_month(spark, sf):
-    return tools.time_series(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "month", "mean")
+    return rounded(tools.time_series(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "month", "mean"), 6)
 
 
-TS_MONTH = "SELECT strftime(o_orderdate, '%Y-%m') AS period, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY 1"
+TS_MONTH = "SELECT strftime(o_orderdate, '%Y-%m') AS period, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY 1"
 
 
 def ts_day_full(spark, sf):
-    return tools.time_series(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "day", "sum")
+    return rounded(tools.time_series(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "day", "sum"), 2)
 
 
 TS_DAY = """WITH d AS (SELECT date_trunc('day', o_orderdate) AS d, sum(o_totalprice) AS v FROM orders GROUP BY 1),
@@ -154,7 +154,7 @@ SELECT strftime(s.d, '%Y-%m-%d') AS period, round(coalesce(v, 0), 2) AS value FR
 
 
 def ts_auto_events(spark, sf):
-    return tools.time_series_head(table(spark, sf, "events"), "ts", "value")
+    return rounded(tools.time_series_head(table(spark, sf, "events"), "ts", "value"), 2)
 
 
 TS_EVENTS = """WITH sp AS (SELECT floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000) AS days FROM events),
@@ -164,7 +164,7 @@ SELECT period, round(sum(value), 2) AS value FROM b GROUP BY period ORDER BY per
 
 
 def ts_growth(spark, sf):
-    return tools.time_series_growth(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "month", "sum")
+    return rounded(tools.time_series_growth(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "month", "sum"), 2)
 
 
 TS_GROWTH = """WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1),

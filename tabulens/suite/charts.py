@@ -56,26 +56,26 @@ def category_share(spark, sf):
 
 
 def grouped_bar_other(spark, sf):
-    return chartdata.grouped_bar(table(spark, sf, "part"), "p_brand", "p_retailprice", "mean", 10)
+    return rounded(chartdata.grouped_bar(table(spark, sf, "part"), "p_brand", "p_retailprice", "mean", 10), 6)
 
 
 def _grouped_sql(tab, g, value, n):
     return f"""WITH g AS (SELECT CAST({g} AS VARCHAR) AS category, {value} AS value FROM {tab} GROUP BY {g}),
 r AS (SELECT *, row_number() OVER (ORDER BY value DESC, category) AS k FROM g)
-SELECT category, round(value, 2) AS value, false AS is_other FROM r WHERE k <= {n}
-UNION ALL SELECT 'Other (Aggregated)', round(value, 2), true FROM (SELECT {value} AS value, count(*) AS n FROM {tab}
+SELECT category, round(value, 6) AS value, false AS is_other FROM r WHERE k <= {n}
+UNION ALL SELECT 'Other (Aggregated)', round(value, 6), true FROM (SELECT {value} AS value, count(*) AS n FROM {tab}
   WHERE CAST({g} AS VARCHAR) IN (SELECT category FROM r WHERE k > {n})) WHERE n > 0"""
 
 
 def grouped_bar_median(spark, sf):
-    return chartdata.grouped_bar(table(spark, sf, "lineitem"), "l_suppkey", "l_quantity", "median", 5)
+    return rounded(chartdata.grouped_bar(table(spark, sf, "lineitem"), "l_suppkey", "l_quantity", "median", 5), 6)
 
 
 def line_daily(spark, sf):
-    return chartdata.line_points(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "mean")
+    return rounded(chartdata.line_points(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "mean"), 6)
 
 
-LINE_DAILY = "SELECT strftime(o_orderdate, '%Y-%m-%d') AS period, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY 1"
+LINE_DAILY = "SELECT strftime(o_orderdate, '%Y-%m-%d') AS period, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY 1"
 
 
 def time_category(spark, sf):
@@ -124,21 +124,21 @@ def box_points(spark, sf):
 
 
 def pie_sum(spark, sf):
-    return chartdata.pie_aggregate(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice", "sum")
+    return rounded(chartdata.pie_aggregate(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice", "sum"), 2)
 
 
 PIE_SUM = "SELECT o_orderpriority AS category, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1 ORDER BY 1 LIMIT 12"
 
 
 def custom_line(spark, sf):
-    return chartdata.custom_chart(table(spark, sf, "lineitem"), "line", "l_linenumber", "l_quantity", agg="median")
+    return rounded(chartdata.custom_chart(table(spark, sf, "lineitem"), "line", "l_linenumber", "l_quantity", agg="median"), 6)
 
 
-CUSTOM_LINE = "SELECT l_linenumber AS x, round(quantile_cont(l_quantity, 0.5), 2) AS value FROM lineitem GROUP BY 1"
+CUSTOM_LINE = "SELECT l_linenumber AS x, round(quantile_cont(l_quantity, 0.5), 6) AS value FROM lineitem GROUP BY 1"
 
 
 def custom_bar(spark, sf):
-    return chartdata.custom_chart(table(spark, sf, "orders"), "bar", "o_orderstatus", "o_totalprice", agg="max")
+    return rounded(chartdata.custom_chart(table(spark, sf, "orders"), "bar", "o_orderstatus", "o_totalprice", agg="max"), 6)
 
 
 CUSTOM_BAR = "SELECT o_orderstatus AS category, round(max(o_totalprice), 2) AS value, false AS is_other FROM orders GROUP BY 1"
@@ -174,19 +174,19 @@ def chart_rank(spark, sf):
 
 
 CHART_RANK = """WITH n AS (SELECT skewness(o_totalprice) AS sk, quantile_cont(o_totalprice, 0.75) > quantile_cont(o_totalprice, 0.25) AS wide FROM orders),
-cat AS (SELECT c, at, count(*) AS k, max(n) / sum(n) AS top FROM (
-  SELECT 'o_orderstatus' AS c, 1 AS at, o_orderstatus AS v, count(*) AS n FROM orders GROUP BY ALL
+cat AS (SELECT c, pos, count(*) AS k, max(n) / sum(n) AS top FROM (
+  SELECT 'o_orderstatus' AS c, 1 AS pos, o_orderstatus AS v, count(*) AS n FROM orders GROUP BY ALL
   UNION ALL SELECT 'o_orderpriority', 2, o_orderpriority, count(*) FROM orders GROUP BY ALL) GROUP BY ALL),
-sp AS (SELECT c, at, stddev_samp(m) AS s FROM (SELECT 'o_orderstatus' AS c, 1 AS at, o_orderstatus AS v, avg(o_totalprice) AS m FROM orders GROUP BY ALL
+sp AS (SELECT c, pos, stddev_samp(m) AS s FROM (SELECT 'o_orderstatus' AS c, 1 AS pos, o_orderstatus AS v, avg(o_totalprice) AS m FROM orders GROUP BY ALL
   UNION ALL SELECT 'o_orderpriority', 2, o_orderpriority, avg(o_totalprice) FROM orders GROUP BY ALL) GROUP BY ALL),
 cand AS (
 SELECT 'histogram' AS chart_type, 'Distributions' AS category, 'o_totalprice' AS columns_used, round(65 + least(25, abs(sk) * 10) + 10, 1)::DOUBLE AS score, 2 AS seq FROM n
 UNION ALL SELECT 'box', 'Distributions', 'o_totalprice', 60 + CASE WHEN wide THEN 15 ELSE 0 END + 10, 3 FROM n
-UNION ALL SELECT 'bar', 'Categorical', c, round(70 + CASE WHEN k BETWEEN 2 AND 10 THEN 15 ELSE 5 END - CASE WHEN top > 0.9 THEN top * 10 ELSE 0 END, 1), 10000 + at * 2 FROM cat WHERE k BETWEEN 2 AND 30
-UNION ALL SELECT 'pie', 'Categorical', c, 72 + CASE WHEN k BETWEEN 2 AND 6 THEN 15 ELSE 0 END, 10001 + at * 2 FROM cat WHERE k BETWEEN 2 AND 8
+UNION ALL SELECT 'bar', 'Categorical', c, round(70 + CASE WHEN k BETWEEN 2 AND 10 THEN 15 ELSE 5 END - CASE WHEN top > 0.9 THEN top * 10 ELSE 0 END, 1), 10000 + pos * 2 FROM cat WHERE k BETWEEN 2 AND 30
+UNION ALL SELECT 'pie', 'Categorical', c, 72 + CASE WHEN k BETWEEN 2 AND 6 THEN 15 ELSE 0 END, 10001 + pos * 2 FROM cat WHERE k BETWEEN 2 AND 8
 UNION ALL SELECT 'line', 'Trends', 'o_orderdate,o_totalprice', 85, 2000000
-UNION ALL SELECT 'bar', 'Categorical', c || ',o_totalprice', 75 + CASE WHEN s > 0 THEN 10 ELSE 0 END + CASE WHEN k BETWEEN 3 AND 10 THEN 5 ELSE 0 END, 3000001 + at * 1000 FROM cat JOIN sp USING (c, at) WHERE k BETWEEN 2 AND 20
-UNION ALL SELECT 'bar', 'Trends', 'o_orderdate,' || c, 80, 4000000 + at FROM cat WHERE k BETWEEN 2 AND 8),
+UNION ALL SELECT 'bar', 'Categorical', c || ',o_totalprice', 75 + CASE WHEN s > 0 THEN 10 ELSE 0 END + CASE WHEN k BETWEEN 3 AND 10 THEN 5 ELSE 0 END, 3000001 + pos * 1000 FROM cat JOIN sp USING (c, pos) WHERE k BETWEEN 2 AND 20
+UNION ALL SELECT 'bar', 'Trends', 'o_orderdate,' || c, 80, 4000000 + pos FROM cat WHERE k BETWEEN 2 AND 8),
 r AS (SELECT *, row_number() OVER (PARTITION BY chart_type ORDER BY score DESC, seq) AS t, count(*) OVER () AS total FROM cand)
 SELECT chart_type, category, columns_used, score, CASE WHEN score >= CASE WHEN seq BETWEEN 3000000 AND 3999999 THEN 82 ELSE 80 END THEN 'High' ELSE 'Medium' END AS priority,
   CAST(row_number() OVER (ORDER BY score DESC, seq) AS INTEGER) AS rank FROM r WHERE t <= 4 OR total <= 10 ORDER BY score DESC, seq LIMIT 10"""
