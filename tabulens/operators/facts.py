@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulens.functions.coerce import normalize
 from tabulens.operators import chartdata, correlation, outliers, profile, quality, stats
-from tabulens.operators.types import role_map
+from tabulens.operators.types import ROLES, role_map
+from tabulens.plans.storage import materialize
 
 OBSERVED, ISSUE, READING, ADVICE = "Observed", "Potential issue", "Interpretation", "Recommendation"
 SCHEMA = "section string, category string, subject string, metric string, value_num double, value_text string"
@@ -72,39 +73,52 @@ def recommendations(issues: DataFrame, pairs: DataFrame, totals: DataFrame) -> D
 
 
 def report_facts(df: DataFrame, charts: int = 6) -> DataFrame:
-    """The nine report sections as one long table; every family is computed once."""
+    """The nine report sections as one long table.
+
+    Results that several sections read (a few rows per column) are stored once and read back, so
+    no family is computed twice and the final plan is a union of small tables."""
     df = normalize(df)
-    roles = role_map(df)
+    profiled = materialize(profile.column_profile(df))
+    columns = profiled.orderBy("position").collect()
+    roles = {r: [c["column_name"] for c in columns if c["role"] == r] for r in ROLES}
     numbers, groups, dates = roles["numerical"], roles["categorical"] + roles["boolean"], roles["datetime"]
-    name = F.col("column_name")
-    whole = F.lit("dataset")
-    issues = quality.audit(df)
+    kind = {c["column_name"]: c["semantic_type"] for c in columns}
+    numeric = [c for c in df.columns if kind.get(c) == "Numerical"]
+    temporal = [c for c in df.columns if kind.get(c) == "Datetime"]
+    categorical = [c for c in kind if c not in numeric + temporal]
+    name, whole = F.col("column_name"), F.lit("dataset")
+    issues = materialize(quality.audit(df))
+    pairs = materialize(correlation.correlation_pairs(df, numbers))
+    totals = materialize(outliers.outlier_totals(df, numbers))
+    metrics = materialize(profile.dataset_metrics(df))
+    summary = materialize(stats.numeric_summary(df, numeric)) if numeric else None
+    checks = metrics.withColumn("empty_columns", F.lit(sum(c["non_null_count"] == 0 for c in columns))) \
+        .withColumn("constant_columns", F.lit(sum(c["is_constant"] for c in columns))) \
+        .withColumn("skewed_columns", F.lit(0) if summary is None
+                    else summary.agg(F.count_if(F.abs("skewness") > 3.0)).scalar())
     parts = [
-        facts_of(profile.dataset_metrics(df), "1 overview", OBSERVED, whole,
+        facts_of(metrics, "1 overview", OBSERVED, whole,
                  ["total_rows", "total_columns", "missing_cells", "missing_cells_percentage", "duplicate_rows",
                   "duplicate_rows_percentage"]),
-        facts_of(profile.column_profile(df), "1 overview", OBSERVED, name,
-                 ["missing_percentage", "unique_count"], ["dtype", "semantic_type"]),
-        facts_of(profile.quality_score(df), "2 quality", OBSERVED, whole,
+        facts_of(profiled, "1 overview", OBSERVED, name, ["missing_percentage", "unique_count"],
+                 ["dtype", "semantic_type"]),
+        facts_of(profile.score_metrics(checks), "2 quality", OBSERVED, whole,
                  ["health_score", "completeness_score", "uniqueness_score"], ["health_grade", "quality_status"]),
         facts_of(issues.withColumn("subject", F.concat_ws(":", "column_name", "issue_type")), "2 quality", ISSUE,
                  F.col("subject"), ["affected_rows", "percentage_affected"], ["severity"]),
         facts_of(quality.cleaning_preview(df).groupBy("column_name", "category").agg(F.count(F.lit(1)).alias("examples")),
                  "3 cleaning", OBSERVED, name, ["examples"], ["category"]),
+        facts_of(pairs.withColumn("pair", F.concat_ws(" / ", "variable_a", "variable_b")), "5 correlation", OBSERVED,
+                 F.col("pair"), ["correlation", "sample_size"], ["strength"]),
+        facts_of(totals, "6 outliers", OBSERVED, whole,
+                 ["total_outlier_instances", "total_confirmed_errors", "affected_rows_count"]),
     ]
-    totals = outliers.outlier_totals(df, numbers)
-    pairs = correlation.correlation_pairs(df, numbers)
+    if summary is not None:
+        parts.append(facts_of(summary, "4 statistics", OBSERVED, name,
+                              ["mean", "median", "std", "skewness", "kurtosis", "ci_lower", "ci_upper"], ["shape"]))
     if numbers:
-        parts += [
-            facts_of(stats.numeric_summary(df, numbers), "4 statistics", OBSERVED, name,
-                     ["mean", "median", "std", "skewness", "kurtosis", "ci_lower", "ci_upper"], ["shape"]),
-            facts_of(pairs.withColumn("pair", F.concat_ws(" / ", "variable_a", "variable_b")), "5 correlation", OBSERVED,
-                     F.col("pair"), ["correlation", "sample_size"], ["strength"]),
-            facts_of(totals, "6 outliers", OBSERVED, whole,
-                     ["total_outlier_instances", "total_confirmed_errors", "affected_rows_count"]),
-            facts_of(outliers.critical_columns(df, numbers), "6 outliers", ISSUE, name,
-                     ["outlier_count", "outlier_percentage"]),
-        ]
+        parts.append(facts_of(outliers.critical_columns(df, numbers), "6 outliers", ISSUE, name,
+                              ["outlier_count", "outlier_percentage"]))
     if groups:
         parts.append(facts_of(category_distributions(df, groups[:6]).withColumn(
             "subject", F.concat_ws("=", "column_name", "category")), "4 statistics", OBSERVED, F.col("subject"),
@@ -112,11 +126,10 @@ def report_facts(df: DataFrame, charts: int = 6) -> DataFrame:
     if dates:
         parts.append(facts_of(time_horizons(df, dates), "4 statistics", OBSERVED, name, ["total_days_span"],
                               ["start_date", "end_date"]))
-    numeric, categorical, temporal = stats.split_by_class(df)
     parts += [
         facts_of(chartdata.chart_ranking(df, roles, charts).withColumn("subject", F.array_join("columns_used", ", ")),
                  "7 charts", OBSERVED, F.col("subject"), ["score"], ["chart_type", "priority"]),
-        facts_of(stats.observations(df, numeric, categorical, temporal), "8 insights", READING, name, [],
+        facts_of(stats.observations(df, numeric, categorical, temporal, summary), "8 insights", READING, name, [],
                  ["type", "message"]),
         facts_of(recommendations(issues, pairs, totals), "9 recommendations", ADVICE, F.col("area"), [], ["advice"]),
     ]

@@ -171,21 +171,19 @@ def columns_of_class(df: DataFrame, kind: str) -> DataFrame:
 
 
 def quality_score(df: DataFrame) -> DataFrame:
-    """Completeness, uniqueness and five checks combined into a score and a grade."""
+    """Completeness, uniqueness and five checks combined into a score and a grade.
+
+    The per-column verdicts are one row per column, so they are read before the final plan."""
     df = normalize(df)
-    features = column_features(df)
-    kinds = features.select("column_name", "n_valid", "n_distinct", "n_rows", semantic_class().alias("kind"))
-    tallies = kinds.agg(F.count_if(F.col("n_valid") == 0).alias("empty_columns"),
-                        F.count_if(F.col("n_distinct") <= 1).alias("constant_columns"))
-    numeric = [c for c in df.columns if class_map(df).get(c) == "Numerical"] if df.columns else []
+    columns = column_features(df).select("column_name", "n_valid", "n_distinct", semantic_class().alias("kind")).collect()
+    numeric = [r["column_name"] for r in columns if r["kind"] == "Numerical"]
+    m = dataset_metrics(df) \
+        .withColumn("empty_columns", F.lit(sum(r["n_valid"] == 0 for r in columns))) \
+        .withColumn("constant_columns", F.lit(sum(r["n_distinct"] <= 1 for r in columns)))
+    skewed = F.lit(0)
     if numeric:
-        skewed = stats.moment_summary(df, numeric).agg(F.count_if(F.abs("skewness") > 3.0).alias("n"))
-    else:
-        skewed = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("n"))
-    m = dataset_metrics(df).withColumn("skewed_columns", skewed.scalar()) \
-        .withColumn("empty_columns", tallies.select("empty_columns").scalar()) \
-        .withColumn("constant_columns", tallies.select("constant_columns").scalar())
-    return score_metrics(m)
+        skewed = stats.moment_summary(df, numeric).agg(F.count_if(F.abs("skewness") > 3.0)).scalar()
+    return score_metrics(m.withColumn("skewed_columns", skewed))
 
 
 def score_metrics(m: DataFrame) -> DataFrame:

@@ -273,10 +273,11 @@ def _notes(frame: DataFrame, *notes: Column) -> DataFrame:
 
 
 def observations(df: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None,
-                 temporal: list[str] | None = None) -> DataFrame:
+                 temporal: list[str] | None = None, summary: DataFrame | None = None) -> DataFrame:
     """Rule-based remarks on emptiness, variance, shape, outliers, dispersion, imbalance and coverage.
 
-    Every summary is computed once; its rules are conditions on the summary row."""
+    Every summary is computed once; its rules are conditions on the summary row.  ``summary`` is a
+    ``numeric_summary`` made before, if there is one."""
     if numeric is None or categorical is None or temporal is None:
         numeric, categorical, temporal = split_by_class(df)
     df = normalize(df)
@@ -285,7 +286,7 @@ def observations(df: DataFrame, numeric: list[str] | None = None, categorical: l
     text = lambda c: F.col(c).cast("string")
     notes = []
     if numeric:
-        s = numeric_summary(df, numeric)
+        s = numeric_summary(df, numeric) if summary is None else summary
         varied = ~F.col("is_empty") & ~F.col("is_constant")
         side = F.when(F.col("skewness") > 0, "right (positive tail)").otherwise("left (negative tail)")
         level = F.when(F.col("outlier_percentage") > 5.0, "warning").otherwise("info")
