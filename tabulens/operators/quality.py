@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulens.functions.coerce import (DATE_LIKE_NUMBER, DATE_SEPARATORS, as_double, col, groupable_columns,
-                                       is_missing_word, is_text, normalize, numeric_columns, percent, strip,
-                                       text_columns, title_case, to_datetime, to_number)
+from tabulens.functions.coerce import (DATE_LIKE_NUMBER, DATE_SEPARATORS, MISSING_WORDS, double_sql,
+                                       groupable_columns, normalize, numeric_columns, percent, strip, text_columns,
+                                       text_literal, title_case, to_datetime, to_number)
 from tabulens.operators.profile import duplicate_rows
 from tabulens.plans.frequency import mode_of, value_counts
 from tabulens.plans.quantiles import collect_quantiles
@@ -31,34 +31,45 @@ def is_positive_domain(name: str) -> bool:
     return any(part in name.lower() for part in POSITIVE_NAMES)
 
 
-def _issue(frame: DataFrame, when: Column, kind: str, title: str, affected: Column, share: Column,
-           severity, action: Column, details: dict[str, Column] | None = None) -> DataFrame:
-    note = F.to_json(F.struct(*[c.alias(k) for k, c in (details or {}).items()])) if details else F.lit("{}")
+def _issue(when: Column, kind: str, title: str, affected: Column, share: Column, severity, action: Column,
+           details: dict[str, Column] | None = None) -> Column:
+    """One issue as a struct, NULL where its rule does not hold."""
+    note = F.to_json(F.struct(*[c.alias(k) for k, c in details.items()])) if details else F.lit("{}")
     severity = F.lit(severity) if isinstance(severity, str) else severity
-    return frame.where(when).select(
-        F.col("column_name"), F.lit(kind).alias("issue_type"), F.lit(title).alias("title"),
-        affected.cast("long").alias("affected_rows"), share.alias("percentage_affected"),
-        severity.alias("severity"), action.alias("recommended_action"), note.alias("details"))
+    return F.when(when, F.struct(
+        F.lit(kind).alias("issue_type"), F.lit(title).alias("title"), affected.cast("long").alias("affected_rows"),
+        share.alias("percentage_affected"), severity.alias("severity"), action.alias("recommended_action"),
+        note.alias("details")))
 
 
-def audit_features(df: DataFrame) -> DataFrame:
-    """One row per column with every count the value-based detectors need.
+def _listed(frame: DataFrame, *issues: Column) -> DataFrame:
+    """The issues of a per-column frame, read in one pass whatever the number of rules."""
+    return frame.select("column_name", F.inline(F.array_compact(F.array(*issues))))
+
+
+def _named(template: str, *values: Column) -> Column:
+    return F.format_string(template, *[v.cast("string") for v in values])
+
+
+def text_features(df: DataFrame) -> DataFrame:
+    """One row per column that is no number, with the counts the value-based rules need.
 
     Values are first combined under their lower-cased stripped form, which also yields the
     case variants; then under their column."""
-    df = normalize(df)
-    names = groupable_columns(df)
     texts = text_columns(df)
+    names = [c for c in groupable_columns(df) if c not in numeric_columns(df)]
     in_text = F.col("column_name").isin(texts) if texts else F.lit(False)
     v, n = F.col("value"), F.col("n")
     weight = lambda c: F.sum(F.when(in_text & c, n).otherwise(0))
-    by_form = value_counts(df, names).withColumn("form", F.lower(strip(v))).groupBy("column_name", "form").agg(
+    found = lambda pattern: F.bool_or(in_text & v.rlike(pattern))
+    stripped = value_counts(df, names).withColumn("bare", strip(v))
+    by_form = stripped.withColumn("form", F.lower("bare")).groupBy("column_name", "form").agg(
         F.sum("n").alias("n_valid"), F.count(F.lit(1)).alias("n_distinct"), F.max("n").alias("top"),
         mode_of().alias("top_value"),
-        ((F.min(strip(v)) != F.max(strip(v))) & (F.col("form") != "")).alias("has_variants"),
-        weight(is_missing_word(v)).alias("missing_words"), weight(strip(v) != v).alias("padded"),
+        ((F.min("bare") != F.max("bare")) & (F.col("form") != "")).alias("has_variants"),
+        weight(F.lower("bare").isin(MISSING_WORDS)).alias("missing_words"), weight(F.col("bare") != v).alias("padded"),
         weight(to_number(v, wide=True).isNotNull()).alias("numbers"), weight(to_datetime(v).isNotNull()).alias("dates"),
-        F.bool_or(v.rlike(DATE_SEPARATORS)).alias("separated"), F.bool_or(v.rlike(DATE_LIKE_NUMBER)).alias("date_like"))
+        found(DATE_SEPARATORS).alias("separated"), found(DATE_LIKE_NUMBER).alias("date_like"))
     varied = F.col("has_variants") & in_text
     features = by_form.groupBy("column_name").agg(
         F.sum("n_valid").alias("n_valid"), F.sum("n_distinct").alias("n_distinct"), F.max("top").alias("top_count"),
@@ -67,14 +78,54 @@ def audit_features(df: DataFrame) -> DataFrame:
         F.count_if(varied).alias("variant_groups"),
         F.sum(F.when(varied, F.col("n_valid") - F.col("top")).otherwise(0)).alias("variant_rows"),
         F.bool_or("separated").alias("separated"), F.bool_or("date_like").alias("date_like"))
-    base = df.sparkSession.createDataFrame(
-        [(i, f.name, is_text(f.dataType), isinstance(f.dataType, T.NumericType))
-         for i, f in enumerate(df.schema) if f.name in names],
-        "position int, column_name string, is_text boolean, is_number boolean")
+    base = df.sparkSession.createDataFrame([(c, c in texts) for c in names], "column_name string, is_text boolean")
     rows = df.agg(F.count(F.lit(1)))
     counted = ["n_valid", "n_distinct", "missing_words", "padded", "numbers", "dates", "variant_groups", "variant_rows"]
     return F.broadcast(base).join(features, "column_name", "left").withColumn("n_rows", rows.scalar()) \
-        .withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counted})
+        .withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counted}) \
+        .withColumn("is_number", F.lit(False))
+
+
+def number_features(df: DataFrame, columns: list[str] | None = None) -> DataFrame | None:
+    """One row per numeric column; no value counts are shuffled for it.
+
+    A value that holds 95 % of a column is its median, so the median (or an infinity) is the only
+    candidate for the dominant value.  Quartiles are of the finite values."""
+    columns = numeric_columns(df) if columns is None else columns
+    if not columns:
+        return None
+    quartiles = collect_quantiles(df, columns, {"q1": 0.25, "mid": 0.5, "q3": 0.75}, finite_only=True)
+    parts = []
+    for c in columns:
+        q, v = quartiles.get(c), double_sql(df, c)
+        fence = q and q["n_values"] >= 20 and q["q3"] > q["q1"]
+        low, high = (q["q1"] - 3.0 * (q["q3"] - q["q1"]), q["q3"] + 3.0 * (q["q3"] - q["q1"])) if fence else (0.0, 0.0)
+        infinite = f"abs({v}) = double('Infinity')"
+        parts.append({
+            "n_valid": f"count({v})", "low": f"min({v})", "high": f"max({v})",
+            "middle": f"count_if({v} = {q['mid']!r}D)" if q else "0L", "infinite": f"count_if({infinite})",
+            "codes": f"count_if({v} IN ({', '.join(f'{x}D' for x in SENTINEL_NUMBERS)}))",
+            "negatives": f"count_if({v} < 0)" if is_positive_domain(c) else "0L",
+            "extreme": f"count_if(NOT {infinite} AND ({v} < {low!r}D OR {v} > {high!r}D))" if fence else "0L",
+            "top_value": f"'{q['mid']}'" if q else "'inf'", "low_fence": f"{low!r}D", "high_fence": f"{high!r}D"})
+    wide = df.selectExpr("count(1) AS n_rows", *[f"{sql} AS {m}_{i}" for i, part in enumerate(parts)
+                                                 for m, sql in part.items()])
+    rows = ", ".join("named_struct('column_name', {}, 'n_rows', n_rows, {})".format(
+        text_literal(c), ", ".join(f"'{m}', {m}_{i}" for m in parts[0])) for i, c in enumerate(columns))
+    flat = "CASE WHEN n_valid = 0 THEN 0L WHEN low = high THEN 1L ELSE 2L END AS n_distinct"
+    return wide.selectExpr(f"inline(array({rows}))").selectExpr(
+        "*", flat, "greatest(middle, infinite) AS top_count", "false AS is_text", "true AS is_number",
+        "0L AS missing_words")
+
+
+def audit_features(df: DataFrame) -> DataFrame:
+    """Text and numeric features in one frame, numeric columns with no text counts.
+
+    For a numeric column ``n_distinct`` only tells none, one and more apart."""
+    df = normalize(df)
+    numbers = number_features(df)
+    features = text_features(df)
+    return features if numbers is None else features.unionByName(numbers, allowMissingColumns=True)
 
 
 def _varied() -> Column:
@@ -82,171 +133,139 @@ def _varied() -> Column:
     return F.col("n_distinct") > 1
 
 
-def missing_issues(features: DataFrame) -> DataFrame:
+def missing_rules() -> list[Column]:
     missing = F.col("n_rows") - F.col("n_valid") + F.col("missing_words")
     share = percent(missing, F.col("n_rows"))
-    f = features.withColumn("missing", missing).withColumn("share", share)
-    shown = F.col("share").cast("string")
     details = {"standard_nulls": F.col("n_rows") - F.col("n_valid"), "sentinel_nulls": F.col("missing_words")}
-    critical = _issue(f, F.col("share") > 40.0, "high_missing_percentage", "Critically High Missingness",
-                      F.col("missing"), F.col("share"), "Critical",
-                      F.format_string("Column '%s' has %s%% missing values. Consider dropping or flagging.",
-                                      F.col("column_name"), shown), details)
-    severity = F.when(F.col("share") >= 20.0, "High").when(F.col("share") >= 5.0, "Medium").otherwise("Low")
-    action = F.when(F.col("is_number"), F.format_string("Fill %s missing numbers with the column median",
-                                                        F.col("missing").cast("string"))) \
-        .otherwise(F.format_string("Fill %s missing categories with the mode or 'Unknown'",
-                                   F.col("missing").cast("string")))
-    present = _issue(f, (F.col("share") <= 40.0) & (F.col("missing") > 0), "missing_values", "Missing Values Present",
-                     F.col("missing"), F.col("share"), severity, action, details)
-    return critical.unionByName(present)
+    severity = F.when(share >= 20.0, "High").when(share >= 5.0, "Medium").otherwise("Low")
+    action = F.when(F.col("is_number"), _named("Fill %s missing numbers with the column median", missing)) \
+        .otherwise(_named("Fill %s missing categories with the mode or 'Unknown'", missing))
+    return [_issue(share > 40.0, "high_missing_percentage", "Critically High Missingness", missing, share, "Critical",
+                   _named("Column '%s' has %s%% missing values. Consider dropping or flagging.", F.col("column_name"),
+                          share), details),
+            _issue((share <= 40.0) & (missing > 0), "missing_values", "Missing Values Present", missing, share, severity,
+                   action, details)]
 
 
-def duplicate_issues(df: DataFrame) -> DataFrame:
-    d = duplicate_rows(df).withColumn("column_name", F.lit(WHOLE))
-    share = F.col("duplicate_rows_percentage")
-    severity = F.when(share >= 5.0, "High").when(share >= 1.0, "Medium").otherwise("Low")
-    return _issue(d, F.col("duplicate_rows") > 0, "duplicate_rows", "Duplicate Rows Detected", F.col("duplicate_rows"),
-                  share, severity, F.lit("Remove duplicate rows so that each observation counts once."),
-                  {"duplicate_count": F.col("duplicate_rows"), "total_rows": F.col("total_rows")})
-
+def constant_rules() -> list[Column]:
+    return [_issue(F.col("n_distinct") == 1, "constant_column", "Constant (Zero Variance) Column", F.col("n_rows"),
+                   F.lit(100.0), "High", _named("Column '%s' has only 1 unique value ('%s'). Drop it.",
+                                                F.col("column_name"), F.col("top_value")),
+                   {"constant_value": F.col("top_value")})]
 
-def constant_issues(features: DataFrame) -> DataFrame:
-    return _issue(features, F.col("n_distinct") == 1, "constant_column", "Constant (Zero Variance) Column",
-                  F.col("n_rows"), F.lit(100.0), "High",
-                  F.format_string("Column '%s' has only 1 unique value ('%s'). Drop it.", F.col("column_name"),
-                                  F.col("top_value")), {"constant_value": F.col("top_value")})
 
-
-def near_constant_issues(features: DataFrame) -> DataFrame:
+def near_constant_rules() -> list[Column]:
     share = percent(F.col("top_count"), F.col("n_valid"))
-    return _issue(features, _varied() & (share >= 95.0), "near_constant_column", "Near-Constant Distribution",
-                  F.col("top_count"), share, "Low",
-                  F.format_string("Value '%s' holds %s%% of the records. Review the column.", F.col("top_value"),
-                                  share.cast("string")),
-                  {"dominant_value": F.col("top_value"), "minority_rows": F.col("n_valid") - F.col("top_count")})
+    return [_issue(_varied() & (share >= 95.0), "near_constant_column", "Near-Constant Distribution", F.col("top_count"),
+                   share, "Low", _named("Value '%s' holds %s%% of the records. Review the column.", F.col("top_value"),
+                                        share),
+                   {"dominant_value": F.col("top_value"), "minority_rows": F.col("n_valid") - F.col("top_count")})]
 
 
-def whitespace_issues(features: DataFrame) -> DataFrame:
-    return _issue(features, F.col("is_text") & _varied() & (F.col("padded") > 0), "leading_trailing_whitespace",
-                  "Leading / Trailing Whitespace", F.col("padded"), percent(F.col("padded"), F.col("n_rows")), "Low",
-                  F.format_string("Strip spaces in %s cells of '%s'.", F.col("padded").cast("string"),
-                                  F.col("column_name")))
+def whitespace_rules() -> list[Column]:
+    return [_issue(F.col("is_text") & _varied() & (F.col("padded") > 0), "leading_trailing_whitespace",
+                   "Leading / Trailing Whitespace", F.col("padded"), percent(F.col("padded"), F.col("n_rows")), "Low",
+                   _named("Strip spaces in %s cells of '%s'.", F.col("padded"), F.col("column_name")))]
 
 
-def category_issues(features: DataFrame) -> DataFrame:
+def category_rules() -> list[Column]:
     rows = F.col("variant_rows")
-    return _issue(features, F.col("is_text") & _varied() & (rows > 0), "inconsistent_categorical",
-                  "Inconsistent Categorical Casing", rows, percent(rows, F.col("n_rows")), "Medium",
-                  F.format_string("Unify %s groups of category spellings in '%s'.",
-                                  F.col("variant_groups").cast("string"), F.col("column_name")),
-                  {"groups": F.col("variant_groups")})
+    return [_issue(F.col("is_text") & _varied() & (rows > 0), "inconsistent_categorical",
+                   "Inconsistent Categorical Casing", rows, percent(rows, F.col("n_rows")), "Medium",
+                   _named("Unify %s groups of category spellings in '%s'.", F.col("variant_groups"),
+                          F.col("column_name")), {"groups": F.col("variant_groups")})]
 
 
 def is_numeric_text() -> Column:
     """A text column of at least five cells that reads as numbers to 80 %, and never as date parts."""
     return F.col("is_text") & (F.col("n_valid") >= 5) & ~F.col("date_like") \
-        & (F.col("numbers") / F.nullif(F.col("n_valid"), F.lit(0)) >= 0.8)
+        & (F.try_divide("numbers", "n_valid") >= 0.8)
 
 
 def is_date_text() -> Column:
     """A text column of at least five cells with date separators that parses as dates to 80 %."""
-    return F.col("is_text") & (F.col("n_valid") >= 5) & F.col("separated") \
-        & (F.col("dates") / F.nullif(F.col("n_valid"), F.lit(0)) >= 0.8)
+    return F.col("is_text") & (F.col("n_valid") >= 5) & F.col("separated") & (F.try_divide("dates", "n_valid") >= 0.8)
 
 
-def numeric_text_issues(features: DataFrame) -> DataFrame:
-    return _issue(features, _varied() & is_numeric_text(), "potential_numeric_as_string",
-                  "Numeric Column Formatted as Text", F.col("numbers"), percent(F.col("numbers"), F.col("n_rows")),
-                  "High", F.format_string("Remove number formatting and cast '%s' to a number.", F.col("column_name")),
-                  {"success_ratio": percent(F.col("numbers"), F.col("n_valid"))})
+def numeric_text_rules() -> list[Column]:
+    return [_issue(_varied() & is_numeric_text(), "potential_numeric_as_string", "Numeric Column Formatted as Text",
+                   F.col("numbers"), percent(F.col("numbers"), F.col("n_rows")), "High",
+                   _named("Remove number formatting and cast '%s' to a number.", F.col("column_name")),
+                   {"success_ratio": percent(F.col("numbers"), F.col("n_valid"))})]
 
 
-def date_text_issues(features: DataFrame) -> DataFrame:
-    return _issue(features, _varied() & is_date_text(), "potential_datetime_as_string", "Datetime Stored as Text",
-                  F.col("dates"), percent(F.col("dates"), F.col("n_rows")), "Medium",
-                  F.format_string("Parse '%s' to timestamps.", F.col("column_name")),
-                  {"success_ratio": percent(F.col("dates"), F.col("n_valid"))})
+def date_text_rules() -> list[Column]:
+    return [_issue(_varied() & is_date_text(), "potential_datetime_as_string", "Datetime Stored as Text", F.col("dates"),
+                   percent(F.col("dates"), F.col("n_rows")), "Medium",
+                   _named("Parse '%s' to timestamps.", F.col("column_name")),
+                   {"success_ratio": percent(F.col("dates"), F.col("n_valid"))})]
 
 
-def mixed_type_issues(features: DataFrame) -> DataFrame:
+def mixed_type_rules() -> list[Column]:
     """Text columns where some cells read as numbers and some do not."""
     mixed = (F.col("numbers") > 0) & (F.col("numbers") < F.col("n_valid"))
-    return _issue(features, F.col("is_text") & _varied() & (F.col("n_valid") >= 10) & mixed,
-                  "inconsistent_data_types", "Inconsistent Mixed Types", F.col("n_rows"), F.lit(100.0), "Medium",
-                  F.format_string("Column '%s' mixes numbers and text.", F.col("column_name")),
-                  {"numeric_cells": F.col("numbers"), "text_cells": F.col("n_valid") - F.col("numbers")})
+    return [_issue(F.col("is_text") & _varied() & (F.col("n_valid") >= 10) & mixed, "inconsistent_data_types",
+                   "Inconsistent Mixed Types", F.col("n_rows"), F.lit(100.0), "Medium",
+                   _named("Column '%s' mixes numbers and text.", F.col("column_name")),
+                   {"numeric_cells": F.col("numbers"), "text_cells": F.col("n_valid") - F.col("numbers")})]
 
 
-def _number_rows(df: DataFrame, measures: dict[str, callable], columns: list[str]) -> DataFrame:
-    """One row per numeric column with the given aggregate measures, from one scan."""
-    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *[
-        fn(c).alias(f"{m}_{i}") for i, c in enumerate(columns) for m, fn in measures.items()])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col("n_rows"), *[F.col(f"{m}_{i}").alias(m) for m in measures])
-        for i, c in enumerate(columns)])))
+def invalid_number_rules() -> list[Column]:
+    """Infinities, missing codes and impossible negatives; a value can count under two reasons."""
+    total = F.col("infinite") + F.col("codes") + F.col("negatives")
+    return [_issue(_varied() & (total > 0), "invalid_numerical_values", "Invalid Numerical Values Detected", total,
+                   percent(total, F.col("n_rows")), "High",
+                   _named("Replace invalid values in '%s' by NULL before filling.", F.col("column_name")),
+                   {"inf_count": F.col("infinite"), "sentinel_count": F.col("codes"),
+                    "negative_count": F.col("negatives")})]
 
 
-def _no_issues(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], "column_name string, issue_type string, title string,"
-                                               " affected_rows long, percentage_affected double, severity string,"
-                                               " recommended_action string, details string")
+def extreme_value_rules() -> list[Column]:
+    """Finite values beyond three interquartile ranges, for twenty finite values and more."""
+    return [_issue(_varied() & (F.col("extreme") > 0), "extreme_outliers", "Extreme Outliers (3x IQR Rule)",
+                   F.col("extreme"), percent(F.col("extreme"), F.col("n_rows")), "Low",
+                   _named("Inspect or cap %s values of '%s'.", F.col("extreme"), F.col("column_name")),
+                   {"lower_fence": F.round("low_fence", 2), "upper_fence": F.round("high_fence", 2)})]
 
 
-def invalid_number_issues(df: DataFrame) -> DataFrame:
-    """Infinities, missing codes and impossible negatives; a value can count under two reasons."""
-    df = normalize(df)
-    columns = numeric_columns(df)
-    if not columns:
-        return _no_issues(df)
-    f = _number_rows(df, {
-        "low": lambda c: F.min(as_double(df, c)), "high": lambda c: F.max(as_double(df, c)),
-        "infinite": lambda c: F.count_if(F.abs(as_double(df, c)) == float("inf")),
-        "codes": lambda c: F.count_if(as_double(df, c).isin([float(s) for s in SENTINEL_NUMBERS])),
-        "negatives": lambda c: F.count_if(as_double(df, c) < 0) if is_positive_domain(c)
-        else F.count_if(F.lit(False))}, columns)
-    total = F.col("infinite") + F.col("codes") + F.col("negatives")
-    return _issue(f, (F.col("low") < F.col("high")) & (total > 0), "invalid_numerical_values",
-                  "Invalid Numerical Values Detected", total, percent(total, F.col("n_rows")), "High",
-                  F.format_string("Replace invalid values in '%s' by NULL before filling.", F.col("column_name")),
-                  {"inf_count": F.col("infinite"), "sentinel_count": F.col("codes"),
-                   "negative_count": F.col("negatives")})
+SHARED_RULES = [missing_rules, constant_rules, near_constant_rules]
+TEXT_RULES = [whitespace_rules, category_rules, numeric_text_rules, date_text_rules, mixed_type_rules]
+NUMBER_RULES = [invalid_number_rules, extreme_value_rules]
 
 
-def extreme_value_issues(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Finite values beyond three interquartile ranges, for twenty finite values and more."""
-    df = normalize(df)
-    columns = numeric_columns(df) if columns is None else columns
-    quartiles = {c: q for c, q in collect_quantiles(df, columns, {"q1": 0.25, "q3": 0.75}, finite_only=True).items()
-                 if q["n_values"] >= 20 and q["q3"] > q["q1"]}
-    if not quartiles:
-        return _no_issues(df)
-    low = {c: q["q1"] - 3.0 * (q["q3"] - q["q1"]) for c, q in quartiles.items()}
-    high = {c: q["q3"] + 3.0 * (q["q3"] - q["q1"]) for c, q in quartiles.items()}
+def duplicate_issues(df: DataFrame) -> DataFrame:
+    share = F.col("duplicate_rows_percentage")
+    severity = F.when(share >= 5.0, "High").when(share >= 1.0, "Medium").otherwise("Low")
+    return _listed(duplicate_rows(df).withColumn("column_name", F.lit(WHOLE)), _issue(
+        F.col("duplicate_rows") > 0, "duplicate_rows", "Duplicate Rows Detected", F.col("duplicate_rows"), share, severity,
+        F.lit("Remove duplicate rows so that each observation counts once."),
+        {"duplicate_count": F.col("duplicate_rows"), "total_rows": F.col("total_rows")}))
 
-    def beyond(c):
-        v = as_double(df, c)
-        return F.count_if((F.abs(v) < float("inf")) & ((v < low[c]) | (v > high[c])))
 
-    f = _number_rows(df, {"extreme": beyond, "low": lambda c: F.first(F.lit(low[c])),
-                          "high": lambda c: F.first(F.lit(high[c]))}, list(quartiles))
-    return _issue(f, F.col("extreme") > 0, "extreme_outliers", "Extreme Outliers (3x IQR Rule)", F.col("extreme"),
-                  percent(F.col("extreme"), F.col("n_rows")), "Low",
-                  F.format_string("Inspect or cap %s values of '%s'.", F.col("extreme").cast("string"),
-                                  F.col("column_name")),
-                  {"lower_fence": F.round("low", 2), "upper_fence": F.round("high", 2)})
+def _no_issues(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], "column_name string, issue_type string, title string,"
+                                               " affected_rows long, percentage_affected double, severity string,"
+                                               " recommended_action string, details string")
 
 
-VALUE_DETECTORS = [missing_issues, constant_issues, near_constant_issues, whitespace_issues, category_issues,
-                   numeric_text_issues, date_text_issues, mixed_type_issues]
+def column_issues(df: DataFrame, rules: list | None = None) -> DataFrame:
+    """Issues of single columns by the given rules, all of them by default."""
+    df = normalize(df)
+    chosen = lambda group: [i for r in group if rules is None or r in rules for i in r()]
+    parts = []
+    on_text, on_numbers = chosen(SHARED_RULES + TEXT_RULES), chosen(SHARED_RULES + NUMBER_RULES)
+    if on_text:
+        parts.append(_listed(text_features(df), *on_text))
+    if on_numbers:
+        numbers = number_features(df)
+        if numbers is not None:
+            parts.append(_listed(numbers, *on_numbers))
+    return reduce(DataFrame.unionByName, parts, _no_issues(df))
 
 
 def audit(df: DataFrame) -> DataFrame:
     """All issues of a table; nothing for an empty one."""
-    features = audit_features(df)
-    parts = [duplicate_issues(df)] + [d(features) for d in VALUE_DETECTORS] \
-        + [invalid_number_issues(df), extreme_value_issues(df)]
-    return reduce(DataFrame.unionByName, parts).where(F.col("affected_rows") > 0)
+    return duplicate_issues(df).unionByName(column_issues(df)).where(F.col("affected_rows") > 0)
 
 
 def severity_counts(issues: DataFrame) -> DataFrame:
@@ -335,7 +354,7 @@ def cleaning_preview(df: DataFrame) -> DataFrame:
                                   F.lit("NULL / NaN").alias("original_value"),
                                   F.format_string("'%s' (Mode)", F.col("m")).alias("cleaned_value"),
                                   F.lit("Fill categorical missing with mode").alias("rule")))
-    invalid = invalid_number_issues(df)
+    invalid = column_issues(df, [invalid_number_rules])
     for key, shown, rule in (("sentinel_count", "-999 / 9999", "Replace sentinel code with NaN for median imputation"),
                              ("inf_count", "inf / -inf", "Replace infinity with NaN for median imputation")):
         parts.append(invalid.where(F.get_json_object("details", f"$.{key}").cast("long") > 0).select(

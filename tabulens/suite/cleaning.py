@@ -23,8 +23,8 @@ def _issues(make):
     return lambda spark, sf: make(dirty(spark, sf)).select(*ISSUE)
 
 
-def _from_features(detector):
-    return _issues(lambda df: detector(quality.audit_features(df)))
+def _rules(*rules):
+    return _issues(lambda df: quality.column_issues(df, list(rules)))
 
 
 MISSING = f""", m AS (SELECT column_name, total - count(v) + count(*) FILTER (is_text AND lower(trim(v)) IN {WORDS}) AS missing,
@@ -257,17 +257,17 @@ def clean_log(spark, sf):
 
 
 QUERIES = {
-    "issue_missing": (_from_features(quality.missing_issues), COUNTS + MISSING),
+    "issue_missing": (_rules(quality.missing_rules), COUNTS + MISSING),
     "issue_duplicates": (_issues(quality.duplicate_issues), f"WITH {DIRTY} " + DUPLICATE),
-    "issue_constant": (_from_features(quality.constant_issues), f"{COUNTS} {CONSTANT}"),
-    "issue_near_constant": (_from_features(quality.near_constant_issues), f"{COUNTS} {NEAR}"),
-    "issue_whitespace": (_from_features(quality.whitespace_issues), f"{COUNTS} {WHITESPACE}"),
-    "issue_category_case": (_from_features(quality.category_issues), f"{COUNTS} {CATEGORY}"),
-    "issue_numeric_text": (_from_features(quality.numeric_text_issues), f"{COUNTS}{SHARES} {NUMERIC_TEXT}"),
-    "issue_date_text": (_from_features(quality.date_text_issues), f"{COUNTS}{SHARES} {DATE_TEXT}"),
-    "issue_mixed_types": (_from_features(quality.mixed_type_issues), f"{COUNTS}{SHARES} {MIXED}"),
-    "issue_invalid_numbers": (_issues(quality.invalid_number_issues), f"WITH {DIRTY} {INVALID}"),
-    "issue_extreme_values": (_issues(quality.extreme_value_issues), f"WITH {DIRTY} {EXTREME}"),
+    "issue_constant": (_rules(quality.constant_rules), f"{COUNTS} {CONSTANT}"),
+    "issue_near_constant": (_rules(quality.near_constant_rules), f"{COUNTS} {NEAR}"),
+    "issue_whitespace": (_rules(quality.whitespace_rules), f"{COUNTS} {WHITESPACE}"),
+    "issue_category_case": (_rules(quality.category_rules), f"{COUNTS} {CATEGORY}"),
+    "issue_numeric_text": (_rules(quality.numeric_text_rules), f"{COUNTS}{SHARES} {NUMERIC_TEXT}"),
+    "issue_date_text": (_rules(quality.date_text_rules), f"{COUNTS}{SHARES} {DATE_TEXT}"),
+    "issue_mixed_types": (_rules(quality.mixed_type_rules), f"{COUNTS}{SHARES} {MIXED}"),
+    "issue_invalid_numbers": (_rules(quality.invalid_number_rules), f"WITH {DIRTY} {INVALID}"),
+    "issue_extreme_values": (_rules(quality.extreme_value_rules), f"WITH {DIRTY} {EXTREME}"),
     "audit": (_issues(quality.audit), f"{AUDIT} SELECT {FIELDS} FROM every"),
     "severity_counts": (severity_counts, SEVERITY),
     "cleaning_preview": (cleaning_preview, PREVIEW),
