@@ -9,6 +9,8 @@ from tabulens.functions.coerce import double_sql, quoted, text_literal
 
 def long_rows(df: DataFrame, expressions: dict[str, str], value: str = "value") -> DataFrame:
     """``(column_name, value)`` rows of several expressions of a frame, one per name."""
+    if not expressions:
+        return df.selectExpr("cast(NULL AS string) AS column_name", f"cast(NULL AS string) AS {value}").where("false")
     pairs = ", ".join(f"named_struct('column_name', {text_literal(name)}, '{value}', {sql})"
                       for name, sql in expressions.items())
     return df.selectExpr(f"inline(array({pairs}))")

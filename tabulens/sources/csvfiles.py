@@ -128,7 +128,12 @@ def audit_files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     small = files.where(F.col("length") <= MAX_BYTES)
     big = files.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    found = small.select("path", "length", "content").unionByName(big) \
+    # a scan leaves empty files out, so they come from the listing
+    plain = lambda c: F.url_decode(F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/"))
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
+    empty = listed.join(files.select(plain(F.col("path")).alias("seen")), plain(F.col("path")) == F.col("seen"), "left_anti") \
+        .select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"))
+    found = small.select("path", "length", "content").unionByName(big).unionByName(empty) \
         .withColumn("name", file_name(F.col("path"))) \
         .withColumn("encoding", F.when(F.col("content").isNotNull(), F.when(
             F.is_valid_utf8(F.col("content").cast("string")), "UTF-8").otherwise("ISO-8859-1"))) \

@@ -34,7 +34,7 @@ def employee(spark: SparkSession, rows: int = 250) -> DataFrame:
         F.format_string("EMP-%04d", i + 1).alias("Employee_ID"),
         _pick(["Sales", "Engineering", "Marketing", "Finance", "Support", "Operations"], SEED).alias("Department"),
         years.alias("Experience_Years"),
-        F.when(i % 41 != 3, F.round(40_000 + 2_500 * years + 8_000 * F.randn(SEED + 2), 2)).alias("Salary"),
+        F.when(i % 42 != 3, F.round(40_000 + 2_500 * years + 8_000 * F.randn(SEED + 2), 2)).alias("Salary"),
         F.floor(F.rand(SEED + 3) * 5 + 1).alias("Performance_Score"),
         _pick(["High School", "Bachelor", "Master", "PhD"], SEED + 4).alias("Education_Level"),
         (F.rand(SEED + 5) < 0.4).alias("Remote_Work"),
