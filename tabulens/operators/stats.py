@@ -202,7 +202,7 @@ def cadence_label(seconds: Column) -> Column:
             .otherwise("Irregular / Mixed"))
 
 
-def datetime_cadence(df: DataFrame, columns: list[str], slices: int = 4096) -> DataFrame:
+def datetime_cadence(df: DataFrame, columns: list[str], slices: int = 65_536) -> DataFrame:
     """Median gap between consecutive moments and the recording rhythm it suggests.
 
     Distinct moments are counted first and ordered inside equal slices of each column's span;

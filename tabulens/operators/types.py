@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabulens.functions.coerce import (DATE_SEPARATORS, as_double, col, groupable_columns, is_numeric, is_temporal,
-                                       is_text, normalize, strip, to_datetime, to_number)
-from tabulens.plans.frequency import value_counts
+from tabulens.functions.coerce import (DATE_SEPARATORS, groupable_columns, is_numeric, is_temporal,
+                                       is_text, normalize, quoted, strip, to_datetime, to_number)
+from tabulens.plans.frequency import long_rows, value_counts
 
 CLASSES = ["Numerical", "Categorical", "Datetime", "Boolean", "Other"]
 ROLES = ["numerical", "categorical", "datetime", "boolean", "identifier"]
@@ -49,10 +49,21 @@ def _all_in(flag: Column) -> Column:
     return F.coalesce(F.bool_and(flag), F.lit(False))
 
 
+def _number_features(df: DataFrame, names: list[str], kind: str) -> DataFrame:
+    """Counts of numeric columns over their own values, without turning them into text."""
+    counts = long_rows(df, {c: f"cast({quoted(c)} AS {kind})" for c in names}).where("value IS NOT NULL") \
+        .groupBy("column_name", "value").agg(F.expr("count(1) AS n"))
+    return counts.groupBy("column_name").agg(F.expr("sum(n) AS n_valid"), F.expr("count(1) AS n_distinct"),
+                                             F.expr("bool_and(value IN (0, 1)) AS only_zero_one"))
+
+
 def column_features(df: DataFrame) -> DataFrame:
     """One row per column with the counts and shares the class and role rules look at."""
     df = normalize(df)
-    names = groupable_columns(df)
+    kinds = {f.name: storage_type(f.dataType) for f in df.schema}
+    numbers = {"bigint": [c for c, k in kinds.items() if k == "integer"],
+               "double": [c for c, k in kinds.items() if k == "float"]}
+    names = [c for c in groupable_columns(df) if kinds[c] not in ("integer", "float")]
     text = [f.name for f in df.schema if is_text(f.dataType)]
     counts = value_counts(df, names)
     low = F.lower(strip(F.col("value")))
@@ -72,6 +83,9 @@ def column_features(df: DataFrame) -> DataFrame:
         F.try_divide(weighted(F.col("is_date")), F.sum("n")).alias("date_share"),
         F.try_divide(weighted(F.col("is_number")), F.sum("n")).alias("number_share"),
         F.try_divide(F.sum(F.col("len") * F.col("n")), F.sum("n")).alias("mean_length"))
+    for kind, columns in numbers.items():
+        if columns:
+            features = features.unionByName(_number_features(df, columns, kind), allowMissingColumns=True)
     rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
     base = F.broadcast(schema_frame(df)).join(features, "column_name", "left")
     return base.withColumn("n_rows", rows.scalar()).withColumn("n_valid", F.coalesce("n_valid", F.lit(0))) \
@@ -168,8 +182,3 @@ def outlier_columns(df: DataFrame) -> list[str]:
     classes = class_map(df)
     return [f.name for f in df.schema
             if classes[f.name] != "Boolean" and (classes[f.name] == "Numerical" or is_numeric(f.dataType))]
-
-
-def numeric_view(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns as doubles."""
-    return df.select(*[as_double(df, c).alias(c) for c in columns])

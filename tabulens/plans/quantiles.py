@@ -19,20 +19,22 @@ ONE_LEVEL_ROWS = 50_000_000
 
 
 # order-preserving bin number of a double: sign and scaled logarithm, 0 for zero
-MAGNITUDE_BIN = (f"CASE WHEN _x = 0 THEN 0L ELSE bigint(signum(_x))"
-                 f" * (floor(least(ln(abs(_x)), 750D) * {BINS_PER_E}) + 100000) END")
+MAGNITUDE_BIN = ("CASE WHEN _x = 0 THEN 0L ELSE bigint(signum(_x))"
+                 " * (floor(least(ln(abs(_x)), 750D) * {}) + 100000) END")
 LINEAR_BIN = (f"CASE WHEN _high > _low THEN least(floor((_x - _low) / (_high - _low) * {LINEAR_BINS}),"
               f" {LINEAR_BINS - 1}L) ELSE 0L END")
 RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
 def quantile_frame(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                   weight: str | None = None, levels: int = 2, few_groups: bool = True) -> DataFrame:
+                   weight: str | None = None, levels: int = 2, few_groups: bool = True,
+                   bins_per_e: int = BINS_PER_E) -> DataFrame:
     """One row per key with one column per entry of ``probs`` (name -> probability).
 
     Linear interpolation between neighbouring ranks.  ``weight`` counts a row several times.
     ``few_groups`` says the number of keys is known to be small, so the selected bins (at most
-    two per key and probability) may be broadcast; otherwise the join is left to Spark."""
+    two per key and probability) may be broadcast; otherwise the join is left to Spark.
+    ``bins_per_e`` sets how finely magnitudes are told apart; it changes the cost, not the result."""
     hint = F.broadcast if few_groups else (lambda d: d)
     names = [quoted(k) for k in keys]
     by_key = ", ".join(names)
@@ -43,7 +45,7 @@ def quantile_frame(rows: DataFrame, keys: list[str], value: str, probs: dict[str
     tallies = [F.expr(e) for e in (count, "min(_x) AS _low", "max(_x) AS _high")]
 
     cur = rows.selectExpr(*names, f"cast({quoted(value)} AS double) AS _x", *([quoted(weight)] if weight else [])) \
-        .where("_x IS NOT NULL").selectExpr("*", f"{MAGNITUDE_BIN} AS _bin")
+        .where("_x IS NOT NULL").selectExpr("*", f"{MAGNITUDE_BIN.format(bins_per_e)} AS _bin")
     bins = cur.groupBy(*names, "_bin").agg(*tallies).selectExpr(
         "*", f"sum(_n) OVER (PARTITION BY {by_key}) AS _total",
         f"sum(_n) OVER (PARTITION BY {by_key} ORDER BY _bin {RUNNING}) - _n AS _base")
@@ -102,5 +104,7 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     names = [quoted(k) for k in keys]
     size = df.selectExpr(f"approx_count_distinct(struct({', '.join(names)})) AS groups", "count(1) AS rows").first()
     rows = df.selectExpr(*names, f"{double_sql(df, value)} AS _value")
+    per_group = size["rows"] / max(size["groups"], 1)
     return quantile_frame(rows, keys, "_value", probs, levels=1 if size["rows"] <= ONE_LEVEL_ROWS else 2,
-                          few_groups=size["groups"] * len(probs) <= FEW_GROUPS)
+                          few_groups=size["groups"] * len(probs) <= FEW_GROUPS,
+                          bins_per_e=BINS_PER_E if per_group > 100_000 else 16 if per_group > 10_000 else 4)

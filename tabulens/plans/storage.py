@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 100_000
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The checkpoint folder of the session; a temporary one, per application, only where none is set."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tabulens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folders.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="tabulens-")
+        _local_folders[context.applicationId] = folder
     return folder.rstrip("/")
 
 

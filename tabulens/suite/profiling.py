@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tabulens.operators import profile, types
-from tabulens.suite.common import (DIRTY, DIRTY_COLUMNS, DIRTY_TEXT, dirty, long_sql, pct_sql, rounded, table, ts_text)
+from tabulens.suite.common import (DIRTY, DIRTY_COLUMNS, dirty, long_sql, pct_sql, rounded, table, ts_text)
 
 MISSING = "(" + " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in DIRTY_COLUMNS) + ")"
 ALL_TEXT = " UNION ALL ".join(
