@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulens.llm import dedup, simhash
+from tabulens.llm import bpe, dedup, simhash, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,18 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(_table(spark, sf_dir, "documents"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokenfile.write_token_files(_table(spark, sf_dir, "documents"))
+    return tokenfile.documents_of(spark, folder)
+
+
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -22,6 +34,8 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_substring_dedup": substring_dedup,
+    "op5_bpe_codec": bpe_codec,
+    "op6_token_files": token_files,
     "op9_simhash_near_dedup": simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
