@@ -77,32 +77,39 @@ def blocks(bits: int) -> list[int]:
     return [_signed(sum(1 << j for j in range(a, b))) for a, b in zip(edges, edges[1:])]
 
 
-def links(nodes: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Cells of ``nodes (fp, n)`` that hold more than one node, and links of nodes to the centre of a cell."""
+def cells(nodes: DataFrame, bits: int) -> DataFrame:
+    """Every node ``(fp, ...)`` in its cell of each grid: ``(grid, cell, fp, ...)``."""
     masks = blocks(bits)
-    keys = F.array(*[F.struct(F.lit(i).alias("grid"), F.col("counts").bitwiseAND(F.lit(sum(masks[j] for j in choice)))
+    keys = F.array(*[F.struct(F.lit(i).alias("grid"), F.col("_counts").bitwiseAND(F.lit(sum(masks[j] for j in choice)))
                               .alias("cell")) for i, choice in enumerate(combinations(range(len(masks)), ALIKE_BLOCKS))])
-    cells = nodes.withColumn("counts", segment_counts()).select("fp", "n", F.explode(keys).alias("key")) \
-        .select("key.grid", "key.cell", "fp", "n")
-    centres = cells.groupBy("grid", "cell").agg(F.max(F.struct("n", "fp")).alias("top"), F.count(F.lit(1)).alias("size")) \
+    rest = nodes.columns
+    return nodes.withColumn("_counts", segment_counts()).select(*rest, F.explode(keys).alias("_key")) \
+        .select("_key.grid", "_key.cell", *rest)
+
+
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def stars(nodes: DataFrame, bits: int) -> DataFrame:
+    """Links of nodes ``(fp, n)`` to the most frequent node of a cell."""
+    placed = cells(nodes, bits)
+    centres = placed.groupBy("grid", "cell").agg(F.max(F.struct("n", "fp")).alias("top"), F.count(F.lit(1)).alias("size")) \
         .where("size > 1").select("grid", "cell", F.col("top.fp").alias("centre"))
-    crowded = stored(cells.drop("n").join(centres, ["grid", "cell"]))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= bits
-    return crowded, crowded.where((F.col("fp") != F.col("centre")) & near).select("fp", "centre").distinct()
+    a, b = placed.alias("a"), centres.alias("b")
+    return a.join(b, (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell"))
+                  & (F.col("fp") != F.col("centre")) & (_apart("fp", "centre") <= bits)).select("fp", "centre").distinct()
 
 
 def fingerprint_components(nodes: DataFrame, bits: int = 4) -> DataFrame:
     """``(node, root)`` over distinct fingerprints ``nodes (fp, n)``; roots and unlinked nodes are left out."""
-    crowded, stars = links(nodes, bits)
-    stars = stored(stars)
-    first = stored(components(stars))
-    labelled = crowded.join(first, crowded["fp"] == first["node"], "left") \
-        .select("grid", "cell", "fp", F.coalesce("root", "fp").alias("part"))
-    a, b = labelled.alias("a"), labelled.alias("b")
-    size = lambda c: F.bit_count(F.col(c))
+    first = stored(components(stars(nodes, bits)))
+    parts = stored(nodes.join(first, nodes["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("part")))
+    placed = cells(parts, bits)
+    a, b = placed.alias("a"), placed.alias("b")
     across = a.join(b, (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell"))
-                    & (F.col("a.part") < F.col("b.part")) & (F.abs(size("a.fp") - size("b.fp")) <= bits)
-                    & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits)) \
+                    & (F.col("a.part") < F.col("b.part")) & (_apart("a.fp", "b.fp") <= bits)
+                    & (F.abs(F.bit_count("a.fp") - F.bit_count("b.fp")) <= bits)) \
         .select(F.col("a.part").alias("x"), F.col("b.part").alias("y")).distinct()
     return components(first.select(F.col("node").alias("x"), F.col("root").alias("y")).union(across))
 
