@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulens.llm import bpe, dedup, simhash, tokenfile
+from tabulens.llm import bpe, decontam, dedup, simhash, tokenfile, toxicity
+from tabulens.llm.common import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(parts: int, value: int):
+    """Whether a row is in the fold kept from learning; a row without an id is not."""
+    return F.coalesce(fold("doc_id", parts) == value, F.lit(False)).alias("held_out")
+
+
+def toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", _held_out(5, 0), "score",
+                                              (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -27,15 +40,21 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.documents_of(spark, folder)
 
 
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op2_toxicity_neighbours": toxicity_neighbours,
     "op4_substring_dedup": substring_dedup,
     "op5_bpe_codec": bpe_codec,
     "op6_token_files": token_files,
+    "op8_benchmark_decontamination": benchmark_decontamination,
     "op9_simhash_near_dedup": simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
