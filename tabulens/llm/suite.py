@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulens.llm import bpe, decontam, dedup, simhash, tokenfile, toxicity
+from tabulens.llm import bpe, decontam, dedup, licenses, simhash, tokenfile, toxicity
 from tabulens.llm.common import fold
 
 
@@ -24,6 +24,10 @@ def toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -51,13 +55,14 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_toxicity_neighbours": toxicity_neighbours,
+    "op3_license_scan": license_scan,
     "op4_substring_dedup": substring_dedup,
     "op5_bpe_codec": bpe_codec,
     "op6_token_files": token_files,
     "op8_benchmark_decontamination": benchmark_decontamination,
     "op9_simhash_near_dedup": simhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_license_scan": licenses.oracle()}
 
 
 def queries():
