@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulens.llm import bpe, decontam, dedup, licenses, simhash, tokenfile, toxicity
+from tabulens.llm import bpe, decontam, dedup, language, licenses, simhash, tokenfile, toxicity
 from tabulens.llm.common import fold
 
 
@@ -48,6 +48,11 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def language_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs)).select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,6 +64,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup,
     "op5_bpe_codec": bpe_codec,
     "op6_token_files": token_files,
+    "op7_language_field": language_field,
     "op8_benchmark_decontamination": benchmark_decontamination,
     "op9_simhash_near_dedup": simhash_near_dedup,
 }
