@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulens.llm import bpe, decontam, dedup, language, licenses, simhash, tokenfile, toxicity
+from tabulens.llm import bpe, decontam, dedup, graph, language, licenses, simhash, tokenfile, toxicity
 from tabulens.llm.common import fold
 
 
@@ -58,6 +58,11 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return graph.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 QUERIES = {
     "op2_toxicity_neighbours": toxicity_neighbours,
     "op3_license_scan": license_scan,
@@ -67,6 +72,7 @@ QUERIES = {
     "op7_language_field": language_field,
     "op8_benchmark_decontamination": benchmark_decontamination,
     "op9_simhash_near_dedup": simhash_near_dedup,
+    "op10_vector_graph": vector_graph,
 }
 ORACLES = {"op3_license_scan": licenses.oracle()}
 
