@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulens.llm import bpe, decontam, dedup, graph, language, licenses, simhash, tokenfile, toxicity
+from tabulens.llm import bpe, decontam, dedup, graph, language, licenses, ngrams, simhash, tokenfile, toxicity
 from tabulens.llm.common import fold
 
 
@@ -17,6 +17,11 @@ def _held_out(parts: int, value: int):
     return F.coalesce(fold("doc_id", parts) == value, F.lit(False)).alias("held_out")
 
 
+def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngrams.score(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", _held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -64,6 +69,7 @@ def vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": lm_score,
     "op2_toxicity_neighbours": toxicity_neighbours,
     "op3_license_scan": license_scan,
     "op4_substring_dedup": substring_dedup,
