@@ -30,34 +30,43 @@ SEGMENT_BITS = 2
 ALIKE_BLOCKS = 3
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """SimHash of the word shingles of a text; zero without words."""
+def fingerprint(text: bytes, words: int, families: int = 1) -> list[int]:
+    """SimHashes of the word shingles of a text, one per family; zero without words.
+
+    The first family uses the shingle hashes themselves, the others scrambled ones."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return [0] * families
     joined = b" ".join(tokens)
     n = max(len(tokens) - words + 1, 1)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     starts, stops = (ends - lengths)[:n].tolist(), ends[-n:].tolist()
-    digest, seen = xxhash.xxh64_intdigest, np.zeros(2048, np.int64)
+    digest, seen = xxhash.xxh64_intdigest, np.zeros((families, 2048), np.int64)
     for lo in range(0, n, SHINGLES_AT_ONCE):
         spans = zip(starts[lo:lo + SHINGLES_AT_ONCE], stops[lo:lo + SHINGLES_AT_ONCE])
         hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
-        # how often each value stands in each of the eight bytes; bit counts follow from that
-        seen += np.bincount((hashes.view(np.uint8).reshape(-1, 8) + LANES).ravel(), minlength=2048)
-    total = (seen.reshape(8, 256) @ BITS_OF_BYTE).ravel()
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+        for family in range(families):
+            # how often each value stands in each of the eight bytes; bit counts follow from that
+            seen[family] += np.bincount((hashes.view(np.uint8).reshape(-1, 8) + LANES).ravel(), minlength=2048)
+            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            hashes ^= hashes >> np.uint64(29)
+    return [int(np.packbits(2 * (s.reshape(8, 256) @ BITS_OF_BYTE).ravel() > n, bitorder="little").view("<u8")[0])
+            for s in seen]
+
 
+def fingerprints(docs: DataFrame, words: int = 4, families: int = 1) -> DataFrame:
+    """``(doc_id, fp, fp1 ...)`` of every row: 64 bits as a signed long. Null text counts as empty."""
+    names = ["fp", *[f"fp{i}" for i in range(1, families)]]
 
-def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` of every row: the 64 bits as a signed long. Null text counts as empty."""
     def work(batches):
         for batch in batches:
-            found = [fingerprint(x, words) for x in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())], ["doc_id", "fp"])
-    return map_rows(docs, [doc_id, text], f"doc_id {dict(docs.dtypes)[doc_id]}, fp long", work)
+            found = np.array([fingerprint(x, words, families) for x in text_bytes(batch.column(1))],
+                             np.uint64).reshape(-1, families).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, i]) for i in range(families)]],
+                                             ["doc_id", *names])
+    return map_rows(docs, ["doc_id", "text"],
+                    f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{n} long" for n in names), work)
 
 
 def segment_counts(fp: str = "fp") -> Column:
@@ -114,16 +123,27 @@ def fingerprint_components(nodes: DataFrame, bits: int = 4) -> DataFrame:
     return components(first.select(F.col("node").alias("x"), F.col("root").alias("y")).union(across))
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, doc_id: str = "doc_id",
-                    text: str = "text") -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row: fingerprints that differ in at most ``bits`` bits are
-    linked, and ``component_id`` is the smallest id reachable.
+def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, families: int = 1) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row: documents are linked if the fingerprints of one family
+    differ in at most ``bits`` bits, and ``component_id`` is the smallest id reachable.
 
-    Empty and null texts have fingerprint zero, linked like any other.  Repeated rows get equal
-    results; rows with a null id link but name no component.  An empty table gives no rows."""
-    marks = stored(fingerprints(docs, words, doc_id, text))
+    One fingerprint misses many pairs that are a little further apart; with several independent
+    families a pair is linked if any of them brings it near.  Empty and null texts have fingerprint
+    zero, linked like any other.  Repeated rows get equal results; rows with a null id link but name
+    no component.  An empty table gives no rows."""
+    marks = stored(fingerprints(docs, words, families))
     nodes = stored(marks.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")))
     roots = fingerprint_components(nodes, bits)
+    if families > 1:
+        # documents with one root in any family are linked through their first fingerprints
+        shared = roots.select(F.col("node").alias("x"), F.col("root").alias("y"))
+        for family in range(1, families):
+            pairs = stored(marks.groupBy("fp", F.col(f"fp{family}").alias("other")).agg(F.count(F.lit(1)).alias("n")))
+            near = fingerprint_components(pairs.groupBy(F.col("other").alias("fp")).agg(F.sum("n").alias("n")), bits)
+            classes = pairs.join(near, pairs["other"] == near["node"], "left").select("fp", F.coalesce("root", "other").alias("class"))
+            least = classes.groupBy("class").agg(F.min("fp").alias("least"))
+            shared = shared.union(classes.join(least, "class").where("fp <> least").select("fp", "least"))
+        roots = stored(components(shared))
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left") \
         .select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -131,9 +151,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, doc_id: str
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 4, bits: int = 4, families: int = 3) -> DataFrame:
     """The documents without the near copies: of each group the one with the smallest id stays.
 
     Rows that share an id are one document; rows without an id stay."""
-    copies = near_duplicates(docs, words, bits).where("doc_id <> component_id").select("doc_id").distinct()
+    copies = near_duplicates(docs, words, bits, families).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
