@@ -11,6 +11,7 @@ joined sequence the one that the whole text has."""
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ from tabulens.llm.common import text_bytes
 
 LEAF = 4096
 WINDOW = 64
-WORDS_KEPT = 400_000
+WORDS_KEPT = 500_000
 SIGNS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 GAP = " \t\n\r\x0b\x0c"
 
@@ -42,29 +43,63 @@ def tokenizer(path: str):
     return made
 
 
+def byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in byte-level vocabularies: printable bytes stand for
+    themselves, the others for the signs from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in plain else next(rest) for b in range(256)}
+
+
 class Words(dict):
-    """Packed ids of words (UTF-8, no white space inside), filled on demand and emptied when full.
+    """Packed ids of words (UTF-8, no white space inside), filled on demand.
+
+    Two generations are kept: the older one goes when the newer one is full, and what is used moves
+    on. A word that ends in signs after a letter is looked up in two parts, as the tokenizers used
+    here always break there; a word of Latin letters is one piece and goes to the BPE model of the
+    tokenizer at once. ``prefix`` is put before each word."""
 
-    A word that ends in signs after a letter is looked up in two parts: the tokenizers used here
-    always break there.  ``prefix`` is put before each word."""
+    SIGN_OF_BYTE = byte_signs()
 
     def __init__(self, path: str, kind: str, prefix: str = ""):
         super().__init__()
-        self.tokenizer, self.kind, self.prefix = tokenizer(path), kind, prefix
+        self.tokenizer, self.kind, self.prefix = tokenizer(path), "I" if kind == "<u4" else "i", prefix
+        self.model, self.lower = self.tokenizer.model, self.tokenizer.normalizer is not None
         self.signs = Words(path, kind) if prefix else self
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
+        packed = self.older.get(word)
+        if packed is None:
+            packed = self._coded(word)
         if len(self) >= WORDS_KEPT:
+            self.older = dict(self)
             self.clear()
-        core = word.rstrip(SIGNS)
-        if core and len(core) < len(word) and b"<" not in word and core.decode()[-1].isalpha():
-            packed = self[core] + self.signs[word[len(core):]]
-        else:
-            ids = self.tokenizer.encode(self.prefix + word.decode(), add_special_tokens=False).ids
-            packed = np.array(ids, self.kind).tobytes()
         self[word] = packed
         return packed
 
+    def _coded(self, word: bytes) -> bytes:
+        core = word.rstrip(SIGNS)
+        text = core.decode()
+        if core and len(core) < len(word):
+            if text[-1].isalpha() and b"<" not in word:
+                return self[core] + self.signs[word[len(core):]]
+            text = word.decode()
+        elif len(core) < len(word):
+            text = word.decode()
+        if text.isalpha() and max(text) < "\u0100" and self.prefix in ("", " "):
+            piece = (self.prefix + (text.lower() if self.lower else text)).encode().decode("latin-1")
+            ids = [t.id for t in self.model.tokenize(piece.translate(self.SIGN_OF_BYTE))]
+        else:
+            ids = self.tokenizer.encode(self.prefix + text, add_special_tokens=False).ids
+        return array(self.kind, ids).tobytes()
+
+
+@lru_cache(maxsize=8)
+def words(path: str, kind: str, prefix: str = "") -> Words:
+    """The table of the process: later tasks of a worker find the words of earlier ones."""
+    return Words(path, kind, prefix)
+
 
 class Coded:
     """A stretch of text with its ids and their character spans."""
@@ -164,13 +199,13 @@ def _result(tok, doc_ids: pa.Array, packed: list[bytes]) -> pa.RecordBatch:
 
 def _encode_words(rows: DataFrame, path: str) -> DataFrame:
     def work(batches):
-        words, tok = Words(path, "<i4"), tokenizer(path)
+        known, tok = words(path, "<i4"), tokenizer(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 # this tokenizer lowers case itself; names of special tokens, which hold a "<", keep theirs
                 texts = [x if b"<" in x else x.lower() for x in text_bytes(part.column(1))]
-                yield _result(tok, part.column(0), [b"".join(map(words.__getitem__, x.split())) for x in texts])
+                yield _result(tok, part.column(0), [b"".join(map(known.__getitem__, x.split())) for x in texts])
     return rows.mapInArrow(work, _schema(rows))
 
 

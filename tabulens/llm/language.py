@@ -87,6 +87,8 @@ class Field:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
+    if not x.size:
+        return x
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 

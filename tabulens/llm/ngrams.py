@@ -190,7 +190,7 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 
 def _probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    mixed = _mixed(keys + np.uint64(level) * np.uint64(0xD1342543DE82EF95))
+    mixed = _mixed(keys + np.uint64(level * 0xD1342543DE82EF95 % (1 << 64)))
     return mixed >> np.uint64(32), (mixed & np.uint64(0xFFFFFFFF)) | np.uint64(1)
 
 
@@ -302,7 +302,7 @@ class Pass:
         share = MIX * context / (context + 20)
         depth = self.pairs.found(pair_keys(before, tokens))
         pair = np.where(depth > 0, np.minimum(LEVEL_FACTOR * np.exp2(depth), context), 0) / np.maximum(context, 1)
-        add = lambda x: np.bincount(owner, x, len(texts))
+        add = lambda x: np.bincount(owner, x, len(texts)).astype(float)
         return [np.bincount(owner, minlength=len(texts)), add(seen > 0), add(np.log10(single)),
                 add(np.log10((1 - share) * single + share * pair))]
 

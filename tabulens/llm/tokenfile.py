@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tabulens.llm.bpe import Words, default_path
+from tabulens.llm.bpe import Words, default_path, words
 from tabulens.plans.storage import shared_folder
 
 BLOCK = 512
@@ -40,7 +40,7 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int = ID_BITS) -> WaveletMatrix:
-        planes, zeros, cur = [], [], ids
+        planes, zeros, cur = [], [], ids.astype(np.uint16) if bits <= 16 else ids
         for level in range(bits - 1, -1, -1):
             bit = (cur >> level & 1).astype(bool)
             packed = np.packbits(bit, bitorder="little")
@@ -55,11 +55,12 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids, by undoing the sorts from the lowest plane up."""
-        cur = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        cur = np.zeros(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            bit, out = self._bits(level), np.empty(self.n, np.uint32)
+            bit, out = self._bits(level), np.empty(self.n, kind)
             out[~bit] = cur[:self.zeros[level]]
-            out[bit] = cur[self.zeros[level]:] | np.uint32(1 << (len(self.planes) - 1 - level))
+            out[bit] = cur[self.zeros[level]:] | kind(1 << (len(self.planes) - 1 - level))
             cur = out
         return cur
 
@@ -117,14 +118,14 @@ class WaveletMatrix:
 def chunks(text: str, first: Words, later: Words, line: Words) -> bytes:
     """Packed ids of a text. It is taken apart before each single space or line end, where the
     tokenizer always breaks; a text with other or with neighbouring white space is encoded whole."""
-    if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+    if " ".join(text.split()) != text.replace("\n", " "):
         return np.array(first.tokenizer.encode(text, add_special_tokens=False).ids, first.kind).tobytes()
-    packed, words = [], first
+    packed, table = [], first
     for part in text.encode().split(b"\n"):
         head, *rest = part.split(b" ")
-        packed.append(words[head])
+        packed.append(table[head])
         packed += map(later.__getitem__, rest)
-        words = line
+        table = line
     return b"".join(packed)
 
 
@@ -142,7 +143,7 @@ def encode_shards(docs: DataFrame, path: str | None = None, end_id: int = 2) ->
         .select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def work(batches):
-        first, later, line = (Words(path, "<u4", p) for p in ("", " ", "\n"))
+        first, later, line = (words(path, "<u4", p) for p in ("", " ", "\n"))
         end = np.array([end_id], "<u4").tobytes()
         ids, held, size, shard, part = [], [], 0, 0, 0
         for batch in batches:
