@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tabulens.llm.common import map_rows
+from tabulens.llm.common import map_rows, stored
 
 MIN_WORDS = 8
 # white space before a capital or after a sentence end
@@ -108,8 +108,9 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Rows with a null id come after all others in rank."""
     found = unit_digests(docs, min_words)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "pos")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")) \
-        .where("n > 1").select("h1", "h2", "first")
+    # stored, so that the join has two plain shuffles and Spark can split a unit that stands in many texts
+    first = stored(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+                   .where("n > 1").select("h1", "h2", "first"))
     later = found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
