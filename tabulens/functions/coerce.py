@@ -3,6 +3,8 @@ NaN to NULL, whitespace and category forms.  All are plain ``Column`` expression
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Words that stand for a missing cell.
@@ -73,6 +75,32 @@ def groupable_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
 
+def key_columns(df: DataFrame) -> list[Column]:
+    """What makes two rows equal: every column, maps as their sorted entries, variants as text."""
+    def key(f):
+        if isinstance(f.dataType, T.VariantType):
+            return F.to_json(col(f.name))
+        if isinstance(f.dataType, T.MapType):
+            plain = not isinstance(f.dataType.valueType, (T.MapType, T.VariantType))
+            return F.sort_array(F.map_entries(col(f.name))) if plain else F.to_json(col(f.name))
+        return col(f.name)
+    return [key(f) for f in df.schema]
+
+
+def clipped(df: DataFrame, name: str, low: float, high: float) -> Column:
+    """A number kept between two bounds in its own type: whole numbers stay whole numbers."""
+    c, dtype = col(name), df.schema[name].dataType
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        value = c.cast("double")
+        return F.when(c.isNotNull(), F.greatest(F.least(value, F.lit(high)), F.lit(low)))
+    whole = isinstance(dtype, T.IntegralType)
+    # a bound outside the type bounds nothing
+    inside = lambda b: not whole or abs(b) < 2.0 ** 63
+    low, high = (F.lit((f(b) if whole else b) if inside(b) else None).try_cast(dtype)
+                 for f, b in ((math.ceil, low), (math.floor, high)))
+    return F.when(c > high, high).when(c < low, low).otherwise(c)
+
+
 def quoted(name: str) -> str:
     """A column name inside a SQL expression."""
     return "`" + name.replace("`", "``") + "`"

@@ -22,11 +22,12 @@ def mask_credentials(c: Column) -> Column:
     return c
 
 
-def sanitize_text(c: Column, max_length: int = 5000) -> Column:
-    """Drop unprintable characters but newline, tab and return; strip; keep ``max_length`` characters."""
+def sanitize_text(c: Column, max_length: int | None = None) -> Column:
+    """Drop unprintable characters but newline, tab and return; strip; ``max_length`` cuts the rest."""
     unprintable = r"[\p{Cc}\p{Cf}\p{Co}\p{Cn}\p{Zl}\p{Zp}&&[^\n\t\r]]|[\p{Zs}&&[^ ]]"
     cleaned = F.regexp_replace(c, unprintable, "")
-    return F.coalesce(F.substring(F.regexp_replace(cleaned, r"^\s+|\s+$", ""), 1, max_length), F.lit(""))
+    whole = F.regexp_replace(cleaned, r"^\s+|\s+$", "")
+    return F.coalesce(whole if max_length is None else F.substring(whole, 1, max_length), F.lit(""))
 
 
 def is_safe_identifier(c: Column) -> Column:

@@ -16,7 +16,7 @@ from tabulens.plans.quantiles import column_quantiles, group_quantiles
 from tabulens.plans.sampling import hash_sample
 
 OTHER = "Other (Aggregated)"
-BOX_POINTS, SCATTER_POINTS, LINE_POINTS = 5000, 3000, 300
+BOX_POINTS, SCATTER_POINTS = 5000, 3000  # sample sizes unless asked otherwise
 FIVE = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 
 
@@ -48,13 +48,12 @@ def box_points(df: DataFrame, column: str, keys: list[str], size: int = BOX_POIN
                        keys, size)
 
 
-def grouped_box(df: DataFrame, category: str, column: str, groups: int = 12) -> DataFrame:
-    """Five numbers per category, for the first categories by name."""
+def grouped_box(df: DataFrame, category: str, column: str) -> DataFrame:
+    """Five numbers per category."""
     df = normalize(df)
     rows = df.select(col(category).cast("string").alias("group"), as_double(df, column).alias("v")) \
         .where("group is not null and v is not null")
-    names = rows.select("group").distinct().orderBy("group").limit(groups)
-    return group_quantiles(rows.join(F.broadcast(names), "group", "left_semi"), ["group"], "v", FIVE)
+    return group_quantiles(rows, ["group"], "v", FIVE)
 
 
 def top_and_other(df: DataFrame, column: str, top_n: int = 15, other: str = OTHER) -> DataFrame:
@@ -113,8 +112,7 @@ def scatter_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     line = (F.col("n") >= 5) & (F.col("sxx") > 0)
     return s.select("n", "x_min", "x_max",
                     F.try_divide("sxy", F.sqrt("sxx") * F.sqrt("syy")).alias("r"),
-                    F.when(line, F.try_divide("sxy", "sxx")).alias("slope")) \
-        .join(s.select("n", "mx", "my"), "n") \
+                    F.when(line, F.try_divide("sxy", "sxx")).alias("slope"), "mx", "my") \
         .withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx")).drop("mx", "my")
 
 
@@ -127,27 +125,21 @@ def scatter_line(df: DataFrame, x: str, y: str, points: int = 50) -> DataFrame:
 
 
 def scatter_points(df: DataFrame, x: str, y: str, keys: list[str], color: str | None = None,
-                   size: int = SCATTER_POINTS, colors: int = 8) -> DataFrame:
-    """A fixed sample of complete pairs, for the first colour groups by name."""
+                   size: int = SCATTER_POINTS) -> DataFrame:
+    """A fixed sample of complete pairs, of all colours."""
     df = normalize(df)
     chosen = df.select(*[col(k) for k in keys], as_double(df, x).alias("x"), as_double(df, y).alias("y"),
                        *([col(color).cast("string").alias("color")] if color else [])).dropna(subset=["x", "y"])
     if color:
         chosen = chosen.where("color is not null")
-    sample = hash_sample(chosen, keys, size)
-    if not color:
-        return sample
-    names = sample.select("color").distinct().orderBy("color").limit(colors)
-    return sample.join(F.broadcast(names), "color", "left_semi")
+    return hash_sample(chosen, keys, size)
 
 
-def line_points(df: DataFrame, date: str, metric: str, agg: str = "mean") -> DataFrame:
-    """The raw points of a short series without repeated moments, else one value per day."""
+def line_points(df: DataFrame, date: str, metric: str, agg: str = "mean", raw: bool = False) -> DataFrame:
+    """One value per day, or with ``raw`` every point with its moment."""
     df = normalize(df)
     rows = df.select(as_timestamp(df, date).alias("ts"), as_double(df, metric).alias("v")) \
         .where("ts is not null and v is not null")
-    head = rows.limit(LINE_POINTS + 1)
-    raw = head.count() <= LINE_POINTS and rows.groupBy("ts").count().where("count > 1").isEmpty()
     if raw:
         return rows.select(F.col("ts").cast("string").alias("period"), F.col("v").alias("value"))
     value = F.sum("v") if agg.lower() == "sum" else F.avg("v")
@@ -176,13 +168,12 @@ def time_category_table(df: DataFrame, date: str, category: str, top_n: int = 6)
     return time_category(df, date, category, top_n).groupBy("period").pivot("category").agg(F.first("count"))
 
 
-def pie_aggregate(df: DataFrame, category: str, metric: str, agg: str = "sum", groups: int = 12) -> DataFrame:
-    """Sum or mean per category for the first categories by name."""
+def pie_aggregate(df: DataFrame, category: str, metric: str, agg: str = "sum") -> DataFrame:
+    """Sum or mean per category."""
     df = normalize(df)
     value = F.sum("v") if agg == "sum" else F.avg("v")
     return df.select(col(category).cast("string").alias("category"), as_double(df, metric).alias("v")) \
-        .where("category is not null and v is not null").groupBy("category").agg(value.alias("value")) \
-        .orderBy("category").limit(groups)
+        .where("category is not null and v is not null").groupBy("category").agg(value.alias("value"))
 
 
 def plain_line(df: DataFrame, x: str, y: str, agg: str = "mean") -> DataFrame:
@@ -212,7 +203,7 @@ def custom_chart(df: DataFrame, kind: str, x: str, y: str | None = None, color:
         if role_map(rows.select(col(x)))["datetime"]:
             return line_points(rows, x, y, "sum" if agg == "sum" else "mean")
         if agg == "none":
-            return rows.select(col(x).alias("x"), as_double(rows, y).alias("value")).orderBy("x", "value").limit(500)
+            return rows.select(col(x).alias("x"), as_double(rows, y).alias("value"))
         return plain_line(rows, x, y, agg if agg in ("sum", "mean") else "median")
     return grouped_bar(rows, x, y, agg) if y else top_and_other(rows, x)
 
@@ -222,8 +213,8 @@ def heatmap_cells(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def multi_box(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Five numbers for at most twelve columns."""
-    return box_numbers(df, columns[:12])
+    """Five numbers of every column."""
+    return box_numbers(df, columns)
 
 
 def outlier_histogram(df: DataFrame, column: str, low: float, high: float, bins: int | None = None) -> DataFrame:
@@ -323,7 +314,7 @@ def chart_candidates(df: DataFrame, roles: dict[str, list[str]] | None = None) -
     return found.where(rows.scalar() > 0)
 
 
-def chart_ranking(df: DataFrame, roles: dict[str, list[str]] | None = None, limit: int = 10,
+def chart_ranking(df: DataFrame, roles: dict[str, list[str]] | None = None, limit: int | None = 10,
                   category: str | None = None) -> DataFrame:
     """The best charts: at most two per set of columns, and four per type when there is a choice.
 
@@ -338,8 +329,8 @@ def chart_ranking(df: DataFrame, roles: dict[str, list[str]] | None = None, limi
     per_type = Window.partitionBy("chart_type").orderBy(*best)
     kept = found.withColumn("_set", F.row_number().over(per_set)).where("_set <= 2").drop("_set") \
         .withColumn("_type", F.row_number().over(per_type)) \
-        .where((F.col("_type") <= 4) | (total.scalar() <= limit)).drop("_type")
-    top = kept.orderBy(*best).limit(limit)
+        .where(F.lit(True) if limit is None else (F.col("_type") <= 4) | (total.scalar() <= limit)).drop("_type")
+    top = kept if limit is None else kept.orderBy(*best).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*best))).drop("sequence")
 
 

@@ -8,9 +8,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabulens.functions.coerce import (as_double, col, groupable_columns, is_numeric, normalize, numeric_columns,
+from tabulens.functions.coerce import (as_double, clipped, col, groupable_columns, key_columns, is_numeric, normalize, numeric_columns,
                                        strip, text_columns, is_missing_word, to_datetime, to_number)
 from tabulens.operators.quality import (SENTINEL_NUMBERS, case_variants, is_date_text,
                                         is_numeric_text, is_positive_domain, text_features)
@@ -175,7 +175,17 @@ def fill_numbers(df: DataFrame, strategy: str = "median", nulls: dict[str, int]
     elif strategy == "mean":
         row = df.agg(*[F.avg(as_double(df, c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
         fill |= {c: row[f"c{i}"] for i, c in enumerate(names) if row[f"c{i}"] is not None}
-    return df.withColumns({c: F.coalesce(as_double(df, c), F.lit(fill[c])) for c in names})
+    return df.withColumns({c: _filled(df, c, fill[c]) for c in names})
+
+
+def _filled(df: DataFrame, name: str, value: float) -> Column:
+    """Missing cells filled without a detour of whole numbers through double: a fractional value makes the column decimal."""
+    dtype, c = df.schema[name].dataType, col(name)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.coalesce(c.cast("double"), F.lit(value))
+    if isinstance(dtype, T.IntegralType) and not float(value).is_integer():
+        return F.coalesce(c.cast("decimal(38,6)"), F.lit(value).cast("decimal(38,6)"))
+    return F.coalesce(c, F.lit(value).cast(dtype))
 
 
 def fill_others(df: DataFrame, strategy: str = "mode", nulls: dict[str, int] | None = None) -> DataFrame:
@@ -204,9 +214,13 @@ def cap_limits(df: DataFrame) -> dict[str, tuple[float, float]]:
 def cap_extremes(df: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Step 11: clip numbers to the fences, NULLs kept."""
     limits = cap_limits(df) if limits is None else limits
-    clipped = {c: F.when(col(c).isNotNull(), F.greatest(F.least(as_double(df, c), F.lit(high)), F.lit(low)))
-               for c, (low, high) in limits.items()}
-    return df.withColumns(clipped) if clipped else df
+    return df.withColumns({c: clipped(df, c, low, high) for c, (low, high) in limits.items()}) if limits else df
+
+
+def drop_duplicates(df: DataFrame) -> DataFrame:
+    """Step 8: one of equal rows; maps and variants count by their content."""
+    keys = {f"_key{i}": k for i, (f, k) in enumerate(zip(df.schema, key_columns(df))) if f.name not in groupable_columns(df)}
+    return df.withColumns(keys).dropDuplicates([*groupable_columns(df), *keys]).drop(*keys) if keys else df.dropDuplicates()
 
 
 def clean(df: DataFrame, operations: dict | None = None) -> CleanResult:
@@ -253,7 +267,7 @@ def clean(df: DataFrame, operations: dict | None = None) -> CleanResult:
             dropped += names
             cur = drop_columns(cur, names)
             note(wanted, dict.fromkeys(names, rows_before))
-    cur = materialize(cur.dropDuplicates(groupable_columns(cur)) if options["remove_duplicates"] else cur)
+    cur = materialize(drop_duplicates(cur) if options["remove_duplicates"] else cur)
     rows_unique = cur.count()
 
     handled = 0

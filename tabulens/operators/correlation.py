@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tabulens.functions.coerce import as_double, col, is_numeric, normalize
 from tabulens.operators.types import class_map
 
-MAX_EXPRESSION_COLUMNS = 40
+EXPRESSION_COLUMNS = 8  # beyond it matrix products are the cheaper plan; the results are the same
 PAIR_SCHEMA = "variable_a string, variable_b string, correlation double, sample_size long"
 
 
@@ -24,9 +24,11 @@ def numeric_features(df: DataFrame) -> list[str]:
 
 
 def _value(df: DataFrame, name: str) -> Column:
+    """The number that takes part; an infinity counts as missing, like NULL and NaN."""
     if isinstance(df.schema[name].dataType, T.BooleanType):
         return col(name).cast("double")
-    return as_double(df, name)
+    value = as_double(df, name)
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def strength_label(r: Column) -> Column:
@@ -40,9 +42,9 @@ def direction_label(r: Column, tolerance: float = 1e-4) -> Column:
 
 
 def _coefficient(n: Column, sxy: Column, sxx: Column, syy: Column, min_periods: int) -> Column:
-    """r from centred sums; 0 for a side without variance or too few pairs."""
+    """r from centred sums; 0 for a side without variance, too few pairs, or sums beyond double range."""
     r = F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy))
-    return F.when((n >= min_periods) & (sxx > 0) & (syy > 0), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))) \
+    return F.when((n >= min_periods) & (sxx > 0) & (syy > 0) & ~F.isnan(r), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))) \
         .otherwise(0.0)
 
 
@@ -67,7 +69,6 @@ def _by_blocks(df: DataFrame, columns: list[str], min_periods: int) -> DataFrame
     k = len(columns)
     means = df.agg(*[F.avg(_value(df, c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     shifted = df.select(*[(_value(df, c) - F.lit(means[i] or 0.0)).alias(f"c{i}") for i, c in enumerate(columns)])
-    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = None
@@ -83,7 +84,7 @@ def _by_blocks(df: DataFrame, columns: list[str], min_periods: int) -> DataFrame
             yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "sx": sx[i, j], "sy": sx[j, i],
                                 "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j]})
 
-    cells = shifted.coalesce(tasks).mapInPandas(
+    cells = shifted.mapInPandas(
         partial, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double") \
         .groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     names = F.array(*[F.lit(c) for c in columns])
@@ -105,7 +106,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, threshold
     columns = numeric_features(df) if columns is None else columns
     if len(columns) < 2:
         pairs = df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    elif len(columns) <= MAX_EXPRESSION_COLUMNS:
+    elif len(columns) <= EXPRESSION_COLUMNS:
         pairs = _by_expressions(df, columns, min_periods)
     else:
         pairs = _by_blocks(df, columns, min_periods)

@@ -27,11 +27,11 @@ def facts_of(frame: DataFrame, section: str, category: str, subject: Column, num
                         subject.cast("string").alias("subject"), F.inline(F.array(*rows)))
 
 
-def category_distributions(df: DataFrame, columns: list[str] | None = None, limit: int = 6) -> DataFrame:
-    """Distinct values and the five most frequent ones of the first categorical columns."""
+def category_distributions(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Distinct values and the five most frequent ones of the categorical columns."""
     if columns is None:
         roles = role_map(df)
-        columns = (roles["categorical"] + roles["boolean"])[:limit]
+        columns = roles["categorical"] + roles["boolean"]
     return profile.category_profile(df, columns, 5)
 
 
@@ -44,35 +44,25 @@ def time_horizons(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         F.col("valid_count").alias("records_count"))
 
 
-def recommendations(issues: DataFrame, pairs: DataFrame, totals: DataFrame) -> DataFrame:
-    """Advice rows: the first four issues, the top pair, collinear pairs, outliers and fixed lines."""
-    spark = issues.sparkSession
-    severity = F.array_position(F.array(*[F.lit(s) for s in quality.SEVERITIES]), F.col("severity"))
-    first = issues.orderBy(severity, F.desc("affected_rows"), "column_name", "issue_type").limit(4).select(
-        F.lit("cleaning").alias("area"),
-        F.format_string("Remediate %s in `%s`: %s", "issue_type", "column_name", "recommended_action").alias("advice"))
-    row = lambda area, text: spark.createDataFrame([(area, text)], "area string, advice string")
-    clean = row("cleaning", "Data quality is clean. Maintain automated schema validation at data ingestion boundaries.") \
-        .where(issues.agg(F.count(F.lit(1))).scalar() == 0)
-    top = pairs.orderBy(F.desc("absolute_correlation"), "variable_a", "variable_b").limit(1).select(
-        F.lit("feature_engineering").alias("area"),
-        F.format_string("Create interaction term or ratio between `%s` and `%s` (Pearson r = %.3f).",
-                        "variable_a", "variable_b", "correlation").alias("advice"))
-    collinear = pairs.where("absolute_correlation >= 0.85").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("feature_engineering").alias("area"),
-        F.when(F.col("n") > 0, F.format_string("Address %d highly collinear pair(s).", "n")).otherwise(
-            "Standardize continuous variables prior to distance-based modeling.").alias("advice"))
-    out = totals.select(F.lit("modeling").alias("area"), F.when(
-        F.col("total_outlier_instances") > 0,
-        F.format_string("Use robust losses or tree ensembles against %d outliers.", "total_outlier_instances"))
-        .otherwise("Standard linear or boosted models suit the current distributions.").alias("advice"))
-    fixed = [row("modeling", "Cross-validate with stratification where classes are imbalanced."),
-             row("governance", "Watch distribution moments for drift."),
-             row("governance", "Store dataset version hashes for reproducible analyses.")]
-    return reduce(DataFrame.unionByName, [first, clean, top, collinear, out] + fixed)
-
-
-def report_facts(df: DataFrame, charts: int = 6) -> DataFrame:
+def recommendations(issues: DataFrame, pairs: DataFrame, totals: DataFrame, strong: float = 0.85) -> DataFrame:
+    """What the findings call for: ``(area, rule, column_a, column_b, value)``.
+
+    ``rule`` is the action of each issue, ``combine`` for the strongest pair, ``decorrelate`` for every
+    pair of at least ``strong``, and ``robust_loss`` with the number of outliers where there are any."""
+    row = lambda area, rule, a, b, value: [F.lit(area).alias("area"), rule.alias("rule"), a.cast("string").alias("column_a"),
+                                           b.cast("string").alias("column_b"), value.cast("double").alias("value")]
+    none = F.lit(None)
+    parts = [issues.select(*row("cleaning", F.col("action"), F.col("column_name"), none, F.col("affected_rows")))]
+    linked = [F.col("variable_a"), F.col("variable_b"), F.col("correlation")]
+    top = pairs.orderBy(F.desc("absolute_correlation"), "variable_a", "variable_b").limit(1)
+    parts.append(top.select(*row("features", F.lit("combine"), *linked)))
+    parts.append(pairs.where(F.col("absolute_correlation") >= strong).select(*row("features", F.lit("decorrelate"), *linked)))
+    parts.append(totals.where("total_outlier_instances > 0")
+                 .select(*row("modeling", F.lit("robust_loss"), none, none, F.col("total_outlier_instances"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def report_facts(df: DataFrame, charts: int | None = None) -> DataFrame:
     """The nine report sections as one long table.
 
     Results that several sections read (a few rows per column) are stored once and read back, so
@@ -120,7 +110,7 @@ def report_facts(df: DataFrame, charts: int = 6) -> DataFrame:
         parts.append(facts_of(outliers.critical_columns(df, numbers), "6 outliers", ISSUE, name,
                               ["outlier_count", "outlier_percentage"]))
     if groups:
-        parts.append(facts_of(category_distributions(df, groups[:6]).withColumn(
+        parts.append(facts_of(category_distributions(df, groups).withColumn(
             "subject", F.concat_ws("=", "column_name", "category")), "4 statistics", OBSERVED, F.col("subject"),
             ["count", "percentage"]))
     if dates:
@@ -131,6 +121,7 @@ def report_facts(df: DataFrame, charts: int = 6) -> DataFrame:
                  "7 charts", OBSERVED, F.col("subject"), ["score"], ["chart_type", "priority"]),
         facts_of(stats.observations(df, numeric, categorical, temporal, summary), "8 insights", READING, name, [],
                  ["type", "message"]),
-        facts_of(recommendations(issues, pairs, totals), "9 recommendations", ADVICE, F.col("area"), [], ["advice"]),
+        facts_of(recommendations(issues, pairs, totals).withColumn("subject", F.concat_ws(":", "area", "column_a", "column_b")),
+                 "9 recommendations", ADVICE, F.col("subject"), ["value"], ["rule"]),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulens.functions import formulas
-from tabulens.functions.coerce import as_double, col, is_numeric, normalize, percent
+from tabulens.functions.coerce import as_double, clipped, col, is_numeric, normalize, percent
 from tabulens.operators.stats import per_column
 from tabulens.operators.types import outlier_columns
 from tabulens.plans.quantiles import collect_quantiles
@@ -162,10 +162,20 @@ class _Flags:
         return reduce(lambda a, b: a | b, [kind(c) for c in self.columns], F.lit(False))
 
 
+SUMMARY_SCHEMA = ("column_name string, method string, total_observations long, valid_observations long, outlier_count long,"
+                  " lower_threshold double, upper_threshold double, confirmed_error_count long, warnings array<string>,"
+                  " outlier_percentage double, potential_outlier_count long, status string")
+RECORD_FIELDS = [("column_name", "string"), ("value", "double"), ("lower_threshold", "double"), ("upper_threshold", "double"),
+                 ("direction", "string"), ("deviation", "double"), ("score", "double"), ("is_data_error", "boolean"),
+                 ("classification", "string")]
+
+
 def outlier_summary(df: DataFrame, columns: list[str] | None = None, method: str = "iqr",
                     param: float | None = None) -> DataFrame:
     """One row per column: bounds, outliers, impossible values, warnings and status."""
     f = _Flags(df, columns, method, param)
+    if not f.columns:
+        return f.df.sparkSession.createDataFrame([], SUMMARY_SCHEMA)
     wide = f.df.agg(F.count(F.lit(1)).alias("total"),
                     *[F.count_if(f.outlier(c)).alias(f"o{i}") for i, c in enumerate(f.columns)],
                     *[F.count_if(f.error(c)).alias(f"e{i}") for i, c in enumerate(f.columns)])
@@ -214,7 +224,8 @@ def outlier_records(df: DataFrame, columns: list[str] | None = None, method: str
             score(v, b, f.method).alias("score"), f.error(c).alias("is_data_error"))))
     keys = [col(k) for k in id_cols]
     if not parts:
-        return f.df.select(*keys).limit(0)
+        none = [F.lit(None).cast(kind).alias(name) for name, kind in RECORD_FIELDS]
+        return f.df.select(*keys, *none).where("false")
     return f.df.where(f.any(f.outlier)).select(*keys, F.inline(F.array_compact(F.array(*parts)))) \
         .withColumn("classification", F.when(F.col("is_data_error"), ERROR).otherwise(POTENTIAL))
 
@@ -249,7 +260,7 @@ def _capped(f: _Flags) -> dict[str, tuple[float, float]]:
         b = f.bounds[c]
         low, high = b["lower"], b["upper"]
         if b["status"] in ("Constant Feature", "Zero MAD"):
-            low = high = b.get("center", b.get("median"))
+            continue  # no spread to measure by: nothing is reported as an outlier, so nothing is changed
         if _finite(low, high) and is_numeric(f.df.schema[c].dataType):
             limits[c] = round(low, 4), round(high, 4)
     return limits
@@ -265,9 +276,8 @@ def remediate(df: DataFrame, action: str = "remove", columns: list[str] | None =
         return f.df.where(~f.any(f.error))
     if action != "cap":
         return f.df
-    clipped = {c: F.when(col(c).isNotNull(), F.greatest(F.least(f.value(c), F.lit(high)), F.lit(low)))
-               for c, (low, high) in _capped(f).items()}
-    return f.df.withColumns(clipped) if clipped else f.df
+    limits = _capped(f)
+    return f.df.withColumns({c: clipped(f.df, c, low, high) for c, (low, high) in limits.items()}) if limits else f.df
 
 
 def remediation_summary(df: DataFrame, action: str = "remove", columns: list[str] | None = None,

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulens.functions.coerce import col, groupable_columns, is_text, normalize, percent, render, to_boolean
+from tabulens.functions.coerce import col, groupable_columns, is_text, key_columns, normalize, percent, render, to_boolean
 from tabulens.operators import stats
 from tabulens.operators.types import chart_role, class_map, column_features, semantic_class
 from tabulens.plans.frequency import top_values, value_counts
@@ -25,8 +25,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
     Equal rows combine on the map side, so heavy repetition shrinks the shuffle."""
     df = normalize(df)
-    names = groupable_columns(df)
-    return df.groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("_n")).agg(
+    return df.groupBy(*[c.alias(f"k{i}") for i, c in enumerate(key_columns(df))]).agg(F.count(F.lit(1)).alias("_n")).agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows")) \
         .withColumn("duplicate_rows_percentage", percent(F.col("duplicate_rows"), F.col("total_rows")))

@@ -23,22 +23,21 @@ POSITIVE_NAMES = ["age", "price", "cost", "salary", "income", "quantity", "count
 
 WHOLE = "(Entire Dataset)"
 SEVERITIES = ["Critical", "High", "Medium", "Low"]
-FIELDS = ["column_name", "issue_type", "title", "affected_rows", "percentage_affected", "severity",
-          "recommended_action", "details"]
+FIELDS = ["column_name", "issue_type", "affected_rows", "percentage_affected", "severity", "action", "details"]
 
 
 def is_positive_domain(name: str) -> bool:
     return any(part in name.lower() for part in POSITIVE_NAMES)
 
 
-def _issue(when: Column, kind: str, title: str, affected: Column, share: Column, severity, action: Column,
+def _issue(when: Column, kind: str, affected: Column, share: Column, severity, action: str | Column,
            details: dict[str, Column] | None = None) -> Column:
     """One issue as a struct, NULL where its rule does not hold."""
     note = F.to_json(F.struct(*[c.alias(k) for k, c in details.items()])) if details else F.lit("{}")
-    severity = F.lit(severity) if isinstance(severity, str) else severity
+    severity, action = (F.lit(x) if isinstance(x, str) else x for x in (severity, action))
     return F.when(when, F.struct(
-        F.lit(kind).alias("issue_type"), F.lit(title).alias("title"), affected.cast("long").alias("affected_rows"),
-        share.alias("percentage_affected"), severity.alias("severity"), action.alias("recommended_action"),
+        F.lit(kind).alias("issue_type"), affected.cast("long").alias("affected_rows"),
+        share.alias("percentage_affected"), severity.alias("severity"), action.alias("action"),
         note.alias("details")))
 
 
@@ -47,10 +46,6 @@ def _listed(frame: DataFrame, *issues: Column) -> DataFrame:
     return frame.select("column_name", F.inline(F.array_compact(F.array(*issues))))
 
 
-def _named(template: str, *values: Column) -> Column:
-    return F.format_string(template, *[v.cast("string") for v in values])
-
-
 def text_features(df: DataFrame) -> DataFrame:
     """One row per column that is no number, with the counts the value-based rules need.
 
@@ -138,42 +133,32 @@ def missing_rules() -> list[Column]:
     share = percent(missing, F.col("n_rows"))
     details = {"standard_nulls": F.col("n_rows") - F.col("n_valid"), "sentinel_nulls": F.col("missing_words")}
     severity = F.when(share >= 20.0, "High").when(share >= 5.0, "Medium").otherwise("Low")
-    action = F.when(F.col("is_number"), _named("Fill %s missing numbers with the column median", missing)) \
-        .otherwise(_named("Fill %s missing categories with the mode or 'Unknown'", missing))
-    return [_issue(share > 40.0, "high_missing_percentage", "Critically High Missingness", missing, share, "Critical",
-                   _named("Column '%s' has %s%% missing values. Consider dropping or flagging.", F.col("column_name"),
-                          share), details),
-            _issue((share <= 40.0) & (missing > 0), "missing_values", "Missing Values Present", missing, share, severity,
-                   action, details)]
+    action = F.when(F.col("is_number"), "fill_median").otherwise("fill_mode")
+    return [_issue(share > 40.0, "high_missing_percentage", missing, share, "Critical", "drop_column", details),
+            _issue((share <= 40.0) & (missing > 0), "missing_values", missing, share, severity, action, details)]
 
 
 def constant_rules() -> list[Column]:
-    return [_issue(F.col("n_distinct") == 1, "constant_column", "Constant (Zero Variance) Column", F.col("n_rows"),
-                   F.lit(100.0), "High", _named("Column '%s' has only 1 unique value ('%s'). Drop it.",
-                                                F.col("column_name"), F.col("top_value")),
+    return [_issue(F.col("n_distinct") == 1, "constant_column", F.col("n_rows"), F.lit(100.0), "High", "drop_column",
                    {"constant_value": F.col("top_value")})]
 
 
 def near_constant_rules() -> list[Column]:
     share = percent(F.col("top_count"), F.col("n_valid"))
-    return [_issue(_varied() & (share >= 95.0), "near_constant_column", "Near-Constant Distribution", F.col("top_count"),
-                   share, "Low", _named("Value '%s' holds %s%% of the records. Review the column.", F.col("top_value"),
-                                        share),
+    return [_issue(_varied() & (share >= 95.0), "near_constant_column", F.col("top_count"), share, "Low",
+                   "review",
                    {"dominant_value": F.col("top_value"), "minority_rows": F.col("n_valid") - F.col("top_count")})]
 
 
 def whitespace_rules() -> list[Column]:
     return [_issue(F.col("is_text") & _varied() & (F.col("padded") > 0), "leading_trailing_whitespace",
-                   "Leading / Trailing Whitespace", F.col("padded"), percent(F.col("padded"), F.col("n_rows")), "Low",
-                   _named("Strip spaces in %s cells of '%s'.", F.col("padded"), F.col("column_name")))]
+                   F.col("padded"), percent(F.col("padded"), F.col("n_rows")), "Low", "strip")]
 
 
 def category_rules() -> list[Column]:
     rows = F.col("variant_rows")
-    return [_issue(F.col("is_text") & _varied() & (rows > 0), "inconsistent_categorical",
-                   "Inconsistent Categorical Casing", rows, percent(rows, F.col("n_rows")), "Medium",
-                   _named("Unify %s groups of category spellings in '%s'.", F.col("variant_groups"),
-                          F.col("column_name")), {"groups": F.col("variant_groups")})]
+    return [_issue(F.col("is_text") & _varied() & (rows > 0), "inconsistent_categorical", rows, percent(rows, F.col("n_rows")), "Medium",
+                   "unify_spelling", {"groups": F.col("variant_groups")})]
 
 
 def is_numeric_text() -> Column:
@@ -188,16 +173,14 @@ def is_date_text() -> Column:
 
 
 def numeric_text_rules() -> list[Column]:
-    return [_issue(_varied() & is_numeric_text(), "potential_numeric_as_string", "Numeric Column Formatted as Text",
-                   F.col("numbers"), percent(F.col("numbers"), F.col("n_rows")), "High",
-                   _named("Remove number formatting and cast '%s' to a number.", F.col("column_name")),
+    return [_issue(_varied() & is_numeric_text(), "potential_numeric_as_string",
+                   F.col("numbers"), percent(F.col("numbers"), F.col("n_rows")), "High", "cast_number",
                    {"success_ratio": percent(F.col("numbers"), F.col("n_valid"))})]
 
 
 def date_text_rules() -> list[Column]:
-    return [_issue(_varied() & is_date_text(), "potential_datetime_as_string", "Datetime Stored as Text", F.col("dates"),
-                   percent(F.col("dates"), F.col("n_rows")), "Medium",
-                   _named("Parse '%s' to timestamps.", F.col("column_name")),
+    return [_issue(_varied() & is_date_text(), "potential_datetime_as_string", F.col("dates"),
+                   percent(F.col("dates"), F.col("n_rows")), "Medium", "cast_timestamp",
                    {"success_ratio": percent(F.col("dates"), F.col("n_valid"))})]
 
 
@@ -205,26 +188,23 @@ def mixed_type_rules() -> list[Column]:
     """Text columns where some cells read as numbers and some do not."""
     mixed = (F.col("numbers") > 0) & (F.col("numbers") < F.col("n_valid"))
     return [_issue(F.col("is_text") & _varied() & (F.col("n_valid") >= 10) & mixed, "inconsistent_data_types",
-                   "Inconsistent Mixed Types", F.col("n_rows"), F.lit(100.0), "Medium",
-                   _named("Column '%s' mixes numbers and text.", F.col("column_name")),
+                   F.col("n_rows"), F.lit(100.0), "Medium", "separate_types",
                    {"numeric_cells": F.col("numbers"), "text_cells": F.col("n_valid") - F.col("numbers")})]
 
 
 def invalid_number_rules() -> list[Column]:
     """Infinities, missing codes and impossible negatives; a value can count under two reasons."""
     total = F.col("infinite") + F.col("codes") + F.col("negatives")
-    return [_issue(_varied() & (total > 0), "invalid_numerical_values", "Invalid Numerical Values Detected", total,
-                   percent(total, F.col("n_rows")), "High",
-                   _named("Replace invalid values in '%s' by NULL before filling.", F.col("column_name")),
+    return [_issue(_varied() & (total > 0), "invalid_numerical_values", total,
+                   percent(total, F.col("n_rows")), "High", "null_invalid",
                    {"inf_count": F.col("infinite"), "sentinel_count": F.col("codes"),
                     "negative_count": F.col("negatives")})]
 
 
 def extreme_value_rules() -> list[Column]:
     """Finite values beyond three interquartile ranges, for twenty finite values and more."""
-    return [_issue(_varied() & (F.col("extreme") > 0), "extreme_outliers", "Extreme Outliers (3x IQR Rule)",
-                   F.col("extreme"), percent(F.col("extreme"), F.col("n_rows")), "Low",
-                   _named("Inspect or cap %s values of '%s'.", F.col("extreme"), F.col("column_name")),
+    return [_issue(_varied() & (F.col("extreme") > 0), "extreme_outliers",
+                   F.col("extreme"), percent(F.col("extreme"), F.col("n_rows")), "Low", "cap",
                    {"lower_fence": F.round("low_fence", 2), "upper_fence": F.round("high_fence", 2)})]
 
 
@@ -237,15 +217,15 @@ def duplicate_issues(df: DataFrame) -> DataFrame:
     share = F.col("duplicate_rows_percentage")
     severity = F.when(share >= 5.0, "High").when(share >= 1.0, "Medium").otherwise("Low")
     return _listed(duplicate_rows(df).withColumn("column_name", F.lit(WHOLE)), _issue(
-        F.col("duplicate_rows") > 0, "duplicate_rows", "Duplicate Rows Detected", F.col("duplicate_rows"), share, severity,
-        F.lit("Remove duplicate rows so that each observation counts once."),
+        F.col("duplicate_rows") > 0, "duplicate_rows", F.col("duplicate_rows"), share, severity,
+        "drop_duplicates",
         {"duplicate_count": F.col("duplicate_rows"), "total_rows": F.col("total_rows")}))
 
 
 def _no_issues(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], "column_name string, issue_type string, title string,"
+    return df.sparkSession.createDataFrame([], "column_name string, issue_type string,"
                                                " affected_rows long, percentage_affected double, severity string,"
-                                               " recommended_action string, details string")
+                                               " action string, details string")
 
 
 def column_issues(df: DataFrame, rules: list | None = None) -> DataFrame:
@@ -287,13 +267,15 @@ def case_variants(counts: DataFrame) -> DataFrame:
         .select("column_name", "value", "n", "canonical", F.lower("value").alias("form"))
 
 
-def _first_pairs(frame: DataFrame, k: int) -> DataFrame:
+def _first_pairs(frame: DataFrame, k: int | None) -> DataFrame:
+    if k is None:
+        return frame
     order = Window.partitionBy("column_name").orderBy("original_value")
     return frame.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 
 
-def cleaning_preview(df: DataFrame) -> DataFrame:
-    """Before and after pairs of what the default cleaning would change."""
+def cleaning_preview(df: DataFrame, examples: int | None = None) -> DataFrame:
+    """Before and after pairs of what the default cleaning would change: all, or ``examples`` per column and kind."""
     df = normalize(df)
     features = audit_features(df)
     decided = {r["column_name"]: r for r in features.select(
@@ -312,20 +294,18 @@ def cleaning_preview(df: DataFrame) -> DataFrame:
         v = F.col("value")
         padded = counts.where(strip(v) != v).select("column_name", v.alias("original_value"),
                                                     strip(v).alias("cleaned_value"))
-        parts.append(pairs(_first_pairs(padded, 4), "Whitespace Standardization",
-                           "Strip leading & trailing whitespace"))
+        parts.append(pairs(_first_pairs(padded, examples), "whitespace",
+                           "strip"))
         stripped = counts.groupBy("column_name", strip(v).alias("value")).agg(F.sum("n").alias("n"))
-        forms = case_variants(stripped).withColumn(
-            "group_rank", F.dense_rank().over(Window.partitionBy("column_name").orderBy("form"))) \
-            .where("group_rank <= 3").select("column_name", F.col("value").alias("original_value"),
-                                             F.col("canonical").alias("cleaned_value"))
-        parts.append(pairs(forms, "Categorical Normalization", "Normalize casing to Title Case"))
+        forms = _first_pairs(case_variants(stripped).select("column_name", F.col("value").alias("original_value"),
+                                             F.col("canonical").alias("cleaned_value")), examples)
+        parts.append(pairs(forms, "spelling", "title_case"))
         number = to_number(v, wide=True)
         for flag, value, category, rule in (
-                ("numeric_text", number.cast("string"), "Numeric Type Casting",
-                 "Strip currency/formatting symbols and cast to numeric"),
-                ("date_text", F.date_format(to_datetime(v), "yyyy-MM-dd HH:mm:ss"), "Datetime Parsing",
-                 "Standardize to ISO datetime")):
+                ("numeric_text", number.cast("string"), "number",
+                 "cast_number"),
+                ("date_text", F.date_format(to_datetime(v), "yyyy-MM-dd HH:mm:ss"), "date",
+                 "cast_timestamp")):
             names = [c for c in texts if decided[c][flag]]
             if flag == "date_text":
                 short = F.regexp_replace(value, " 00:00:00$", "")
@@ -334,15 +314,15 @@ def cleaning_preview(df: DataFrame) -> DataFrame:
                 changed = counts.where(F.col("column_name").isin(names)) \
                     .select("column_name", v.alias("original_value"), value.alias("cleaned_value")) \
                     .where(F.col("cleaned_value").isNotNull() & (F.col("cleaned_value") != F.col("original_value")))
-                parts.append(pairs(_first_pairs(changed, 3), category, rule))
+                parts.append(pairs(_first_pairs(changed, examples), category, rule))
     share = {c: round((r["n_rows"] - r["n_valid"] + r["missing_words"]) / r["n_rows"] * 100, 2)
              for c, r in decided.items() if r["n_rows"]}
     filled = [c for c in decided if 0 < share.get(c, 0) <= 40.0]
     numbers = [c for c in filled if decided[c]["is_number"]]
-    rows = [(c, "Missing Value Imputation", "NULL / NaN", f"{round(q['median'], 2)} (Median)",
-             "Fill numerical missing with median")
+    rows = [(c, "missing", "missing", str(round(q['median'], 2)),
+             "fill_median")
             for c, q in collect_quantiles(df, numbers, {"median": 0.5}).items()]
-    rows += [(c, "Missing Value Imputation", "NULL / NaN", "0.0 (Median)", "Fill numerical missing with median")
+    rows += [(c, "missing", "missing", "0.0", "fill_median")
              for c in numbers if c not in {r[0] for r in rows}]
     schema = "column_name string, category string, original_value string, cleaned_value string, rule string"
     if rows:
@@ -350,16 +330,16 @@ def cleaning_preview(df: DataFrame) -> DataFrame:
     others = [c for c in filled if not decided[c]["is_number"]]
     if others:
         modes = value_counts(df, others).groupBy("column_name").agg(mode_of().alias("m"))
-        parts.append(modes.select("column_name", F.lit("Missing Value Imputation").alias("category"),
-                                  F.lit("NULL / NaN").alias("original_value"),
-                                  F.format_string("'%s' (Mode)", F.col("m")).alias("cleaned_value"),
-                                  F.lit("Fill categorical missing with mode").alias("rule")))
+        parts.append(modes.select("column_name", F.lit("missing").alias("category"),
+                                  F.lit("missing").alias("original_value"),
+                                  F.col("m").alias("cleaned_value"),
+                                  F.lit("fill_mode").alias("rule")))
     invalid = column_issues(df, [invalid_number_rules])
-    for key, shown, rule in (("sentinel_count", "-999 / 9999", "Replace sentinel code with NaN for median imputation"),
-                             ("inf_count", "inf / -inf", "Replace infinity with NaN for median imputation")):
+    for key, shown, rule in (("sentinel_count", "code", "null_code"),
+                             ("inf_count", "infinity", "null_infinity")):
         parts.append(invalid.where(F.get_json_object("details", f"$.{key}").cast("long") > 0).select(
-            "column_name", F.lit("Invalid Value Replacement").alias("category"), F.lit(shown).alias("original_value"),
-            F.lit("NaN → Median").alias("cleaned_value"), F.lit(rule).alias("rule")))
+            "column_name", F.lit("invalid").alias("category"), F.lit(shown).alias("original_value"),
+            F.lit("median").alias("cleaned_value"), F.lit(rule).alias("rule")))
     return reduce(DataFrame.unionByName, parts)
 
 

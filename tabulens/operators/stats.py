@@ -323,6 +323,9 @@ def observations(df: DataFrame, numeric: list[str] | None = None, categorical: l
             _note(F.col("valid_count") > 0, "Temporal Span", "info", "Temporal Coverage in '%s'",
                   "Data spans %s from %s to %s with an inferred %s recording cadence.",
                   F.col("date_range_formatted"), day("min_date"), day("max_date"), F.col("cadence"))))
+    if not notes:
+        notes.append(df.sparkSession.createDataFrame(
+            [], "column_name string, type string, severity string, title string, message string"))
     found = notes[0]
     for extra in notes[1:]:
         found = found.unionByName(extra)

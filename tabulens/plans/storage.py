@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,14 @@ _local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one, per application, only where none is set."""
+    """The checkpoint folder of the session.
+
+    Where none is set: a temporary folder, per application, if driver and tasks are one process; on a
+    cluster the warehouse folder, which all machines reach."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/tabulens"
     if not folder:
         folder = _local_folders.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="tabulens-")
         _local_folders[context.applicationId] = folder

@@ -12,9 +12,8 @@ from tabulens.functions.coerce import NUMBER_SHAPE, col
 CSV_NULLS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
              "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
-# Delimiters tried, and limits of an acceptable file.
+# Delimiters tried.
 DELIMITERS = [",", ";", "\t", "|"]
-MAX_BYTES, MAX_COLUMNS, MAX_ROWS, MAX_NAME = 50 * 1024 * 1024, 500, 1_000_000, 100
 
 # First bytes of executables, archives and PDF, in hexadecimal.
 BINARY_SIGNATURES = ["4D5A", "7F454C46", "FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE", "504B0304", "1F8B",
@@ -87,15 +86,19 @@ def is_allowed_name(name: Column) -> Column:
                       & ~name.contains("%00") & ~clean.rlike(middle), F.lit(False))
 
 
-def safe_name(name: Column) -> Column:
-    """A name of letters, digits, ``_``, ``-`` and ``.`` that ends in ``.csv``, at most 100 characters."""
+def safe_name(name: Column, max_length: int | None = None) -> Column:
+    """A name of letters, digits, ``_``, ``-`` and ``.`` that ends in ``.csv``.
+
+    ``max_length`` cuts longer names and marks them with a hash of the whole name."""
     flat = F.regexp_replace(F.regexp_replace(name, r"%00|\x00", ""), r"[/\\]", " ")
     joined = F.regexp_replace(F.regexp_replace(F.trim(flat), r"\s+", "_"), r"[^A-Za-z0-9_.\-]", "")
     bare = F.regexp_replace(joined, r"^[._]+|[._]+$", "")
     named = F.when((bare == "") | (bare == "csv"), "dataset.csv").otherwise(bare)
     ended = F.when(F.lower(named).endswith(".csv"), named).otherwise(F.concat(named, F.lit(".csv")))
-    return F.when(F.length(ended) > MAX_NAME, F.concat(F.substring(ended, 1, MAX_NAME - 4), F.lit(".csv"))) \
-        .otherwise(ended)
+    if max_length is None:
+        return ended
+    mark = F.concat(F.lit("-"), F.substring(F.sha2(ended, 256), 1, 8), F.lit(".csv"))
+    return F.when(F.length(ended) > max_length, F.concat(F.substring(ended, 1, max(max_length - 13, 0)), mark)).otherwise(ended)
 
 
 def is_binary(content: Column) -> Column:
@@ -121,13 +124,14 @@ def _decoded(content: Column) -> Column:
         .otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def audit_files(spark: SparkSession, folder: str) -> DataFrame:
+def audit_files(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
     """One row per file: name, size, encoding, delimiter, and the first reason against it.
 
-    Contents are loaded only for files within the size limit; a bigger one is refused by its size."""
+    With ``max_bytes`` contents are loaded only for files within it; a bigger one is refused by its size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    small = files.where(F.col("length") <= MAX_BYTES)
-    big = files.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    within = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    small = files.where(within)
+    big = files.where(~within).select("path", "length", F.lit(None).cast("binary").alias("content"))
     # a scan leaves empty files out, so they come from the listing
     plain = lambda c: F.url_decode(F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/"))
     listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
@@ -142,7 +146,7 @@ def audit_files(spark: SparkSession, folder: str) -> DataFrame:
     blank = F.regexp_replace(F.col("first_line"), r"[,;|\t\s\"]", "") == ""
     reason = (F.when(~is_allowed_name(F.col("name")), "file name not allowed")
               .when(F.col("length") == 0, "empty file")
-              .when(F.col("length") > MAX_BYTES, "file too large")
+              .when(~within, "file too large")
               .when(is_binary(F.col("content")), "binary content")
               .when(blank, "header missing or blank"))
     return found.withColumn("reason", reason).select(
@@ -150,7 +154,8 @@ def audit_files(spark: SparkSession, folder: str) -> DataFrame:
         "delimiter", F.col("reason").isNull().alias("accepted"), "reason")
 
 
-def structure_report(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
+def structure_report(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8",
+                     max_columns: int | None = None, max_rows: int | None = None) -> DataFrame:
     """Rows, columns and ragged rows per file over all its lines, with a verdict."""
     header = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).csv(path).columns
     mark = "\\|" if delimiter == "|" else delimiter
@@ -164,7 +169,8 @@ def structure_report(spark: SparkSession, path: str, delimiter: str = ",", encod
     report = counted.groupBy("path").agg((F.count(F.lit(1)) - 1).alias("row_count"),
                                          F.count_if(F.col("cells") != k).alias("ragged_rows"))
     reason = (F.when(F.lit(all(not h.strip() or h.startswith("_c") for h in header)), "header missing or blank")
-              .when(F.lit(k > MAX_COLUMNS), "too many columns").when(F.col("row_count") > MAX_ROWS, "too many rows")
+              .when(F.lit(max_columns is not None and k > max_columns), "too many columns")
+              .when(F.lit(False) if max_rows is None else F.col("row_count") > max_rows, "too many rows")
               .when(F.col("row_count") < 1, "no data rows"))
     return report.withColumn("column_count", F.lit(k)).withColumn("reason", reason) \
         .withColumn("accepted", F.col("reason").isNull())

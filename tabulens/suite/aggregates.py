@@ -229,11 +229,11 @@ def leads(spark, sf):
 LEADS = """WITH r AS (SELECT corr(value, user_id) AS r FROM events),
 o AS (SELECT count(*) AS n FROM events, (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)
   WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a))
-SELECT 1 AS position, 'Feature Co-movement & Predictive Modeling' AS topic, 'High' AS priority, 'value' AS subject, 'user_id' AS related,
+SELECT 1 AS position, 'co_movement' AS topic, 'High' AS priority, 'value' AS subject, 'user_id' AS related,
   round(r, 4) AS measure FROM r WHERE r > 0
-UNION ALL SELECT 2, 'Statistical Outlier Remediation', 'High', 'value', NULL, CAST(n AS DOUBLE) FROM o WHERE n > 0
-UNION ALL SELECT 3, 'Subgroup Segment Performance', 'Medium', 'event_type', 'value', NULL
-UNION ALL SELECT 4, 'Temporal Dynamics & Seasonality', 'Medium', 'ts', 'value', NULL"""
+UNION ALL SELECT 2, 'outliers', 'High', 'value', NULL, CAST(n AS DOUBLE) FROM o WHERE n > 0
+UNION ALL SELECT 3, 'segments', 'Medium', 'event_type', 'value', NULL
+UNION ALL SELECT 4, 'season', 'Medium', 'ts', 'value', NULL"""
 
 
 def group_count_dirty(spark, sf):

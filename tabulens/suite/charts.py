@@ -127,7 +127,7 @@ def pie_sum(spark, sf):
     return rounded(chartdata.pie_aggregate(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice", "sum"), 2)
 
 
-PIE_SUM = "SELECT o_orderpriority AS category, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1 ORDER BY 1 LIMIT 12"
+PIE_SUM = "SELECT o_orderpriority AS category, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1"
 
 
 def custom_line(spark, sf):

@@ -103,8 +103,8 @@ def cleaning_preview(spark, sf):
 
 # Python prints the median with two decimals at most
 PREVIEW = COUNTS + f""", ws AS (SELECT * FROM (SELECT column_name, v AS o, {STRIP.format('v')} AS cl, row_number() OVER
-  (PARTITION BY column_name ORDER BY v) AS r FROM c WHERE is_text AND {STRIP.format('v')} <> v) WHERE r <= 4),
-nt AS (SELECT * FROM (SELECT v AS o, row_number() OVER (ORDER BY v) AS r FROM c WHERE column_name = 'price_txt') WHERE r <= 3),
+  (PARTITION BY column_name ORDER BY v) AS r FROM c WHERE is_text AND {STRIP.format('v')} <> v)),
+nt AS (SELECT * FROM (SELECT v AS o, row_number() OVER (ORDER BY v) AS r FROM c WHERE column_name = 'price_txt')),
 st AS (SELECT column_name, {STRIP.format('v')} AS s, sum(n) AS n FROM c WHERE is_text GROUP BY ALL),
 sp AS (SELECT *, lower(s) AS f, count(*) OVER (PARTITION BY column_name, lower(s)) AS forms,
   first_value(s) OVER (PARTITION BY column_name, lower(s) ORDER BY n DESC, s) AS best FROM st),
@@ -112,13 +112,13 @@ va AS (SELECT column_name, s AS o, {TITLE.format('best')} AS cl, f FROM sp WHERE
 vr AS (SELECT *, dense_rank() OVER (PARTITION BY column_name ORDER BY f) AS r FROM va WHERE o <> cl),
 md AS (SELECT CAST(format('{{:.2f}}', quantile_cont(price, 0.5)) AS DOUBLE) AS m FROM dirty),
 st2 AS (SELECT v AS m FROM c WHERE column_name = 'status' ORDER BY n DESC, v LIMIT 1),
-every AS (SELECT column_name, 'Whitespace Standardization' AS category, o, cl FROM ws
-UNION ALL SELECT column_name, 'Categorical Normalization', o, cl FROM vr WHERE r <= 3
-UNION ALL SELECT 'price_txt', 'Numeric Type Casting', o, replace(o, '$', '') || '.0' FROM nt
-UNION ALL SELECT 'price', 'Missing Value Imputation', 'NULL / NaN', CAST(m AS VARCHAR) || ' (Median)' FROM md
-UNION ALL SELECT 'status', 'Missing Value Imputation', 'NULL / NaN', '''' || m || ''' (Mode)' FROM st2
-UNION ALL SELECT 'amount', 'Invalid Value Replacement', o, 'NaN → Median' FROM (VALUES ('-999 / 9999'), ('inf / -inf')) t(o)
-UNION ALL SELECT 'order_key', 'Invalid Value Replacement', '-999 / 9999', 'NaN → Median'
+every AS (SELECT column_name, 'whitespace' AS category, o, cl FROM ws
+UNION ALL SELECT column_name, 'spelling', o, cl FROM vr
+UNION ALL SELECT 'price_txt', 'number', o, replace(o, '$', '') || '.0' FROM nt
+UNION ALL SELECT 'price', 'missing', 'missing', CAST(m AS VARCHAR) FROM md
+UNION ALL SELECT 'status', 'missing', 'missing', m FROM st2
+UNION ALL SELECT 'amount', 'invalid', o, 'median' FROM (VALUES ('code'), ('infinity')) t(o)
+UNION ALL SELECT 'order_key', 'invalid', 'code', 'median'
   WHERE EXISTS (SELECT 1 FROM dirty WHERE order_key IN (-999, -9999, 9999, 99999)))
 SELECT column_name, category, count(*) AS pairs, min(o) AS first_original, min(cl) AS first_cleaned FROM every GROUP BY ALL"""
 
@@ -186,11 +186,11 @@ NOTE_MODE = "(SELECT note FROM dirty WHERE note IS NOT NULL GROUP BY note ORDER
 
 
 def cap_extremes(spark, sf):
-    df = dirty(spark, sf).select("order_key", "amount").where(F.abs("amount") < float("inf"))
+    df = dirty(spark, sf).select("order_key", "amount")
     return rounded(cleaning.cap_extremes(df).select(F.col("order_key").cast("long").alias("order_key"), "amount"), 2)
 
 
-CAP = f"""WITH {DIRTY}, d AS (SELECT order_key, amount FROM dirty WHERE NOT isinf(amount)),
+CAP = f"""WITH {DIRTY}, d AS (SELECT order_key, amount FROM dirty),
 q AS (SELECT quantile_cont(amount, 0.25) AS a, quantile_cont(amount, 0.75) AS b FROM d)
 SELECT order_key, round(greatest(least(amount, b + 3 * (b - a)), a - 3 * (b - a)), 2) AS amount FROM d, q"""
 

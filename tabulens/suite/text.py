@@ -22,11 +22,16 @@ MASK = f"SELECT doc_id, md5({_MASKED}) AS masked FROM documents"
 
 
 def sanitize_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.sanitize_text(F.col("text"))).alias("clean"))
+
+
+def sanitize_text_cut(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.sanitize_text(F.col("text"), 500)).alias("clean"))
 
 
 UNPRINTABLE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{Cf}\p{Co}\p{Zl}\p{Zp}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
-SANITIZE = rf"SELECT doc_id, md5(substring(regexp_replace(regexp_replace(text, '{UNPRINTABLE}', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 500)) AS clean FROM documents"
+SANITIZE = rf"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{UNPRINTABLE}', '', 'g'), '^\s+|\s+$', '', 'g')) AS clean FROM documents"
+SANITIZE_CUT = rf"SELECT doc_id, md5(substring(regexp_replace(regexp_replace(text, '{UNPRINTABLE}', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 500)) AS clean FROM documents"
 
 
 def safe_identifiers(spark, sf):
@@ -166,6 +171,7 @@ FROM customer LEFT JOIN l ON l.parent_id = 'c' || c_custkey"""
 QUERIES = {
     "mask_secrets": (mask_secrets, MASK),
     "sanitize_text": (sanitize_text, SANITIZE),
+    "sanitize_text_cut": (sanitize_text_cut, SANITIZE_CUT),
     "safe_identifiers": (safe_identifiers, SAFE),
     "coerced_values": (coerced_values, f"WITH {DIRTY} {COERCED}"),
     "intent_label": (intent_label, INTENTS),
