@@ -189,3 +189,16 @@ def expired_totals(spark: SparkSession, folder: str, max_age_hours: float = 24)
     return expired_files(spark, folder, max_age_hours) \
         .groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")) \
         .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
+def ragged_rows(df: DataFrame, text: str, delimiter: str = ",") -> DataFrame:
+    """CSV text held in a column: data rows, columns of the first line, and rows with another number of cells.
+
+    Blank lines and quoted cells do not count; NULL has no lines. Adds the three columns to the frame."""
+    mark = "\\|" if delimiter == "|" else delimiter
+    lines = F.filter(F.split(F.coalesce(col(text), F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    cells = F.transform(lines, lambda x: F.regexp_count(F.regexp_replace(x, '"[^"]*"', ""), F.lit(mark)) + 1)
+    first = F.get(cells, F.lit(0))
+    return df.withColumn("row_count", F.greatest(F.size(cells) - 1, F.lit(0)).cast("long")) \
+        .withColumn("column_count", F.coalesce(first, F.lit(0)).cast("long")) \
+        .withColumn("ragged_rows", F.size(F.filter(cells, lambda n: n != first)).cast("long"))

@@ -1,8 +1,8 @@
 """Every operator as a query over the given tables, with the equivalent SQL where there is one."""
 
-from tabulens.suite import aggregates, charts, cleaning, outlier, profiling, statistics, text
+from tabulens.suite import aggregates, charts, cleaning, files, hard, outlier, profiling, statistics, text
 
-MODULES = [statistics, profiling, aggregates, outlier, cleaning, charts, text]
+MODULES = [statistics, profiling, aggregates, outlier, cleaning, charts, text, files, hard]
 
 
 def queries():
