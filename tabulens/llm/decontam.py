@@ -5,7 +5,8 @@ Texts are lowered (A-Z) and their white space runs made one space.  A window sta
 which small edit distance is small Hamming distance: at step ``j`` it writes the character under
 its pointer and moves on by a random bit that depends on ``j`` and the character, so that two walks
 fall into step again after an insertion.  Each of ``TABLES`` hash tables samples ``SAMPLED`` places
-of the string; windows that meet an item in one table are candidates.  A candidate gives the place
+of the string; windows that meet an item in one table, and whose whole walks differ in at
+most ``APART`` of their steps, are candidates.  A candidate gives the place
 where the whole item should stand, and the exact edit distance there (bit-parallel, over all ends)
 decides.
 
@@ -27,6 +28,7 @@ SIMILARITY = 0.8
 STRIDE = 2
 TABLES = 6
 SAMPLED = 10
+APART = 0.3
 STEPS = (56, 20)
 FILTER_BITS = 20
 WINDOWS_AT_ONCE = 1 << 14
@@ -103,20 +105,32 @@ class Walk:
         return found
 
 
+    def strings(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The embedded strings themselves, one row per window."""
+        at, out = starts.astype(np.int64), np.zeros((len(starts), self.steps), np.uint8)
+        for j in range(self.steps):
+            out[:, j] = np.take(text, at, mode="clip")
+            at += self.moves[j][out[:, j]]
+        return out
+
+
 class Tables:
     """Windows of the items of one walk length, by table and hash."""
 
     def __init__(self, steps: int, items: list[tuple[int, bytes]]):
         self.walk = Walk(steps)
-        places, found = [], []
+        places, found, strings = [], [], []
         for number, (_, text) in enumerate(items):
             signs = np.frombuffer(text, np.uint8)
             starts = word_starts(signs)
             # a window has the whole walk inside its item
             starts = starts[starts + steps <= len(signs)]
             places += [(number, s) for s in starts.tolist()]
-            found.append(self.walk.hashes(np.concatenate([signs, np.zeros(steps, np.uint8)]), starts))
+            whole = np.concatenate([signs, np.zeros(steps, np.uint8)])
+            found.append(self.walk.hashes(whole, starts))
+            strings.append(self.walk.strings(whole, starts))
         self.items = items
+        self.strings = np.concatenate([np.zeros((0, steps), np.uint8), *strings])
         hashes = np.concatenate(found, axis=1) if found else np.zeros((TABLES, 0), np.uint32)
         self.order = np.argsort(hashes, axis=1, kind="stable")
         self.hashes = np.take_along_axis(hashes, self.order, axis=1)
@@ -126,17 +140,27 @@ class Tables:
             self.seen[t, self.hashes[t] >> np.uint32(32 - FILTER_BITS)] = True
 
     def candidates(self, text: np.ndarray, starts: np.ndarray) -> set[tuple[int, int, int]]:
-        """``(window, item number, bytes of the item before the window)``."""
+        """``(window, item number, bytes of the item before the window)`` of windows that meet in a table and
+        whose walks differ in at most ``APART`` of all steps."""
         out = set()
         for lo in range(0, len(starts), WINDOWS_AT_ONCE):
-            found = self.walk.hashes(text, starts[lo:lo + WINDOWS_AT_ONCE])
+            part = starts[lo:lo + WINDOWS_AT_ONCE]
+            found = self.walk.hashes(text, part)
+            pairs = [np.zeros((2, 0), np.int64)]
             for t in range(TABLES):
                 maybe = np.flatnonzero(np.take(self.seen[t], found[t] >> np.uint32(32 - FILTER_BITS), mode="clip"))
                 keys = found[t][maybe]
                 a, b = np.searchsorted(self.hashes[t], keys), np.searchsorted(self.hashes[t], keys, "right")
-                for w in np.flatnonzero(b > a).tolist():
-                    for number, offset in self.places[self.order[t, a[w]:b[w]]].tolist():
-                        out.add((lo + int(maybe[w]), number, offset))
+                often = b - a
+                entry = np.arange(often.sum()) + np.repeat(a - (np.cumsum(often) - often), often)
+                pairs.append(np.stack([np.repeat(maybe, often), self.order[t][entry]]))
+            window, entry = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            if not len(window):
+                continue
+            few, which = np.unique(window, return_inverse=True)
+            apart = (self.walk.strings(text, part[few])[which] != self.strings[entry]).sum(axis=1)
+            near = apart <= APART * self.walk.steps
+            out |= set(zip((window[near] + lo).tolist(), *self.places[entry[near]].T.tolist()))
         return out
 
 
