@@ -9,6 +9,7 @@ from tabulens.functions.coerce import as_double, as_timestamp, double_sql, norma
 from tabulens.operators.types import class_map
 from tabulens.plans.frequency import mode_of, number_counts, top_values, value_counts
 from tabulens.plans.quantiles import column_quantiles, quantile_frame
+from tabulens.plans.storage import materialize
 
 PERCENTILES = [1, 5, 10, 25, 50, 75, 90, 95, 99]
 
@@ -202,32 +203,30 @@ def cadence_label(seconds: Column) -> Column:
             .otherwise("Irregular / Mixed"))
 
 
-def datetime_cadence(df: DataFrame, columns: list[str], slices: int = 65_536) -> DataFrame:
+def datetime_cadence(df: DataFrame, columns: list[str]) -> DataFrame:
     """Median gap between consecutive moments and the recording rhythm it suggests.
 
-    Distinct moments are counted first and ordered inside equal slices of each column's span;
-    the gap into the next slice comes from the slices' first and last moments, so no task has
-    to order a whole column."""
+    Distinct moments are counted, dealt to ranges of equal size and ordered inside each; the gap into
+    the next range comes from the last moment of the one before.  The ranges follow the data, so a far
+    date does not gather all others in one task.  They are stored, as they are read twice."""
     times = _long_times(df, columns).where("ts is not null") \
         .select("column_name", F.unix_micros("ts").alias("us"))
-    span = times.groupBy("column_name").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    width = F.greatest(F.floor((F.col("hi") - F.col("lo")) / slices), F.lit(1))
-    sliced = times.join(F.broadcast(span), "column_name") \
-        .select("column_name", "us", F.floor((F.col("us") - F.col("lo")) / width).alias("slice"))
+    counted = times.groupBy("column_name", "us").agg(F.count(F.lit(1)).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = materialize(counted.repartitionByRange(parts, "column_name", "us").withColumn("slice", F.spark_partition_id()))
     edges = sliced.groupBy("column_name", "slice").agg(F.max("us").alias("last"))
     before = F.lag("last").over(Window.partitionBy("column_name").orderBy("slice"))
     edges = edges.select("column_name", "slice", before.alias("before"))
     inside = Window.partitionBy("column_name", "slice").orderBy("us")
     one = F.lit(1).cast("long")
-    counts = sliced.groupBy("column_name", "slice", "us").agg(F.count(F.lit(1)).alias("n")) \
-        .withColumn("previous", F.lag("us").over(inside)).join(F.broadcast(edges), ["column_name", "slice"]) \
+    counts = sliced.withColumn("previous", F.lag("us").over(inside)).join(F.broadcast(edges), ["column_name", "slice"]) \
         .withColumn("gap", F.col("us") - F.coalesce("previous", "before"))
     gaps = counts.select("column_name", F.inline(F.array(
         F.struct(F.col("gap"), one.alias("weight")),
         F.struct(F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("weight"))))) \
         .where("gap is not null and weight > 0") \
         .groupBy("column_name", "gap").agg(F.sum("weight").alias("weight"))
-    median = quantile_frame(gaps, ["column_name"], "gap", {"median_gap": 0.5}, weight="weight", levels=1)
+    median = quantile_frame(gaps, ["column_name"], "gap", {"median_gap": 0.5}, weight="weight")
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
     seconds = F.col("median_gap") / 1e6
     return names.join(median, "column_name", "left").select(

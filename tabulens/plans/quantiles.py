@@ -1,21 +1,29 @@
 """Exact quantiles without a global sort and without a value map in one task.
 
 The value at a rank is found by narrowing: a histogram with order-preserving bins (a magnitude
-bin first, a linear split of each remaining bin next) tells which bin holds the rank; only the
-rows of those bins are kept, counted per distinct value and ordered.  Every pass pre-aggregates
-on the map side, so a value or bin that holds a third of all rows is one row per task after it."""
+bin first, linear splits of the remaining bins next) tells which bin holds the rank; only the rows
+of those bins are kept.  Bins are split again between their own extremes until the fullest one is
+small, whatever the number of rows; then the kept rows are counted per distinct value and ordered.
+Every pass pre-aggregates on the map side, so a value or bin that holds a third of all rows is one
+row per task after it.  The chosen bins of a pass, a few per key, are stored, so no pass repeats an
+earlier one."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, functions as F
 
 from tabulens.functions.coerce import double_sql, quoted
 from tabulens.plans.frequency import long_rows
+from tabulens.plans.storage import materialize
 
 BINS_PER_E = 128
 LINEAR_BINS = 4096
-FEW_GROUPS = 20_000
-ONE_LEVEL_ROWS = 50_000_000
+BROADCAST_BYTES = 16 << 20
+FEW_ROWS = 200_000
+MAX_LEVELS = 12
 
 
 # order-preserving bin number of a double: sign and scaled logarithm, 0 for zero
@@ -27,15 +35,13 @@ RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
 def quantile_frame(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                   weight: str | None = None, levels: int = 2, few_groups: bool = True,
-                   bins_per_e: int = BINS_PER_E) -> DataFrame:
+                   weight: str | None = None, few_rows: int = FEW_ROWS, bins_per_e: int = BINS_PER_E) -> DataFrame:
     """One row per key with one column per entry of ``probs`` (name -> probability).
 
     Linear interpolation between neighbouring ranks.  ``weight`` counts a row several times.
-    ``few_groups`` says the number of keys is known to be small, so the selected bins (at most
-    two per key and probability) may be broadcast; otherwise the join is left to Spark.
-    ``bins_per_e`` sets how finely magnitudes are told apart; it changes the cost, not the result."""
-    hint = F.broadcast if few_groups else (lambda d: d)
+    A bin of more than ``few_rows`` rows and more than one value is split again.  The chosen bins are
+    broadcast if they take little memory, else joined by shuffle.  ``bins_per_e`` sets how finely
+    magnitudes are told apart; it changes the cost, not the result."""
     names = [quoted(k) for k in keys]
     by_key = ", ".join(names)
     position = {out: f"({p!r}D * (_total - 1))" for out, p in probs.items()}
@@ -51,15 +57,20 @@ def quantile_frame(rows: DataFrame, keys: list[str], value: str, probs: dict[str
         f"sum(_n) OVER (PARTITION BY {by_key} ORDER BY _bin {RUNNING}) - _n AS _base")
     path = [*keys, "_bin"]
 
-    for level in range(levels):
-        if level:
-            # split every bin that was kept between its own extremes
-            extra = [quoted(weight)] if weight else []
-            cur = cur.selectExpr(*names, "_x", *extra, "_total", "_base AS _parent", f"{LINEAR_BIN} AS _bin")
-            path = [*keys, "_total", "_parent", "_bin"]
-            bins = cur.groupBy(*[quoted(c) for c in path]).agg(*tallies).selectExpr(
-                "*", f"_parent + sum(_n) OVER (PARTITION BY {by_key}, _parent ORDER BY _bin {RUNNING}) - _n AS _base")
-        cur = cur.join(hint(bins.where(f"exists({ranks}, {inside})").drop("_n")), path)
+    for _ in range(MAX_LEVELS):
+        kept = materialize(bins.where(f"exists({ranks}, {inside})"))
+        size = kept.agg(F.max(F.when(F.col("_high") > F.col("_low"), F.col("_n"))), F.count(F.lit(1)),
+                        F.sum(reduce(add, [F.octet_length(F.col(n).cast("string")) for n in names], F.lit(64)))).first()
+        chosen = kept.drop("_n")
+        cur = cur.join(F.broadcast(chosen) if (size[2] or 0) <= BROADCAST_BYTES else chosen, path)
+        if (size[0] or 0) <= few_rows:
+            break
+        # split every bin that was kept between its own extremes
+        extra = [quoted(weight)] if weight else []
+        cur = cur.selectExpr(*names, "_x", *extra, "_total", "_base AS _parent", f"{LINEAR_BIN} AS _bin")
+        path = [*keys, "_total", "_parent", "_bin"]
+        bins = cur.groupBy(*[quoted(c) for c in path]).agg(*tallies).selectExpr(
+            "*", f"_parent + sum(_n) OVER (PARTITION BY {by_key}, _parent ORDER BY _bin {RUNNING}) - _n AS _base")
 
     values = cur.groupBy(*names, "_base", "_total", "_x").agg(tallies[0]).selectExpr(
         *names, "_total", "_x", "_n",
@@ -79,16 +90,10 @@ def long_numbers(df: DataFrame, columns: list[str], finite_only: bool = False) -
     return rows.where("abs(value) < double('Infinity')") if finite_only else rows
 
 
-def _levels(df: DataFrame) -> int:
-    """Magnitude bins alone leave few enough rows per bin up to some millions of rows."""
-    return 1 if df.count() <= ONE_LEVEL_ROWS else 2
-
-
 def column_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float],
                      finite_only: bool = False) -> DataFrame:
     """Quantiles of every column: ``(column_name, n_values, <name> ...)``."""
-    return quantile_frame(long_numbers(df, columns, finite_only), ["column_name"], "value", probs,
-                          levels=_levels(df))
+    return quantile_frame(long_numbers(df, columns, finite_only), ["column_name"], "value", probs)
 
 
 def collect_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float],
@@ -100,11 +105,6 @@ def collect_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float]
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Quantiles per group; the number of groups is estimated first to decide on the broadcast."""
-    names = [quoted(k) for k in keys]
-    size = df.selectExpr(f"approx_count_distinct(struct({', '.join(names)})) AS groups", "count(1) AS rows").first()
-    rows = df.selectExpr(*names, f"{double_sql(df, value)} AS _value")
-    per_group = size["rows"] / max(size["groups"], 1)
-    return quantile_frame(rows, keys, "_value", probs, levels=1 if size["rows"] <= ONE_LEVEL_ROWS else 2,
-                          few_groups=size["groups"] * len(probs) <= FEW_GROUPS,
-                          bins_per_e=BINS_PER_E if per_group > 100_000 else 16 if per_group > 10_000 else 4)
+    """Quantiles per group, with coarse bins first: most groups need no finer ones."""
+    rows = df.selectExpr(*[quoted(k) for k in keys], f"{double_sql(df, value)} AS _value")
+    return quantile_frame(rows, keys, "_value", probs, bins_per_e=16)

@@ -67,3 +67,17 @@ def test_names_are_resolved_by_rank():
     assert tools.resolve_name(columns, "sales amount") == "Sales_Amount"
     assert tools.resolve_name(columns, "amount") == "Sales_Amount"
     assert tools.resolve_name(columns, "???") is None and tools.resolve_name([], "x") is None
+
+
+def test_no_slice_or_bin_gathers_a_clustered_column(spark):
+    """A dense cluster with one far value on either side stays spread over tasks and bins."""
+    from tabulens.plans import quantiles
+    base = 1_700_000_000_000_000
+    df = spark.range(20_000).select(F.timestamp_micros(F.lit(base) + F.col("id") * 60_000_000).alias("ts")) \
+        .union(spark.sql("SELECT timestamp'0001-01-02 00:00:00' UNION ALL SELECT timestamp'9999-01-01 00:00:00'"))
+    found = stats.datetime_cadence(df, ["ts"]).first()
+    assert found["median_gap_seconds"] == 60.0
+    values = spark.range(50_000).select((F.lit(1.7e9) + F.col("id")).alias("v")).union(spark.sql("SELECT 1e300D"))
+    got = quantiles.column_quantiles(values, ["v"], {"m": 0.5}).first()["m"]
+    small = quantiles.quantile_frame(quantiles.long_numbers(values, ["v"]), ["column_name"], "value", {"m": 0.5}, few_rows=100)
+    assert got == small.first()["m"] == 1.7e9 + 25_000
