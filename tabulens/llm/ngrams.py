@@ -28,7 +28,7 @@ PROBES = 7
 LEVEL_FACTOR = 1.2
 ROOM = 256 << 20
 TOKENS_PER_SHARD = 3_000_000
-TOKENS_AT_ONCE = 4_000_000
+TOKENS_AT_ONCE = 2_000_000
 BYTES_AT_ONCE = 1 << 20
 GROUP_BITS = 8
 
@@ -235,14 +235,17 @@ class Counts:
     """Exact word counts of one group, looked up by hash."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.counts = keys[order], counts[order]
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        # four bytes a count where they are enough
+        small = counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
+        self.counts = small[order]
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(tokens), np.int64)
         at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
-        return np.where(self.keys[at] == tokens, self.counts[at], 0)
+        return np.where(self.keys[at] == tokens, self.counts[at], 0).astype(np.int64)
 
 
 class Filter:
@@ -324,7 +327,7 @@ def score(docs: DataFrame, train: Column | None = None, room: int = ROOM) -> Dat
     tokens = sums[WORD]["total"] if WORD in sums else 0
     inserted = sums[PAIR]["inserted"] if PAIR in sums else 0
     groups = 1
-    while groups < 2 ** GROUP_BITS and 2 * 16 * words / groups + inserted * BITS_PER_KEY / 8 / groups ** 2 > room:
+    while groups < 2 ** GROUP_BITS and 2 * 12 * words / groups + inserted * BITS_PER_KEY / 8 / groups ** 2 > room:
         groups *= 2
     made = stored(filters(counted, groups))
     kind, out = dict(docs.dtypes)["doc_id"], None
