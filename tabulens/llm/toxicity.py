@@ -30,8 +30,8 @@ BEGINNINGS = (4, 5)
 WORDS_KEPT = 400_000
 
 
-def terms_of(word: bytes) -> list[str]:
-    """Terms of one white-space word: itself without signs at its ends, and its beginnings."""
+def core(word: bytes) -> str:
+    """A white-space word without the signs at its ends."""
     text = word.decode()
     if not text.isalpha():
         lo, hi = 0, len(text)
@@ -40,6 +40,12 @@ def terms_of(word: bytes) -> list[str]:
         while lo < hi and not text[hi - 1].isalnum():
             hi -= 1
         text = text[lo:hi]
+    return text
+
+
+def terms_of(word: bytes) -> list[str]:
+    """Terms of one white-space word: itself without signs at its ends, and its beginnings."""
+    text = core(word)
     return [text, *[f"{text[:n]}-" for n in BEGINNINGS if len(text) > n]] if text else []
 
 
@@ -49,11 +55,16 @@ class Known(dict):
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
         self.vocabulary = vocabulary
+        self.beginnings = [(n, {t[:-1]: i for t, i in vocabulary.items() if len(t) == n + 1 and t.endswith("-")})
+                           for n in BEGINNINGS]
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        found = self[word] = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
+        text = core(word)
+        whole = [self.vocabulary.get(text)] if text else []
+        found = self[word] = tuple(i for i in (*whole, *(known.get(text[:n]) for n, known in self.beginnings if len(text) > n))
+                                   if i is not None)
         return found
 
     def counts(self, text: bytes) -> Counter:
