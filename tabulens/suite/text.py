@@ -80,6 +80,7 @@ def _mentioned(names):
         f"WHEN contains(k, '{n.lower().replace('_', '')}') OR contains(q, '{n.lower()}') THEN '{n}'" for n in names) + " END"
 
 
+RELATED = r"is\s+(.*?)\s+(?:related to|correlated with|linked to|associated with)\s+(.*?)(?:\?|$)"
 NUM, CAT = INTENT_ROLES["numerical"], INTENT_ROLES["categorical"]
 EVERY = NUM + CAT + INTENT_ROLES["datetime"]
 _W = tools.INTENT_WORDS
@@ -90,11 +91,20 @@ f AS (SELECT *, coalesce({_mentioned(CAT)}, CASE WHEN contains(q, 'category') TH
   coalesce({_mentioned(EVERY)}, CASE WHEN contains(q, 'profit') THEN 'profit' WHEN contains(q, 'sales') THEN 'Sales_Amount'
     WHEN contains(q, 'revenue') THEN 'Sales_Amount' WHEN contains(q, 'discount') THEN NULL WHEN contains(q, 'age') THEN 'Customer_Age'
     WHEN contains(q, 'quantity') THEN 'Quantity' WHEN contains(q, 'price') THEN NULL END) AS one, {_mentioned(EVERY)} AS men FROM t),
+g AS (SELECT *, list_filter([{', '.join(f"CASE WHEN contains(k, '{n.lower().replace('_', '')}') OR contains(q, '{n.lower()}') THEN '{n}' END" for n in EVERY)}], lambda x: x IS NOT NULL) AS named,
+  list_filter([CASE WHEN contains(q, 'revenue') OR contains(q, 'sales') THEN 'Sales_Amount' END,
+    CASE WHEN contains(q, 'quantity') THEN 'Quantity' END, CASE WHEN contains(q, 'age') THEN 'Customer_Age' END], lambda x: x IS NOT NULL) AS implied FROM f),
 l AS (SELECT *, CASE {' '.join(f"WHEN {_says(w)}" + (" AND grp IS NOT NULL" if n == "groupby_analysis" else " AND one IS NOT NULL" if n == "aggregation_analysis" else "") + f" THEN '{n}'" for n, w in _W.items())}
-  WHEN men IS NOT NULL THEN 'column_summary' ELSE 'dataset_summary' END AS tool FROM f)
+  WHEN men IS NOT NULL THEN 'column_summary' ELSE 'dataset_summary' END AS tool, named || CASE WHEN len(named) < 2 THEN
+    list_filter(implied, lambda x: NOT list_contains(named, x)) ELSE []::VARCHAR[] END AS sides FROM g)
 SELECT conv_id, turn, tool, CASE WHEN tool = 'groupby_analysis' THEN grp END AS group_column,
   CASE WHEN tool = 'groupby_analysis' THEN met WHEN tool = 'aggregation_analysis' THEN one
-    WHEN tool IN ('column_summary', 'outlier_analysis', 'distribution_analysis') THEN men END AS target_column,
+    WHEN tool IN ('column_summary', 'outlier_analysis') THEN men WHEN tool = 'distribution_analysis' THEN coalesce(men, 'Sales_Amount')
+    WHEN tool = 'correlation_analysis' THEN coalesce(sides[1], CASE WHEN len(sides) = 0 THEN nullif(trim(regexp_extract(q, '{RELATED}', 1)), '') END)
+    WHEN tool = 'time_series_analysis' THEN coalesce({_mentioned(NUM)}, CASE WHEN {_says(['sales', 'revenue'])} THEN 'Sales_Amount' END)
+    END AS target_column,
+  CASE WHEN tool = 'correlation_analysis' THEN coalesce(sides[2], CASE WHEN len(sides) = 0 THEN nullif(trim(regexp_extract(q, '{RELATED}', 2)), '') END)
+    WHEN tool = 'time_series_analysis' THEN 'Order_Date' END AS second_column,
   CASE WHEN tool = 'groupby_analysis' THEN CASE WHEN {_says(['average', 'mean', 'avg'])} THEN 'mean' ELSE 'sum' END
     WHEN tool = 'aggregation_analysis' THEN CASE WHEN {_says(['total', 'sum'])} THEN 'sum' WHEN contains(q, 'median') THEN 'median'
       WHEN {_says(['minimum', 'min '])} THEN 'min' WHEN {_says(['maximum', 'max '])} THEN 'max' ELSE 'mean' END END AS aggregate,

@@ -18,7 +18,7 @@ SALES = {"numerical": ["Sales_Amount", "Quantity", "Profit"], "categorical": ["C
     ("What is the average profit?", "aggregation_analysis", None, "Profit", "mean", None),
     ("Give me an overview", "dataset_summary", None, None, None, None),
     ("Are there unusual values in Quantity?", "outlier_analysis", None, "Quantity", None, None),
-    ("How has revenue changed over time?", "time_series_analysis", None, None, None, None),
+    ("How has revenue changed over time?", "time_series_analysis", None, "Sales_Amount", None, None),
     ("Show the distribution of Sales_Amount", "distribution_analysis", None, "Sales_Amount", None, None),
     ("What should I investigate next?", "investigate_further", None, None, None, None)])
 def test_intents(spark, question, tool, group, target, agg, desc):
