@@ -1,7 +1,7 @@
 """Documents that hold a passage of a benchmark item, exact or slightly edited.
 
-Texts are lowered (A-Z) and their white space runs made one space.  A window starts at every
-``STRIDE``-th word of a document and at every word of an item; the CGK walk maps it to a string in
+Texts are lowered (A-Z) and their white space runs made one space.  A window starts at every word of a
+document and of an item; the CGK walk maps it to a string in
 which small edit distance is small Hamming distance: at step ``j`` it writes the character under
 its pointer and moves on by a random bit that depends on ``j`` and the character, so that two walks
 fall into step again after an insertion.  Each of ``TABLES`` hash tables samples ``SAMPLED`` places
@@ -10,8 +10,11 @@ most ``APART`` of their steps, are candidates.  A candidate gives the place
 where the whole item should stand, and the exact edit distance there (bit-parallel, over all ends)
 decides.
 
-An edited item has many windows, so its chance of meeting in no table falls quickly: see the recall
-test.  Items shorter than the walk use a shorter walk; the shortest are searched as they are."""
+Items shorter than the walk use a shorter walk.  Short items, heavily edited ones and text without
+spaces have few windows or none that meet, so disjoint pieces of the items propose places too: ``k``
+edits leave all but ``k`` pieces as they are, on diagonals at most ``k`` apart.  A band of diagonals that
+holds so many pieces, and so many of the item's byte triples as ``k`` edits leave, is verified; this
+loses no place.  Items under ``WHOLE`` bytes are searched as they are, between spaces."""
 
 from __future__ import annotations
 
@@ -25,11 +28,13 @@ from pyspark.sql import DataFrame, functions as F
 from tabulens.llm.common import map_rows, text_bytes
 
 SIMILARITY = 0.8
-STRIDE = 2
 TABLES = 6
 SAMPLED = 10
 APART = 0.3
 STEPS = (56, 20)
+WHOLE = 20
+PIECE = 4
+LEAST_PIECES = 2
 FILTER_BITS = 20
 WINDOWS_AT_ONCE = 1 << 14
 BYTES_AT_ONCE = 1 << 20
@@ -164,6 +169,85 @@ class Tables:
         return out
 
 
+class Pieces:
+    """Disjoint pieces of ``size`` bytes of items, to find all places within the allowed number of edits."""
+
+    def __init__(self, size: int, items: list[tuple[int, bytes]], allowed: list[int]):
+        self.size, self.items = size, items
+        lengths = np.array([len(t) for _, t in items], np.int64)
+        self.allowed, pieces = np.array(allowed, np.int64), lengths // size
+        self.least = pieces - self.allowed
+        # pieces left by the edits lie in one band of twice this width, whatever the diagonal
+        self.width = self.allowed + 1
+        self.reach = int((lengths + 2 * self.allowed).max())
+        owner = np.repeat(np.arange(len(items)), pieces)
+        offset = np.concatenate([np.arange(n) * size for n in pieces.tolist()])
+        codes = np.concatenate([self.coded(np.frombuffer(t, np.uint8))[:n * size:size]
+                                for (_, t), n in zip(items, pieces.tolist())])
+        order = np.argsort(codes, kind="stable")
+        self.owner, self.offset = owner[order], offset[order]
+        self.codes, self.first = np.unique(codes[order], return_index=True)
+        self.last = np.append(self.first[1:], len(order))
+        self.seen = np.zeros(1 << FILTER_BITS, bool)
+        self.seen[self.slot(self.codes)] = True
+        self.triples = [{t[i:i + 3] for i in range(len(t) - 2)} for _, t in items]
+
+    def coded(self, text: np.ndarray) -> np.ndarray:
+        n = len(text) - self.size + 1
+        found = text[:n].astype(np.uint32)
+        for i in range(1, self.size):
+            found |= text[i:n + i].astype(np.uint32) << np.uint32(8 * i)
+        return found
+
+    @staticmethod
+    def slot(codes: np.ndarray) -> np.ndarray:
+        return codes * np.uint32(0x9E3779B1) >> np.uint32(32 - FILTER_BITS)
+
+    def regions(self, text: np.ndarray):
+        """``(item number, from, to)``: stretches of the text that hold enough pieces; no place is outside."""
+        step = max(BYTES_AT_ONCE, 4 * self.reach)
+        for lo in range(0, len(text), step):
+            part = text[lo:lo + step + self.reach]
+            if len(part) < self.size:
+                continue
+            codes = self.coded(part)
+            maybe = np.flatnonzero(self.seen[self.slot(codes)])
+            code = codes[maybe]
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            known = self.codes[at] == code
+            maybe, at = maybe[known], at[known]
+            often = self.last[at] - self.first[at]
+            entry = np.arange(often.sum()) + np.repeat(self.first[at] - (np.cumsum(often) - often), often)
+            item = self.owner[entry]
+            diagonal = np.repeat(maybe, often) - self.offset[entry] + self.reach
+            # bands of one item are numbered in a row, with room between items
+            room = (len(part) + self.reach) // int(self.width.min()) + 3
+            bands, counts = np.unique(item * room + diagonal // self.width[item], return_counts=True)
+            both = counts.copy()
+            both[:-1] += np.where(bands[1:] == bands[:-1] + 1, counts[1:], 0)
+            number = bands // room
+            enough = both >= self.least[number]
+            number, band = number[enough], bands[enough] % room
+            starts = band * self.width[number] - self.reach + lo
+            held = None
+            for i, start in zip(number.tolist(), starts.tolist()):
+                k, n = int(self.allowed[i]), len(self.items[i][1])
+                a, b = start - k, start + 2 * (k + 1) + n + k
+                if held and held[0] == i and a <= held[2]:
+                    held[2] = b
+                else:
+                    if held:
+                        yield tuple(held)
+                    held = [i, a, b]
+            if held:
+                yield tuple(held)
+
+    def possible(self, number: int, region: bytes) -> bool:
+        """Whether the region has so many of the item's triples as the allowed edits leave."""
+        known, least = self.triples[number], len(self.items[number][1]) - 2 - 3 * int(self.allowed[number])
+        return sum(region[i:i + 3] in known for i in range(len(region) - 2)) >= least
+
+
 class Items:
     """Benchmark items, ready to be searched in documents."""
 
@@ -175,7 +259,17 @@ class Items:
             groups.append((steps, [x for x in rest if len(x[1]) >= steps]))
             rest = [x for x in rest if len(x[1]) < steps]
         self.tables = [Tables(steps, some) for steps, some in groups if some]
-        self.short = rest
+        self.short = [x for x in items if len(x[1]) < WHOLE]
+        by_size = defaultdict(list)
+        for x in items:
+            if len(x[1]) >= WHOLE:
+                n, k = len(x[1]), self.allowed(x[1])
+                # the largest pieces of which enough stay whole; with one byte some always do
+                by_size[next((q for q in range(PIECE, 1, -1) if n // q - k >= LEAST_PIECES), 1)].append((x, k))
+        self.pieces = [Pieces(size, [x for x, _ in some], [k for _, k in some]) for size, some in sorted(by_size.items())]
+
+    def allowed(self, item: bytes) -> int:
+        return int((1 - self.similarity) * len(item) + 1e-9)
 
     def found(self, texts: list[bytes]) -> list[list[dict]]:
         """The items in each normalised text: id, distance, similarity and end of the place."""
@@ -183,7 +277,7 @@ class Items:
         parts, starts, bases, at = [], [], [], 0
         for text in texts:
             signs = np.frombuffer(text, np.uint8)
-            starts.append(word_starts(signs)[::STRIDE] + at)
+            starts.append(word_starts(signs) + at)
             bases.append(at)
             parts += [signs, gap]
             at += len(signs) + len(gap)
@@ -197,6 +291,13 @@ class Items:
                 spots[doc, number].add(int(where[window]) - bases[doc] - offset)
             for (doc, number), places in spots.items():
                 self._verify(texts[doc], *table.items[number], places, best[doc])
+        begins = np.array(bases, np.int64)
+        for pieces in self.pieces:
+            for number, lo, hi in pieces.regions(whole):
+                for doc in range(max(int(np.searchsorted(begins, lo, "right")) - 1, 0), int(np.searchsorted(begins, hi))):
+                    a, b = max(lo - bases[doc], 0), min(hi - bases[doc], len(texts[doc]))
+                    if a < b and pieces.possible(number, texts[doc][a:b]):
+                        self._compare(texts[doc], *pieces.items[number], a, b, best[doc])
         for item_id, item in self.short:
             for text, held in zip(texts, best):
                 at = (b" " + text + b" ").find(b" " + item + b" ")
@@ -206,15 +307,20 @@ class Items:
                 for held in best]
 
     def _verify(self, text: bytes, item_id: int, item: bytes, places: set[int], best: dict) -> None:
-        allowed, done = int((1 - self.similarity) * len(item) + 1e-9), None
+        allowed, done = self.allowed(item), None
         for place in sorted(places):
             if done is not None and place - done <= allowed:
                 continue  # the region looked at last covers this place
             lo = max(place - allowed, 0)
-            distance, end = edit_distance_within(item, text[lo:max(place + len(item) + 2 * allowed, 0)])
+            self._compare(text, item_id, item, lo, max(place + len(item) + 2 * allowed, 0), best)
             done = place
-            if distance <= allowed and distance < best.get(item_id, (len(item) + 1,))[0]:
-                best[item_id] = distance, len(item), lo + end
+
+    def _compare(self, text: bytes, item_id: int, item: bytes, lo: int, hi: int, best: dict) -> None:
+        """Keep the nearest place, the first of equal ones."""
+        distance, end = edit_distance_within(item, text[lo:hi])
+        known = best.get(item_id)
+        if distance <= self.allowed(item) and (known is None or (distance / len(item), lo + end) < (known[0] / known[1], known[2])):
+            best[item_id] = distance, len(item), lo + end
 
 
 def in_groups(texts: list[bytes]):

@@ -51,6 +51,21 @@ def test_recall_of_edited_passages(rate, least):
     assert n and hits / n >= least
 
 
+@pytest.mark.parametrize("size", [20, 21, 23, 26, 56, 58, 60, 62])
+def test_exact_items_wherever_they_begin(size):
+    items = [(i, prose(30)[:size].strip().ljust(size, "x").encode()) for i in range(20)]
+    held = decontam.Items(items)
+    for i, text in items:
+        for lead in (4, 5):
+            for before, after in ((f"{prose(lead)} ", f" {prose(5)}"), (f"{prose(lead)}-(\"", "\")."), (prose(lead), prose(5))):
+                doc = before.encode() + text + after.encode()
+                found = [m for m in held.found([prose(9).encode(), doc])[1] if m["item_id"] == i]
+                assert found and found[0]["distance"] == 0
+    item = "".join(chr(0x4e00 + rng.randrange(900)) for _ in range(size)).encode()
+    doc = "".join(chr(0x4e00 + rng.randrange(900)) for _ in range(400)).encode()
+    assert [m["distance"] for m in decontam.Items([(1, item)]).found([doc[:300] + item + doc[300:]])[0]] == [0]
+
+
 def test_contamination_of_whole_tables(spark):
     items = [(1, prose(30)), (2, prose(40)), (3, "Short  Item"), (4, None), (5, ""), (None, prose(20)), (6, prose(8)), (2, prose(12))]
     df_items = spark.createDataFrame(items, "item_id long, text string")
