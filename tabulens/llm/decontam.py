@@ -32,7 +32,7 @@ TABLES = 6
 SAMPLED = 10
 APART = 0.3
 STEPS = (56, 20)
-WHOLE = 20
+WHOLE = 12
 PIECE = 4
 LEAST_PIECES = 2
 FILTER_BITS = 20
@@ -190,7 +190,9 @@ class Pieces:
         self.last = np.append(self.first[1:], len(order))
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[self.slot(self.codes)] = True
-        self.triples = [{t[i:i + 3] for i in range(len(t) - 2)} for _, t in items]
+        self.triples = np.zeros((len(items), 1 << 13), bool)
+        for i, (_, t) in enumerate(items):
+            self.triples[i, triple_slots(np.frombuffer(t, np.uint8))] = True
 
     def coded(self, text: np.ndarray) -> np.ndarray:
         n = len(text) - self.size + 1
@@ -242,10 +244,35 @@ class Pieces:
             if held:
                 yield tuple(held)
 
-    def possible(self, number: int, region: bytes) -> bool:
-        """Whether the region has so many of the item's triples as the allowed edits leave."""
-        known, least = self.triples[number], len(self.items[number][1]) - 2 - 3 * int(self.allowed[number])
-        return sum(region[i:i + 3] in known for i in range(len(region) - 2)) >= least
+    def possible(self, number: int, text: np.ndarray, slots: np.ndarray, lo: int, hi: int) -> bool:
+        """Whether a stretch has so many of the item's triples as the allowed edits leave: first within a
+        window as long as a place can be, then within a band of diagonals."""
+        item, k = np.frombuffer(self.items[number][1], np.uint8), int(self.allowed[number])
+        n, least = len(item), len(item) - 2 - 3 * k
+        if least <= 0:
+            return True
+        lo, hi = max(lo, 0), min(hi, len(text))
+        hits = np.cumsum(np.concatenate([[0], self.triples[number][slots[lo:max(hi - 2, lo)]]]))
+        width = min(n + k - 2, len(hits) - 1)
+        if (hits[width:] - hits[:len(hits) - width]).max() < least:
+            return False
+        step = 4 * (n + k)
+        for at in range(lo, hi, step):
+            part = text[at:min(at + step + n + k, hi)]
+            if len(part) < 3:
+                continue
+            same = part[:, None] == item
+            places, offsets = np.nonzero(same[:-2, :-2] & same[1:-1, 1:-1] & same[2:, 2:])
+            often = np.cumsum(np.concatenate([np.zeros(k + 1, np.int64), np.bincount(places - offsets + n, minlength=k + 1)]))
+            if (often[k + 1:] - often[:-k - 1]).max() >= least:
+                return True
+        return False
+
+
+def triple_slots(text: np.ndarray) -> np.ndarray:
+    """A hash of 13 bits of the three bytes at each place but the last two."""
+    codes = text[:-2].astype(np.uint32) | text[1:-1].astype(np.uint32) << np.uint32(8) | text[2:].astype(np.uint32) << np.uint32(16)
+    return (codes * np.uint32(0x9E3779B1) >> np.uint32(19)).astype(np.uint16)
 
 
 class Items:
@@ -291,12 +318,14 @@ class Items:
                 spots[doc, number].add(int(where[window]) - bases[doc] - offset)
             for (doc, number), places in spots.items():
                 self._verify(texts[doc], *table.items[number], places, best[doc])
-        begins = np.array(bases, np.int64)
+        begins, slots = np.array(bases, np.int64), triple_slots(whole)
         for pieces in self.pieces:
             for number, lo, hi in pieces.regions(whole):
+                if not pieces.possible(number, whole, slots, lo, hi):
+                    continue
                 for doc in range(max(int(np.searchsorted(begins, lo, "right")) - 1, 0), int(np.searchsorted(begins, hi))):
                     a, b = max(lo - bases[doc], 0), min(hi - bases[doc], len(texts[doc]))
-                    if a < b and pieces.possible(number, texts[doc][a:b]):
+                    if a < b:
                         self._compare(texts[doc], *pieces.items[number], a, b, best[doc])
         for item_id, item in self.short:
             for text, held in zip(texts, best):

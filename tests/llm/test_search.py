@@ -66,6 +66,25 @@ def test_exact_items_wherever_they_begin(size):
     assert [m["distance"] for m in decontam.Items([(1, item)]).found([doc[:300] + item + doc[300:]])[0]] == [0]
 
 
+@pytest.mark.parametrize("size", [13, 15, 19, 20, 26, 60, 85, 115, 233])
+def test_places_are_those_of_brute_force(size):
+    items = [(i, prose(60)[:size].strip().ljust(size, "x").encode()) for i in range(20)]
+    held, near = decontam.Items(items), 0
+    docs = [f"{prose(12)} {edited(text.decode(), rate)} {prose(12)}".encode() for _, text in items for rate in (0.1, 0.15, 0.19)]
+    for number, (doc, found) in enumerate(zip(docs, held.found(docs))):
+        item_id, text = items[number // 3]
+        least = edit_distance_anywhere(text, doc)
+        near += least <= 0.2 * size + 1e-9
+        assert [m["distance"] for m in found if m["item_id"] == item_id] == [least] * (least <= 0.2 * size + 1e-9)
+    assert near >= 40
+
+
+def test_short_items_with_signs_behind_them():
+    held = decontam.Items([(1, b"a shorter item"), (2, b"short item")])
+    found = held.found([b"see a shorter item. there", b"in a shortet itm of", b"no such thing"])
+    assert [[m["item_id"] for m in some] for some in found] == [[1], [1], []]
+
+
 def test_contamination_of_whole_tables(spark):
     items = [(1, prose(30)), (2, prose(40)), (3, "Short  Item"), (4, None), (5, ""), (None, prose(20)), (6, prose(8)), (2, prose(12))]
     df_items = spark.createDataFrame(items, "item_id long, text string")
