@@ -6,7 +6,8 @@ between neighbouring words are learned with them.  The training set is a bounded
 (``PER_LANGUAGE`` documents of each language, the smallest hashes; ``TAKEN`` words of each), cut
 into sequences that join stretches of several documents, so that switches within a text are seen.
 A text is labelled by forward-backward over all its words; its language is the one with the largest
-mean marginal."""
+mean marginal.  A token of more than ``PIECE`` letters (text without spaces) is cut into successive
+pieces, each a position of the chain like a word, so that every letter counts."""
 
 from __future__ import annotations
 
@@ -24,6 +25,7 @@ SEQUENCE = 40
 BUCKETS = 1 << 15
 EPOCHS = 60
 WORDS_KEPT = 300_000
+PIECE = 48
 DOCS_AT_ONCE = 512
 WORDS_AT_ONCE = 400_000
 UNKNOWN = "und"
@@ -34,7 +36,7 @@ def features(word: str) -> list[int]:
     padded = f"<{word}>"
     names = [f"w:{word}", *[f"p:{word[:n]}" for n in (1, 2, 3)], *[f"s:{word[-n:]}" for n in (1, 2, 3)],
              *[padded[i:i + 2] for i in range(len(padded) - 1)], *[padded[i:i + 3] for i in range(len(padded) - 2)]]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in names[:64]]
+    return [zlib.crc32(x.encode()) % BUCKETS for x in names]
 
 
 def letters(token: bytes) -> str:
@@ -52,6 +54,24 @@ def letters(token: bytes) -> str:
     return text[lo:hi]
 
 
+def pieces(token: bytes) -> list[bytes]:
+    """A token of more than ``PIECE`` characters in stretches of about equal length, else the token itself."""
+    if len(token) <= PIECE:
+        return [token]
+    text = token.decode()
+    n = -(-len(text) // PIECE)
+    cuts = [i * len(text) // n for i in range(n + 1)]
+    return [text[a:b].encode() for a, b in zip(cuts, cuts[1:])]
+
+
+def split(text: bytes) -> list[bytes]:
+    """The tokens of a text, long ones in pieces."""
+    tokens = text.split()
+    if max(map(len, tokens), default=0) <= PIECE:
+        return tokens
+    return [p for t in tokens for p in pieces(t)]
+
+
 def forward_backward(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start: np.ndarray) -> tuple:
     """Marginals of sequences of falling length, laid out step by step.
 
@@ -174,7 +194,7 @@ def fit(docs: DataFrame, parts: int = 4, held_out: int = 2, per_language: int =
         for batch in batches:
             found = []
             for text in text_bytes(batch.column(0)):
-                words = [w for w in map(letters, text.split()) if w]
+                words = [w for w in map(letters, split(text)) if w]
                 # a stretch from anywhere in the text, told by its own bytes
                 at = zlib.crc32(text) % max(len(words) - taken + 1, 1)
                 found.append(words[at:at + taken])
@@ -216,7 +236,7 @@ def label(texts: list[bytes], scores: Scores) -> list[tuple[str, float]]:
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     if not field.languages:
         return out
-    numbers = [np.array([x for x in map(scores.__getitem__, t.split()) if x >= 0], np.int64) for t in texts]
+    numbers = [np.array([x for x in map(scores.__getitem__, split(t)) if x >= 0], np.int64) for t in texts]
     order = sorted((i for i in range(len(texts)) if len(numbers[i])), key=lambda i: -len(numbers[i]))
     table = np.array(scores.rows) if scores.rows else np.zeros((0, len(field.languages)))
     at = 0
@@ -265,7 +285,7 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
 def words(text: str, field: Field) -> list[tuple[str, str, float]]:
     """``(word, language, marginal)`` of every word with a letter: code-switched text, word by word."""
     scores = Scores(field)
-    tokens = [t for t in text.encode().split() if scores[t] >= 0]
+    tokens = [t for t in split(text.encode()) if scores[t] >= 0]
     if not tokens or not field.languages:
         return []
     rows = np.array(scores.rows)[[scores[t] for t in tokens]]

@@ -147,6 +147,20 @@ def test_language_field(spark):
     assert language.identify(df.limit(0), field).count() == 0
 
 
+def test_text_without_spaces_counts_to_its_end(spark):
+    lexicon = {"en": ["the", "water", "house", "with", "and"], "de": ["wasser", "und", "der", "haus", "mit"]}
+    glued = lambda x, n: "".join(rng.choice(lexicon[x]) for _ in range(n))
+    rows = [(i, " ".join(rng.choice(lexicon[x]) for _ in range(30)) if i % 4 < 2 else glued(x, 30), x)
+            for i in range(80) for x in [list(lexicon)[i % 2]]]
+    field = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [glued(a, 20) + glued(b, 200) for a, b in (("en", "de"), ("de", "en"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(df, field).collect()} == {0: "de", 1: "en"}
+    assert "".join(w for w, *_ in language.words(texts[0], field)) == texts[0]
+    word = "abcdefghij" * 6
+    assert len(language.features(word)) == 7 + len(word) + 1 + len(word)
+
+
 def test_forward_backward_sums_all_paths():
     r = np.random.default_rng(5)
     k, lengths = 3, np.array([4, 2, 2, 1])
