@@ -1,9 +1,8 @@
 """Language-model scores from a log-frequency Bloom filter of word pairs.
 
 Tokens are hashed to 64 bits.  One pass over the training rows counts words and pairs: every task
-sends its distinct keys, packed by shard, and each shard is merged once.  Pairs seen at least
-``MIN_PAIR`` times go into the filter: a pair counted ``c`` times is inserted at the levels 1 to
-``floor(log2 c)``, so the number of levels found again tells its frequency up to a factor of two.
+sends its distinct keys, packed by shard, and each shard is merged once.  All pairs go into the
+filter: a pair counted ``c`` times is inserted at the levels 1 to ``floor(log2 c) + 1``, so the number of levels found again tells its frequency up to a factor of two.
 A pair's probability is interpolated with the exact add-one probability of the word:
 
     p(w | h) = (1 - l) p1(w) + l c(h, w) / c(h),   l = MIX c(h) / (c(h) + 20)
@@ -21,7 +20,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulens.llm.common import fold, map_rows, stored, text_bytes
 
-MIN_PAIR = 2
 MIX = 0.2
 BITS_PER_KEY = 10
 PROBES = 7
@@ -139,8 +137,8 @@ _PACKED = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("once", pa.bi
                      ("counts", pa.binary())])
 
 
-def count(texts: DataFrame, shards: int, text: str = "text", min_pair: int = MIN_PAIR) -> DataFrame:
-    """Counts of all words and of the pairs seen ``min_pair`` times, one row per kind and shard."""
+def count(texts: DataFrame, shards: int, text: str = "text") -> DataFrame:
+    """Counts of all words and pairs, one row per kind and shard."""
     def work(batches):
         words, pairs, size = [], [], 0
 
@@ -172,8 +170,6 @@ def count(texts: DataFrame, shards: int, text: str = "text", min_pair: int = MIN
         keys, counts = keys[first], np.add.reduceat(counts, first)
         total, inserted = int(counts.sum()), 0
         if kind == PAIR:
-            keep = counts >= min_pair
-            keys, counts = keys[keep], counts[keep]
             inserted = int(levels(counts).sum())
         return pa.table({"kind": pa.array([kind], pa.int32()), "shard": pa.array([shard], pa.int32()),
                          "n": [len(keys)], "total": [total], "inserted": [inserted],
@@ -185,8 +181,8 @@ def count(texts: DataFrame, shards: int, text: str = "text", min_pair: int = MIN
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """How many levels a count fills: floor(log2), one at least."""
-    return np.maximum(np.frexp(counts.astype(float))[1] - 1, 1).astype(np.int64)
+    """How many levels a count fills: floor(log2) and one more."""
+    return np.frexp(counts.astype(float))[1].astype(np.int64)
 
 
 def _probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +300,8 @@ class Pass:
         context = np.where(before == START, self.texts, self.before.of(before))
         share = MIX * context / (context + 20)
         depth = self.pairs.found(pair_keys(before, tokens))
-        pair = np.where(depth > 0, np.minimum(LEVEL_FACTOR * np.exp2(depth), context), 0) / np.maximum(context, 1)
+        often = np.where(depth > 1, LEVEL_FACTOR * np.exp2(depth - 1), depth)
+        pair = np.minimum(often, context) / np.maximum(context, 1)
         add = lambda x: np.bincount(owner, x, len(texts)).astype(float)
         return [np.bincount(owner, minlength=len(texts)), add(seen > 0), add(np.log10(single)),
                 add(np.log10((1 - share) * single + share * pair))]

@@ -55,6 +55,19 @@ def test_model_beats_base_on_held_out_repeats(spark):
     assert rows and all(r["score"] > r["base_score"] + 3 for r in rows)
 
 
+def test_pairs_seen_once_are_known(spark):
+    # every pair stands once in the training rows
+    words = [f"v{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.sample(words, 40))) for i in range(60)]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, t if i not in held else rows[[j for j, _ in rows if j not in held][k % 40]][1])
+            for k, (i, t) in enumerate(rows)]
+    rows = [(i, t) for n, (i, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in ngrams.score(df).collect()}
+    assert held and all(got[i] > 1.5 for i in held)
+
+
 def test_filter_levels():
     keys = np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.random.default_rng(0).integers(2, 5000, len(keys))
