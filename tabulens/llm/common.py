@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulens.plans.storage import materialize
@@ -36,3 +38,15 @@ def tasks_for(df: DataFrame, per_core: int = 2) -> int:
 def stored(df: DataFrame) -> DataFrame:
     """The frame, written once to the shared folder of the session and read back."""
     return materialize(df)
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts in ``column`` hold about ``limit`` bytes at most, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = max(int(np.searchsorted(ends, before + limit, side="right")), lo + 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi

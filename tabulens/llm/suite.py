@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulens.llm import bpe, decontam, dedup, graph, language, licenses, ngrams, simhash, tokenfile, toxicity
+from tabulens.llm import (bpe, decontam, dedup, divergence, fillmiddle, graph, language, licenses, ngrams, pieces, simhash,
+                          tokenfile, toxicity)
 from tabulens.llm.common import fold
 
 
@@ -68,6 +69,22 @@ def vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fillmiddle.transform(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fillmiddle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(_table(spark, sf_dir, "documents"))
+    return coded.select("doc_id", F.expr("bigint(octet_length(ids) / 4)").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_lm_score": lm_score,
     "op2_toxicity_neighbours": toxicity_neighbours,
@@ -79,8 +96,12 @@ QUERIES = {
     "op8_benchmark_decontamination": benchmark_decontamination,
     "op9_simhash_near_dedup": simhash_near_dedup,
     "op10_vector_graph": vector_graph,
+    "op11_source_divergence": source_divergence,
+    "op12_fill_in_middle": fill_in_middle,
+    "op13_sentencepiece_codec": sentencepiece_codec,
 }
-ORACLES = {"op3_license_scan": licenses.oracle()}
+ORACLES = {"op3_license_scan": licenses.oracle(), "op11_source_divergence": divergence.oracle(),
+           "op12_fill_in_middle": fillmiddle.oracle()}
 
 
 def queries():
