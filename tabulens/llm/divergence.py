@@ -88,6 +88,7 @@ def _share(n: str, total: str) -> str:
     return f"1 + (CAST({n} + 2 AS DECIMAL(20, 0)) * {SCALE}) div greatest({total} + 2 * terms, 1)"
 
 
+SIZE = "length(bin(lang_n))"
 PRICE = "((p - q) * (p - q)) div (p + q)"
 
 
@@ -103,13 +104,16 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, block
         "lang", "source", "term", "n", F.sum("docs").over(per_term).alias("_docs"), F.sum("n").over(per_term).alias("lang_n"),
         (F.row_number().over(per_term.orderBy("source")) == 1).cast("long").alias("first"))
     kept = stored(counted.where((F.col("term") == "") | (F.col("_docs") >= min_docs)).drop("_docs"))
-    real = F.when(F.col("term") != "", F.col("first")).otherwise(0)
+    # a term's size is the binary length of its count; sizes are dealt to blocks of about block_terms terms
+    sizes = kept.where("first = 1 AND term != ''").selectExpr("lang", f"{SIZE} AS size").groupBy("lang", "size") \
+        .agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(
+            F.sum("n").alias("terms"), F.expr(f"map_from_entries(collect_list((size, ceil(n / {block_terms}D)))) AS blocks"))
     sources = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.sum(real).alias("terms"),
-                                     F.sum(F.when(F.col("term") == "", 1).otherwise(0)).alias("sources"))
-    groups = stored(sources.join(langs, "lang").selectExpr(
-        "lang", "source", "total", "lang_total", "terms", "sources",
-        f"ceil(sources / {block_sources}D) AS parts").selectExpr("*", "pmod(xxhash64(source), parts) AS part"))
+    langs = sources.groupBy("lang").agg(F.sum("total").alias("lang_total"),
+                                        F.expr(f"ceil(count(1) / {block_sources}D) AS parts"))
+    groups = stored(sources.join(langs.join(sizes, "lang", "left"), "lang").selectExpr(
+        "lang", "source", "total", "lang_total", "coalesce(terms, 0L) AS terms", "blocks", "parts",
+        "pmod(xxhash64(source), parts) AS part"))
     value, item = F.desc("value"), F.asc("item")
     ranked = F.row_number().over(Window.partitionBy("lang", "source").orderBy(value, item)).alias("rank")
 
@@ -118,25 +122,21 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, block
                              f"{_share('lang_n', 'lang_total')} AS q") \
         .where("p > q").selectExpr("lang", "source", "'term' AS part", "item", f"{PRICE} AS value") \
         .select("*", ranked).where(F.col("rank") <= top)
-    pairs = _distances(kept, cells, groups, block_terms) \
-        .select("lang", "source", F.lit("pair").alias("part"), "item", "value").select("*", ranked)
+    pairs = _distances(cells, groups).select("lang", "source", F.lit("pair").alias("part"), "item", "value").select("*", ranked)
     return pairs.unionByName(terms)
 
 
-def _distances(kept: DataFrame, cells: DataFrame, groups: DataFrame, block_terms: int) -> DataFrame:
+def _distances(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """``(lang, source, item, value)``: the distance of every ordered pair of sources."""
-    # terms by the binary length of their count; the empty term gives each language a block without terms
-    sized = kept.where("first = 1").selectExpr("lang", "term", "IF(term = '', 0, length(bin(lang_n))) AS size")
-    blocks = sized.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n")) \
-        .selectExpr("lang", "size", f"ceil(n / {block_terms}D) AS blocks")
-    block = "pmod(xxhash64(term), blocks) AS block"
-    held = sized.join(blocks, ["lang", "size"]).selectExpr("lang", "size", block, "term") \
-        .groupBy("lang", "size", "block").agg(F.count(F.when(F.col("term") != "", 1)).alias("held"))
-    # one row per source opens each block: a source without any of its terms takes part with level 0
-    opening = groups.join(held, "lang").selectExpr(
-        "lang", "size", "block", "held", "part", "parts", "source", "'' AS term", "0L AS n", f"{_share('0', 'total')} AS p")
-    filled = cells.selectExpr("*", "length(bin(lang_n)) AS size").join(blocks, ["lang", "size"]).selectExpr(
-        "lang", "size", block, "0L AS held", "part", "parts", "source", "term", "n", f"{_share('n', 'total')} AS p")
+    filled = cells.selectExpr("lang", f"{SIZE} AS size", f"pmod(xxhash64(term), blocks[{SIZE}]) AS block", "0L AS held", "part",
+                              "parts", "source", "term", "n", f"{_share('n', 'total')} AS p", "first")
+    held = filled.where("first = 1").groupBy("lang", "size", "block").agg(F.count(F.lit(1)).alias("in_block"))
+    # one row per source opens each block: a source without any of its terms takes part with level 0; a language
+    # without terms has one empty block
+    opening = groups.join(held, "lang", "left").selectExpr(
+        "lang", "coalesce(size, 0) AS size", "coalesce(block, 0L) AS block", "coalesce(in_block, 0L) AS held", "part", "parts",
+        "source", "'' AS term", "0L AS n", f"{_share('0', 'total')} AS p")
+    filled = filled.drop("first")
     # every block of sources meets every other one of its language
     rows = opening.unionByName(filled).selectExpr("*", "explode(sequence(0L, parts - 1)) AS other").selectExpr(
         "lang", "size", "block", "least(part, other) AS a", "greatest(part, other) AS b", "held", "part", "source", "term", "n", "p")
