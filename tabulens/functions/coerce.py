@@ -22,6 +22,8 @@ NUMERIC_NOISE_WIDE = r"[$,€£¥₹%\s]"
 DATE_SEPARATORS = r"[-/:\s,]"
 DATE_LIKE_NUMBER = r"[-/]\d{2,4}"
 
+WHITE_SPACE = " \t\n\x0b\f\r"
+
 NUMBER_SHAPE = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 
 # (shape, parse pattern): the shape test keeps each parser away from text it cannot read.
@@ -173,8 +175,8 @@ def to_boolean(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Remove any whitespace at both ends (``trim`` would only remove spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Remove any whitespace at both ends (plain ``trim`` would only remove spaces)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def title_case(c: Column) -> Column:

@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulens.functions.coerce import col, groupable_columns, is_text, key_columns, normalize, percent, render, to_boolean
+from tabulens.functions.coerce import col, groupable_columns, is_text, normalize, percent, render, to_boolean
 from tabulens.operators import stats
-from tabulens.operators.types import chart_role, class_map, column_features, semantic_class
+from tabulens.operators.types import chart_role, column_features, decided_features, semantic_class
+from tabulens.plans.digests import duplicate_counts
 from tabulens.plans.frequency import top_values, value_counts
 from tabulens.plans.quantiles import column_quantiles
 
@@ -23,12 +24,8 @@ TYPE_WIDTH = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "d
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows equal to an earlier row, NULLs being equal.
 
-    Equal rows combine on the map side, so heavy repetition shrinks the shuffle."""
-    df = normalize(df)
-    return df.groupBy(*[c.alias(f"k{i}") for i, c in enumerate(key_columns(df))]).agg(F.count(F.lit(1)).alias("_n")).agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows")) \
-        .withColumn("duplicate_rows_percentage", percent(F.col("duplicate_rows"), F.col("total_rows")))
+    Rows are told by digests, which combine on the map side; the shuffle does not grow with the length of texts."""
+    return duplicate_counts(df).withColumn("duplicate_rows_percentage", percent(F.col("duplicate_rows"), F.col("total_rows")))
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -67,11 +64,11 @@ def dataset_metrics(df: DataFrame) -> DataFrame:
         .withColumn("duplicate_rows_percentage", percent(F.col("duplicate_rows"), F.col("total_rows")))
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """One row per column: counts, shares, distinct and repeated values, class and role."""
     n, rows, distinct = F.col("n_valid"), F.col("n_rows"), F.col("n_distinct")
     repeated = F.greatest(n - distinct, F.lit(0))
-    return column_features(df).select(
+    return (column_features(df) if features is None else features).select(
         "position", "column_name", "dtype", semantic_class().alias("semantic_type"), chart_role().alias("role"),
         n.alias("non_null_count"), percent(n, rows).alias("non_null_percentage"),
         (rows - n).alias("missing_count"), percent(rows - n, rows).alias("missing_percentage"),
@@ -142,9 +139,11 @@ def text_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def profile_table(df: DataFrame) -> DataFrame:
     """The wide profile: common part for all columns, class-specific fields where they apply."""
     df = normalize(df)
-    classes = class_map(df)
+    found = column_features(df)
+    features = df.sparkSession.createDataFrame(found.collect(), found.schema)
+    classes = {r["column_name"]: r["kind"] for r in features.select("column_name", semantic_class().alias("kind")).collect()}
     of = lambda kind: [c for c in df.columns if classes[c] == kind]
-    table = column_profile(df)
+    table = column_profile(df, features)
     if of("Numerical"):
         table = table.join(numeric_profile(df, of("Numerical")), "column_name", "left")
     if of("Categorical"):
@@ -174,7 +173,8 @@ def quality_score(df: DataFrame) -> DataFrame:
 
     The per-column verdicts are one row per column, so they are read before the final plan."""
     df = normalize(df)
-    columns = column_features(df).select("column_name", "n_valid", "n_distinct", semantic_class().alias("kind")).collect()
+    columns = decided_features(df, semantic_class(), F.col("n_distinct") <= 1).select(
+        "column_name", "n_valid", "n_distinct", semantic_class().alias("kind")).collect()
     numeric = [r["column_name"] for r in columns if r["kind"] == "Numerical"]
     m = dataset_metrics(df) \
         .withColumn("empty_columns", F.lit(sum(r["n_valid"] == 0 for r in columns))) \

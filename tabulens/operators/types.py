@@ -1,15 +1,17 @@
-"""Semantic column classes and chart roles from one pass of value counts.
+"""Semantic column classes and chart roles from one scan.
 
-Shares are taken over the whole column, not over a leading sample, so the result does not
-depend on row order."""
+Shares are sums over the rows of the whole column, so the result does not depend on row order and no value
+is shuffled.  The number of distinct values comes from a sketch with bounds; it is counted exactly only
+where the bounds leave a rule open."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabulens.functions.coerce import (DATE_SEPARATORS, groupable_columns, is_numeric, is_temporal,
-                                       is_text, normalize, quoted, strip, to_datetime, to_number)
-from tabulens.plans.frequency import long_rows, value_counts
+from tabulens.functions.coerce import (DATE_SEPARATORS, col, groupable_columns, is_numeric, is_temporal, is_text, normalize,
+                                       quoted, strip, to_datetime, to_number)
+from tabulens.plans.digests import exact_distinct
+from tabulens.plans.sketches import high_sql, low_sql, sketch_sql
 
 CLASSES = ["Numerical", "Categorical", "Datetime", "Boolean", "Other"]
 ROLES = ["numerical", "categorical", "datetime", "boolean", "identifier"]
@@ -45,53 +47,93 @@ def schema_frame(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column_name string, dtype string, storage string")
 
 
-def _all_in(flag: Column) -> Column:
-    return F.coalesce(F.bool_and(flag), F.lit(False))
-
-
-def _number_features(df: DataFrame, names: list[str], kind: str) -> DataFrame:
-    """Counts of numeric columns over their own values, without turning them into text."""
-    counts = long_rows(df, {c: f"cast({quoted(c)} AS {kind})" for c in names}).where("value IS NOT NULL") \
-        .groupBy("column_name", "value").agg(F.expr("count(1) AS n"))
-    return counts.groupBy("column_name").agg(F.expr("sum(n) AS n_valid"), F.expr("count(1) AS n_distinct"),
-                                             F.expr("bool_and(value IN (0, 1)) AS only_zero_one"))
+# a text with a letter that no number holds, or with more than three words, is not tried as number or date
+NO_NUMBER = "[a-dg-hj-mo-su-xzA-DG-HJ-MO-SU-XZ]"
+FEW_WORDS = r"^\s*\S{1,40}(\s+\S{1,40}){0,3}\s*$"
+BOOLEAN_FLAGS = [f"words_{i}" for i in range(len(BOOLEAN_WORDS))]
+
+
+def _column_measures(df: DataFrame, name: str, kind: str) -> dict[str, Column]:
+    """The aggregates of one column, all over its rows as they are: nothing is shuffled for them."""
+    c, quote = col(name), quoted(name)
+    there = c.isNotNull()
+    every = lambda flag: F.coalesce(F.bool_and(flag), F.lit(False))
+    none, unknown = F.lit(False), F.lit(None).cast("double")
+    groupable = name in groupable_columns(df)
+    measures = {
+        "n_valid": F.count(c),
+        "single": F.min(c).eqNullSafe(F.max(c)) if groupable else none,
+        "estimate": F.expr(f"coalesce(hll_sketch_estimate({sketch_sql(name)}), 0L)") if groupable else F.lit(0).cast("long"),
+        "only_zero_one": every(F.expr(f"{quote} IN (0, 1)")) if kind in ("integer", "float", "decimal") else none}
+    if kind != "text":
+        return measures | dict.fromkeys(BOOLEAN_FLAGS, none) | {
+            "has_separator": none, "date_share": unknown, "number_share": unknown, "mean_length": unknown}
+    low = F.lower(strip(c))
+    share = lambda flag: F.avg(F.when(there, F.coalesce(flag, F.lit(False)).cast("double")))
+    date = F.when(c.rlike(FEW_WORDS), to_datetime(c).isNotNull())
+    number = F.when(~c.rlike(NO_NUMBER), to_number(c).isNotNull())
+    return measures | {
+        "only_zero_one": every(F.when(there, F.coalesce(c.isin(ZERO_ONE), F.lit(False)))),
+        **{f: every(F.when(there, F.coalesce(low.isin(words), F.lit(False)))) for f, words in zip(BOOLEAN_FLAGS, BOOLEAN_WORDS)},
+        "has_separator": F.coalesce(F.bool_or(c.rlike(DATE_SEPARATORS)), none),
+        "date_share": share(date), "number_share": share(number), "mean_length": F.avg(F.length(c))}
+
+
+def scan_features(df: DataFrame) -> DataFrame:
+    """One row per column from one scan: what the class and role rules look at, with bounds for the distinct values.
+
+    ``single`` tells exactly whether there is one distinct value; ``at_least`` and ``at_most`` come from a sketch."""
+    df = normalize(df)
+    kinds = {f.name: storage_type(f.dataType) for f in df.schema}
+    if not kinds:
+        return schema_frame(df)
+    found = {c: _column_measures(df, c, k) for c, k in kinds.items()}
+    fields = list(next(iter(found.values())))
+    wide = df.agg(F.count(F.lit(1)).alias("n_rows"),
+                  *[m.alias(f"m{i}_{f}") for i, measures in enumerate(found.values()) for f, m in measures.items()])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n_rows"), *[F.col(f"m{i}_{f}").alias(f) for f in fields])
+                     for i, c in enumerate(kinds)])
+    rows = wide.select(F.inline(rows)).selectExpr(
+        "*", "CASE WHEN n_valid = 0 THEN 0L WHEN single THEN 1L END AS known",
+        f"coalesce(known, greatest(least({low_sql('estimate')}, n_valid), 2L)) AS at_least",
+        f"coalesce(known, greatest(least({high_sql('estimate')}, n_valid), 2L)) AS at_most").drop("estimate", "single", "known")
+    return F.broadcast(schema_frame(df)).join(rows, "column_name").select(
+        "position", "column_name", "dtype", "storage", *[c for c in rows.columns if c != "column_name"])
 
 
 def column_features(df: DataFrame) -> DataFrame:
-    """One row per column with the counts and shares the class and role rules look at."""
-    df = normalize(df)
-    kinds = {f.name: storage_type(f.dataType) for f in df.schema}
-    numbers = {"bigint": [c for c, k in kinds.items() if k == "integer"],
-               "double": [c for c, k in kinds.items() if k == "float"]}
-    names = [c for c in groupable_columns(df) if kinds[c] not in ("integer", "float")]
-    text = [f.name for f in df.schema if is_text(f.dataType)]
-    counts = value_counts(df, names)
-    low = F.lower(strip(F.col("value")))
-    is_text_column = F.col("column_name").isin(text) if text else F.lit(False)
-    seen = counts.select(
-        "column_name", "n", low.alias("low"), F.col("value").isin(ZERO_ONE).alias("zero_one"),
-        F.length("value").alias("len"),
-        (is_text_column & F.col("value").rlike(DATE_SEPARATORS)).alias("separated"),
-        F.when(is_text_column, to_datetime(F.col("value")).isNotNull()).alias("is_date"),
-        F.when(is_text_column, to_number(F.col("value")).isNotNull()).alias("is_number"))
-    weighted = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    features = seen.groupBy("column_name").agg(
-        F.sum("n").alias("n_valid"), F.count(F.lit(1)).alias("n_distinct"),
-        _all_in(F.col("zero_one")).alias("only_zero_one"),
-        *[_all_in(F.col("low").isin(words)).alias(f"words_{i}") for i, words in enumerate(BOOLEAN_WORDS)],
-        F.bool_or("separated").alias("has_separator"),
-        F.try_divide(weighted(F.col("is_date")), F.sum("n")).alias("date_share"),
-        F.try_divide(weighted(F.col("is_number")), F.sum("n")).alias("number_share"),
-        F.try_divide(F.sum(F.col("len") * F.col("n")), F.sum("n")).alias("mean_length"))
-    for kind, columns in numbers.items():
-        if columns:
-            features = features.unionByName(_number_features(df, columns, kind), allowMissingColumns=True)
-    rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    base = F.broadcast(schema_frame(df)).join(features, "column_name", "left")
-    return base.withColumn("n_rows", rows.scalar()).withColumn("n_valid", F.coalesce("n_valid", F.lit(0))) \
+    """``scan_features`` with the exact number of distinct values of every column."""
+    return scan_features(df).drop("at_least", "at_most").join(exact_distinct(df), "column_name", "left") \
         .withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
 
 
+def _turning_points(row) -> list[int]:
+    """Numbers of distinct values, within the bounds of a column, at which a rule may change its mind."""
+    valid, rows = row["n_valid"], row["n_rows"]
+    steps = [1, 2, 5, 10, 15, 50, 60, valid, rows, *(valid * x for x in (0.3, 0.4, 0.5)), *(rows * x for x in (0.5, 0.85, 0.95))]
+    near = {int(s) + k for s in steps for k in (-1, 0, 1, 2)} | {row["at_least"], row["at_most"]}
+    return sorted(x for x in near if row["at_least"] <= x <= row["at_most"])
+
+
+def decided_features(df: DataFrame, *verdicts: Column) -> DataFrame:
+    """Features with ``n_distinct`` near enough to decide the given rules: as many scans as are needed for that.
+
+    Bounds of a sketch settle most columns.  Only where the rules give different answers within the bounds of a
+    column are its values counted.  One row per column reaches the driver."""
+    spark = df.sparkSession
+    scanned = scan_features(df)
+    kept = [c for c in scanned.columns if c not in ("at_least", "at_most")]
+    schema = T.StructType([scanned.schema[c] for c in kept] + [T.StructField("n_distinct", T.LongType())])
+    rows = scanned.collect()
+    record = lambda r, n: (*[r[c] for c in kept], n)
+    tried = spark.createDataFrame([record(r, n) for r in rows for n in _turning_points(r)], schema)
+    answers = tried.select("column_name", F.struct(*verdicts).alias("a")).groupBy("column_name") \
+        .agg(F.count_distinct(F.to_json("a", {"ignoreNullFields": "false"})).alias("answers"))
+    open_columns = [r["column_name"] for r in answers.where("answers > 1").collect()]
+    exact = {r["column_name"]: r["n_distinct"] for r in exact_distinct(df, open_columns).collect()} if open_columns else {}
+    return spark.createDataFrame([record(r, exact.get(r["column_name"], r["at_most"])) for r in rows], schema)
+
+
 def _named(fragments: list[str]) -> Column:
     return F.lower("column_name").rlike("|".join(fragments))
 
@@ -146,12 +188,12 @@ def chart_role() -> Column:
 
 def semantic_types(df: DataFrame) -> DataFrame:
     """``(column_name, dtype, semantic_type)``."""
-    return column_features(df).select("column_name", "dtype", semantic_class().alias("semantic_type"))
+    return decided_features(df, semantic_class()).select("column_name", "dtype", semantic_class().alias("semantic_type"))
 
 
 def column_roles(df: DataFrame) -> DataFrame:
     """``(column_name, dtype, role)``; the role is NULL for columns that cannot be charted."""
-    return column_features(df).select("column_name", "dtype", chart_role().alias("role"))
+    return decided_features(df, chart_role()).select("column_name", "dtype", chart_role().alias("role"))
 
 
 def class_counts(df: DataFrame) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, functions as F
-
-from tabulens.operators import profile, types
-from tabulens.suite.common import (DIRTY, DIRTY_COLUMNS, dirty, long_sql, pct_sql, rounded, table, ts_text)
+from tabulens.operators import profile
+from tabulens.suite.common import (DIRTY, DIRTY_COLUMNS, dirty, long_sql, pct_sql, rounded, table)
 
 MISSING = "(" + " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in DIRTY_COLUMNS) + ")"
 ALL_TEXT = " UNION ALL ".join(
@@ -162,33 +160,6 @@ SELECT score AS health_score, CASE WHEN score >= 95 THEN 'A+' WHEN score >= 85 T
   ELSE 'Critical Issues' END AS quality_status, passed AS passed_checks, 5 AS total_checks FROM h"""
 
 
-def class_counts(spark, sf):
-    return types.class_counts(table(spark, sf, "orders"))
-
-
-# classes by the rules applied to this table: keys and price are numbers, two text columns have few values
-CLASS_COUNTS = """WITH n AS (SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS a, count(DISTINCT o_orderpriority) AS b FROM orders),
-c AS (SELECT CAST((a <= 50) AS BIGINT) + CAST((b <= 50) AS BIGINT) AS cat FROM n)
-SELECT 'Numerical' AS semantic_type, CAST(3 AS BIGINT) AS column_count UNION ALL SELECT 'Categorical', cat FROM c
-UNION ALL SELECT 'Datetime', 1 UNION ALL SELECT 'Boolean', 0 UNION ALL SELECT 'Other', 2 - cat FROM c"""
-
-TYPED_TABLES = ["customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations",
-                "pages", "benchmark"]
-
-
-def _over_tables(spark, sf, operator) -> DataFrame:
-    frames = [operator(table(spark, sf, t)).withColumn("table_name", F.lit(t)) for t in TYPED_TABLES]
-    return reduce(DataFrame.unionByName, frames + [operator(dirty(spark, sf)).withColumn("table_name", F.lit("dirty"))])
-
-
-def semantic_types(spark, sf):
-    return _over_tables(spark, sf, types.semantic_types)
-
-
-def column_roles(spark, sf):
-    return _over_tables(spark, sf, types.column_roles)
-
-
 def columns_of_class(spark, sf):
     return profile.columns_of_class(dirty(spark, sf), "categorical").select("column_name", "unique_count")
 
@@ -197,11 +168,6 @@ COLUMNS_OF_CLASS = f"""WITH {DIRTY}, long AS ({long_sql('dirty', ['status', 'pri
 SELECT column_name, count(DISTINCT v) AS unique_count FROM long GROUP BY column_name HAVING count(DISTINCT v) <= 50"""
 
 
-def profile_table(spark, sf):
-    t = profile.profile_table(dirty(spark, sf))
-    return rounded(t.withColumn("min_date", ts_text("min_date")).withColumn("max_date", ts_text("max_date")))
-
-
 def approximate_distinct(spark, sf):
     return profile.approximate_distinct(table(spark, sf, "lineitem"))
 
@@ -215,18 +181,6 @@ def preview_info(spark, sf):
     return profile.preview_info(table(spark, sf, "customer"), 3, 25)
 
 
-def ingestion_summary(spark, sf):
-    return profile.ingestion_summary(table(spark, sf, "orders")).select(
-        "column_name", "dtype", "semantic_type", "non_null_count", "missing_count", "unique_count")
-
-
-INGESTION = " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, '{d}' AS dtype, '{t}' AS semantic_type, count({c}) AS non_null_count,"
-    f" count(*) - count({c}) AS missing_count, count(DISTINCT {c}) AS unique_count FROM orders"
-    for c, d, t in (("o_orderkey", "bigint", "Numerical"), ("o_custkey", "bigint", "Numerical"),
-                    ("o_orderstatus", "string", "Categorical"), ("o_totalprice", "double", "Numerical"),
-                    ("o_orderdate", "timestamp_ntz", "Datetime"), ("o_orderpriority", "string", "Categorical")))
-
 QUERIES = {
     "dataset_metrics": (dataset_metrics, DATASET_METRICS),
     "size_estimate": (size_estimate, SIZE),
@@ -240,14 +194,9 @@ QUERIES = {
     "boolean_profile": (boolean_profile, BOOLEAN_PROFILE),
     "text_profile": (text_profile, TEXT_PROFILE),
     "quality_score": (quality_score, QUALITY_SCORE),
-    "class_counts": (class_counts, CLASS_COUNTS),
-    "semantic_types": (semantic_types, None),
-    "column_roles": (column_roles, None),
     "columns_of_class": (columns_of_class, COLUMNS_OF_CLASS),
-    "profile_table": (profile_table, None),
     "approximate_distinct": (approximate_distinct, None),
     "preview_page": (preview_page, "SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 50"),
     "preview_info": (preview_info, """SELECT CAST(3 AS BIGINT) AS page, CAST(25 AS BIGINT) AS page_size, count(*) AS total_rows,
   CAST(ceil(count(*) / 25.0) AS BIGINT) AS total_pages, 3 < ceil(count(*) / 25.0) AS has_next, true AS has_prev FROM customer"""),
-    "ingestion_summary": (ingestion_summary, INGESTION),
 }
