@@ -13,14 +13,16 @@ from tabulens.functions.coerce import (DATE_LIKE_NUMBER, DATE_SEPARATORS, MISSIN
                                        groupable_columns, normalize, numeric_columns, percent, strip, text_columns,
                                        text_literal, title_case, to_datetime, to_number)
 from tabulens.operators.profile import duplicate_rows
-from tabulens.plans.frequency import mode_of, value_counts
+from tabulens.plans.frequency import mode_of, number_kind, own_number_sql, value_counts
 from tabulens.plans.quantiles import collect_quantiles
+from tabulens.plans.sketches import frequent_values
 
 # Codes that stand for a missing number, and names of columns that cannot be negative.
 SENTINEL_NUMBERS = [-999, -9999, 9999, 99999]
 POSITIVE_NAMES = ["age", "price", "cost", "salary", "income", "quantity", "count", "revenue",
                   "amount", "spend", "rate", "distance", "height", "weight", "duration"]
 
+EXACT_WHOLE = 2.0 ** 53
 WHOLE = "(Entire Dataset)"
 SEVERITIES = ["Critical", "High", "Medium", "Low"]
 FIELDS = ["column_name", "issue_type", "affected_rows", "percentage_affected", "severity", "action", "details"]
@@ -90,6 +92,10 @@ def number_features(df: DataFrame, columns: list[str] | None = None) -> DataFram
     if not columns:
         return None
     quartiles = collect_quantiles(df, columns, {"q1": 0.25, "mid": 0.5, "q3": 0.75}, finite_only=True)
+    # whole numbers that doubles cannot tell apart: the dominant value in their own type
+    wide_keys = [c for c, q in quartiles.items() if abs(q["mid"]) >= EXACT_WHOLE and number_kind(df, c) != "double"]
+    big = dict.fromkeys(wide_keys, ("", 0)) | {r["column_name"]: (r["value"], r["n"]) for r in frequent_values(
+        df, wide_keys, 0.9).collect()} if wide_keys else {}
     parts = []
     for c in columns:
         q, v = quartiles.get(c), double_sql(df, c)
@@ -97,17 +103,17 @@ def number_features(df: DataFrame, columns: list[str] | None = None) -> DataFram
         low, high = (q["q1"] - 3.0 * (q["q3"] - q["q1"]), q["q3"] + 3.0 * (q["q3"] - q["q1"])) if fence else (0.0, 0.0)
         infinite = f"abs({v}) = double('Infinity')"
         parts.append({
-            "n_valid": f"count({v})", "low": f"min({v})", "high": f"max({v})",
-            "middle": f"count_if({v} = {q['mid']!r}D)" if q else "0L", "infinite": f"count_if({infinite})",
+            "n_valid": f"count({v})", "single": f"coalesce(min({own_number_sql(df, c)}) = max({own_number_sql(df, c)}), false)",
+            "middle": f"{big[c][1]}L" if c in big else f"count_if({v} = {q['mid']!r}D)" if q else "0L", "infinite": f"count_if({infinite})",
             "codes": f"count_if({v} IN ({', '.join(f'{x}D' for x in SENTINEL_NUMBERS)}))",
             "negatives": f"count_if({v} < 0)" if is_positive_domain(c) else "0L",
             "extreme": f"count_if(NOT {infinite} AND ({v} < {low!r}D OR {v} > {high!r}D))" if fence else "0L",
-            "top_value": f"'{q['mid']}'" if q else "'inf'", "low_fence": f"{low!r}D", "high_fence": f"{high!r}D"})
+            "top_value": f"'{big[c][0] if c in big else q['mid']}'" if q else "'inf'", "low_fence": f"{low!r}D", "high_fence": f"{high!r}D"})
     wide = df.selectExpr("count(1) AS n_rows", *[f"{sql} AS {m}_{i}" for i, part in enumerate(parts)
                                                  for m, sql in part.items()])
     rows = ", ".join("named_struct('column_name', {}, 'n_rows', n_rows, {})".format(
         text_literal(c), ", ".join(f"'{m}', {m}_{i}" for m in parts[0])) for i, c in enumerate(columns))
-    flat = "CASE WHEN n_valid = 0 THEN 0L WHEN low = high THEN 1L ELSE 2L END AS n_distinct"
+    flat = "CASE WHEN n_valid = 0 THEN 0L WHEN single THEN 1L ELSE 2L END AS n_distinct"
     return wide.selectExpr(f"inline(array({rows}))").selectExpr(
         "*", flat, "greatest(middle, infinite) AS top_count", "false AS is_text", "true AS is_number",
         "0L AS missing_words")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulens.functions import formulas
-from tabulens.functions.coerce import as_double, as_timestamp, double_sql, normalize, percent, span_text, text_literal
+from tabulens.functions.coerce import (as_double, as_timestamp, double_sql, is_numeric, normalize, percent, span_text,
+                                       text_literal)
 from tabulens.operators.types import class_map
-from tabulens.plans.frequency import mode_of, number_counts, top_values, value_counts
+from tabulens.plans.digests import exact_distinct
+from tabulens.plans.frequency import mode_of, number_counts, own_number_sql, top_values, value_counts
 from tabulens.plans.quantiles import column_quantiles, quantile_frame
+from tabulens.plans.sketches import exact_modes
 from tabulens.plans.storage import materialize
 
 PERCENTILES = [1, 5, 10, 25, 50, 75, 90, 95, 99]
@@ -18,10 +24,10 @@ def _percentile_names() -> dict[str, float]:
     return {f"p{p}": p / 100 for p in PERCENTILES}
 
 
-# aggregates of one numeric expression
+# aggregates of one numeric column: {0} are its values as doubles, {1} in their own type
 MEASURES = {"valid_count": "count({0})", "mean": "avg({0})", "min": "min({0})", "max": "max({0})", "sum": "sum({0})",
             "std": "stddev_samp({0})", "g1": "skewness({0})", "g2": "kurtosis({0})",
-            "zeros_count": "count_if({0} = 0)"}
+            "zeros_count": "count_if({0} = 0)", "is_constant": "coalesce(min({1}) = max({1}), false)"}
 
 # labels in order; the first that fits wins
 SHAPES = [("is_empty", "Undefined (Empty Data)"), ("is_constant", "Constant (Zero Variance)"),
@@ -36,8 +42,9 @@ SHAPES = [("is_empty", "Undefined (Empty Data)"), ("is_constant", "Constant (Zer
 
 def per_column(df: DataFrame, columns: list[str], measures: dict[str, str]) -> DataFrame:
     """One row per column with the given aggregates, all from one scan."""
-    wide = df.selectExpr(*[f"{double_sql(df, c)} AS c{i}" for i, c in enumerate(columns)]).selectExpr(
-        "count(1) AS total_count", *[f"{sql.format(f'c{i}')} AS c{i}_{m}"
+    wide = df.selectExpr(*[e for i, c in enumerate(columns)
+                           for e in (f"{double_sql(df, c)} AS c{i}", f"{own_number_sql(df, c)} AS o{i}")]).selectExpr(
+        "count(1) AS total_count", *[f"{sql.format(f'c{i}', f'o{i}')} AS c{i}_{m}"
                                      for i in range(len(columns)) for m, sql in measures.items()])
     rows = ", ".join("named_struct('column_name', {}, 'total_count', total_count, {})".format(
         text_literal(c), ", ".join(f"'{m}', c{i}_{m}" for m in measures)) for i, c in enumerate(columns))
@@ -59,7 +66,7 @@ def moment_summary(df: DataFrame, columns: list[str], level: float = 0.95) -> Da
     share = "coalesce(round(try_divide(double({}), double({})) * 100, 2), 0D) AS {}".format
     shape = " ".join(f"WHEN {when} THEN '{label}'" for when, label in SHAPES)
     staged = moments(df, columns).withColumnsRenamed({"std": "_std"}).selectExpr(
-        "*", "coalesce(min = max, false) AS is_constant", f"{n} = 0 AS is_empty", f"total_count - {n} AS missing_count",
+        "*", f"{n} = 0 AS is_empty", f"total_count - {n} AS missing_count",
         share("missing_count", "total_count", "missing_percentage"), "max - min AS range",
         flat.format("nullif(_std, double('NaN'))") + " AS std", "std * std AS variance",
         f"try_divide(std, sqrt({n})) AS sem",
@@ -88,11 +95,25 @@ def approximate_percentiles(df: DataFrame, columns: list[str], accuracy: int = 1
 
 
 def numeric_modes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Smallest most frequent value per column; NULL when no value repeats."""
-    return number_counts(df, columns).groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("distinct_count"), F.max("n").alias("mode_count"), mode_of().alias("mode_value")) \
-        .select("column_name", "distinct_count",
-                F.when(F.col("mode_count") > 1, F.col("mode_value")).alias("mode_value"))
+    """``(column_name, distinct_count, mode_value, mode_text)``: the smallest most frequent value, NULL when none repeats.
+
+    Values are told apart in their own type; ``mode_text`` has all digits of whole numbers beyond 2^53.  A frequent
+    value is found by a sketch and counted in a second scan; only columns without one have all values counted."""
+    df = normalize(df)
+    spark = df.sparkSession
+    typed = [c for c in columns if is_numeric(df.schema[c].dataType)]
+    settled = {c: min((v for v, _ in values), key=Decimal) for c, values in exact_modes(df, typed).items()
+               if values[0][1] > 1} if typed else {}
+    easy = spark.createDataFrame([(c, float(v), v) for c, v in settled.items()],
+                                 "column_name string, mode_value double, mode_text string")
+    parts = [exact_distinct(df, list(settled)).join(easy, "column_name").selectExpr(
+        "column_name", "n_distinct AS distinct_count", "mode_value", "mode_text")] if settled else []
+    for counts in number_counts(df, [c for c in columns if c not in settled]):
+        parts.append(counts.groupBy("column_name").agg(
+            F.count(F.lit(1)).alias("distinct_count"), F.max("n").alias("_most"), mode_of().alias("_mode")).selectExpr(
+                "column_name", "distinct_count", "CASE WHEN _most > 1 THEN cast(_mode AS double) END AS mode_value",
+                "CASE WHEN _most > 1 THEN cast(_mode AS string) END AS mode_text"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fences(quantiles: DataFrame, multiplier: float = 1.5) -> DataFrame:
@@ -132,7 +153,7 @@ def numeric_summary(df: DataFrame, columns: list[str], level: float = 0.95) -> D
     q = percentiles(df, columns).drop("n_values")
     out = fence_outliers(df, columns).select("column_name", "iqr", "lower_bound", "upper_bound",
                                              "outlier_count", "outlier_percentage")
-    joined = base.join(q, "column_name", "left").join(numeric_modes(df, columns), "column_name", "left") \
+    joined = base.join(q, "column_name", "left").join(numeric_modes(df, columns).drop("mode_text"), "column_name", "left") \
         .join(out, "column_name", "left")
     return joined.withColumn("median", F.col("p50")).withColumn("q1", F.col("p25")).withColumn("q3", F.col("p75")) \
         .withColumn("mode", F.coalesce("mode_value", "p50")).drop("mode_value") \

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulens.functions.coerce import double_sql, quoted, text_literal
 
@@ -27,9 +27,24 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return _counted(long_rows(df, {c: f"cast({quoted(c)} AS string)" for c in columns}))
 
 
-def number_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column_name, value, n)`` over numeric values, kept as doubles."""
-    return _counted(long_rows(df, {c: double_sql(df, c) for c in columns}))
+def number_kind(df: DataFrame, name: str) -> str:
+    """The type in which the numbers of a column are told apart: whole and decimal numbers keep all digits."""
+    dtype = df.schema[name].dataType
+    return "bigint" if isinstance(dtype, T.IntegralType) else "decimal(38,10)" if isinstance(dtype, T.DecimalType) else "double"
+
+
+def own_number_sql(df: DataFrame, name: str) -> str:
+    """SQL of a numeric column in the type of its values."""
+    kind = number_kind(df, name)
+    return double_sql(df, name) if kind == "double" else f"cast({quoted(name)} AS {kind})"
+
+
+def number_counts(df: DataFrame, columns: list[str]) -> list[DataFrame]:
+    """``(column_name, value, n)`` over numeric values, one frame for each type of value."""
+    by_kind: dict[str, dict[str, str]] = {}
+    for c in columns:
+        by_kind.setdefault(number_kind(df, c), {})[c] = own_number_sql(df, c)
+    return [_counted(long_rows(df, expressions)) for expressions in by_kind.values()]
 
 
 def top_values(counts: DataFrame, k: int, rank: str = "rank") -> DataFrame:

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabulens.functions.coerce import groupable_columns, normalize, quoted, text_literal
+from tabulens.functions.coerce import groupable_columns, is_numeric, normalize, quoted, text_literal
+from tabulens.plans.frequency import long_rows
 
 LG_REGISTERS = 14
 # one standard error of the estimate, and how many of them a bound lies away
@@ -54,3 +55,56 @@ def distinct_bounds(sketches: DataFrame) -> DataFrame:
     """``(column_name, n_valid, estimate, at_least, at_most)``: bounds five standard errors away."""
     return sketches.selectExpr("column_name", "n_valid", "coalesce(hll_sketch_estimate(sketch), 0L) AS estimate") \
         .selectExpr("*", f"least({low_sql('estimate')}, n_valid) AS at_least", f"least({high_sql('estimate')}, n_valid) AS at_most")
+
+
+def _candidates(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, list[tuple[str, int]]]]:
+    """Rows of each column, and its frequent values as text with their estimated counts, most frequent first."""
+    wide = df.selectExpr(*[e for i, c in enumerate(columns)
+                           for e in (f"count({quoted(c)}) AS n{i}", f"approx_top_k({quoted(c)}, {TRACKED}, {TRACKED}) AS t{i}")])
+    rows = ", ".join(f"named_struct('column_name', {text_literal(c)}, 'n', n{i}, 'top', "
+                     f"transform(t{i}, x -> named_struct('value', cast(x.item AS string), 'n', x.count)))"
+                     for i, c in enumerate(columns))
+    found = wide.selectExpr(f"inline(array({rows}))").collect()
+    return {r["column_name"]: (r["n"], [(x["value"], x["n"]) for x in r["top"] or [] if x["value"] is not None]) for r in found}
+
+
+def _recounted(df: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    """``(column_name, value, n)``: exact counts of the given values, as text; nothing else is shuffled."""
+    def literal(c, v):
+        return text_literal(v) if not is_numeric(df.schema[c].dataType) else \
+            f"cast({text_literal(v)} AS {df.schema[c].dataType.simpleString()})"
+    cases = {c: f"CASE WHEN {quoted(c)} IN ({', '.join(literal(c, v) for v in values)}) THEN cast({quoted(c)} AS string) END"
+             for c, values in wanted.items() if values}
+    return long_rows(df, cases).where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def frequent_values(df: DataFrame, columns: list[str], share: float = 0.05) -> DataFrame:
+    """``(column_name, value, n)``: every value of a number or text column that holds ``share`` of its non-null rows or more.
+
+    A sketch proposes, a second scan counts.  ``share`` must exceed what the sketch may miss."""
+    if share <= MISSED_SHARE:
+        raise ValueError(f"share must be above {MISSED_SHARE}")
+    df = normalize(df)
+    found = _candidates(df, columns)
+    wanted = {c: [v for v, m in top if m >= (share - MISSED_SHARE) * n] for c, (n, top) in found.items()}
+    if not any(wanted.values()):
+        return df.sparkSession.createDataFrame([], "column_name string, value string, n long")
+    least = df.sparkSession.createDataFrame([(c, n * share) for c, (n, _) in found.items()], "column_name string, least double")
+    return _recounted(df, wanted).join(F.broadcast(least), "column_name").where("n >= least").select("column_name", "value", "n")
+
+
+def exact_modes(df: DataFrame, columns: list[str]) -> dict[str, list[tuple[str, int]]]:
+    """The most frequent values of each column, as text with their exact count, where the sketch settles them.
+
+    A column is settled if its best value holds more rows than any value the sketch may have missed."""
+    df = normalize(df)
+    found = _candidates(df, columns)
+    wanted = {c: [v for v, m in top if m >= top[0][1] - MISSED_SHARE * n] if top and top[0][1] > MISSED_SHARE * n else []
+              for c, (n, top) in found.items()}
+    if not any(wanted.values()):
+        return {}
+    best: dict[str, list[tuple[str, int]]] = {}
+    for r in _recounted(df, wanted).collect():
+        best.setdefault(r["column_name"], []).append((r["value"], r["n"]))
+    modes = {c: [x for x in values if x[1] == max(n for _, n in values)] for c, values in best.items()}
+    return {c: values for c, values in modes.items() if values[0][1] > MISSED_SHARE * found[c][0]}

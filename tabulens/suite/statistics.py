@@ -46,7 +46,7 @@ def percentiles_approx(spark, sf):
 
 
 def modes(spark, sf):
-    return stats.numeric_modes(line(spark, sf), LINE_NUMBERS)
+    return stats.numeric_modes(line(spark, sf), LINE_NUMBERS).drop("mode_text")
 
 
 MODES = f"""{LONG}, c AS (SELECT column_name, v, count(*) AS n FROM long GROUP BY ALL),
