@@ -22,6 +22,10 @@ NUMERIC_NOISE_WIDE = r"[$,€£¥₹%\s]"
 DATE_SEPARATORS = r"[-/:\s,]"
 DATE_LIKE_NUMBER = r"[-/]\d{2,4}"
 
+# a text with a letter that no number holds is not tried as a number, one of more than four words not as a date
+NO_NUMBER = "[a-dg-hj-mo-su-xzA-DG-HJ-MO-SU-XZ]"
+FEW_WORDS = r"^\s*\S{1,40}(\s+\S{1,40}){0,3}\s*$"
+
 WHITE_SPACE = " \t\n\x0b\f\r"
 
 NUMBER_SHAPE = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tabulens.functions.coerce import (as_double, clipped, col, groupable_columns, key_columns, is_numeric, normalize, numeric_columns,
                                        strip, text_columns, is_missing_word, to_datetime, to_number)
 from tabulens.operators.quality import (SENTINEL_NUMBERS, case_variants, is_date_text,
-                                        is_numeric_text, is_positive_domain, text_features)
+                                        is_numeric_text, is_positive_domain, text_scan)
 from tabulens.plans.frequency import mode_of, value_counts
 from tabulens.plans.quantiles import collect_quantiles
 from tabulens.plans.storage import BROADCAST_ROWS, materialize
@@ -104,7 +104,7 @@ def text_decisions(df: DataFrame) -> tuple[list[str], list[str]]:
     """Text columns that read as numbers, and text columns that read as dates."""
     if not text_columns(df):
         return [], []
-    found = text_features(df.select(*[col(c) for c in text_columns(df)])).select(
+    found = text_scan(df.select(*[col(c) for c in text_columns(df)])).select(
         "column_name", is_numeric_text().alias("number"), is_date_text().alias("date")).collect()
     numbers = [r["column_name"] for r in found if r["number"]]
     return numbers, [r["column_name"] for r in found if r["date"]]

@@ -1,7 +1,8 @@
 """Data-quality detectors and the audit that unites them.
 
-Text columns are reduced once to counts per distinct value; every text rule reads that small
-frame.  Numeric rules share one scan, plus the quartiles for the extreme-value rule."""
+Text rules share one scan of sums over the rows; case variants are counted by digests and dominant values by a
+sketch with an exact recount, so that no text is shuffled.  Numeric rules share one scan, plus the quartiles for the
+extreme-value rule."""
 
 from __future__ import annotations
 
@@ -9,10 +10,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulens.functions.coerce import (DATE_LIKE_NUMBER, DATE_SEPARATORS, MISSING_WORDS, double_sql,
-                                       groupable_columns, normalize, numeric_columns, percent, strip, text_columns,
-                                       text_literal, title_case, to_datetime, to_number)
+from tabulens.functions.coerce import (DATE_LIKE_NUMBER, DATE_SEPARATORS, FEW_WORDS, NO_NUMBER, col, double_sql,
+                                       groupable_columns, is_missing_word, normalize, numeric_columns, percent, strip,
+                                       text_columns, text_literal, title_case, to_datetime, to_number)
 from tabulens.operators.profile import duplicate_rows
+from tabulens.plans.digests import SECOND_SEED
 from tabulens.plans.frequency import mode_of, number_kind, own_number_sql, value_counts
 from tabulens.plans.quantiles import collect_quantiles
 from tabulens.plans.sketches import frequent_values
@@ -22,6 +24,7 @@ SENTINEL_NUMBERS = [-999, -9999, 9999, 99999]
 POSITIVE_NAMES = ["age", "price", "cost", "salary", "income", "quantity", "count", "revenue",
                   "amount", "spend", "rate", "distance", "height", "weight", "duration"]
 
+DOMINANT_SHARE = 0.9
 EXACT_WHOLE = 2.0 ** 53
 WHOLE = "(Entire Dataset)"
 SEVERITIES = ["Critical", "High", "Medium", "Low"]
@@ -48,39 +51,77 @@ def _listed(frame: DataFrame, *issues: Column) -> DataFrame:
     return frame.select("column_name", F.inline(F.array_compact(F.array(*issues))))
 
 
-def text_features(df: DataFrame) -> DataFrame:
-    """One row per column that is no number, with the counts the value-based rules need.
-
-    Values are first combined under their lower-cased stripped form, which also yields the
-    case variants; then under their column."""
-    texts = text_columns(df)
+def text_scan(df: DataFrame) -> DataFrame:
+    """One row per column that is no number, with the sums over its rows that the rules need, from one scan.
+
+    ``n_distinct`` only tells none, one and more apart."""
+    texts, numbers = text_columns(df), numeric_columns(df)
+    names = [c for c in groupable_columns(df) if c not in numbers]
+    none = F.lit(0).cast("long")
+    measures = {}
+    for name in names:
+        c = col(name)
+        measures[name] = {"n_valid": F.count(c), "single": F.min(c).eqNullSafe(F.max(c)), "only_value": F.min(c).cast("string")}
+        if name in texts:
+            number = F.when(~c.rlike(NO_NUMBER), to_number(c, wide=True))
+            date = F.when(c.rlike(FEW_WORDS), to_datetime(c))
+            measures[name] |= {
+                "missing_words": F.count_if(is_missing_word(c)), "padded": F.count_if(strip(c) != c),
+                "numbers": F.count(number), "dates": F.count(date),
+                "separated": F.coalesce(F.bool_or(c.rlike(DATE_SEPARATORS)), F.lit(False)),
+                "date_like": F.coalesce(F.bool_or(c.rlike(DATE_LIKE_NUMBER)), F.lit(False))}
+        else:
+            measures[name] |= dict.fromkeys(("missing_words", "padded", "numbers", "dates"), none) \
+                | dict.fromkeys(("separated", "date_like"), F.lit(False))
+    if not names:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, is_text boolean, n_rows long, n_valid long, n_distinct long, only_value string, missing_words"
+                " long, padded long, numbers long, dates long, separated boolean, date_like boolean, is_number boolean")
+    wide = df.agg(F.count(F.lit(1)).alias("n_rows"),
+                  *[m.alias(f"m{i}_{k}") for i, found in enumerate(measures.values()) for k, m in found.items()])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(c in texts).alias("is_text"), F.col("n_rows"),
+                              *[F.col(f"m{i}_{k}").alias(k) for k in found]) for i, (c, found) in enumerate(measures.items())])
+    return wide.select(F.inline(rows)).withColumn(
+        "n_distinct", F.when(F.col("n_valid") == 0, 0).when(F.col("single"), 1).otherwise(2).cast("long")) \
+        .drop("single").withColumn("is_number", F.lit(False))
+
+
+def spelling_variants(df: DataFrame) -> DataFrame:
+    """``(column_name, variant_groups, variant_rows)``: forms of a text column with several spellings, and the rows that do
+    not have the most frequent value of their form.
+
+    Values, their stripped spellings and their lower-case forms are told by 128-bit digests, so texts are not shuffled."""
+    halves = lambda name, c: [F.xxhash64(c).alias(f"{name}1"), F.xxhash64(F.lit(SECOND_SEED), c).alias(f"{name}2")]
+    cells = F.array(*[F.struct(
+        F.lit(name).alias("column_name"), col(name).isNotNull().alias("there"), (strip(col(name)) != "").alias("filled"),
+        *halves("v", col(name)), *halves("b", strip(col(name))), *halves("f", F.lower(strip(col(name)))))
+        for name in text_columns(df)])
+    values = df.select(F.inline(cells)).where("there").groupBy("column_name", "f1", "f2", "v1", "v2").agg(
+        F.count(F.lit(1)).alias("n"), F.first("filled").alias("filled"), F.first("b1").alias("b1"), F.first("b2").alias("b2"))
+    forms = values.groupBy("column_name", "f1", "f2").agg(
+        F.sum("n").alias("n"), F.max("n").alias("top"),
+        (F.bool_or("filled") & (F.min(F.struct("b1", "b2")) != F.max(F.struct("b1", "b2")))).alias("varied"))
+    return forms.groupBy("column_name").agg(
+        F.count_if("varied").alias("variant_groups"), F.sum(F.when(F.col("varied"), F.col("n") - F.col("top")).otherwise(0)).alias("variant_rows"))
+
+
+def text_features(df: DataFrame, variants: bool = True, dominant: bool = True) -> DataFrame:
+    """``text_scan`` with the dominant value of each column and its spelling variants, as far as they are asked for.
+
+    Only a value that holds at least ``DOMINANT_SHARE`` of a column is given with its count; other columns have 0."""
+    features = text_scan(df)
+    spark = df.sparkSession
     names = [c for c in groupable_columns(df) if c not in numeric_columns(df)]
-    in_text = F.col("column_name").isin(texts) if texts else F.lit(False)
-    v, n = F.col("value"), F.col("n")
-    weight = lambda c: F.sum(F.when(in_text & c, n).otherwise(0))
-    found = lambda pattern: F.bool_or(in_text & v.rlike(pattern))
-    stripped = value_counts(df, names).withColumn("bare", strip(v))
-    by_form = stripped.withColumn("form", F.lower("bare")).groupBy("column_name", "form").agg(
-        F.sum("n").alias("n_valid"), F.count(F.lit(1)).alias("n_distinct"), F.max("n").alias("top"),
-        mode_of().alias("top_value"),
-        ((F.min("bare") != F.max("bare")) & (F.col("form") != "")).alias("has_variants"),
-        weight(F.lower("bare").isin(MISSING_WORDS)).alias("missing_words"), weight(F.col("bare") != v).alias("padded"),
-        weight(to_number(v, wide=True).isNotNull()).alias("numbers"), weight(to_datetime(v).isNotNull()).alias("dates"),
-        found(DATE_SEPARATORS).alias("separated"), found(DATE_LIKE_NUMBER).alias("date_like"))
-    varied = F.col("has_variants") & in_text
-    features = by_form.groupBy("column_name").agg(
-        F.sum("n_valid").alias("n_valid"), F.sum("n_distinct").alias("n_distinct"), F.max("top").alias("top_count"),
-        F.min_by("top_value", F.struct(-F.col("top"), F.col("top_value"))).alias("top_value"),
-        *[F.sum(c).alias(c) for c in ("missing_words", "padded", "numbers", "dates")],
-        F.count_if(varied).alias("variant_groups"),
-        F.sum(F.when(varied, F.col("n_valid") - F.col("top")).otherwise(0)).alias("variant_rows"),
-        F.bool_or("separated").alias("separated"), F.bool_or("date_like").alias("date_like"))
-    base = df.sparkSession.createDataFrame([(c, c in texts) for c in names], "column_name string, is_text boolean")
-    rows = df.agg(F.count(F.lit(1)))
-    counted = ["n_valid", "n_distinct", "missing_words", "padded", "numbers", "dates", "variant_groups", "variant_rows"]
-    return F.broadcast(base).join(features, "column_name", "left").withColumn("n_rows", rows.scalar()) \
-        .withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counted}) \
-        .withColumn("is_number", F.lit(False))
+    found = [(r["column_name"], r["value"], r["n"]) for r in frequent_values(df, names, DOMINANT_SHARE).collect()] \
+        if dominant and names else []
+    top = spark.createDataFrame(found, "column_name string, top_value string, top_count long")
+    features = features.join(F.broadcast(top), "column_name", "left") \
+        .withColumn("top_value", F.coalesce("top_value", "only_value")).drop("only_value")
+    if variants and text_columns(df):
+        features = features.join(spelling_variants(df), "column_name", "left")
+    else:
+        features = features.withColumns({c: F.lit(0).cast("long") for c in ("variant_groups", "variant_rows")})
+    return features.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("top_count", "variant_groups", "variant_rows")})
 
 
 def number_features(df: DataFrame, columns: list[str] | None = None) -> DataFrame | None:
@@ -240,8 +281,9 @@ def column_issues(df: DataFrame, rules: list | None = None) -> DataFrame:
     chosen = lambda group: [i for r in group if rules is None or r in rules for i in r()]
     parts = []
     on_text, on_numbers = chosen(SHARED_RULES + TEXT_RULES), chosen(SHARED_RULES + NUMBER_RULES)
+    wanted = lambda rule: rules is None or rule in rules
     if on_text:
-        parts.append(_listed(text_features(df), *on_text))
+        parts.append(_listed(text_features(df, wanted(category_rules), wanted(near_constant_rules)), *on_text))
     if on_numbers:
         numbers = number_features(df)
         if numbers is not None:

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabulens.functions.coerce import (DATE_SEPARATORS, col, groupable_columns, is_numeric, is_temporal, is_text, normalize,
-                                       quoted, strip, to_datetime, to_number)
+from tabulens.functions.coerce import (DATE_SEPARATORS, FEW_WORDS, NO_NUMBER, col, groupable_columns, is_numeric, is_temporal,
+                                       is_text, normalize, quoted, strip, to_datetime, to_number)
 from tabulens.plans.digests import exact_distinct
 from tabulens.plans.sketches import high_sql, low_sql, sketch_sql
 
@@ -47,9 +47,6 @@ def schema_frame(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column_name string, dtype string, storage string")
 
 
-# a text with a letter that no number holds, or with more than three words, is not tried as number or date
-NO_NUMBER = "[a-dg-hj-mo-su-xzA-DG-HJ-MO-SU-XZ]"
-FEW_WORDS = r"^\s*\S{1,40}(\s+\S{1,40}){0,3}\s*$"
 BOOLEAN_FLAGS = [f"words_{i}" for i in range(len(BOOLEAN_WORDS))]
 
 

@@ -57,29 +57,38 @@ def distinct_bounds(sketches: DataFrame) -> DataFrame:
         .selectExpr("*", f"least({low_sql('estimate')}, n_valid) AS at_least", f"least({high_sql('estimate')}, n_valid) AS at_most")
 
 
+def _item_sql(df: DataFrame, name: str) -> tuple[str, str]:
+    """SQL of what a sketch tracks for a column, and its type: numbers as they are, other values by their hash."""
+    c = quoted(name)
+    if is_numeric(df.schema[name].dataType):
+        return c, df.schema[name].dataType.simpleString()
+    return f"CASE WHEN {c} IS NOT NULL THEN xxhash64({c}) END", "bigint"
+
+
 def _candidates(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, list[tuple[str, int]]]]:
-    """Rows of each column, and its frequent values as text with their estimated counts, most frequent first."""
-    wide = df.selectExpr(*[e for i, c in enumerate(columns)
-                           for e in (f"count({quoted(c)}) AS n{i}", f"approx_top_k({quoted(c)}, {TRACKED}, {TRACKED}) AS t{i}")])
+    """Rows of each column, and its frequent items as text with their estimated counts, most frequent first."""
+    wide = df.selectExpr(*[e for i, c in enumerate(columns) for e in (
+        f"count({quoted(c)}) AS n{i}", f"approx_top_k({_item_sql(df, c)[0]}, {TRACKED}, {TRACKED}) AS t{i}")])
     rows = ", ".join(f"named_struct('column_name', {text_literal(c)}, 'n', n{i}, 'top', "
-                     f"transform(t{i}, x -> named_struct('value', cast(x.item AS string), 'n', x.count)))"
+                     f"transform(t{i}, x -> named_struct('item', cast(x.item AS string), 'n', x.count)))"
                      for i, c in enumerate(columns))
     found = wide.selectExpr(f"inline(array({rows}))").collect()
-    return {r["column_name"]: (r["n"], [(x["value"], x["n"]) for x in r["top"] or [] if x["value"] is not None]) for r in found}
+    return {r["column_name"]: (r["n"], [(x["item"], x["n"]) for x in r["top"] or [] if x["item"] is not None]) for r in found}
 
 
 def _recounted(df: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
-    """``(column_name, value, n)``: exact counts of the given values, as text; nothing else is shuffled."""
-    def literal(c, v):
-        return text_literal(v) if not is_numeric(df.schema[c].dataType) else \
-            f"cast({text_literal(v)} AS {df.schema[c].dataType.simpleString()})"
-    cases = {c: f"CASE WHEN {quoted(c)} IN ({', '.join(literal(c, v) for v in values)}) THEN cast({quoted(c)} AS string) END"
-             for c, values in wanted.items() if values}
+    """``(column_name, value, n)``: exact counts of the values behind the given items; nothing else is shuffled."""
+    cases = {}
+    for c, items in wanted.items():
+        if items:
+            item, kind = _item_sql(df, c)
+            listed = ", ".join(f"cast({text_literal(v)} AS {kind})" for v in items)
+            cases[c] = f"CASE WHEN {item} IN ({listed}) THEN cast({quoted(c)} AS string) END"
     return long_rows(df, cases).where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def frequent_values(df: DataFrame, columns: list[str], share: float = 0.05) -> DataFrame:
-    """``(column_name, value, n)``: every value of a number or text column that holds ``share`` of its non-null rows or more.
+    """``(column_name, value, n)``: every value of a column that holds ``share`` of its non-null rows or more.
 
     A sketch proposes, a second scan counts.  ``share`` must exceed what the sketch may miss."""
     if share <= MISSED_SHARE:
