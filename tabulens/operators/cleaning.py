@@ -15,8 +15,11 @@ from tabulens.functions.coerce import (as_double, clipped, col, groupable_column
 from tabulens.operators.quality import (SENTINEL_NUMBERS, case_variants, is_date_text,
                                         is_numeric_text, is_positive_domain, text_scan)
 from tabulens.plans.frequency import mode_of, value_counts
-from tabulens.plans.quantiles import collect_quantiles
-from tabulens.plans.storage import BROADCAST_ROWS, materialize
+from tabulens.plans.quantiles import BROADCAST_BYTES, collect_quantiles
+from tabulens.plans.sketches import frequent_values
+from tabulens.plans.storage import materialize
+
+HOT_SHARE = 0.01
 
 # The options and their defaults.
 DEFAULTS = {
@@ -77,25 +80,48 @@ def category_map(df: DataFrame) -> DataFrame:
         .select("column_name", "value", "n", "canonical")
 
 
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def apply_category_map(df: DataFrame, mapping: DataFrame, columns: list[str], small: bool) -> DataFrame:
-    """Step 2, second half: a left join per affected column, broadcast only when the map is small."""
+    """Step 2, second half: replace the values of the map.
+
+    A map of few bytes is broadcast.  For a larger one the join is split: values that hold ``HOT_SHARE`` of a column
+    are replaced (or kept) through a broadcast of these few, all others through a shuffle.  Rows that are
+    settled, or have no value, are dealt evenly in it, as their key matches nothing."""
+    hot = None if small else materialize(frequent_values(df, columns, HOT_SHARE))
     for c in columns:
-        part = mapping.where(F.col("column_name") == c).select(F.col("value").alias("_from"),
-                                                               F.col("canonical").alias("_to"))
-        df = df.join(F.broadcast(part) if small else part, col(c) == F.col("_from"), "left") \
-            .withColumn(c, F.coalesce(F.col("_to"), col(c))).drop("_from", "_to")
+        source, target = _fresh(df, "from"), _fresh(df, "to")
+        part = mapping.where(F.col("column_name") == c).select(F.col("value").alias(source), F.col("canonical").alias(target))
+        if small:
+            df = df.join(F.broadcast(part), col(c) == col(source), "left") \
+                .withColumn(c, F.coalesce(col(target), col(c))).drop(source, target)
+            continue
+        value, kept, key = _fresh(df, "hot"), _fresh(df, "kept"), _fresh(df, "key")
+        frequent = hot.where(F.col("column_name") == c).select(F.col("value").alias(value))
+        frequent = frequent.join(part, col(value) == col(source), "left").select(value, F.coalesce(col(target), col(value)).alias(kept))
+        df = df.join(F.broadcast(frequent), col(c) == col(value), "left").drop(value)
+        spread = F.concat(F.lit("\0"), (F.monotonically_increasing_id() % 4096).cast("string"))
+        df = df.withColumn(key, F.when(col(c).isNotNull() & col(kept).isNull(), col(c)).otherwise(spread))
+        df = df.join(part, col(key) == col(source), "left") \
+            .withColumn(c, F.coalesce(col(kept), col(target), col(c))).drop(source, target, kept, key)
     return df
 
 
-def standardize_categories(df: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+def standardize_categories(df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, dict[str, int]]:
     """Step 2: unify spellings that differ only by case; returns changed cells per column too.
 
-    The map is written once and its entries counted: that count decides about broadcasting."""
+    The map is written once and its bytes summed: they decide about broadcasting."""
     if not text_columns(df):
         return df, {}
     mapping = materialize(category_map(df))
-    found = mapping.groupBy("column_name").agg(F.sum("n").alias("cells"), F.count(F.lit(1)).alias("entries")).collect()
-    small = sum(r["entries"] for r in found) <= BROADCAST_ROWS
+    size = F.sum(F.octet_length("value") + F.octet_length("canonical") + 32)
+    found = mapping.groupBy("column_name").agg(F.sum("n").alias("cells"), size.alias("bytes")).collect()
+    small = sum(r["bytes"] for r in found) <= broadcast_bytes
     return apply_category_map(df, mapping, [r["column_name"] for r in found], small), \
         {r["column_name"]: r["cells"] for r in found}
 

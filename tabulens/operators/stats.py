@@ -247,7 +247,7 @@ def datetime_cadence(df: DataFrame, columns: list[str]) -> DataFrame:
         F.struct(F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("weight"))))) \
         .where("gap is not null and weight > 0") \
         .groupBy("column_name", "gap").agg(F.sum("weight").alias("weight"))
-    median = quantile_frame(gaps, ["column_name"], "gap", {"median_gap": 0.5}, weight="weight")
+    median = quantile_frame(gaps, ["column_name"], "gap", {"median_gap": 0.5}, weight="weight", few_keys=True)
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
     seconds = F.col("median_gap") / 1e6
     return names.join(median, "column_name", "left").select(

@@ -35,13 +35,15 @@ RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
 def quantile_frame(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                   weight: str | None = None, few_rows: int = FEW_ROWS, bins_per_e: int = BINS_PER_E) -> DataFrame:
+                   weight: str | None = None, few_rows: int = FEW_ROWS, bins_per_e: int = BINS_PER_E,
+                   few_keys: bool = False) -> DataFrame:
     """One row per key with one column per entry of ``probs`` (name -> probability).
 
     Linear interpolation between neighbouring ranks.  ``weight`` counts a row several times.
     A bin of more than ``few_rows`` rows and more than one value is split again.  The chosen bins are
     broadcast if they take little memory, else joined by shuffle.  ``bins_per_e`` sets how finely
-    magnitudes are told apart; it changes the cost, not the result."""
+    magnitudes are told apart; it changes the cost, not the result.  ``few_keys`` says that the keys are names of
+    columns: their chosen bins, two per key and probability, are then read by the driver instead of being stored."""
     names = [quoted(k) for k in keys]
     by_key = ", ".join(names)
     position = {out: f"({p!r}D * (_total - 1))" for out, p in probs.items()}
@@ -58,7 +60,8 @@ def quantile_frame(rows: DataFrame, keys: list[str], value: str, probs: dict[str
     path = [*keys, "_bin"]
 
     for _ in range(MAX_LEVELS):
-        kept = materialize(bins.where(f"exists({ranks}, {inside})"))
+        kept = bins.where(f"exists({ranks}, {inside})")
+        kept = cur.sparkSession.createDataFrame(kept.collect(), kept.schema) if few_keys else materialize(kept)
         size = kept.agg(F.max(F.when(F.col("_high") > F.col("_low"), F.col("_n"))), F.count(F.lit(1)),
                         F.sum(reduce(add, [F.octet_length(F.col(n).cast("string")) for n in names], F.lit(64)))).first()
         chosen = kept.drop("_n")
@@ -93,7 +96,7 @@ def long_numbers(df: DataFrame, columns: list[str], finite_only: bool = False) -
 def column_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float],
                      finite_only: bool = False) -> DataFrame:
     """Quantiles of every column: ``(column_name, n_values, <name> ...)``."""
-    return quantile_frame(long_numbers(df, columns, finite_only), ["column_name"], "value", probs)
+    return quantile_frame(long_numbers(df, columns, finite_only), ["column_name"], "value", probs, few_keys=True)
 
 
 def collect_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float],

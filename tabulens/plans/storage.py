@@ -8,22 +8,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# most lookup rows that may be broadcast; bigger lookups join by shuffle
-BROADCAST_ROWS = 100_000
-
-
 _local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
-    Where none is set: a temporary folder, per application, if driver and tasks are one process; on a
-    cluster the warehouse folder, which all machines reach."""
+    Where none is set, a single process takes a temporary folder per application; a cluster must name a
+    folder that all its machines reach."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/tabulens"
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     if not folder:
         folder = _local_folders.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="tabulens-")
         _local_folders[context.applicationId] = folder
