@@ -17,7 +17,7 @@ from tabulens.operators.profile import duplicate_rows
 from tabulens.plans.digests import SECOND_SEED
 from tabulens.plans.frequency import mode_of, number_kind, own_number_sql, value_counts
 from tabulens.plans.quantiles import collect_quantiles
-from tabulens.plans.sketches import frequent_values
+from tabulens.plans.sketches import column_sizes, frequent_values, text_values
 
 # Codes that stand for a missing number, and names of columns that cannot be negative.
 SENTINEL_NUMBERS = [-999, -9999, 9999, 99999]
@@ -52,38 +52,26 @@ def _listed(frame: DataFrame, *issues: Column) -> DataFrame:
 
 
 def text_scan(df: DataFrame) -> DataFrame:
-    """One row per column that is no number, with the sums over its rows that the rules need, from one scan.
+    """One row per column that is no number, with the sums over its cells that the rules need.
 
     ``n_distinct`` only tells none, one and more apart."""
     texts, numbers = text_columns(df), numeric_columns(df)
     names = [c for c in groupable_columns(df) if c not in numbers]
-    none = F.lit(0).cast("long")
-    measures = {}
-    for name in names:
-        c = col(name)
-        measures[name] = {"n_valid": F.count(c), "single": F.min(c).eqNullSafe(F.max(c)), "only_value": F.min(c).cast("string")}
-        if name in texts:
-            number = F.when(~c.rlike(NO_NUMBER), to_number(c, wide=True))
-            date = F.when(c.rlike(FEW_WORDS), to_datetime(c))
-            measures[name] |= {
-                "missing_words": F.count_if(is_missing_word(c)), "padded": F.count_if(strip(c) != c),
-                "numbers": F.count(number), "dates": F.count(date),
-                "separated": F.coalesce(F.bool_or(c.rlike(DATE_SEPARATORS)), F.lit(False)),
-                "date_like": F.coalesce(F.bool_or(c.rlike(DATE_LIKE_NUMBER)), F.lit(False))}
-        else:
-            measures[name] |= dict.fromkeys(("missing_words", "padded", "numbers", "dates"), none) \
-                | dict.fromkeys(("separated", "date_like"), F.lit(False))
-    if not names:
-        return df.sparkSession.createDataFrame(
-            [], "column_name string, is_text boolean, n_rows long, n_valid long, n_distinct long, only_value string, missing_words"
-                " long, padded long, numbers long, dates long, separated boolean, date_like boolean, is_number boolean")
-    wide = df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  *[m.alias(f"m{i}_{k}") for i, found in enumerate(measures.values()) for k, m in found.items()])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(c in texts).alias("is_text"), F.col("n_rows"),
-                              *[F.col(f"m{i}_{k}").alias(k) for k in found]) for i, (c, found) in enumerate(measures.items())])
-    return wide.select(F.inline(rows)).withColumn(
-        "n_distinct", F.when(F.col("n_valid") == 0, 0).when(F.col("single"), 1).otherwise(2).cast("long")) \
-        .drop("single").withColumn("is_number", F.lit(False))
+    sizes = column_sizes(df, names)
+    base = df.sparkSession.createDataFrame(
+        [(c, c in texts, r["n_rows"], r["n_valid"], 0 if not r["n_valid"] else 1 if r["single"] else 2, r["only_value"], False)
+         for c, r in sizes.items()], "column_name string, is_text boolean, n_rows long, n_valid long, n_distinct long,"
+                                     " only_value string, is_number boolean")
+    v, n = F.col("value"), F.col("n")
+    flags = {"missing_words": is_missing_word(v), "padded": strip(v) != v,
+             "numbers": F.when(~v.rlike(NO_NUMBER), to_number(v, wide=True).isNotNull()),
+             "dates": F.when(v.rlike(FEW_WORDS), to_datetime(v).isNotNull())}
+    some = {"separated": v.rlike(DATE_SEPARATORS), "date_like": v.rlike(DATE_LIKE_NUMBER)}
+    sums = text_values(df, {c: sizes[c]["estimate"] for c in texts}) \
+        .select("column_name", "n", *[c.alias(f) for f, c in (flags | some).items()]).groupBy("column_name").agg(
+            *[F.sum(F.when(F.col(f), n).otherwise(0)).alias(f) for f in flags], *[F.bool_or(f).alias(f) for f in some])
+    return F.broadcast(base).join(sums, "column_name", "left").withColumns(
+        {f: F.coalesce(F.col(f), F.lit(0)) for f in flags} | {f: F.coalesce(F.col(f), F.lit(False)) for f in some})
 
 
 def spelling_variants(df: DataFrame) -> DataFrame:

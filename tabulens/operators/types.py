@@ -1,17 +1,19 @@
-"""Semantic column classes and chart roles from one scan.
+"""Semantic column classes and chart roles.
 
-Shares are sums over the rows of the whole column, so the result does not depend on row order and no value
-is shuffled.  The number of distinct values comes from a sketch with bounds; it is counted exactly only
+Shares are sums over the whole column, so the result does not depend on row order; values of columns with many
+different ones are not shuffled for them.  The number of distinct values comes from a sketch with bounds; it is counted exactly only
 where the bounds leave a rule open."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulens.functions.coerce import (DATE_SEPARATORS, FEW_WORDS, NO_NUMBER, col, groupable_columns, is_numeric, is_temporal,
                                        is_text, normalize, quoted, strip, to_datetime, to_number)
 from tabulens.plans.digests import exact_distinct
-from tabulens.plans.sketches import high_sql, low_sql, sketch_sql
+from tabulens.plans.sketches import column_sizes, high_sql, low_sql, text_values
 
 CLASSES = ["Numerical", "Categorical", "Datetime", "Boolean", "Other"]
 ROLES = ["numerical", "categorical", "datetime", "boolean", "identifier"]
@@ -50,52 +52,52 @@ def schema_frame(df: DataFrame) -> DataFrame:
 BOOLEAN_FLAGS = [f"words_{i}" for i in range(len(BOOLEAN_WORDS))]
 
 
-def _column_measures(df: DataFrame, name: str, kind: str) -> dict[str, Column]:
-    """The aggregates of one column, all over its rows as they are: nothing is shuffled for them."""
-    c, quote = col(name), quoted(name)
-    there = c.isNotNull()
-    every = lambda flag: F.coalesce(F.bool_and(flag), F.lit(False))
-    none, unknown = F.lit(False), F.lit(None).cast("double")
-    groupable = name in groupable_columns(df)
-    measures = {
-        "n_valid": F.count(c),
-        "single": F.min(c).eqNullSafe(F.max(c)) if groupable else none,
-        "estimate": F.expr(f"coalesce(hll_sketch_estimate({sketch_sql(name)}), 0L)") if groupable else F.lit(0).cast("long"),
-        "only_zero_one": every(F.expr(f"{quote} IN (0, 1)")) if kind in ("integer", "float", "decimal") else none}
-    if kind != "text":
-        return measures | dict.fromkeys(BOOLEAN_FLAGS, none) | {
-            "has_separator": none, "date_share": unknown, "number_share": unknown, "mean_length": unknown}
-    low = F.lower(strip(c))
-    share = lambda flag: F.avg(F.when(there, F.coalesce(flag, F.lit(False)).cast("double")))
-    date = F.when(c.rlike(FEW_WORDS), to_datetime(c).isNotNull())
-    number = F.when(~c.rlike(NO_NUMBER), to_number(c).isNotNull())
-    return measures | {
-        "only_zero_one": every(F.when(there, F.coalesce(c.isin(ZERO_ONE), F.lit(False)))),
-        **{f: every(F.when(there, F.coalesce(low.isin(words), F.lit(False)))) for f, words in zip(BOOLEAN_FLAGS, BOOLEAN_WORDS)},
-        "has_separator": F.coalesce(F.bool_or(c.rlike(DATE_SEPARATORS)), none),
-        "date_share": share(date), "number_share": share(number), "mean_length": F.avg(F.length(c))}
+def _text_features(df: DataFrame, estimates: dict[str, int]) -> DataFrame:
+    """Shares and flags of text columns, as sums over their values."""
+    v, n = F.col("value"), F.col("n")
+    low = F.lower(strip(v))
+    words = reduce(lambda rest, i: F.when(low.isin(BOOLEAN_WORDS[i]), i).otherwise(rest), range(len(BOOLEAN_WORDS)), F.lit(-1))
+    seen = text_values(df, estimates).select(
+        "column_name", "n", words.alias("words"), v.isin(ZERO_ONE).alias("zero_one"), F.length(v).alias("length"),
+        v.rlike(DATE_SEPARATORS).alias("separated"),
+        F.when(v.rlike(FEW_WORDS), to_datetime(v).isNotNull()).alias("date"),
+        F.when(~v.rlike(NO_NUMBER), to_number(v).isNotNull()).alias("number"))
+    share = lambda c: F.sum(F.when(F.col(c), n).otherwise(0)) / F.sum(n)
+    return seen.groupBy("column_name").agg(
+        F.bool_and("zero_one").alias("only_zero_one"),
+        *[F.bool_and(F.col("words") == i).alias(f) for i, f in enumerate(BOOLEAN_FLAGS)],
+        F.bool_or("separated").alias("has_separator"), share("date").alias("date_share"),
+        share("number").alias("number_share"), (F.sum(F.col("length") * n) / F.sum(n)).alias("mean_length"))
 
 
 def scan_features(df: DataFrame) -> DataFrame:
-    """One row per column from one scan: what the class and role rules look at, with bounds for the distinct values.
+    """One row per column: what the class and role rules look at, with bounds for the distinct values.
 
-    ``single`` tells exactly whether there is one distinct value; ``at_least`` and ``at_most`` come from a sketch."""
+    ``at_least`` and ``at_most`` come from a sketch; they agree for columns without or with one value."""
     df = normalize(df)
+    spark = df.sparkSession
     kinds = {f.name: storage_type(f.dataType) for f in df.schema}
-    if not kinds:
-        return schema_frame(df)
-    found = {c: _column_measures(df, c, k) for c, k in kinds.items()}
-    fields = list(next(iter(found.values())))
-    wide = df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  *[m.alias(f"m{i}_{f}") for i, measures in enumerate(found.values()) for f, m in measures.items()])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n_rows"), *[F.col(f"m{i}_{f}").alias(f) for f in fields])
-                     for i, c in enumerate(kinds)])
-    rows = wide.select(F.inline(rows)).selectExpr(
-        "*", "CASE WHEN n_valid = 0 THEN 0L WHEN single THEN 1L END AS known",
-        f"coalesce(known, greatest(least({low_sql('estimate')}, n_valid), 2L)) AS at_least",
-        f"coalesce(known, greatest(least({high_sql('estimate')}, n_valid), 2L)) AS at_most").drop("estimate", "single", "known")
-    return F.broadcast(schema_frame(df)).join(rows, "column_name").select(
-        "position", "column_name", "dtype", "storage", *[c for c in rows.columns if c != "column_name"])
+    sizes = column_sizes(df, groupable_columns(df))
+    odd = [c for c in kinds if c not in sizes]
+    there = df.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in odd]).first() if odd else []
+    n_rows = next((r["n_rows"] for r in sizes.values()), there[0] if odd else 0)
+    measured = [(c, n_rows, r["n_valid"], r["estimate"], r["single"]) for c, r in sizes.items()] \
+        + [(c, n_rows, there[i + 1], 0, False) for i, c in enumerate(odd)]
+    base = schema_frame(df).join(F.broadcast(spark.createDataFrame(
+        measured, "column_name string, n_rows long, n_valid long, estimate long, single boolean")), "column_name").selectExpr(
+            "position", "column_name", "dtype", "storage", "n_rows", "n_valid",
+            "CASE WHEN n_valid = 0 THEN 0L WHEN single THEN 1L END AS known",
+            f"coalesce(known, greatest(least({low_sql('estimate')}, n_valid), 2L)) AS at_least",
+            f"coalesce(known, greatest(least({high_sql('estimate')}, n_valid), 2L)) AS at_most").drop("known")
+    texts = _text_features(df, {c: sizes[c]["estimate"] for c, k in kinds.items() if k == "text"})
+    numbers = [c for c, k in kinds.items() if k in ("integer", "float", "decimal")]
+    if numbers:
+        flags = df.agg(*[F.bool_and(F.expr(f"{quoted(c)} IN (0, 1)")).alias(f"z{i}") for i, c in enumerate(numbers)])
+        texts = texts.unionByName(flags.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col(f"z{i}").alias("only_zero_one")) for i, c in enumerate(numbers)]))),
+            allowMissingColumns=True)
+    return F.broadcast(base).join(texts, "column_name", "left").withColumns(
+        {f: F.coalesce(F.col(f), F.lit(False)) for f in ("only_zero_one", "has_separator", *BOOLEAN_FLAGS)})
 
 
 def column_features(df: DataFrame) -> DataFrame:

@@ -71,7 +71,10 @@ def duplicate_counts(df: DataFrame, digest: Callable[[list[Column]], list[Column
     else:
         total = F.sha2(F.to_json(whole), 256)
         looked = rows.groupBy(*by).agg(n, (F.min(total) == F.max(total)).alias("same")).where("n > 1")
-    mixed = looked.where("NOT same").select(*by)
-    apart = rows.join(mixed, by, "left_semi").groupBy(*by, *names).agg(n).select("n")
-    extra = looked.where("same").select("n").unionByName(apart).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
-    return df.agg(F.count(F.lit(1)).alias("total_rows")).withColumn("duplicate_rows", extra.scalar())
+    found = looked.agg(F.sum(F.when(F.col("same"), F.col("n") - 1)).alias("extra"), F.count_if(~F.col("same")).alias("mixed")).first()
+    extra = found["extra"] or 0
+    if found["mixed"]:
+        mixed = looked.where("NOT same").select(*by)
+        apart = rows.join(mixed, by, "left_semi").groupBy(*by, *names).agg(n)
+        extra += apart.agg(F.sum(F.col("n") - 1)).first()[0]
+    return df.agg(F.count(F.lit(1)).alias("total_rows")).withColumn("duplicate_rows", F.lit(extra).cast("long"))

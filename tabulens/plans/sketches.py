@@ -5,10 +5,10 @@ merged later, so a table that grows is never read again for them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from tabulens.functions.coerce import groupable_columns, is_numeric, normalize, quoted, text_literal
-from tabulens.plans.frequency import long_rows
+from tabulens.plans.frequency import long_rows, value_counts
 
 LG_REGISTERS = 14
 # one standard error of the estimate, and how many of them a bound lies away
@@ -17,6 +17,7 @@ ERRORS = 5
 # values a frequent-item sketch tracks; a value above twice its error of 3.5 / 2^k of the rows is always listed
 TRACKED = 8192
 MISSED_SHARE = 2 * 3.5 / 16384
+FEW_VALUES = 10_000
 
 
 def sketch_sql(name: str) -> str:
@@ -35,6 +36,33 @@ def high_sql(estimate: str) -> str:
     return f"bigint(ceil({estimate} / {1 - ERRORS * STANDARD_ERROR}D))"
 
 
+def column_sizes(df: DataFrame, columns: list[str]) -> dict[str, Row]:
+    """For each column ``n_rows``, ``n_valid``, ``single`` (one distinct value), ``only_value`` (its text) and a distinct ``estimate``.
+
+    One scan; one small row per column reaches the driver."""
+    if not columns:
+        return {}
+    measures = {"n_valid": "count({0})", "single": "coalesce(min({0}) = max({0}), false)",
+                "only_value": "CASE WHEN min({0}) = max({0}) THEN cast(min({0}) AS string) END",
+                "estimate": "coalesce(hll_sketch_estimate({1}), 0L)"}
+    wide = df.selectExpr("count(1) AS n_rows", *[f"{sql.format(quoted(c), sketch_sql(c))} AS m{i}_{m}"
+                                                 for i, c in enumerate(columns) for m, sql in measures.items()])
+    rows = ", ".join("named_struct('column_name', {}, 'n_rows', n_rows, {})".format(
+        text_literal(c), ", ".join(f"'{m}', m{i}_{m}" for m in measures)) for i, c in enumerate(columns))
+    return {r["column_name"]: r for r in wide.selectExpr(f"inline(array({rows}))").collect()}
+
+
+def text_values(df: DataFrame, estimates: dict[str, int]) -> DataFrame:
+    """``(column_name, value, n)`` over the non-null cells of text columns, for sums over values.
+
+    Columns of few distinct values are counted first, so that work per value is done once; the cells of the
+    others come one by one and are not shuffled."""
+    few = [c for c, n in estimates.items() if n <= FEW_VALUES]
+    many = long_rows(df, {c: quoted(c) for c in estimates if c not in few}).where("value IS NOT NULL") \
+        .selectExpr("column_name", "value", "1L AS n")
+    return value_counts(df, few).unionByName(many) if few else many
+
+
 def distinct_sketches(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column_name, n_valid, sketch)`` from one scan."""
     df = normalize(df)
