@@ -119,8 +119,8 @@ def report_facts(df: DataFrame, charts: int | None = None) -> DataFrame:
     parts += [
         facts_of(chartdata.chart_ranking(df, roles, charts).withColumn("subject", F.array_join("columns_used", ", ")),
                  "7 charts", OBSERVED, F.col("subject"), ["score"], ["chart_type", "priority"]),
-        facts_of(stats.observations(df, numeric, categorical, temporal, summary), "8 insights", READING, name, [],
-                 ["type", "message"]),
+        facts_of(stats.observations(df, numeric, categorical, temporal, summary), "8 insights", READING,
+                 F.concat_ws(":", "column_name", "rule"), ["value", "other"], ["severity", "item"]),
         facts_of(recommendations(issues, pairs, totals).withColumn("subject", F.concat_ws(":", "area", "column_a", "column_b")),
                  "9 recommendations", ADVICE, F.col("subject"), ["value"], ["rule"]),
     ]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from decimal import Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulens.functions import formulas
@@ -224,33 +226,48 @@ def cadence_label(seconds: Column) -> Column:
             .otherwise("Irregular / Mixed"))
 
 
+def _gaps(batches):
+    """Gaps between neighbouring moments of one sorted range, and the first and last moment of each column in it."""
+    edges: dict[int, list[int]] = {}
+    for batch in batches:
+        column, us = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for which in np.unique(column).tolist():
+            moments = us[column == which]
+            if which in edges:
+                moments = np.concatenate([[edges[which][1]], moments])
+            else:
+                edges[which] = [int(moments[0]), 0]
+            edges[which][1] = int(moments[-1])
+            gap, weight = np.unique(np.diff(moments), return_counts=True)
+            yield pa.RecordBatch.from_pydict({
+                "column": pa.array([which] * len(gap), pa.int32()), "gap": pa.array(gap, pa.int64()),
+                "weight": pa.array(weight, pa.int64()), "first": pa.nulls(len(gap), pa.int64()), "last": pa.nulls(len(gap), pa.int64())})
+    if edges:
+        first, last = zip(*edges.values())
+        yield pa.RecordBatch.from_pydict({
+            "column": pa.array(edges, pa.int32()), "gap": pa.nulls(len(edges), pa.int64()), "weight": pa.nulls(len(edges), pa.int64()),
+            "first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64())})
+
+
 def datetime_cadence(df: DataFrame, columns: list[str]) -> DataFrame:
     """Median gap between consecutive moments and the recording rhythm it suggests.
 
-    Distinct moments are counted, dealt to ranges of equal size and ordered inside each; the gap into
-    the next range comes from the last moment of the one before.  The ranges follow the data, so a far
-    date does not gather all others in one task.  They are stored, as they are read twice."""
-    times = _long_times(df, columns).where("ts is not null") \
-        .select("column_name", F.unix_micros("ts").alias("us"))
-    counted = times.groupBy("column_name", "us").agg(F.count(F.lit(1)).alias("n"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sliced = materialize(counted.repartitionByRange(parts, "column_name", "us").withColumn("slice", F.spark_partition_id()))
-    edges = sliced.groupBy("column_name", "slice").agg(F.max("us").alias("last"))
-    before = F.lag("last").over(Window.partitionBy("column_name").orderBy("slice"))
-    edges = edges.select("column_name", "slice", before.alias("before"))
-    inside = Window.partitionBy("column_name", "slice").orderBy("us")
-    one = F.lit(1).cast("long")
-    counts = sliced.withColumn("previous", F.lag("us").over(inside)).join(F.broadcast(edges), ["column_name", "slice"]) \
-        .withColumn("gap", F.col("us") - F.coalesce("previous", "before"))
-    gaps = counts.select("column_name", F.inline(F.array(
-        F.struct(F.col("gap"), one.alias("weight")),
-        F.struct(F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("weight"))))) \
-        .where("gap is not null and weight > 0") \
-        .groupBy("column_name", "gap").agg(F.sum("weight").alias("weight"))
-    median = quantile_frame(gaps, ["column_name"], "gap", {"median_gap": 0.5}, weight="weight", few_keys=True)
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    Moments are dealt to ranges once and sorted inside them; one pass over each range counts its gaps and keeps its
+    first and last moment, from which the gaps between the ranges follow.  The row number is part of
+    the range key, so that a moment with a third of all rows is split like any others."""
+    spark = df.sparkSession
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.unix_micros(as_timestamp(df, c)).alias("us")) for i, c in enumerate(columns)])
+    times = df.select(F.inline(cells)).where("us IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+    ranges = times.repartitionByRange("column", "us", "row").sortWithinPartitions("column", "us").select("column", "us")
+    found = materialize(ranges.mapInArrow(_gaps, "column int, gap long, weight long, first long, last long"))
+    before = F.lag("last").over(Window.partitionBy("column").orderBy("first", "last"))
+    between = found.where("first IS NOT NULL").select("column", (F.col("first") - before).alias("gap"), F.lit(1).cast("long").alias("weight"))
+    gaps = found.where("gap IS NOT NULL").select("column", "gap", "weight").unionByName(between.where("gap IS NOT NULL")) \
+        .groupBy("column", "gap").agg(F.sum("weight").alias("weight"))
+    median = quantile_frame(gaps, ["column"], "gap", {"median_gap": 0.5}, weight="weight", few_keys=True)
+    names = spark.createDataFrame(list(enumerate(columns)), "column int, column_name string")
     seconds = F.col("median_gap") / 1e6
-    return names.join(median, "column_name", "left").select(
+    return names.join(median, "column", "left").select(
         "column_name", F.when(F.col("n_values") >= 2, seconds).alias("median_gap_seconds"),
         F.when(F.col("n_values") >= 2, cadence_label(seconds)).otherwise("Irregular / Mixed").alias("cadence"))
 
@@ -280,76 +297,51 @@ def split_by_class(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
     return numeric, categorical, temporal
 
 
-def _note(when: Column, kind: str, severity, title: str, message: str, *values: Column) -> Column:
-    """One remark, NULL where its rule does not hold; ``%s`` in the title is the column name."""
+def _remark(rule: str, when: Column, severity, value: Column, other: Column | None = None, item: Column | None = None) -> Column:
+    """One remark as a struct, NULL where its rule does not hold."""
     severity = F.lit(severity) if isinstance(severity, str) else severity
-    return F.when(when, F.struct(F.lit(kind).alias("type"), severity.alias("severity"),
-                                 F.format_string(title, F.col("column_name")).alias("title"),
-                                 F.format_string(message, *values).alias("message")))
+    other, item = (F.lit(None) if x is None else x for x in (other, item))
+    return F.when(when, F.struct(F.lit(rule).alias("rule"), severity.alias("severity"), value.cast("double").alias("value"),
+                                 other.cast("double").alias("other"), item.cast("string").alias("item")))
 
 
-def _notes(frame: DataFrame, *notes: Column) -> DataFrame:
-    return frame.select("column_name", F.inline(F.array_compact(F.array(*notes))))
+REMARKS = "column_name string, rule string, severity string, value double, other double, item string"
 
 
 def observations(df: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None,
                  temporal: list[str] | None = None, summary: DataFrame | None = None) -> DataFrame:
-    """Rule-based remarks on emptiness, variance, shape, outliers, dispersion, imbalance and coverage.
+    """Rule-based remarks as ``(column_name, rule, severity, value, other, item)``.
 
-    Every summary is computed once; its rules are conditions on the summary row.  ``summary`` is a
+    ``empty``; ``constant`` (the value); ``skewed`` (skewness, median); ``heavy_tails`` (excess kurtosis); ``outliers``
+    (count, percentage); ``dispersed`` (coefficient of variation); ``imbalanced`` (percentage, categories, the
+    dominant one); ``many_categories`` (their number); ``time_span`` (days, median gap in seconds, cadence).  A table without any
+    remark gets one row ``unremarkable``.  Every summary is computed once; ``summary`` is a
     ``numeric_summary`` made before, if there is one."""
     if numeric is None or categorical is None or temporal is None:
         numeric, categorical, temporal = split_by_class(df)
     df = normalize(df)
-    name = F.col("column_name")
-    r4 = lambda c: F.round(c, 4).cast("string")
-    text = lambda c: F.col(c).cast("string")
-    notes = []
+    c = F.col
+    parts = []
     if numeric:
-        s = numeric_summary(df, numeric) if summary is None else summary
-        varied = ~F.col("is_empty") & ~F.col("is_constant")
-        side = F.when(F.col("skewness") > 0, "right (positive tail)").otherwise("left (negative tail)")
-        level = F.when(F.col("outlier_percentage") > 5.0, "warning").otherwise("info")
-        notes.append(_notes(
-            s,
-            _note(F.col("is_empty"), "Quality Warning", "high", "Column '%s' is Completely Empty",
-                  "Feature '%s' contains no non-null numerical values.", name),
-            _note(F.col("is_constant"), "Zero Variance", "medium", "Zero-Variance Feature: '%s'",
-                  "Column '%s' is constant with uniform value %s.", name, r4("mean")),
-            _note(varied & (F.abs("skewness") >= 1.5), "Distribution Shape", "info", "High Skewness Detected in '%s'",
-                  "Feature '%s' is heavily skewed to the %s (skewness %s, mean %s, median %s).", name, side,
-                  r4("skewness"), r4("mean"), r4("median")),
-            _note(varied & (F.col("kurtosis") > 3.0), "Heavy Tails", "info", "Heavy-Tailed Distribution in '%s'",
-                  "Excess kurtosis of %s indicates heavy tails.", r4("kurtosis")),
-            _note(varied & (F.col("outlier_count") > 0) & (F.col("outlier_percentage") >= 2.0), "Outlier Alert", level,
-                  "Statistical Outliers in '%s'", "Found %s outliers (%s%%) outside [%s, %s].",
-                  F.format_number("outlier_count", 0), text("outlier_percentage"), r4("lower_bound"),
-                  r4("upper_bound")),
-            _note(varied & (F.col("cv_percentage") > 100.0), "High Dispersion", "info",
-                  "High Relative Dispersion in '%s'", "High coefficient of variation (%s%%).",
-                  text("cv_percentage"))))
+        varied = ~c("is_empty") & ~c("is_constant")
+        level = F.when(c("outlier_percentage") > 5.0, "warning").otherwise("info")
+        parts.append((numeric_summary(df, numeric) if summary is None else summary, [
+            _remark("empty", c("is_empty"), "high", F.lit(None)),
+            _remark("constant", c("is_constant"), "medium", c("mean")),
+            _remark("skewed", varied & (F.abs("skewness") >= 1.5), "info", c("skewness"), c("median")),
+            _remark("heavy_tails", varied & (c("kurtosis") > 3.0), "info", c("kurtosis")),
+            _remark("outliers", varied & (c("outlier_count") > 0) & (c("outlier_percentage") >= 2.0), level, c("outlier_count"),
+                    c("outlier_percentage")),
+            _remark("dispersed", varied & (c("cv_percentage") > 100.0), "info", c("cv_percentage"))]))
     if categorical:
-        notes.append(_notes(
-            category_summary(df, categorical),
-            _note((F.col("mode_percentage") >= 70.0) & (F.col("num_categories") > 1), "Class Imbalance", "warning",
-                  "Dominant Category in '%s'", "Category '%s' holds %s%% of the rows across %s categories.",
-                  F.col("most_frequent_category"), text("mode_percentage"), text("num_categories")),
-            _note(F.col("num_categories") > 50, "High Cardinality", "info", "High Cardinality in '%s'",
-                  "Contains %s distinct categories.", text("num_categories"))))
+        parts.append((category_summary(df, categorical), [
+            _remark("imbalanced", (c("mode_percentage") >= 70.0) & (c("num_categories") > 1), "warning", c("mode_percentage"),
+                    c("num_categories"), c("most_frequent_category")),
+            _remark("many_categories", c("num_categories") > 50, "info", c("num_categories"))]))
     if temporal:
-        day = lambda c: F.date_format(c, "yyyy-MM-dd")
-        notes.append(_notes(
-            datetime_spans(df, temporal).join(datetime_cadence(df, temporal), "column_name"),
-            _note(F.col("valid_count") > 0, "Temporal Span", "info", "Temporal Coverage in '%s'",
-                  "Data spans %s from %s to %s with an inferred %s recording cadence.",
-                  F.col("date_range_formatted"), day("min_date"), day("max_date"), F.col("cadence"))))
-    if not notes:
-        notes.append(df.sparkSession.createDataFrame(
-            [], "column_name string, type string, severity string, title string, message string"))
-    found = notes[0]
-    for extra in notes[1:]:
-        found = found.unionByName(extra)
-    plain = df.sparkSession.createDataFrame(
-        [("Dataset", "General Quality", "info", "Clean Uniform Statistical Profile",
-          "No severe outliers, heavy skewness or zero-variance features.")], found.schema)
+        parts.append((datetime_spans(df, temporal).join(datetime_cadence(df, temporal), "column_name"), [
+            _remark("time_span", c("valid_count") > 0, "info", c("date_range_days"), c("median_gap_seconds"), c("cadence"))]))
+    found = reduce(DataFrame.unionByName, [frame.select("column_name", F.inline(F.array_compact(F.array(*remarks))))
+                                           for frame, remarks in parts], df.sparkSession.createDataFrame([], REMARKS))
+    plain = df.sparkSession.createDataFrame([("", "unremarkable", "info", None, None, None)], REMARKS)
     return found.unionByName(plain.where(found.agg(F.count(F.lit(1))).scalar() == 0))

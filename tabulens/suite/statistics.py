@@ -245,29 +245,40 @@ FROM events GROUP BY ALL"""
 
 
 def observations(spark, sf):
-    return stats.observations(line(spark, sf), LINE_NUMBERS, ["l_returnflag", "l_linestatus"], ["l_shipdate"]).select(
-        "column_name", "type", "severity", "title")
+    found = stats.observations(line(spark, sf), LINE_NUMBERS, ["l_returnflag", "l_linestatus"], ["l_shipdate"])
+    return rounded(found.unionByName(stats.observations(table(spark, sf, "labels"), ["quality", "toxic"], ["doc_id"], [])), 4)
 
 
-OBSERVATIONS = f"""WITH long AS ({long_sql('lineitem', LINE_NUMBERS)}),
-q AS (SELECT column_name, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd, skewness(v) AS sk, kurtosis(v) AS ku,
-  min(v) = max(v) AS flat, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM long GROUP BY column_name),
-o AS (SELECT q.*, s.out, {pct_sql('s.out', 'n')} AS pct FROM q JOIN (SELECT l.column_name,
+def _remarks_sql(source: str, numbers: list[str], groups: list[str], times: str = "") -> str:
+    """The remarks on one table, rule by rule."""
+    return f"""(WITH long AS ({long_sql(source, numbers)}),
+q AS (SELECT column_name, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd, skewness(v) AS sk, kurtosis(v) AS ku, min(v) = max(v) AS flat,
+  quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS mid, quantile_cont(v, 0.75) AS q3 FROM long GROUP BY column_name),
+o AS (SELECT q.*, s.out, {pct_sql('s.out', 'n')} AS pct, round(sd / abs(mean) * 100, 2) AS cv FROM q JOIN (SELECT l.column_name,
   count(*) FILTER (l.v < q1 - 1.5 * (q3 - q1) OR l.v > q3 + 1.5 * (q3 - q1)) AS out FROM long l JOIN q USING (column_name)
   GROUP BY l.column_name) s USING (column_name)),
-c AS (SELECT column_name, v, count(*) AS n FROM ({long_sql('lineitem', ['l_returnflag', 'l_linestatus'])}) GROUP BY ALL),
-cs AS (SELECT column_name, count(*) AS k, {pct_sql('max(n)', 'sum(n)')} AS top FROM c GROUP BY column_name),
-found AS (
-SELECT column_name, 'Zero Variance' AS type, 'medium' AS severity, 'Zero-Variance Feature: ''' || column_name || '''' AS title FROM o WHERE flat
-UNION ALL SELECT column_name, 'Distribution Shape', 'info', 'High Skewness Detected in ''' || column_name || '''' FROM o WHERE NOT flat AND abs(sk) >= 1.5
-UNION ALL SELECT column_name, 'Heavy Tails', 'info', 'Heavy-Tailed Distribution in ''' || column_name || '''' FROM o WHERE NOT flat AND ku > 3
-UNION ALL SELECT column_name, 'Outlier Alert', CASE WHEN pct > 5 THEN 'warning' ELSE 'info' END, 'Statistical Outliers in ''' || column_name || '''' FROM o WHERE NOT flat AND out > 0 AND pct >= 2
-UNION ALL SELECT column_name, 'High Dispersion', 'info', 'High Relative Dispersion in ''' || column_name || '''' FROM o WHERE NOT flat AND round(sd / abs(mean) * 100, 2) > 100
-UNION ALL SELECT column_name, 'Class Imbalance', 'warning', 'Dominant Category in ''' || column_name || '''' FROM cs WHERE top >= 70 AND k > 1
-UNION ALL SELECT column_name, 'High Cardinality', 'info', 'High Cardinality in ''' || column_name || '''' FROM cs WHERE k > 50
-UNION ALL SELECT 'l_shipdate', 'Temporal Span', 'info', 'Temporal Coverage in ''l_shipdate''' FROM (SELECT count(l_shipdate) AS n FROM lineitem) WHERE n > 0)
-SELECT * FROM found
-UNION ALL SELECT 'Dataset', 'General Quality', 'info', 'Clean Uniform Statistical Profile' WHERE (SELECT count(*) FROM found) = 0"""
+c AS (SELECT column_name, v, count(*) AS n FROM ({long_sql(source, groups, cast='VARCHAR')}) GROUP BY ALL),
+cs AS (SELECT column_name, CAST(count(*) AS DOUBLE) AS k, {pct_sql('max(n)', 'sum(n)')} AS top, min(v) FILTER (r = 1) AS v
+  FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, v) AS r FROM c) GROUP BY column_name)
+SELECT column_name, 'constant' AS rule, 'medium' AS severity, mean AS value, CAST(NULL AS DOUBLE) AS other, CAST(NULL AS VARCHAR) AS item
+  FROM o WHERE flat
+UNION ALL SELECT column_name, 'skewed', 'info', sk, mid, NULL FROM o WHERE NOT flat AND abs(sk) >= 1.5
+UNION ALL SELECT column_name, 'heavy_tails', 'info', ku, NULL, NULL FROM o WHERE NOT flat AND ku > 3
+UNION ALL SELECT column_name, 'outliers', CASE WHEN pct > 5 THEN 'warning' ELSE 'info' END, out, pct, NULL FROM o WHERE NOT flat AND out > 0 AND pct >= 2
+UNION ALL SELECT column_name, 'dispersed', 'info', cv, NULL, NULL FROM o WHERE NOT flat AND cv > 100
+UNION ALL SELECT column_name, 'imbalanced', 'warning', top, k, v FROM cs WHERE top >= 70 AND k > 1
+UNION ALL SELECT column_name, 'many_categories', 'info', k, NULL, NULL FROM cs WHERE k > 50 {times})"""
+
+
+_SHIPPED = """UNION ALL SELECT 'l_shipdate', 'time_span', 'info', days, gap, CASE WHEN gap BETWEEN 3500 AND 3700 THEN 'Hourly'
+  WHEN gap BETWEEN 82800 AND 90000 THEN 'Daily' WHEN gap BETWEEN 580000 AND 630000 THEN 'Weekly'
+  WHEN gap BETWEEN 2400000 AND 2700000 THEN 'Monthly' WHEN gap >= 30000000 THEN 'Annual' ELSE 'Irregular / Mixed' END
+  FROM (SELECT date_diff('day', min(t), max(t)) AS days, quantile_cont(epoch_us(t) - epoch_us(p), 0.5) / 1e6 AS gap
+        FROM (SELECT l_shipdate AS t, lag(l_shipdate) OVER (ORDER BY l_shipdate) AS p FROM lineitem))"""
+OBSERVATIONS = f"""SELECT column_name, rule, severity, round(CAST(value AS DOUBLE), 4) AS value, round(CAST(other AS DOUBLE), 4) AS other, item
+FROM {_remarks_sql('lineitem', LINE_NUMBERS, ['l_returnflag', 'l_linestatus'], _SHIPPED)}
+UNION ALL SELECT column_name, rule, severity, round(CAST(value AS DOUBLE), 4), round(CAST(other AS DOUBLE), 4), item
+FROM {_remarks_sql('labels', ['quality', 'toxic'], ['doc_id'])}"""
 
 
 def column_split(spark, sf):

@@ -158,4 +158,4 @@ def test_correlation_blocks_equal_expressions(spark):
 
 def test_observations_fall_back(spark):
     df = spark.range(100).selectExpr("double(id % 10) AS v")
-    assert [r["type"] for r in stats.observations(df, ["v"], [], []).collect()] == ["General Quality"]
+    assert [r["rule"] for r in stats.observations(df, ["v"], [], []).collect()] == ["unremarkable"]
