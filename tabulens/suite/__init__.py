@@ -1,8 +1,8 @@
 """Every operator as a query over the given tables, with the equivalent SQL where there is one."""
 
-from tabulens.suite import aggregates, charts, classes, cleaning, files, hard, outlier, profiling, statistics, text
+from tabulens.suite import aggregates, charts, choices, classes, cleaning, files, hard, outlier, profiling, statistics, text
 
-MODULES = [statistics, profiling, classes, aggregates, outlier, cleaning, charts, text, files, hard]
+MODULES = [statistics, profiling, classes, choices, aggregates, outlier, cleaning, charts, text, files, hard]
 
 
 def queries():

@@ -281,15 +281,6 @@ UNION ALL SELECT column_name, rule, severity, round(CAST(value AS DOUBLE), 4), r
 FROM {_remarks_sql('labels', ['quality', 'toxic'], ['doc_id'])}"""
 
 
-def column_split(spark, sf):
-    numeric, categorical, temporal = stats.split_by_class(line(spark, sf))
-    named = {c: kind for kind, names in (("numerical", numeric), ("categorical", categorical), ("datetime", temporal))
-             for c in names}
-    counts = line(spark, sf).agg(*[F.count(c).alias(c) for c in named])
-    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("family"),
-                                                     F.col(c).alias("valid_count")) for c, k in named.items()])))
-
-
 PAIRS = list(combinations(LINE_NUMBERS, 2))
 CORR_CTE = "WITH p AS (" + " UNION ALL ".join(
     f"SELECT '{a}' AS variable_a, '{b}' AS variable_b, corr({a}, {b}) AS r, count(*) AS n FROM lineitem" for a, b in PAIRS) \
@@ -401,7 +392,6 @@ QUERIES = {
     "dt_by_month": (dt_by("month", "orders", "o_orderdate"), DT_BY_MONTH),
     "dt_by_weekday": (dt_by("weekday", "events", "ts"), DT_BY_WEEKDAY),
     "observations": (observations, OBSERVATIONS),
-    "column_split": (column_split, None),
     "corr_pairs": (corr_pairs, CORR_PAIRS),
     "corr_pairs_with_gaps": (corr_pairs_dirty, DIRTY_PAIRS_SQL),
     "corr_matrix_long": (corr_matrix_long, CORR_MATRIX),
