@@ -11,6 +11,7 @@ pieces, each a position of the chain like a word, so that every letter counts.""
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -25,18 +26,32 @@ SEQUENCE = 40
 BUCKETS = 1 << 15
 EPOCHS = 60
 WORDS_KEPT = 300_000
+NAMES_KEPT = 1_000_000
 PIECE = 48
 DOCS_AT_ONCE = 512
 WORDS_AT_ONCE = 400_000
 UNKNOWN = "und"
 
 
+class Buckets(dict):
+    """Bucket of a feature name; the names of a process are hashed once, as words share most of theirs."""
+
+    def __missing__(self, name: str) -> int:
+        if len(self) >= NAMES_KEPT:
+            self.clear()
+        self[name] = bucket = zlib.crc32(name.encode()) % BUCKETS
+        return bucket
+
+
+BUCKET_OF = Buckets()
+
+
 def features(word: str) -> list[int]:
     """Hashed features of a lower-case word."""
     padded = f"<{word}>"
     names = [f"w:{word}", *[f"p:{word[:n]}" for n in (1, 2, 3)], *[f"s:{word[-n:]}" for n in (1, 2, 3)],
              *[padded[i:i + 2] for i in range(len(padded) - 1)], *[padded[i:i + 3] for i in range(len(padded) - 2)]]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in names]
+    return list(map(BUCKET_OF.__getitem__, names))
 
 
 def letters(token: bytes) -> str:
@@ -211,15 +226,27 @@ class Scores(dict):
         super().__init__()
         self.field, self.rows, self.of = field, [], {}
 
-    def __missing__(self, token: bytes) -> int:
-        word = letters(token)
-        number = self.of.get(word) if word else -1
-        if number is None:
-            raw = self.field.scores(word)
-            number = self.of[word] = len(self.rows)
-            self.rows.append(np.exp(raw - raw.max()))
-        self[token] = number
-        return number
+    def learn(self, tokens: set[bytes]) -> None:
+        """Score the words of all tokens not met before, together."""
+        new = [t for t in tokens if t not in self]
+        word_of = {t: letters(t) for t in new}
+        words = [w for w in dict.fromkeys(word_of.values()) if w and w not in self.of]
+        if words:
+            found = [features(w) for w in words]
+            sizes = np.array([len(f) for f in found])
+            flat = np.fromiter((b for f in found for b in f), np.int64, int(sizes.sum()))
+            raw = np.add.reduceat(self.field.weights[flat], np.cumsum(sizes) - sizes, axis=0)
+            for w in words:
+                self.of[w] = len(self.of)
+            self.rows.append(np.exp(raw - raw.max(axis=1, keepdims=True)))
+        for t, w in word_of.items():
+            self[t] = self.of[w] if w else -1
+
+    def table(self) -> np.ndarray:
+        """The scores of all words, by number."""
+        if len(self.rows) != 1:
+            self.rows = [np.concatenate([np.zeros((0, len(self.field.languages))), *self.rows])]
+        return self.rows[0]
 
     def emptied(self) -> bool:
         """Drop everything when full, between groups of documents only."""
@@ -230,15 +257,28 @@ class Scores(dict):
         return True
 
 
+TABLES: dict[str, Scores] = {}
+
+
+def table_of(name: str, shared) -> Scores:
+    """The word table of the process for one run: later tasks of a worker find the words of earlier ones."""
+    if name not in TABLES:
+        TABLES.clear()
+        TABLES[name] = Scores(shared.value)
+    return TABLES[name]
+
+
 def label(texts: list[bytes], scores: Scores) -> list[tuple[str, float]]:
     """``(language, mean marginal)`` of each text."""
     field = scores.field
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     if not field.languages:
         return out
-    numbers = [np.array([x for x in map(scores.__getitem__, split(t)) if x >= 0], np.int64) for t in texts]
+    tokens = [split(t) for t in texts]
+    scores.learn(set().union(*tokens))
+    numbers = [np.array([x for x in map(scores.__getitem__, some) if x >= 0], np.int64) for some in tokens]
     order = sorted((i for i in range(len(texts)) if len(numbers[i])), key=lambda i: -len(numbers[i]))
-    table = np.array(scores.rows) if scores.rows else np.zeros((0, len(field.languages)))
+    table = scores.table()
     at = 0
     while at < len(order):
         group, size = [], 0
@@ -266,10 +306,10 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
 
     ``und`` with score 0 where the text is null, empty or without a letter, or nothing was learned.
     Repeated rows get equal results; ties go to the first language in order of name."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared, name = docs.sparkSession.sparkContext.broadcast(field), uuid.uuid4().hex
 
     def work(batches):
-        scores = Scores(shared.value)
+        scores = table_of(name, shared)
         for batch in batches:
             for lo in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(lo, DOCS_AT_ONCE)
@@ -285,10 +325,14 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
 def words(text: str, field: Field) -> list[tuple[str, str, float]]:
     """``(word, language, marginal)`` of every word with a letter: code-switched text, word by word."""
     scores = Scores(field)
-    tokens = [t for t in split(text.encode()) if scores[t] >= 0]
-    if not tokens or not field.languages:
+    tokens = split(text.encode())
+    if not field.languages:
+        return []
+    scores.learn(set(tokens))
+    tokens = [t for t in tokens if scores[t] >= 0]
+    if not tokens:
         return []
-    rows = np.array(scores.rows)[[scores[t] for t in tokens]]
+    rows = scores.table()[[scores[t] for t in tokens]]
     marginal, *_ = forward_backward(rows, np.array([len(tokens)]), field.transition, field.start)
     best = marginal.argmax(axis=1)
     return [(t.decode(), field.languages[b], float(m[b])) for t, b, m in zip(tokens, best.tolist(), marginal)]
