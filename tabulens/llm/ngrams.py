@@ -25,8 +25,8 @@ BITS_PER_KEY = 10
 PROBES = 7
 LEVEL_FACTOR = 1.2
 ROOM = 256 << 20
-TOKENS_PER_SHARD = 3_000_000
-TOKENS_AT_ONCE = 2_000_000
+TOKENS_PER_SHARD = 1_000_000
+TOKENS_AT_ONCE = 1_000_000
 BYTES_AT_ONCE = 1 << 20
 GROUP_BITS = 8
 
@@ -208,7 +208,8 @@ def filters(counted: DataFrame, groups: int) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 keys, counts = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64)
                 top = (keys >> np.uint64(64 - GROUP_BITS)) >> shift
                 second = ((keys >> np.uint64(64 - 2 * GROUP_BITS)) & np.uint64(2 ** GROUP_BITS - 1)) >> shift
@@ -247,15 +248,16 @@ class Counts:
 class Filter:
     """The shards of a pair of groups side by side."""
 
-    def __init__(self, shards: int, rows: list[tuple[int, int, bytes]]):
+    def __init__(self, shards: int, made: DataFrame):
+        """``made`` has ``shard``, ``bits`` and ``body``; its rows come one by one into one array."""
         self.shards = shards
         self.bits, self.first = np.ones(shards, np.uint64), np.full(shards, -1, np.int64)
-        parts, at = [], 0
-        for shard, bits, body in rows:
-            self.bits[shard], self.first[shard] = bits, at
-            parts.append(np.frombuffer(body, np.uint8))
-            at += len(body)
-        self.body = np.concatenate([*parts, np.zeros(1, np.uint8)])
+        total, at = made.agg(F.sum(F.octet_length("body"))).first()[0] or 0, 0
+        self.body = np.zeros(total + 1, np.uint8)
+        for row in made.select("shard", "bits", "body").toLocalIterator():
+            self.bits[row["shard"]], self.first[row["shard"]] = row["bits"], at
+            self.body[at:at + len(row["body"])] = np.frombuffer(row["body"], np.uint8)
+            at += len(row["body"])
 
     def found(self, keys: np.ndarray) -> np.ndarray:
         """Number of levels of each key that are all present from the first on."""
@@ -330,9 +332,10 @@ def score(docs: DataFrame, train: Column | None = None, room: int = ROOM) -> Dat
     kind, out = dict(docs.dtypes)["doc_id"], None
     for g in range(groups):
         for h in range(groups):
-            one = Pass(groups, g, h, _group_counts(counted, groups, g), _group_counts(counted, groups, h),
-                       Filter(shards, [(r["shard"], r["bits"], bytes(r["body"])) for r in made.where(
-                           (F.col("word_group") == g) & (F.col("before_group") == h)).collect()]),
+            words_of_group = _group_counts(counted, groups, g)
+            before = words_of_group if g == h else _group_counts(counted, groups, h)
+            one = Pass(groups, g, h, words_of_group, before,
+                       Filter(shards, made.where((F.col("word_group") == g) & (F.col("before_group") == h))),
                        tokens, words, size[1])
             shared = docs.sparkSession.sparkContext.broadcast(one)
 
@@ -344,7 +347,7 @@ def score(docs: DataFrame, train: Column | None = None, room: int = ROOM) -> Dat
                         yield pa.RecordBatch.from_arrays(
                             [batch.column(0).slice(at, len(some)), pa.array(n, pa.int64()),
                              pa.array(known.astype(np.int64)), pa.array(base), pa.array(model),
-                             pa.array([_row_key(x) for x in some], pa.int64())],
+                             pa.array([_row_key(x) if groups > 1 else 0 for x in some], pa.int64())],
                             ["doc_id", "n_tokens", "n_known", "base_score", "score", "mark"])
                         at += len(some)
             part = map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, n_tokens long, n_known long, base_score double,"
