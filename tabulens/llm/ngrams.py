@@ -27,7 +27,8 @@ LEVEL_FACTOR = 1.2
 ROOM = 256 << 20
 TOKENS_PER_SHARD = 1_000_000
 TOKENS_AT_ONCE = 1_000_000
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 19
+ROWS_AT_ONCE = 256
 GROUP_BITS = 8
 
 _SPACE = np.zeros(256, bool)
@@ -103,12 +104,13 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
 def _grouped_texts(batch_column: pa.Array):
     """Texts of a column in groups of about ``BYTES_AT_ONCE``."""
     held, size = [], 0
-    for text in text_bytes(batch_column):
-        held.append(text)
-        size += len(text)
-        if size >= BYTES_AT_ONCE:
-            yield held
-            held, size = [], 0
+    for lo in range(0, len(batch_column), ROWS_AT_ONCE):
+        for text in text_bytes(batch_column.slice(lo, ROWS_AT_ONCE)):
+            held.append(text)
+            size += len(text)
+            if size >= BYTES_AT_ONCE:
+                yield held
+                held, size = [], 0
     if held:
         yield held
 
@@ -248,16 +250,16 @@ class Counts:
 class Filter:
     """The shards of a pair of groups side by side."""
 
-    def __init__(self, shards: int, made: DataFrame):
-        """``made`` has ``shard``, ``bits`` and ``body``; its rows come one by one into one array."""
+    def __init__(self, shards: int, rows):
+        """``rows`` are ``(shard, bits, body)``; they may come one by one."""
         self.shards = shards
         self.bits, self.first = np.ones(shards, np.uint64), np.full(shards, -1, np.int64)
-        total, at = made.agg(F.sum(F.octet_length("body"))).first()[0] or 0, 0
-        self.body = np.zeros(total + 1, np.uint8)
-        for row in made.select("shard", "bits", "body").toLocalIterator():
-            self.bits[row["shard"]], self.first[row["shard"]] = row["bits"], at
-            self.body[at:at + len(row["body"])] = np.frombuffer(row["body"], np.uint8)
-            at += len(row["body"])
+        whole = bytearray()
+        for shard, bits, body in rows:
+            self.bits[shard], self.first[shard] = bits, len(whole)
+            whole += body
+        whole += b"\0"
+        self.body = np.frombuffer(whole, np.uint8)
 
     def found(self, keys: np.ndarray) -> np.ndarray:
         """Number of levels of each key that are all present from the first on."""
@@ -335,7 +337,8 @@ def score(docs: DataFrame, train: Column | None = None, room: int = ROOM) -> Dat
             words_of_group = _group_counts(counted, groups, g)
             before = words_of_group if g == h else _group_counts(counted, groups, h)
             one = Pass(groups, g, h, words_of_group, before,
-                       Filter(shards, made.where((F.col("word_group") == g) & (F.col("before_group") == h))),
+                       Filter(shards, made.where((F.col("word_group") == g) & (F.col("before_group") == h))
+                              .select("shard", "bits", "body").toLocalIterator()),
                        tokens, words, size[1])
             shared = docs.sparkSession.sparkContext.broadcast(one)
 
