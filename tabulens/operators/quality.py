@@ -17,7 +17,7 @@ from tabulens.operators.profile import duplicate_rows
 from tabulens.plans.digests import SECOND_SEED
 from tabulens.plans.frequency import mode_of, number_kind, own_number_sql, value_counts
 from tabulens.plans.quantiles import collect_quantiles
-from tabulens.plans.sketches import column_sizes, frequent_values, text_values
+from tabulens.plans.sketches import FEW_VALUES, column_sizes, frequent_values, text_values
 
 # Codes that stand for a missing number, and names of columns that cannot be negative.
 SENTINEL_NUMBERS = [-999, -9999, 9999, 99999]
@@ -51,41 +51,50 @@ def _listed(frame: DataFrame, *issues: Column) -> DataFrame:
     return frame.select("column_name", F.inline(F.array_compact(F.array(*issues))))
 
 
-def text_scan(df: DataFrame) -> DataFrame:
+class TextSizes:
+    """What one scan tells of the columns that are no number, and the values of the text columns for further sums."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.texts = df, text_columns(df)
+        numbers = numeric_columns(df)
+        self.sizes = column_sizes(df, [c for c in groupable_columns(df) if c not in numbers])
+
+    def values(self) -> DataFrame:
+        return text_values(self.df, {c: self.sizes[c]["estimate"] for c in self.texts})
+
+    def base(self) -> DataFrame:
+        return self.df.sparkSession.createDataFrame(
+            [(c, c in self.texts, r["n_rows"], r["n_valid"], 0 if not r["n_valid"] else 1 if r["single"] else 2, r["only_value"], False)
+             for c, r in self.sizes.items()], "column_name string, is_text boolean, n_rows long, n_valid long, n_distinct long,"
+                                              " only_value string, is_number boolean")
+
+
+def text_scan(df: DataFrame, sizes: TextSizes | None = None) -> DataFrame:
     """One row per column that is no number, with the sums over its cells that the rules need.
 
     ``n_distinct`` only tells none, one and more apart."""
-    texts, numbers = text_columns(df), numeric_columns(df)
-    names = [c for c in groupable_columns(df) if c not in numbers]
-    sizes = column_sizes(df, names)
-    base = df.sparkSession.createDataFrame(
-        [(c, c in texts, r["n_rows"], r["n_valid"], 0 if not r["n_valid"] else 1 if r["single"] else 2, r["only_value"], False)
-         for c, r in sizes.items()], "column_name string, is_text boolean, n_rows long, n_valid long, n_distinct long,"
-                                     " only_value string, is_number boolean")
+    sizes = sizes or TextSizes(df)
     v, n = F.col("value"), F.col("n")
     flags = {"missing_words": is_missing_word(v), "padded": strip(v) != v,
              "numbers": F.when(~v.rlike(NO_NUMBER), to_number(v, wide=True).isNotNull()),
              "dates": F.when(v.rlike(FEW_WORDS), to_datetime(v).isNotNull())}
     some = {"separated": v.rlike(DATE_SEPARATORS), "date_like": v.rlike(DATE_LIKE_NUMBER)}
-    sums = text_values(df, {c: sizes[c]["estimate"] for c in texts}) \
-        .select("column_name", "n", *[c.alias(f) for f, c in (flags | some).items()]).groupBy("column_name").agg(
-            *[F.sum(F.when(F.col(f), n).otherwise(0)).alias(f) for f in flags], *[F.bool_or(f).alias(f) for f in some])
-    return F.broadcast(base).join(sums, "column_name", "left").withColumns(
+    sums = sizes.values().select("column_name", "n", *[c.alias(f) for f, c in (flags | some).items()]).groupBy("column_name").agg(
+        *[F.sum(F.when(F.col(f), n).otherwise(0)).alias(f) for f in flags], *[F.bool_or(f).alias(f) for f in some])
+    return F.broadcast(sizes.base()).join(sums, "column_name", "left").withColumns(
         {f: F.coalesce(F.col(f), F.lit(0)) for f in flags} | {f: F.coalesce(F.col(f), F.lit(False)) for f in some})
 
 
-def spelling_variants(df: DataFrame) -> DataFrame:
+def spelling_variants(df: DataFrame, sizes: TextSizes | None = None) -> DataFrame:
     """``(column_name, variant_groups, variant_rows)``: forms of a text column with several spellings, and the rows that do
     not have the most frequent value of their form.
 
-    Values, their stripped spellings and their lower-case forms are told by 128-bit digests, so texts are not shuffled."""
+    Values, their stripped spellings and their lower-case forms are told by 128-bit digests, so long texts are not shuffled."""
     halves = lambda name, c: [F.xxhash64(c).alias(f"{name}1"), F.xxhash64(F.lit(SECOND_SEED), c).alias(f"{name}2")]
-    cells = F.array(*[F.struct(
-        F.lit(name).alias("column_name"), col(name).isNotNull().alias("there"), (strip(col(name)) != "").alias("filled"),
-        *halves("v", col(name)), *halves("b", strip(col(name))), *halves("f", F.lower(strip(col(name)))))
-        for name in text_columns(df)])
-    values = df.select(F.inline(cells)).where("there").groupBy("column_name", "f1", "f2", "v1", "v2").agg(
-        F.count(F.lit(1)).alias("n"), F.first("filled").alias("filled"), F.first("b1").alias("b1"), F.first("b2").alias("b2"))
+    bare = strip(F.col("value"))
+    cells = (sizes or TextSizes(df)).values().select(
+        "column_name", "n", (bare != "").alias("filled"), *halves("v", F.col("value")), *halves("b", bare), *halves("f", F.lower(bare)))
+    values = cells.groupBy("column_name", "f1", "f2", "v1", "v2", "b1", "b2", "filled").agg(F.sum("n").alias("n"))
     forms = values.groupBy("column_name", "f1", "f2").agg(
         F.sum("n").alias("n"), F.max("n").alias("top"),
         (F.bool_or("filled") & (F.min(F.struct("b1", "b2")) != F.max(F.struct("b1", "b2")))).alias("varied"))
@@ -93,23 +102,35 @@ def spelling_variants(df: DataFrame) -> DataFrame:
         F.count_if("varied").alias("variant_groups"), F.sum(F.when(F.col("varied"), F.col("n") - F.col("top")).otherwise(0)).alias("variant_rows"))
 
 
+def dominant_values(df: DataFrame, sizes: TextSizes) -> DataFrame:
+    """``(column_name, top_value, top_count)`` of columns in which one value holds ``DOMINANT_SHARE`` or more."""
+    few = [c for c, r in sizes.sizes.items() if r["estimate"] <= FEW_VALUES]
+    many = [c for c in sizes.sizes if c not in few]
+    valid = df.sparkSession.createDataFrame([(c, r["n_valid"]) for c, r in sizes.sizes.items()], "column_name string, _valid long")
+    parts = [value_counts(df, few)] if few else []
+    if many:
+        parts.append(frequent_values(df, many, DOMINANT_SHARE))
+    return reduce(DataFrame.unionByName, parts).join(F.broadcast(valid), "column_name") \
+        .where(F.col("n") >= F.col("_valid") * DOMINANT_SHARE) \
+        .select("column_name", F.col("value").alias("top_value"), F.col("n").alias("top_count"))
+
+
 def text_features(df: DataFrame, variants: bool = True, dominant: bool = True) -> DataFrame:
     """``text_scan`` with the dominant value of each column and its spelling variants, as far as they are asked for.
 
     Only a value that holds at least ``DOMINANT_SHARE`` of a column is given with its count; other columns have 0."""
-    features = text_scan(df)
-    spark = df.sparkSession
-    names = [c for c in groupable_columns(df) if c not in numeric_columns(df)]
-    found = [(r["column_name"], r["value"], r["n"]) for r in frequent_values(df, names, DOMINANT_SHARE).collect()] \
-        if dominant and names else []
-    top = spark.createDataFrame(found, "column_name string, top_value string, top_count long")
-    features = features.join(F.broadcast(top), "column_name", "left") \
-        .withColumn("top_value", F.coalesce("top_value", "only_value")).drop("only_value")
-    if variants and text_columns(df):
-        features = features.join(spelling_variants(df), "column_name", "left")
+    sizes = TextSizes(df)
+    features = text_scan(df, sizes)
+    if dominant and sizes.sizes:
+        features = features.join(dominant_values(df, sizes), "column_name", "left")
+    else:
+        features = features.withColumns({"top_value": F.lit(None).cast("string"), "top_count": F.lit(0).cast("long")})
+    if variants and sizes.texts:
+        features = features.join(spelling_variants(df, sizes), "column_name", "left")
     else:
         features = features.withColumns({c: F.lit(0).cast("long") for c in ("variant_groups", "variant_rows")})
-    return features.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("top_count", "variant_groups", "variant_rows")})
+    return features.withColumn("top_value", F.coalesce("top_value", "only_value")).drop("only_value") \
+        .withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("top_count", "variant_groups", "variant_rows")})
 
 
 def number_features(df: DataFrame, columns: list[str] | None = None) -> DataFrame | None:

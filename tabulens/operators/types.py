@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from tabulens.functions.coerce import (DATE_SEPARATORS, FEW_WORDS, NO_NUMBER, col, groupable_columns, is_numeric, is_temporal,
                                        is_text, normalize, quoted, strip, to_datetime, to_number)
 from tabulens.plans.digests import exact_distinct
-from tabulens.plans.sketches import column_sizes, high_sql, low_sql, text_values
+from tabulens.plans.sketches import FEW_VALUES, column_sizes, high_sql, low_sql, text_values
 
 CLASSES = ["Numerical", "Categorical", "Datetime", "Boolean", "Other"]
 ROLES = ["numerical", "categorical", "datetime", "boolean", "identifier"]
@@ -67,13 +67,15 @@ def _text_features(df: DataFrame, estimates: dict[str, int]) -> DataFrame:
         F.bool_and("zero_one").alias("only_zero_one"),
         *[F.bool_and(F.col("words") == i).alias(f) for i, f in enumerate(BOOLEAN_FLAGS)],
         F.bool_or("separated").alias("has_separator"), share("date").alias("date_share"),
-        share("number").alias("number_share"), (F.sum(F.col("length") * n) / F.sum(n)).alias("mean_length"))
+        share("number").alias("number_share"), (F.sum(F.col("length") * n) / F.sum(n)).alias("mean_length"),
+        F.count(F.lit(1)).alias("values"))
 
 
 def scan_features(df: DataFrame) -> DataFrame:
     """One row per column: what the class and role rules look at, with bounds for the distinct values.
 
-    ``at_least`` and ``at_most`` come from a sketch; they agree for columns without or with one value."""
+    ``at_least`` and ``at_most`` come from a sketch; they agree for columns without or with one value.  ``counted`` is the
+    exact number for text columns of few values, whose values were counted anyway."""
     df = normalize(df)
     spark = df.sparkSession
     kinds = {f.name: storage_type(f.dataType) for f in df.schema}
@@ -89,7 +91,9 @@ def scan_features(df: DataFrame) -> DataFrame:
             "CASE WHEN n_valid = 0 THEN 0L WHEN single THEN 1L END AS known",
             f"coalesce(known, greatest(least({low_sql('estimate')}, n_valid), 2L)) AS at_least",
             f"coalesce(known, greatest(least({high_sql('estimate')}, n_valid), 2L)) AS at_most").drop("known")
-    texts = _text_features(df, {c: sizes[c]["estimate"] for c, k in kinds.items() if k == "text"})
+    estimates = {c: sizes[c]["estimate"] for c, k in kinds.items() if k == "text"}
+    counted = [c for c, n in estimates.items() if n <= FEW_VALUES]
+    texts = _text_features(df, estimates).withColumn("counted", F.when(F.col("column_name").isin(counted), F.col("values"))).drop("values")
     numbers = [c for c, k in kinds.items() if k in ("integer", "float", "decimal")]
     if numbers:
         flags = df.agg(*[F.bool_and(F.expr(f"{quoted(c)} IN (0, 1)")).alias(f"z{i}") for i, c in enumerate(numbers)])
@@ -102,8 +106,12 @@ def scan_features(df: DataFrame) -> DataFrame:
 
 def column_features(df: DataFrame) -> DataFrame:
     """``scan_features`` with the exact number of distinct values of every column."""
-    return scan_features(df).drop("at_least", "at_most").join(exact_distinct(df), "column_name", "left") \
-        .withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
+    found = scan_features(df)
+    scanned = df.sparkSession.createDataFrame(found.collect(), found.schema)
+    rest = [r["column_name"] for r in scanned.collect() if r["counted"] is None and r["at_least"] < r["at_most"]]
+    known = F.when(F.col("at_least") == F.col("at_most"), F.col("at_least"))
+    return scanned.join(exact_distinct(df, rest), "column_name", "left") \
+        .withColumn("n_distinct", F.coalesce("n_distinct", "counted", known, F.lit(0))).drop("at_least", "at_most", "counted")
 
 
 def _turning_points(row) -> list[int]:
@@ -121,14 +129,16 @@ def decided_features(df: DataFrame, *verdicts: Column) -> DataFrame:
     column are its values counted.  One row per column reaches the driver."""
     spark = df.sparkSession
     scanned = scan_features(df)
-    kept = [c for c in scanned.columns if c not in ("at_least", "at_most")]
+    kept = [c for c in scanned.columns if c not in ("at_least", "at_most", "counted")]
     schema = T.StructType([scanned.schema[c] for c in kept] + [T.StructField("n_distinct", T.LongType())])
-    rows = scanned.collect()
+    rows = [r if r["counted"] is None else Row(**r.asDict() | {"at_least": r["counted"], "at_most": r["counted"]})
+            for r in scanned.collect()]
     record = lambda r, n: (*[r[c] for c in kept], n)
     tried = spark.createDataFrame([record(r, n) for r in rows for n in _turning_points(r)], schema)
-    answers = tried.select("column_name", F.struct(*verdicts).alias("a")).groupBy("column_name") \
-        .agg(F.count_distinct(F.to_json("a", {"ignoreNullFields": "false"})).alias("answers"))
-    open_columns = [r["column_name"] for r in answers.where("answers > 1").collect()]
+    answers: dict[str, set[str]] = {}
+    for r in tried.select("column_name", F.to_json(F.struct(*verdicts), {"ignoreNullFields": "false"}).alias("answer")).collect():
+        answers.setdefault(r["column_name"], set()).add(r["answer"])
+    open_columns = [c for c, found in answers.items() if len(found) > 1]
     exact = {r["column_name"]: r["n_distinct"] for r in exact_distinct(df, open_columns).collect()} if open_columns else {}
     return spark.createDataFrame([record(r, exact.get(r["column_name"], r["at_most"])) for r in rows], schema)
 

@@ -15,6 +15,7 @@ from tabulens.plans.storage import materialize
 
 SECOND_SEED = 7_919
 BROADCAST_DIGESTS = 1_000_000  # 16 bytes each
+NARROW_ROW = 256
 NARROW = (T.IntegralType, T.FloatType, T.DoubleType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType,
           T.DayTimeIntervalType, T.YearMonthIntervalType)
 NESTED = (T.ArrayType, T.StructType)
@@ -48,17 +49,30 @@ def row_digest(keys: list[Column]) -> list[Column]:
     return [F.xxhash64(*marked), F.xxhash64(F.lit(SECOND_SEED), *marked)]
 
 
+def _row_bytes(df: DataFrame) -> float:
+    """Average bytes of a row: 8 for a cell of fixed width, the length of the others."""
+    wide = [f for f in df.schema if not isinstance(f.dataType, NARROW)]
+    if not wide:
+        return 8.0 * len(df.columns)
+    sizes = [F.coalesce(F.octet_length(col(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(f.name))),
+                        F.lit(0)) for f in wide]
+    return (df.agg(F.avg(sum(sizes[1:], sizes[0]))).first()[0] or 0.0) + 8.0 * (len(df.columns) - len(wide))
+
+
 def duplicate_counts(df: DataFrame, digest: Callable[[list[Column]], list[Column]] = row_digest,
-                     broadcast_rows: int = BROADCAST_DIGESTS) -> DataFrame:
+                     broadcast_rows: int = BROADCAST_DIGESTS, narrow_bytes: int = NARROW_ROW) -> DataFrame:
     """``(total_rows, duplicate_rows)``: rows, and rows equal to another one counted before.
 
-    The first pass counts digests and stores those met more than once.  The second pass compares the rows behind
+    Rows of few bytes on average are their own keys.  For longer ones, the first pass counts digests and stores those met more than once.  The second pass compares the rows behind
     them: the smallest and the largest row of a digest, combined in each task before they travel.  If the stored
     digests outgrow a broadcast, SHA-256 sums of the rows are compared instead, so that no row is shuffled for its digest.
     Rows of a digest that stands for different rows are grouped by their values."""
     df = normalize(df)
     names = [f"k{i}" for i in range(len(df.columns))]
     keyed = df.select(*[k.alias(n) for k, n in zip(key_columns(df), names)])
+    if _row_bytes(keyed) <= narrow_bytes:
+        total, extra = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") - 1), F.lit(0))
+        return keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).agg(total.alias("total_rows"), extra.alias("duplicate_rows"))
     halves = digest([F.col(n) for n in names])
     by = [f"d{i}" for i in range(len(halves))]
     rows = keyed.select(*[h.alias(d) for h, d in zip(halves, by)], *names)

@@ -14,14 +14,15 @@ def test_planted_equal_digests_do_not_make_rows_equal(spark):
     few = lambda keys: [F.length(F.coalesce(keys[0], F.lit(""))).cast("long")]
     for digest in (digests.row_digest, same, few):
         for broadcast_rows in (0, 10):
-            got = digests.duplicate_counts(df, digest, broadcast_rows).first()
+            got = digests.duplicate_counts(df, digest, broadcast_rows, narrow_bytes=0).first()
             assert tuple(got) == (7, 2)
 
 
 def test_null_places_and_odd_types_in_row_digests(spark):
     df = spark.createDataFrame([(None, "a", [1, None], {"k": 1}), ("a", None, [1, None], {"k": 1}), ("a", None, [None, 1], {"k": 1}),
                                 ("a", None, [1, None], {"k": 1})], "x string, y string, z array<int>, m map<string,int>")
-    assert tuple(digests.duplicate_counts(df).first()) == (4, 1)
+    for narrow_bytes in (0, 1 << 20):
+        assert tuple(digests.duplicate_counts(df, narrow_bytes=narrow_bytes).first()) == (4, 1)
     assert tuple(digests.duplicate_counts(df.limit(0)).first()) == (0, 0)
 
 
