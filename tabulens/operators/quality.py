@@ -60,7 +60,8 @@ class TextSizes:
         self.sizes = column_sizes(df, [c for c in groupable_columns(df) if c not in numbers])
 
     def values(self) -> DataFrame:
-        return text_values(self.df, {c: self.sizes[c]["estimate"] for c in self.texts})
+        partitions = next((r["partitions"] for r in self.sizes.values()), 1)
+        return text_values(self.df, {c: self.sizes[c]["estimate"] for c in self.texts}, partitions)
 
     def base(self) -> DataFrame:
         return self.df.sparkSession.createDataFrame(

@@ -52,12 +52,12 @@ def schema_frame(df: DataFrame) -> DataFrame:
 BOOLEAN_FLAGS = [f"words_{i}" for i in range(len(BOOLEAN_WORDS))]
 
 
-def _text_features(df: DataFrame, estimates: dict[str, int]) -> DataFrame:
+def _text_features(df: DataFrame, estimates: dict[str, int], partitions: int) -> DataFrame:
     """Shares and flags of text columns, as sums over their values."""
     v, n = F.col("value"), F.col("n")
     low = F.lower(strip(v))
     words = reduce(lambda rest, i: F.when(low.isin(BOOLEAN_WORDS[i]), i).otherwise(rest), range(len(BOOLEAN_WORDS)), F.lit(-1))
-    seen = text_values(df, estimates).select(
+    seen = text_values(df, estimates, partitions).select(
         "column_name", "n", words.alias("words"), v.isin(ZERO_ONE).alias("zero_one"), F.length(v).alias("length"),
         v.rlike(DATE_SEPARATORS).alias("separated"),
         F.when(v.rlike(FEW_WORDS), to_datetime(v).isNotNull()).alias("date"),
@@ -83,25 +83,23 @@ def scan_features(df: DataFrame) -> DataFrame:
     odd = [c for c in kinds if c not in sizes]
     there = df.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in odd]).first() if odd else []
     n_rows = next((r["n_rows"] for r in sizes.values()), there[0] if odd else 0)
-    measured = [(c, n_rows, r["n_valid"], r["estimate"], r["single"]) for c, r in sizes.items()] \
-        + [(c, n_rows, there[i + 1], 0, False) for i, c in enumerate(odd)]
+    measured = [(c, n_rows, r["n_valid"], r["estimate"], r["single"], r["zero_one"]) for c, r in sizes.items()] \
+        + [(c, n_rows, there[i + 1], 0, False, False) for i, c in enumerate(odd)]
     base = schema_frame(df).join(F.broadcast(spark.createDataFrame(
-        measured, "column_name string, n_rows long, n_valid long, estimate long, single boolean")), "column_name").selectExpr(
-            "position", "column_name", "dtype", "storage", "n_rows", "n_valid",
+        measured, "column_name string, n_rows long, n_valid long, estimate long, single boolean, only_zero_one boolean")),
+        "column_name").selectExpr(
+            "position", "column_name", "dtype", "storage", "n_rows", "n_valid", "only_zero_one",
             "CASE WHEN n_valid = 0 THEN 0L WHEN single THEN 1L END AS known",
             f"coalesce(known, greatest(least({low_sql('estimate')}, n_valid), 2L)) AS at_least",
             f"coalesce(known, greatest(least({high_sql('estimate')}, n_valid), 2L)) AS at_most").drop("known")
     estimates = {c: sizes[c]["estimate"] for c, k in kinds.items() if k == "text"}
     counted = [c for c, n in estimates.items() if n <= FEW_VALUES]
-    texts = _text_features(df, estimates).withColumn("counted", F.when(F.col("column_name").isin(counted), F.col("values"))).drop("values")
-    numbers = [c for c, k in kinds.items() if k in ("integer", "float", "decimal")]
-    if numbers:
-        flags = df.agg(*[F.bool_and(F.expr(f"{quoted(c)} IN (0, 1)")).alias(f"z{i}") for i, c in enumerate(numbers)])
-        texts = texts.unionByName(flags.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(f"z{i}").alias("only_zero_one")) for i, c in enumerate(numbers)]))),
-            allowMissingColumns=True)
+    partitions = next((r["partitions"] for r in sizes.values()), 1)
+    texts = _text_features(df, estimates, partitions).withColumn("counted", F.when(F.col("column_name").isin(counted), F.col("values"))).drop("values")
+    texts = texts.withColumnRenamed("only_zero_one", "_zero_one")
     return F.broadcast(base).join(texts, "column_name", "left").withColumns(
-        {f: F.coalesce(F.col(f), F.lit(False)) for f in ("only_zero_one", "has_separator", *BOOLEAN_FLAGS)})
+        {f: F.coalesce(F.col(f), F.lit(False)) for f in ("has_separator", *BOOLEAN_FLAGS)}) \
+        .withColumn("only_zero_one", F.coalesce("_zero_one", "only_zero_one")).drop("_zero_one")
 
 
 def column_features(df: DataFrame) -> DataFrame:

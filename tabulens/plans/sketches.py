@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 
 from tabulens.functions.coerce import groupable_columns, is_numeric, normalize, quoted, text_literal
 from tabulens.plans.frequency import long_rows, value_counts
+from tabulens.plans.storage import spread
 
 LG_REGISTERS = 14
 # one standard error of the estimate, and how many of them a bound lies away
@@ -37,29 +38,36 @@ def high_sql(estimate: str) -> str:
 
 
 def column_sizes(df: DataFrame, columns: list[str]) -> dict[str, Row]:
-    """For each column ``n_rows``, ``n_valid``, ``single`` (one distinct value), ``only_value`` (its text) and a distinct ``estimate``.
+    """For each column ``n_rows``, ``n_valid``, ``single`` (one distinct value), ``only_value`` (its text),
+    ``zero_one`` (a number column of nothing else), a distinct ``estimate`` and the number of ``partitions`` of the scan.
 
     One scan; one small row per column reaches the driver."""
     if not columns:
         return {}
     measures = {"n_valid": "count({0})", "single": "coalesce(min({0}) = max({0}), false)",
                 "only_value": "CASE WHEN min({0}) = max({0}) THEN cast(min({0}) AS string) END",
-                "estimate": "coalesce(hll_sketch_estimate({1}), 0L)"}
-    wide = df.selectExpr("count(1) AS n_rows", *[f"{sql.format(quoted(c), sketch_sql(c))} AS m{i}_{m}"
-                                                 for i, c in enumerate(columns) for m, sql in measures.items()])
-    rows = ", ".join("named_struct('column_name', {}, 'n_rows', n_rows, {})".format(
+                "zero_one": "{2}", "estimate": "coalesce(hll_sketch_estimate({1}), 0L)"}
+    flag = lambda c: f"coalesce(bool_and({quoted(c)} IN (0, 1)), false)" if is_numeric(df.schema[c].dataType) else "false"
+    part = "part"
+    while part in df.columns:
+        part = "_" + part
+    wide = df.withColumn(part, F.spark_partition_id()).selectExpr(
+        "count(1) AS n_rows", f"coalesce(max({quoted(part)}), 0) + 1 AS partitions",
+        *[f"{sql.format(quoted(c), sketch_sql(c), flag(c))} AS m{i}_{m}" for i, c in enumerate(columns) for m, sql in measures.items()])
+    rows = ", ".join("named_struct('column_name', {}, 'n_rows', n_rows, 'partitions', partitions, {})".format(
         text_literal(c), ", ".join(f"'{m}', m{i}_{m}" for m in measures)) for i, c in enumerate(columns))
     return {r["column_name"]: r for r in wide.selectExpr(f"inline(array({rows}))").collect()}
 
 
-def text_values(df: DataFrame, estimates: dict[str, int]) -> DataFrame:
+def text_values(df: DataFrame, estimates: dict[str, int], partitions: int) -> DataFrame:
     """``(column_name, value, n)`` over the non-null cells of text columns, for sums over values.
 
     Columns of few distinct values are counted first, so that work per value is done once; the cells of the
-    others come one by one and are not shuffled."""
+    others come one by one; they are not shuffled unless the ``partitions`` of the scan leave cores idle."""
     few = [c for c, n in estimates.items() if n <= FEW_VALUES]
     many = long_rows(df, {c: quoted(c) for c in estimates if c not in few}).where("value IS NOT NULL") \
         .selectExpr("column_name", "value", "1L AS n")
+    many = spread(many, partitions) if len(few) < len(estimates) else many
     return value_counts(df, few).unionByName(many) if few else many
 
 
