@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from tabulens.functions.coerce import NUMBER_SHAPE, col
+from tabulens.functions.coerce import NUMBER_SHAPE, col, quoted
+
+SURPLUS = "_surplus"
+# what a piece of a file block is: a record, or the first, a middle or the last part of one
+WHOLE, HEAD, MIDDLE, TAIL = range(4)
 
 # Cell texts a CSV reader takes for a missing value.
 CSV_NULLS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -28,37 +34,113 @@ DANGEROUS_EXTENSIONS = [
 ]
 
 
+def _cut_records(batches):
+    """Lines of file blocks, in order, as records: whole ones, and the open ends of those that cross a block.
+
+    A line ends a record if an even number of quotes stands before its end, counted from the start of the file."""
+    place, seq, inside, held, started = None, 0, False, [], False
+
+    def rows(found):
+        names = ("path", "block", "seq", "kind", "record")
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 5, kinds)], list(names))
+
+    for batch in batches:
+        found = []
+        for path, block, value, quotes, opened in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if (path, block) != place:
+                if held:
+                    found.append((*place, seq, HEAD if started else MIDDLE, "\n".join(held)))
+                place, seq, inside, held, started = (path, block), 0, bool(opened), [], not opened
+            held.append(value)
+            inside ^= bool(quotes % 2)
+            if not inside:
+                found.append((path, block, seq, WHOLE if started else TAIL, "\n".join(held)))
+                seq, held, started = seq + 1, [], True
+        yield rows(found)
+    if held:
+        yield rows([(*place, seq, HEAD if started else MIDDLE, "\n".join(held))])
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, block, seq, record)``: the records of UTF-8 CSV files whose quoted cells may hold line breaks.
+
+    Files are read in blocks by many tasks.  Quotes are counted per block first; the blocks before tell whether a block
+    begins inside quotes.  Then every task cuts its blocks into records, and the ends of records that cross a
+    block, two per block at most, are put together by a small shuffle.  ``(block, seq)`` of a file's first record is (0, 0)."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value",
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    opened = lines.groupBy("path", "block").agg(F.sum("quotes").alias("quotes")) \
+        .withColumn("opened", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).where("opened").select("path", "block", "opened")
+    # one row per block that begins inside quotes
+    cut = lines.join(F.broadcast(opened), ["path", "block"], "left") \
+        .select("path", "block", "value", "quotes", F.coalesce("opened", F.lit(False)).alias("opened")) \
+        .mapInArrow(_cut_records, "path string, block long, seq long, kind int, record string")
+    parts = cut.where(F.col("kind") != WHOLE)
+    upto = Window.partitionBy("path").orderBy("block", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = parts.withColumn("number", F.count_if(F.col("kind") == HEAD).over(upto)).groupBy("path", "number").agg(
+        F.min(F.struct("block", "seq")).alias("at"), F.sort_array(F.collect_list(F.struct("block", "seq", "record"))).alias("all")) \
+        .select("path", "at.block", "at.seq", F.array_join(F.transform("all", lambda x: x["record"]), "\n").alias("record"))
+    return cut.where(F.col("kind") == WHOLE).select("path", "block", "seq", "record").unionByName(joined) \
+        .withColumn("record", F.regexp_replace("record", "\r$", ""))
+
+
+def _read_quoted(spark: SparkSession, path: str, delimiter: str, options: dict) -> DataFrame:
+    """Records parsed by the header of their own file; columns are matched by name."""
+    records = read_records(spark, path)
+    first = (F.col("block") == 0) & (F.col("seq") == 0)
+    headers: dict[str, list[str]] = {}
+    for r in records.where(first).select("path", "record").collect():
+        headers.setdefault(r["record"].lstrip("\ufeff"), []).append(r["path"])
+    parts = []
+    for header, files in headers.items():
+        names = next(csv.reader([header], delimiter=delimiter), [])
+        mine = records.where(~first & (F.trim("record") != ""))
+        if len(headers) > 1:
+            mine = mine.join(F.broadcast(spark.createDataFrame([(f,) for f in files], "path string")), "path", "left_semi")
+        parts.append(mine.select(F.from_csv("record", ", ".join(f"{quoted(n)} string" for n in [*names, SURPLUS]), options).alias("r")).select("r.*"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8",
              multiline: bool = False) -> DataFrame:
     """Read CSV as text columns: short rows padded with NULL, over-long rows left out.
 
-    One extra column catches surplus cells, so the rows that fill it can be filtered.
-    ``multiline`` admits line breaks inside quotes, at the price of one task per file."""
-    options = {"header": True, "sep": delimiter, "encoding": encoding, "multiLine": multiline, "escape": '"',
-               "mode": "PERMISSIVE", "nullValue": "\u0001", "emptyValue": ""}
-    names = spark.read.options(**options).csv(path).columns
-    surplus = "_surplus"
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, surplus]])
-    rows = spark.read.options(**options, enforceSchema=True).schema(schema).csv(path).where(col(surplus).isNull())
-    return rows.select(*[F.when(~col(n).isin(CSV_NULLS), col(n)).alias(n.strip()) for n in names])
+    One extra column catches surplus cells, so the rows that fill it can be filtered.  ``multiline`` admits line
+    breaks inside quotes: UTF-8 files are then read in blocks by many tasks, each with its own header; files in other
+    encodings take one task per file."""
+    options = {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0001", "emptyValue": ""}
+    if multiline and encoding.upper() == "UTF-8":
+        rows = _read_quoted(spark, path, delimiter, options)
+        names = [c for c in rows.columns if c != SURPLUS]
+    else:
+        options |= {"header": True, "encoding": encoding, "multiLine": multiline}
+        names = spark.read.options(**options).csv(path).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])
+        rows = spark.read.options(**options, enforceSchema=True).schema(schema).csv(path)
+    return rows.where(col(SURPLUS).isNull()).select(*[F.when(~col(n).isin(CSV_NULLS), col(n)).alias(n.strip()) for n in names])
 
 
 def typed(df: DataFrame) -> DataFrame:
     """Cast text columns whose every value is a whole number, a number or a truth word.
 
-    The decision takes one scan; a whole-number column with missing cells becomes double."""
+    The decision takes one scan; a whole-number column with missing cells becomes double, one of more than 18 digits
+    keeps them all as a decimal."""
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not text:
         return df
     every = lambda flag: F.coalesce(F.bool_and(flag), F.lit(False))
     row = df.agg(*[a for i, c in enumerate(text) for a in (
         every(F.trim(col(c)).rlike(r"^[+-]?\d{1,18}$")).alias(f"i{i}"),
+        every(F.trim(col(c)).rlike(r"^[+-]?\d{1,38}$")).alias(f"w{i}"),
         every(F.trim(col(c)).rlike(NUMBER_SHAPE)).alias(f"d{i}"),
         every(col(c).isin("True", "TRUE", "true", "False", "FALSE", "false")).alias(f"b{i}"),
         F.count_if(col(c).isNull()).alias(f"n{i}"))]).first()
     casts = {}
     for i, c in enumerate(text):
-        kind = "bigint" if row[f"i{i}"] and not row[f"n{i}"] else "double" if row[f"d{i}"] else \
+        kind = "bigint" if row[f"i{i}"] and not row[f"n{i}"] else "decimal(38,0)" if row[f"w{i}"] and not row[f"n{i}"] else "double" if row[f"d{i}"] else \
             "boolean" if row[f"b{i}"] and not row[f"n{i}"] else None
         if kind:
             casts[c] = F.trim(col(c)).try_cast(kind)
@@ -66,7 +148,9 @@ def typed(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    """Write with a header; quotes are doubled, white space and line breaks inside cells stay."""
+    df.write.mode("errorifexists").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False) \
+        .csv(path)
 
 
 def write_report(facts: DataFrame, path: str) -> None:
@@ -156,24 +240,28 @@ def audit_files(spark: SparkSession, folder: str, max_bytes: int | None = None)
 
 def structure_report(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8",
                      max_columns: int | None = None, max_rows: int | None = None) -> DataFrame:
-    """Rows, columns and ragged rows per file over all its lines, with a verdict."""
-    header = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).csv(path).columns
+    """Rows, columns and ragged rows per file over all its lines, with a verdict; each file is judged by its own header."""
     mark = "\\|" if delimiter == "|" else delimiter
     lines = spark.read.text(path) if encoding.upper() == "UTF-8" else \
         spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(path) \
         .select(F.col("_c0").alias("value"))
-    bare = F.regexp_replace("value", r'"[^"]*"', "")
+    bare = F.regexp_replace("value", r'"[^"]*"', "x")
     counted = lines.where(F.trim("value") != "").select(
-        F.input_file_name().alias("path"), (F.regexp_count(bare, F.lit(mark)) + 1).alias("cells"))
-    k = len(header)
-    report = counted.groupBy("path").agg((F.count(F.lit(1)) - 1).alias("row_count"),
-                                         F.count_if(F.col("cells") != k).alias("ragged_rows"))
-    reason = (F.when(F.lit(all(not h.strip() or h.startswith("_c") for h in header)), "header missing or blank")
-              .when(F.lit(max_columns is not None and k > max_columns), "too many columns")
+        F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
+        (F.regexp_count(bare, F.lit(mark)) + 1).alias("cells"),
+        (F.regexp_replace("value", r"[,;|\t\s\"\x{FEFF}]", "") == "").alias("blank"))
+    # lines of a file that have the same number of cells are one row of this frame
+    shapes = counted.groupBy("path", "cells").agg(F.count(F.lit(1)).alias("n"),
+                                                  F.min(F.struct("block", "row", "cells", "blank")).alias("first"))
+    header = F.min("first").over(Window.partitionBy("path"))
+    report = shapes.withColumn("header", header).groupBy("path").agg(
+        (F.sum("n") - 1).alias("row_count"), F.sum(F.when(F.col("cells") != F.col("header.cells"), F.col("n")).otherwise(0)).alias("ragged_rows"),
+        F.first("header.cells").cast("int").alias("column_count"), F.first("header.blank").alias("_blank"))
+    reason = (F.when(F.col("_blank"), "header missing or blank")
+              .when(F.lit(False) if max_columns is None else F.col("column_count") > max_columns, "too many columns")
               .when(F.lit(False) if max_rows is None else F.col("row_count") > max_rows, "too many rows")
               .when(F.col("row_count") < 1, "no data rows"))
-    return report.withColumn("column_count", F.lit(k)).withColumn("reason", reason) \
-        .withColumn("accepted", F.col("reason").isNull())
+    return report.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).drop("_blank")
 
 
 def expired_files(spark: SparkSession, folder: str, max_age_hours: float = 24) -> DataFrame:

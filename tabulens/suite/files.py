@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabulens.sources import csvfiles
+from tabulens.plans.storage import shared_folder
 from tabulens.suite.common import table
 
 
@@ -58,7 +61,34 @@ RAGGED = """WITH l AS (SELECT doc_id, list_transform(list_filter(str_split(text,
 SELECT doc_id, CAST(greatest(len(c) - 1, 0) AS BIGINT) AS row_count, CAST(coalesce(c[1], 0) AS BIGINT) AS column_count,
   CAST(len(list_filter(c, lambda x: x <> c[1])) AS BIGINT) AS ragged_rows FROM l"""
 
+def csv_round_trip(spark, sf):
+    """Whole texts, line breaks and quotes included, written as CSV and read back in blocks."""
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    csvfiles.write_csv(table(spark, sf, "documents").select("doc_id", "text", "source", "lang"), folder)
+    back = csvfiles.typed(csvfiles.read_csv(spark, folder, multiline=True))
+    return back.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "source", "lang")
+
+
+CSV_ROUND_TRIP = "SELECT doc_id, sha256(text) AS text_sha256, source, lang FROM documents"
+
+
+def structure_report(spark, sf):
+    """A folder with a three-cell and a two-cell file, each judged by its own first line."""
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, sf, "orders").orderBy("o_orderkey").selectExpr(
+        "concat_ws(',', o_orderkey, o_orderstatus, IF(o_orderkey % 10 = 5, 'x,y', 'z')) AS value").coalesce(1).write.text(f"{folder}/wide")
+    table(spark, sf, "customer").selectExpr("concat_ws(',', c_custkey, concat('\"', c_name, ',', c_mktsegment, '\"')) AS value") \
+        .coalesce(1).write.text(f"{folder}/narrow")
+    return csvfiles.structure_report(spark, f"{folder}/*").select(
+        F.regexp_extract("path", "(wide|narrow)/[^/]*$", 1).alias("name"), "row_count", "ragged_rows", "column_count", "accepted")
+
+
+STRUCTURE_REPORT = """SELECT 'wide' AS name, count(*) - 1 AS row_count, count(*) FILTER (o_orderkey % 10 = 5) AS ragged_rows, 3 AS column_count,
+  true AS accepted FROM orders UNION ALL SELECT 'narrow', count(*) - 1, 0, 2, true FROM customer"""
+
 QUERIES = {
+    "csv_round_trip": (csv_round_trip, CSV_ROUND_TRIP),
+    "structure_report": (structure_report, STRUCTURE_REPORT),
     "csv_delimiter": (csv_delimiter, DELIMITER),
     "binary_payload": (binary_payload, BINARY),
     "file_names": (file_names, NAMES),
