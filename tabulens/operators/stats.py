@@ -343,5 +343,7 @@ def observations(df: DataFrame, numeric: list[str] | None = None, categorical: l
             _remark("time_span", c("valid_count") > 0, "info", c("date_range_days"), c("median_gap_seconds"), c("cadence"))]))
     found = reduce(DataFrame.unionByName, [frame.select("column_name", F.inline(F.array_compact(F.array(*remarks))))
                                            for frame, remarks in parts], df.sparkSession.createDataFrame([], REMARKS))
-    plain = df.sparkSession.createDataFrame([("", "unremarkable", "info", None, None, None)], REMARKS)
-    return found.unionByName(plain.where(found.agg(F.count(F.lit(1))).scalar() == 0))
+    found = materialize(found)  # a few rows per column
+    if found.count():
+        return found
+    return df.sparkSession.createDataFrame([("", "unremarkable", "info", None, None, None)], REMARKS)
