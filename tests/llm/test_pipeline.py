@@ -40,4 +40,4 @@ def test_stages_on_planted_cases(spark, tmp_path):
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(n[2:].split("_")[0]) for n in suite.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
