@@ -55,6 +55,13 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def require_columns(df: DataFrame, *names: str | None) -> None:
+    """Raise before anything is computed if a named column is missing; None names nothing."""
+    missing = [n for n in names if n is not None and n not in df.columns]
+    if missing:
+        raise ValueError(f"no such column: {', '.join(missing)}; there are {', '.join(df.columns)}")
+
+
 def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 

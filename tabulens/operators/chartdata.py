@@ -7,7 +7,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulens.functions.coerce import as_double, as_timestamp, col, normalize, percent
+from tabulens.functions.coerce import as_double, as_timestamp, col, normalize, percent, require_columns
 from tabulens.operators import correlation, outliers, stats
 from tabulens.operators.tools import aggregate_expr, aggregate_name, histogram
 from tabulens.operators.types import role_map
@@ -188,6 +188,7 @@ def plain_line(df: DataFrame, x: str, y: str, agg: str = "mean") -> DataFrame:
 def custom_chart(df: DataFrame, kind: str, x: str, y: str | None = None, color: str | None = None,
                  agg: str = "none", keys: list[str] = ()) -> DataFrame:
     """The data of a chart chosen by kind and columns."""
+    require_columns(df, x, y, color, *keys)
     kind, agg = (kind or "bar").strip().lower(), (agg or "none").strip().lower()
     rows = df.dropna(subset=[c for c in (x, y) if c])
     if kind in ("histogram", "dist"):

@@ -19,6 +19,8 @@ from tabulens.plans.quantiles import column_quantiles, quantile_frame
 from tabulens.plans.sketches import exact_modes
 from tabulens.plans.storage import materialize
 
+# Lowest and highest confidence level.
+LEVELS = 0.5, 0.999
 PERCENTILES = [1, 5, 10, 25, 50, 75, 90, 95, 99]
 
 
@@ -61,7 +63,9 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
 def moment_summary(df: DataFrame, columns: list[str], level: float = 0.95) -> DataFrame:
     """Everything that needs no order statistics: dispersion, shape, interval, normality.
 
-    Infinite values leave no spread (NULL) and count as unskewed."""
+    Infinite values leave no spread (NULL) and count as unskewed.  The level of the interval is kept within
+    ``LEVELS``."""
+    level = min(max(level, LEVELS[0]), LEVELS[1])
     n = "valid_count"
     flat = "CASE WHEN is_constant THEN 0D ELSE {} END"
     skew, kurt = formulas.adjusted_skewness(n, "g1"), formulas.adjusted_kurtosis(n, "g2")

@@ -3,7 +3,7 @@ from functools import reduce
 import pytest
 from pyspark.sql import DataFrame, functions as F
 
-from tabulens.operators import cleaning, quality, stats, types
+from tabulens.operators import chartdata, cleaning, quality, stats, tools, types
 from tabulens.plans import digests, sketches
 
 
@@ -92,3 +92,12 @@ def test_split_join_of_a_category_map(spark, broadcast_bytes):
     assert len(rows) == 4000 and {r["from"] for r in rows.values()} == {"Yes"}
     for i, r in rows.items():
         assert r["c"] == ("Common" if i % 2 == 0 or i % 8 == 1 else None if i % 8 == 3 else f"val{i % 40}")
+
+
+def test_levels_are_kept_in_range_and_columns_are_checked(spark, numbers):
+    df = numbers([1, 2, 4, 8, 9])
+    width = lambda level: stats.moment_summary(df, ["v"], level).first()["margin_of_error"]
+    assert width(2.0) == width(0.999) > width(0.95) > width(0.5) == width(-1.0)
+    for call in (lambda: chartdata.custom_chart(df, "bar", "v", "nowhere"), lambda: tools.group_rank(df, "nowhere")):
+        with pytest.raises(ValueError, match="nowhere"):
+            call()
