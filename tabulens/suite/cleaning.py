@@ -256,6 +256,22 @@ def clean_log(spark, sf):
     return cleaning.clean(dirty(spark, sf)).log
 
 
+_LOGGED = [("status", "strip_whitespace", "padded"), ("priority", "standardize_categories", "cased"),
+           ("price_txt", "convert_numbers", "n"), ("date_txt", "convert_dates", "n"),
+           ("order_key", "null_invalid_numbers", "bad_key"), ("price", "null_invalid_numbers", "bad_price"),
+           ("amount", "null_invalid_numbers", "bad_amount"), ("price_txt", "null_invalid_numbers", "bad_txt")]
+_FILLED = [("order_key", "fill_numbers"), ("price", "fill_numbers"), ("amount", "fill_numbers"), ("price_txt", "fill_numbers"),
+           ("note", "fill_others")]
+CLEAN_LOG = f"""WITH {DIRTY}, {CANON}, {STEPS},
+a AS (SELECT count(*) AS n, count(*) FILTER ({STRIP.format('status')} <> status) AS padded, count(*) FILTER (t <> priority) AS cased,
+  count(*) FILTER (({VALID_KEY}) IS NULL) AS bad_key, count(*) FILTER (price IN (9999, 99999)) AS bad_price,
+  count(*) FILTER (amount IS NOT NULL AND ({VALID_AMOUNT}) IS NULL) AS bad_amount,
+  count(*) FILTER (replace(price_txt, '$', '') IN ('9999', '99999')) AS bad_txt FROM dirty JOIN cm ON priority = v),
+rows_ AS ({" UNION ALL ".join(f"SELECT '{c}' AS column_name, '{step}' AS step, {n} AS affected FROM a" for c, step, n in _LOGGED)}
+  UNION ALL {" UNION ALL ".join(f"SELECT '{c}', '{step}', count(*) FILTER ({c} IS NULL) FROM de" for c, step in _FILLED)})
+SELECT * FROM rows_ WHERE affected > 0"""
+
+
 QUERIES = {
     "issue_missing": (_rules(quality.missing_rules), COUNTS + MISSING),
     "issue_duplicates": (_issues(quality.duplicate_issues), f"WITH {DIRTY} " + DUPLICATE),
@@ -292,5 +308,5 @@ SELECT column_name, original_value FROM e WHERE r <= 3"""),
     "clean_default": (clean_default, CLEAN_DEFAULT),
     "clean_all_options": (clean_all_options, CLEAN_ALL),
     "clean_summary": (clean_summary, CLEAN_SUMMARY),
-    "clean_log": (clean_log, None),
+    "clean_log": (clean_log, CLEAN_LOG),
 }
