@@ -134,6 +134,17 @@ def box_sample(spark, sf):
 BOX_SAMPLE = f"""SELECT 'all' AS which, least(count(*), {chartdata.BOX_POINTS}) AS sampled, least(count(*), {chartdata.BOX_POINTS}) AS different,
   least(count(*), {chartdata.BOX_POINTS}) AS found FROM orders WHERE o_totalprice IS NOT NULL"""
 
+def scatter_sample(spark, sf):
+    """The sampled pairs of a scatter chart, of all colours: their number and those found in the table."""
+    lines = table(spark, sf, "lineitem").select(*SAMPLE_KEYS, F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"),
+                                                F.col("l_returnflag").alias("color"), F.lit("all").alias("which"))
+    sample = chartdata.scatter_points(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", SAMPLE_KEYS, "l_returnflag")
+    return _sample_check(sample.withColumn("which", F.lit("all")), lines, SAMPLE_KEYS, ["which"]).drop("different")
+
+
+SCATTER_SAMPLE = f"""SELECT 'all' AS which, least(count(*), {chartdata.SCATTER_POINTS}) AS sampled, least(count(*), {chartdata.SCATTER_POINTS}) AS found
+FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL"""
+
 SAMPLE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
 
 
@@ -159,5 +170,6 @@ QUERIES = {
     "outlier_warnings": (outlier_warnings, OUTLIER_WARNINGS),
     "recommendations": (recommendations, RECOMMENDATIONS),
     "box_sample": (box_sample, BOX_SAMPLE),
+    "scatter_sample": (scatter_sample, SCATTER_SAMPLE),
     "stratified_sample": (stratified_sample, STRATIFIED),
 }
