@@ -11,18 +11,19 @@ where the whole item should stand, and the exact edit distance there (bit-parall
 decides.
 
 Items shorter than the walk use a shorter walk.  Short items, heavily edited ones and text without
-spaces have few windows or none that meet, so disjoint pieces of the items propose places too: ``k``
-edits leave all but ``k`` pieces as they are, on diagonals at most ``k`` apart.  A band of diagonals that
-holds so many pieces, and so many of the item's byte triples as ``k`` edits leave, is verified; this
-loses no place.  Items under ``WHOLE`` bytes are searched as they are, between spaces."""
+spaces have few windows or none that meet, so disjoint pieces of the items propose places too: of enough
+pieces one has a single edit at most, and so have ever longer rows of pieces around it their share; this
+loses no place (``Pieces``).  Items under ``WHOLE`` bytes are searched as they are, between spaces."""
 
 from __future__ import annotations
 
 from collections import defaultdict
 from functools import lru_cache
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from tabulens.llm.common import map_rows, text_bytes
@@ -33,12 +34,15 @@ SAMPLED = 10
 APART = 0.3
 STEPS = (56, 20)
 WHOLE = 12
-PIECE = 4
-LEAST_PIECES = 2
+LONGEST_PIECE = 31
 FILTER_BITS = 20
+PLACES_AT_ONCE = 1 << 16
+HITS_AT_ONCE = 1 << 13
+HITS_HELD = 1 << 18
 WINDOWS_AT_ONCE = 1 << 14
 BYTES_AT_ONCE = 1 << 20
 ITEMS_AT_ONCE = 20_000
+ITEM_BYTES_AT_ONCE = 4 << 20
 SEED = 20_17
 
 
@@ -109,7 +113,6 @@ class Walk:
             at += move
         return found
 
-
     def strings(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The embedded strings themselves, one row per window."""
         at, out = starts.astype(np.int64), np.zeros((len(starts), self.steps), np.uint8)
@@ -169,110 +172,213 @@ class Tables:
         return out
 
 
-class Pieces:
-    """Disjoint pieces of ``size`` bytes of items, to find all places within the allowed number of edits."""
+class Lookup:
+    """Entries by 32-bit key, behind two small filters over the high and the low bits."""
 
-    def __init__(self, size: int, items: list[tuple[int, bytes]], allowed: list[int]):
-        self.size, self.items = size, items
-        lengths = np.array([len(t) for _, t in items], np.int64)
-        self.allowed, pieces = np.array(allowed, np.int64), lengths // size
-        self.least = pieces - self.allowed
-        # pieces left by the edits lie in one band of twice this width, whatever the diagonal
-        self.width = self.allowed + 1
-        self.reach = int((lengths + 2 * self.allowed).max())
-        owner = np.repeat(np.arange(len(items)), pieces)
-        offset = np.concatenate([np.arange(n) * size for n in pieces.tolist()])
-        codes = np.concatenate([self.coded(np.frombuffer(t, np.uint8))[:n * size:size]
-                                for (_, t), n in zip(items, pieces.tolist())])
-        order = np.argsort(codes, kind="stable")
-        self.owner, self.offset = owner[order], offset[order]
-        self.codes, self.first = np.unique(codes[order], return_index=True)
+    def __init__(self, keys: np.ndarray, entries: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.entries = entries[order]
+        self.keys, self.first = np.unique(keys[order], return_index=True)
         self.last = np.append(self.first[1:], len(order))
-        self.seen = np.zeros(1 << FILTER_BITS, bool)
-        self.seen[self.slot(self.codes)] = True
-        self.triples = np.zeros((len(items), 1 << 13), bool)
-        for i, (_, t) in enumerate(items):
-            self.triples[i, triple_slots(np.frombuffer(t, np.uint8))] = True
-
-    def coded(self, text: np.ndarray) -> np.ndarray:
-        n = len(text) - self.size + 1
-        found = text[:n].astype(np.uint32)
-        for i in range(1, self.size):
-            found |= text[i:n + i].astype(np.uint32) << np.uint32(8 * i)
-        return found
+        self.shift = np.uint32(32 - min(max(len(keys) * 8, 1 << 12).bit_length(), FILTER_BITS))
+        self.seen = np.zeros(1 << 32 - int(self.shift), bool)
+        self.seen[self.keys >> self.shift] = True
+        self.low = np.uint32(len(self.seen) - 1)
+        self.seen_low = np.zeros(len(self.seen), bool)
+        self.seen_low[self.keys & self.low] = True
+
+    def held(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key may be held; surely not where False."""
+        return np.take(self.seen, keys >> self.shift, mode="clip")
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(index, entry)`` of all keys that are held."""
+        maybe = np.flatnonzero(self.held(keys))
+        some = np.take(keys, maybe)
+        again = np.take(self.seen_low, some & self.low, mode="clip")
+        maybe, some = maybe[again], some[again]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        known = self.keys[at] == some
+        maybe, at = maybe[known], at[known]
+        often = self.last[at] - self.first[at]
+        entry = np.arange(often.sum()) + np.repeat(self.first[at] - (np.cumsum(often) - often), often)
+        return np.repeat(maybe, often), self.entries[entry]
 
-    @staticmethod
-    def slot(codes: np.ndarray) -> np.ndarray:
-        return codes * np.uint32(0x9E3779B1) >> np.uint32(32 - FILTER_BITS)
 
-    def regions(self, text: np.ndarray):
-        """``(item number, from, to)``: stretches of the text that hold enough pieces; no place is outside."""
-        step = max(BYTES_AT_ONCE, 4 * self.reach)
-        for lo in range(0, len(text), step):
-            part = text[lo:lo + step + self.reach]
-            if len(part) < self.size:
-                continue
-            codes = self.coded(part)
-            maybe = np.flatnonzero(self.seen[self.slot(codes)])
-            code = codes[maybe]
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            known = self.codes[at] == code
-            maybe, at = maybe[known], at[known]
-            often = self.last[at] - self.first[at]
-            entry = np.arange(often.sum()) + np.repeat(self.first[at] - (np.cumsum(often) - often), often)
-            item = self.owner[entry]
-            diagonal = np.repeat(maybe, often) - self.offset[entry] + self.reach
-            # bands of one item are numbered in a row, with room between items
-            room = (len(part) + self.reach) // int(self.width.min()) + 3
-            bands, counts = np.unique(item * room + diagonal // self.width[item], return_counts=True)
-            both = counts.copy()
-            both[:-1] += np.where(bands[1:] == bands[:-1] + 1, counts[1:], 0)
-            number = bands // room
-            enough = both >= self.least[number]
-            number, band = number[enough], bands[enough] % room
-            starts = band * self.width[number] - self.reach + lo
-            held = None
-            for i, start in zip(number.tolist(), starts.tolist()):
-                k, n = int(self.allowed[i]), len(self.items[i][1])
-                a, b = start - k, start + 2 * (k + 1) + n + k
-                if held and held[0] == i and a <= held[2]:
-                    held[2] = b
-                else:
-                    if held:
-                        yield tuple(held)
-                    held = [i, a, b]
-            if held:
-                yield tuple(held)
-
-    def possible(self, number: int, text: np.ndarray, slots: np.ndarray, lo: int, hi: int) -> bool:
-        """Whether a stretch has so many of the item's triples as the allowed edits leave: first within a
-        window as long as a place can be, then within a band of diagonals."""
-        item, k = np.frombuffer(self.items[number][1], np.uint8), int(self.allowed[number])
-        n, least = len(item), len(item) - 2 - 3 * k
-        if least <= 0:
-            return True
-        lo, hi = max(lo, 0), min(hi, len(text))
-        hits = np.cumsum(np.concatenate([[0], self.triples[number][slots[lo:max(hi - 2, lo)]]]))
-        width = min(n + k - 2, len(hits) - 1)
-        if (hits[width:] - hits[:len(hits) - width]).max() < least:
-            return False
-        step = 4 * (n + k)
-        for at in range(lo, hi, step):
-            part = text[at:min(at + step + n + k, hi)]
-            if len(part) < 3:
-                continue
-            same = part[:, None] == item
-            places, offsets = np.nonzero(same[:-2, :-2] & same[1:-1, 1:-1] & same[2:, 2:])
-            often = np.cumsum(np.concatenate([np.zeros(k + 1, np.int64), np.bincount(places - offsets + n, minlength=k + 1)]))
-            if (often[k + 1:] - often[:-k - 1]).max() >= least:
-                return True
-        return False
+class Pieces:
+    """Disjoint pieces of ``size`` bytes of items, to find all places within the allowed number of edits.
 
+    An item of ``p`` pieces with fewer than ``2 p`` edits has a piece with one edit at most.  Such a piece meets
+    the text in one of these keys: a byte of the piece left out, one place of both left open, a byte of the text
+    left out.  A piece so found must have a neighbourhood that fits as well: ``m`` pieces in a row with at most
+    ``2 m - 1`` edits, for rows of two, four and more up to a 64-bit word.  Of two halves with more edits than
+    allowed the whole would have too many, so no place is lost."""
 
-def triple_slots(text: np.ndarray) -> np.ndarray:
-    """A hash of 13 bits of the three bytes at each place but the last two."""
-    codes = text[:-2].astype(np.uint32) | text[1:-1].astype(np.uint32) << np.uint32(8) | text[2:].astype(np.uint32) << np.uint32(16)
-    return (codes * np.uint32(0x9E3779B1) >> np.uint32(19)).astype(np.uint16)
+    def __init__(self, size: int, items: list[tuple[int, bytes]], allowed: list[int]):
+        self.size, self.items, self.allowed = size, items, np.array(allowed, np.int64)
+        self.row = 63 // size
+        texts = [np.frombuffer(t, np.uint8) for _, t in items]
+        self.lengths = np.array([len(t) for t in texts], np.int64)
+        pieces = self.lengths // size
+        self.owner = np.repeat(np.arange(len(items)), pieces)
+        number = np.arange(len(self.owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.offset = number * size
+        rows = -(-pieces // self.row)
+        self.pieces_of, self.rows, self.first_row = pieces, rows, np.cumsum(rows) - rows
+        # the row of a piece, its number in the row and the pieces of the row
+        self.row_of = np.repeat(self.first_row, pieces) + number // self.row
+        self.in_row = number % self.row
+        self.row_pieces = np.minimum(np.repeat(pieces, pieces) - (number - self.in_row), self.row)
+        grams = np.concatenate([t[:n * size].reshape(n, size) for t, n in zip(texts, pieces.tolist())])
+        self._index(grams)
+        self.sign = np.zeros(256, np.int64)
+        used = np.unique(grams)
+        self.sign[used] = np.arange(1, len(used) + 1)
+        self.signs = len(used) + 1
+        self.where = np.zeros((int(rows.sum()), self.signs), np.uint64)
+        bit = (self.in_row * size)[:, None] + np.arange(size)
+        np.bitwise_or.at(self.where, (np.repeat(self.row_of, size), self.sign[grams].ravel()),
+                         np.uint64(1) << bit.ravel().astype(np.uint64))
+
+    def _index(self, grams: np.ndarray) -> None:
+        size, entries = self.size, np.arange(len(grams))
+        self.weights = np.random.default_rng(SEED).integers(0, 1 << 31, size, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        parts = grams * self.weights
+        whole = parts.sum(axis=1, dtype=np.uint32)
+        self.whole = Lookup(whole, entries)
+        self.open = {j: Lookup(whole - parts[:, j], entries) for j in range(1, size - 1)}
+        half = size // 2
+        self.firsts = Lookup(parts[:, :half].sum(axis=1, dtype=np.uint32), entries)
+        self.seconds = Lookup((grams[:, half:] * self.weights[:size - half]).sum(axis=1, dtype=np.uint32), entries)
+        less = [(np.delete(grams, j, axis=1) * self.weights[:-1]).sum(axis=1, dtype=np.uint32) for j in range(size)]
+        self.less = Lookup(np.concatenate(less), np.tile(entries, size))
+
+    def met(self, text: np.ndarray):
+        """``(places, entries)`` of pieces with one edit at most, block by block; a place may be up to two
+        bytes before its text, or one behind."""
+        size = self.size
+        for lo in range(0, len(text), PLACES_AT_ONCE):
+            n = min(PLACES_AT_ONCE, len(text) - lo)
+            part = text[lo:lo + n + size + 1]
+            part = np.concatenate([part, np.zeros(n + size + 1 - len(part), np.uint8)]).astype(np.uint32)
+            parts = [part[i:i + n + 1] * self.weights[i] for i in range(size)]
+            before = [np.zeros(n + 1, np.uint32)]
+            for some in parts:
+                before.append(before[-1] + some)
+            whole = before[size]
+            # with one edit at most one half is as it is: the first at the place itself, the second near its own place
+            half = size // 2
+            first, second = self.firsts.held(before[half][:n]), self.seconds.held(before[size - half])
+            second = np.concatenate([second, np.ones(half + 1, bool)])
+            behind = {gap: np.flatnonzero(second[half + gap:half + gap + n]) for gap in (0, 1)}
+            first_at, either = np.flatnonzero(first), np.flatnonzero(first | second[max(half - 1, 0):][:n])
+            probes = [(self.less, before[size - 1], either)]
+            probes += [(table, whole - parts[j], first_at if j >= half else behind[0]) for j, table in self.open.items()]
+            probes += [(self.whole, before[j][:n] + (whole - before[j])[1:], first_at if j >= half else behind[1])
+                       for j in range(1, size)]
+            found = []
+            for table, keys, at in probes:
+                index, entry = table.find(np.take(keys, at))
+                found.append((at[index], entry))
+            place, entry = (np.concatenate(x) for x in zip(*found))
+            both = np.unique(entry * (n + 1) + place)
+            # of two places side by side the first will do
+            beside = np.flatnonzero(np.concatenate([[False], np.diff(both) == 1]))
+            odd = np.concatenate([[True], np.diff(beside) > 1])
+            runs = np.arange(len(beside)) - np.maximum.accumulate(np.where(odd, np.arange(len(beside)), 0)) if len(beside) else beside
+            both = np.delete(both, beside[runs % 2 == 0])
+            yield both % (n + 1) + lo, both // (n + 1)
+
+    def places(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(item numbers, places)``: where items may begin, up to the allowed edits and two bytes more.
+        Of places of an item as near as its allowed edits the first stands for all."""
+        kept, held, waiting, signs = [], [], 0, np.take(self.sign, text)
+        for found in self.met(text):
+            held.append(found)
+            waiting += len(found[0])
+            if waiting >= HITS_HELD:
+                kept.append(self._fitting(signs, held))
+                held, waiting = [], 0
+        kept.append(self._fitting(signs, held))
+        return tuple(np.concatenate(x) for x in zip(*kept))
+
+    def _fitting(self, text: np.ndarray, held: list) -> tuple[np.ndarray, np.ndarray]:
+        place, entry = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*held) if held else ((), ())))
+        wide = 2
+        while True:
+            fits = [self._near(text, place[i:i + HITS_AT_ONCE], entry[i:i + HITS_AT_ONCE], min(wide, self.row))
+                    for i in range(0, len(place), HITS_AT_ONCE)]
+            fits = np.concatenate([np.zeros(0, bool), *fits])
+            place, entry = place[fits], entry[fits]
+            if wide >= self.row:
+                break
+            wide *= 2
+        item, start = self.owner[entry], place - self.offset[entry]
+        order = np.lexsort((start, item))
+        item, start = item[order], start[order]
+        stretch = start // (self.allowed[item] + 1)
+        first = np.ones(len(item), bool)
+        first[1:] = (item[1:] != item[:-1]) | (stretch[1:] != stretch[:-1])
+        return item[first], start[first]
+
+    def _near(self, text: np.ndarray, place: np.ndarray, entry: np.ndarray, wide: int) -> np.ndarray:
+        """Whether ``wide`` pieces in a row around each met piece stand there within their edits (Myers' bit
+        vectors, all rows side by side)."""
+        skipped = self.in_row[entry] // wide * wide
+        pieces = np.minimum(self.row_pieces[entry] - skipped, wide)
+        edits = np.minimum(2 * pieces - 1, self.allowed[self.owner[entry]])
+        at = place - (self.in_row[entry] - skipped) * self.size
+        return self._least(text, at, self.row_of[entry], skipped, pieces, edits) <= edits
+
+    def possible(self, text: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Whether the rows of an item that begins at ``start``, or up to its allowed edits later, have together no more
+        edits than allowed."""
+        rows, text = self.rows[item], np.take(self.sign, text)
+        case = np.repeat(np.arange(len(item)), rows)
+        number = np.arange(len(case)) - np.repeat(np.cumsum(rows) - rows, rows)
+        pieces = np.minimum(self.pieces_of[item][case] - number * self.row, self.row)
+        at = start[case] + number * self.row * self.size
+        least = np.zeros(len(case), np.int64)
+        # items of much the same length together
+        for some in np.array_split(np.argsort(self.allowed[item][case], kind="stable"), len(case) // HITS_AT_ONCE + 1):
+            least[some] = self._least(text, at[some], self.first_row[item][case][some] + number[some], 0 * some, pieces[some],
+                                      2 * self.allowed[item][case][some])
+        return np.bincount(case, least, len(item)) <= self.allowed[item]
+
+    def _least(self, text: np.ndarray, at: np.ndarray, row: np.ndarray, skipped: np.ndarray, pieces: np.ndarray,
+               room: np.ndarray) -> np.ndarray:
+        """The least edits of some pieces of a row that stand at ``at``, give or take ``room`` bytes, in a text of numbered signs."""
+        if not len(at):
+            return np.zeros(0, np.int64)
+        at, steps = (at - room - 1).astype(np.int64), int((pieces * self.size + 2 * room + 4).max())
+        row, shift = row * self.signs, (skipped * self.size).astype(np.uint64)
+        last, where, one = (pieces * self.size - 1).astype(np.uint64), self.where.ravel(), np.uint64(1)
+        up, down = np.full(len(at), ~np.uint64(0)), np.zeros(len(at), np.uint64)
+        score = pieces * self.size
+        best = score.copy()
+        for _ in range(steps):
+            same = np.take(where, row + np.take(text, at, mode="clip"))
+            same >>= shift
+            across = same & up
+            across += up
+            across ^= up
+            across |= same
+            less = up & across
+            across |= up
+            more = ~across
+            more |= down
+            score += (more >> last & one).view(np.int64)
+            score -= (less >> last & one).view(np.int64)
+            np.minimum(best, score, out=best)
+            more <<= one
+            less <<= one
+            same |= down
+            down = more & same
+            same |= more
+            up = ~same
+            up |= less
+            at += 1
+        return best
 
 
 class Items:
@@ -291,9 +397,10 @@ class Items:
         for x in items:
             if len(x[1]) >= WHOLE:
                 n, k = len(x[1]), self.allowed(x[1])
-                # the largest pieces of which enough stay whole; with one byte some always do
-                by_size[next((q for q in range(PIECE, 1, -1) if n // q - k >= LEAST_PIECES), 1)].append((x, k))
+                # the longest pieces of which one has one edit at most
+                by_size[next(q for q in range(LONGEST_PIECE, 0, -1) if 2 * (n // q) > k)].append((x, k))
         self.pieces = [Pieces(size, [x for x, _ in some], [k for _, k in some]) for size, some in sorted(by_size.items())]
+        self.home = {x: (group, i) for group, pieces in enumerate(self.pieces) for i, x in enumerate(pieces.items)}
 
     def allowed(self, item: bytes) -> int:
         return int((1 - self.similarity) * len(item) + 1e-9)
@@ -309,24 +416,29 @@ class Items:
             parts += [signs, gap]
             at += len(signs) + len(gap)
         whole, where = np.concatenate([*parts, gap]), np.concatenate([np.zeros(0, np.int64), *starts])
-        owner = np.repeat(np.arange(len(texts)), [len(x) for x in starts])
         best: list[dict] = [{} for _ in texts]
+        begins = np.array(bases, np.int64)
+        walked: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for table in self.tables:
-            spots: dict[tuple[int, int], set[int]] = defaultdict(set)
             for window, number, offset in table.candidates(whole, where):
-                doc = int(owner[window])
-                spots[doc, number].add(int(where[window]) - bases[doc] - offset)
-            for (doc, number), places in spots.items():
-                self._verify(texts[doc], *table.items[number], places, best[doc])
-        begins, slots = np.array(bases, np.int64), triple_slots(whole)
-        for pieces in self.pieces:
-            for number, lo, hi in pieces.regions(whole):
-                if not pieces.possible(number, whole, slots, lo, hi):
-                    continue
-                for doc in range(max(int(np.searchsorted(begins, lo, "right")) - 1, 0), int(np.searchsorted(begins, hi))):
-                    a, b = max(lo - bases[doc], 0), min(hi - bases[doc], len(texts[doc]))
-                    if a < b:
-                        self._compare(texts[doc], *pieces.items[number], a, b, best[doc])
+                group, at = self.home[table.items[number]]
+                walked[group].add((at, int(where[window]) - offset))
+        spots: dict[tuple[int, tuple], set[int]] = defaultdict(set)
+        for group, pieces in enumerate(self.pieces):
+            number, place = pieces.places(whole)
+            more = np.array(sorted(walked[group]), np.int64).reshape(-1, 2).T
+            # a walk's window may have as many edits before it as are allowed
+            number, place = np.concatenate([number, more[0]]), np.concatenate([place, more[1]])
+            fits = pieces.possible(whole, number, place)
+            number, place = number[fits], place[fits]
+            edits, lengths = pieces.allowed[number], pieces.lengths[number]
+            lo = np.maximum(np.searchsorted(begins, place - edits - 1, "right") - 1, 0)
+            hi = np.searchsorted(begins, place + lengths + 3 * edits + 2)
+            for i, at, a, b in zip(number.tolist(), place.tolist(), lo.tolist(), hi.tolist()):
+                for doc in range(a, b):
+                    spots[doc, pieces.items[i]].add(at - bases[doc])
+        for (doc, item), places in spots.items():
+            self._verify(texts[doc], *item, places, best[doc])
         for item_id, item in self.short:
             for text, held in zip(texts, best):
                 at = (b" " + text + b" ").find(b" " + item + b" ")
@@ -340,12 +452,14 @@ class Items:
         for place in sorted(places):
             if done is not None and place - done <= allowed:
                 continue  # the region looked at last covers this place
-            lo = max(place - allowed, 0)
-            self._compare(text, item_id, item, lo, max(place + len(item) + 2 * allowed, 0), best)
+            lo = max(place - allowed - 1, 0)
+            self._compare(text, item_id, item, lo, max(place + len(item) + 3 * allowed + 2, 0), best)
             done = place
 
     def _compare(self, text: bytes, item_id: int, item: bytes, lo: int, hi: int, best: dict) -> None:
         """Keep the nearest place, the first of equal ones."""
+        if min(hi, len(text)) - lo < len(item) - self.allowed(item):
+            return
         distance, end = edit_distance_within(item, text[lo:hi])
         known = best.get(item_id)
         if distance <= self.allowed(item) and (known is None or (distance / len(item), lo + end) < (known[0] / known[1], known[2])):
@@ -365,19 +479,32 @@ def in_groups(texts: list[bytes]):
         yield held
 
 
-def item_blocks(items: DataFrame, similarity: float = SIMILARITY) -> list[Items]:
-    """The items in blocks of at most ``ITEMS_AT_ONCE``, each small enough for a broadcast.
+def item_blocks(items: DataFrame) -> list[Broadcast]:
+    """The items, broadcast in blocks of at most ``ITEMS_AT_ONCE`` items and about ``ITEM_BYTES_AT_ONCE`` bytes; the driver
+    holds one block at a time.
 
     Null and empty items match nothing; items with a null id are left out."""
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text") \
         .orderBy("item_id", "text").toLocalIterator()
-    blocks, held = [], []
+    blocks, held, size, context = [], [], 0, items.sparkSession.sparkContext
     for row in rows:
         held.append((row["item_id"], normalised(row["text"].encode())))
-        if len(held) == ITEMS_AT_ONCE:
-            blocks.append(Items(held, similarity))
-            held = []
-    return [*blocks, Items(held, similarity)] if held or not blocks else blocks
+        size += len(held[-1][1])
+        if len(held) == ITEMS_AT_ONCE or size >= ITEM_BYTES_AT_ONCE:
+            blocks.append(context.broadcast(held))
+            held, size = [], 0
+    return [*blocks, context.broadcast(held)] if held or not blocks else blocks
+
+
+_BUILT: dict[tuple, Items] = {}
+
+
+def built(block: Broadcast, key: tuple, similarity: float) -> Items:
+    """The search structure of a block, made once a process; the last one is kept."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Items(block.value, similarity)
+    return _BUILT[key]
 
 
 MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("similarity", pa.float64()),
@@ -391,12 +518,13 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -
 
     Null and empty texts hold nothing. Repeated rows give repeated results."""
     kind, out = dict(docs.dtypes)["doc_id"], None
-    for block in item_blocks(items, similarity):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    for block in item_blocks(items):
+        key = uuid4().hex, similarity
 
-        def work(batches, shared=shared):
+        def work(batches, block=block, key=key):
+            held = built(block, key, similarity)
             for batch in batches:
-                found = [m for some in in_groups(text_bytes(batch.column(1))) for m in shared.value.found(some)]
+                found = [m for some in in_groups(text_bytes(batch.column(1))) for m in held.found(some)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, MATCH)], ["doc_id", "found"])
         part = map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, found array<struct<item_id long, distance int,"
                                                   " similarity double, end int>>", work) \
@@ -408,12 +536,13 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -
 def keep_clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows that hold no item, all columns as they are, without a shuffle."""
     at = docs.columns.index("text")
-    for block in item_blocks(items, similarity):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    for block in item_blocks(items):
+        key = uuid4().hex, similarity
 
-        def work(batches, shared=shared):
+        def work(batches, block=block, key=key):
+            held = built(block, key, similarity)
             for batch in batches:
-                keep = [not m for some in in_groups(text_bytes(batch.column(at))) for m in shared.value.found(some)]
+                keep = [not m for some in in_groups(text_bytes(batch.column(at))) for m in held.found(some)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
         docs = docs.mapInArrow(work, docs.schema)
     return docs
