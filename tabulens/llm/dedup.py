@@ -144,14 +144,14 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     added = ["n_removed", "removed"]
     rest = [c for c in docs.columns if c not in added]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields)
-    gone = repeated_units(docs, min_words).select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark"),
-                                                  F.col("gone").alias("_gone"))
-    return _cut_rows(docs.select(*rest), gone, rest, schema, min_words)
+    return _cut_rows(docs.select(*rest), repeated_units(docs, min_words), rest, schema, min_words)
 
 
 def _cut_rows(docs: DataFrame, gone: DataFrame, rest: list[str], schema: str, min_words: int) -> DataFrame:
-    per_doc = gone.groupBy("_gone_id").agg(F.collect_list(F.struct("_gone_mark", "_gone")).alias("_gone"))
-    joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["_gone_id"]), "left").drop("_gone_id")
+    # names that no column of the documents has, whatever its letter case
+    key = "gone" + "_" * max(map(len, rest))
+    per_doc = gone.groupBy(F.col("doc_id").alias(f"{key}i")).agg(F.collect_list(F.struct("mark", "gone")).alias(key))
+    joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc[f"{key}i"]), "left").drop(f"{key}i")
     at = rest.index("text")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
 
@@ -160,7 +160,7 @@ def _cut_rows(docs: DataFrame, gone: DataFrame, rest: list[str], schema: str, mi
             texts, removed = [], []
             for text, marks in zip(batch.column(at).to_pylist(), batch.column(len(rest)).to_pylist()):
                 mark = text_mark(text or "") if marks else None
-                hit = next((set(m["_gone"]) for m in marks or () if m["_gone_mark"] == mark), set())
+                hit = next((set(m["gone"]) for m in marks or () if m["mark"] == mark), set())
                 new, spans = cut(text or "", hit, min_words)
                 texts.append(None if text is None else new)
                 removed.append(spans)

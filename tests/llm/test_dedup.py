@@ -68,3 +68,12 @@ def test_hot_line_stays_once_and_empty_table(spark):
     out = run(spark, [(i, f"{line}\nown text {i}") for i in range(300)])
     assert sorted(r["doc_id"] for r in out.collect() if line in r["text"]) == [0]
     assert run(spark, []).count() == 0
+
+
+def test_extra_columns_of_any_name(spark):
+    names = ["_gone", "_gone_id", "_gone_mark", "gone", "mark", "gone____________"]
+    rows = [(i, f"{PASSAGE}\nown text {i}", *range(len(names))) for i in range(3)]
+    out = dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names)))
+    got = sorted(out.collect())
+    assert out.columns == ["doc_id", "text", *names, "n_removed", "removed"]
+    assert [r["n_removed"] > 0 for r in got] == [False, True, True] and all(tuple(r[2:8]) == tuple(range(6)) for r in got)
