@@ -162,7 +162,8 @@ def encode_shards(docs: DataFrame, path: str | None = None, end_id: int = 2) ->
 
 
 def _shard_row(part: int, shard: int, doc_ids: list, held: list[bytes]) -> pa.RecordBatch:
-    matrix = WaveletMatrix.build(np.frombuffer(b"".join(held), "<u4"))
+    tokens = np.frombuffer(b"".join(held), "<u4")
+    matrix = WaveletMatrix.build(tokens, max(int(tokens.max()).bit_length(), ID_BITS))
     index = b"".join(np.array(x, kind).tobytes() for x, kind in (
         ([x or 0 for x in doc_ids], "<i8"), ([len(x) // 4 for x in held], "<i8"), ([x is None for x in doc_ids], "u1")))
     return pa.RecordBatch.from_pylist([{

@@ -63,6 +63,14 @@ def test_token_files_read_back(spark, tmp_path, monkeypatch):
     assert tokenfile.documents_of(spark, empty).count() == 0
 
 
+def test_wide_ids_survive_the_file():
+    ids = [5, 65_541, 70_000, (1 << 20) + 3, 2]
+    row = tokenfile._shard_row(0, 0, [7], [np.array(ids, "<u4").tobytes()]).to_pylist()[0]
+    matrix = tokenfile.WaveletMatrix(row["n_tokens"], [np.frombuffer(p, np.uint8) for p in row["planes"]], row["zeros"])
+    assert len(row["planes"]) == 21 and matrix.ids().tolist() == ids
+    assert [matrix.access(i) for i in range(5)] == ids and [matrix.locate(x, 0) for x in ids] == list(range(5))
+
+
 def test_words_of_the_byte_tokenizer_are_exact():
     tok, rng = bpe.tokenizer(BYTE), random.Random(8)
     tables = [bpe.Words(BYTE, "<u4", p) for p in ("", " ", "\n")]
