@@ -1,15 +1,17 @@
-"""Near copies by the Jaccard similarity of word shingles: SimHash finds candidates, the sets decide.
+"""Near copies by the Jaccard similarity of word shingles: a grid join of SimHashes finds candidates, the sets decide.
 
 A text is the set of its ``words``-word shingles, hashed to 64 bits.  Its SimHash has ``BITS`` bits; at
 similarity ``s`` a bit of two sets of one size differs with probability ``acos(2s / (1 + s)) / pi``.
-Each of a number of bands samples some of the bits, about as many as tell the texts of the table
-apart, and there are as many bands as the missed share of pairs at the threshold asks for.  Sets of
-few shingles have coarse fingerprints; they are found without loss by the smallest hashes of the
-set instead: of two sets at the threshold each has a member of the other among these.
+As in ``simhash`` a fingerprint is mapped to the bit counts of its 2-bit segments, and nodes meet in the cells of
+grids over some of the segments.  That many bits apart no few grids hold every pair, so each grid samples ``SEGMENTS``
+segments, and there are as many grids as the missed share of pairs at the threshold asks for; their number does not
+depend on the size of the table.  Sets of few shingles have coarse fingerprints; besides the grids they meet
+by the smallest hashes of the set: of two sets at the threshold each has a member of the other among these.
 
-Candidates are pairs within a band whose whole SimHashes are near; those to the node that shares
-most bands are compared first, and pairs are compared only across the groups found so far.  A pair
-is linked if the exact similarity of its sets reaches the threshold."""
+Groups are found first with a few grids, every node being compared with its best centre alone.  Then all grids tell the
+nodes that have a near one in another group.  Of these alone the sets are read: a node's members that no other of
+them has bound its similarity to all, so copies that differ too much are not paired with each other, and
+the other near pairs across groups are compared.  A pair is linked if the exact similarity of its sets reaches the threshold."""
 
 from __future__ import annotations
 
@@ -22,16 +24,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabulens.llm.common import map_rows, stored, text_bytes
 from tabulens.llm.components import components
-from tabulens.llm.simhash import BITS_OF_BYTE, LANES, SEED
+from tabulens.llm.simhash import BITS_OF_BYTE, LANES, SEED, SEGMENT_BITS
 
 WORDS = 5
 SIMILARITY = 0.8
 FAMILIES = 4
 BITS = 64 * FAMILIES
 MISSED = 0.01
-BAND_BITS = (12, 24)
+SEGMENTS = 10
+STAR_GRIDS = 16
 SMALL = 32
-APART = 76
+# bits that a linked pair may be apart by the number of families compared, four standard deviations beyond the threshold
+APART = {2: 36, 4: 64}
 NODES_AT_ONCE = 256
 
 
@@ -67,13 +71,14 @@ def node_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
-def bands(nodes: int, similarity: float = SIMILARITY) -> np.ndarray:
-    """The sampled bits of every band, one row each, for a table of so many distinct sets."""
-    r = min(max(math.ceil(math.log2(max(nodes, 2))), BAND_BITS[0]), BAND_BITS[1])
-    same = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** r
+def grids(similarity: float = SIMILARITY) -> np.ndarray:
+    """The sampled segments of every grid, one row each."""
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    # both bits of a segment agree, or both differ and cancel out
+    same = ((1 - apart) ** 2 + apart ** 2 / 2) ** SEGMENTS
     n = math.ceil(math.log(MISSED) / math.log(1 - same))
     random = np.random.default_rng(SEED)
-    return np.stack([random.choice(BITS, r, replace=False) for _ in range(n)])
+    return np.stack([random.choice(BITS // SEGMENT_BITS, SEGMENTS, replace=False) for _ in range(n)])
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -96,45 +101,44 @@ def _least(hashes: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
     return hashes[:len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1].view(np.int64).tolist()
 
 
-def cells(nodes: DataFrame, sampled: np.ndarray) -> DataFrame:
-    """``(band, cell, node, size, s0 ...)``: every node in its cell of each band."""
-    weights = np.int64(1) << np.arange(sampled.shape[1], dtype=np.int64)
+def cells(nodes: DataFrame, sampled: np.ndarray, families: int = FAMILIES) -> DataFrame:
+    """``(cell, node, part, size, shared, s0 ...)``: every node ``(node, part, size, shared, sim, least)`` in its cell of
+    each grid, with the given number of fingerprint families; cells of smallest hashes are negative."""
+    weights = np.int64(1) << (SEGMENT_BITS * np.arange(sampled.shape[1], dtype=np.int64))
+    of_grid = np.arange(len(sampled), dtype=np.int64) << (SEGMENT_BITS * sampled.shape[1])
 
     def work(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, NODES_AT_ONCE):
                 batch = whole.slice(lo, NODES_AT_ONCE)
-                sims = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                bits = np.unpackbits(sims, axis=1, bitorder="little")
-                large = np.flatnonzero(np.array(batch.column(1).to_pylist(), np.int64) > SMALL)
-                keys = (bits[large][:, sampled].astype(np.int64) @ weights).ravel()
-                least = batch.column(3).to_pylist()
-                row = np.concatenate([np.repeat(large, len(sampled)), np.repeat(np.arange(len(least)), list(map(len, least)))])
-                band = np.concatenate([np.tile(np.arange(len(sampled)), len(large)), np.full(sum(map(len, least)), -1)])
-                cell = np.concatenate([keys, np.array([x for some in least for x in some], np.int64)])
-                longs = sims.view("<i8")
-                take = pa.array(row)
+                sims = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+                counts = np.unpackbits(sims, axis=1, bitorder="little").reshape(len(sims), -1, SEGMENT_BITS).sum(2, dtype=np.int64)
+                keys = counts[:, sampled] @ weights + of_grid
+                least = batch.column(5).to_pylist()
+                row = np.concatenate([np.repeat(np.arange(len(sims)), len(sampled)),
+                                      np.repeat(np.arange(len(least)), list(map(len, least)))])
+                cell = np.concatenate([keys.ravel(), np.array([x for some in least for x in some], np.int64) | np.iinfo(np.int64).min])
+                longs, take = sims.view("<i8"), pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(band, pa.int32()), pa.array(cell), batch.column(0).take(take), batch.column(1).take(take),
-                     *[pa.array(longs[row, i]) for i in range(FAMILIES)]],
-                    ["band", "cell", "node", "size", *_PARTS])
-    return nodes.select("node", "size", "sim", "least").mapInArrow(
-        work, "band int, cell long, node long, size long, " + ", ".join(f"{p} long" for p in _PARTS))
+                    [pa.array(cell), *[batch.column(i).take(take) for i in range(4)],
+                     *[pa.array(longs[row, i]) for i in range(families)]],
+                    ["cell", "node", "part", "size", "shared", *_PARTS[:families]])
+    return nodes.select("node", "part", "size", "shared", "sim", "least").mapInArrow(
+        work, "cell long, node long, part long, size long, shared long, " + ", ".join(f"{p} long" for p in _PARTS[:families]))
 
 
 _PARTS = [f"s{i}" for i in range(FAMILIES)]
 
 
-def _near(similarity: float):
-    """Whether two rows ``a`` and ``b`` can be of one kind: sizes and SimHashes near; small sets by size alone."""
-    apart = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in _PARTS), F.lit(0))
+def _near(similarity: float, families: int = FAMILIES):
+    """Whether two rows ``a`` and ``b`` of a cell can be of one kind: sizes and SimHashes near; small sets by size alone."""
+    apart = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in _PARTS[:families]), F.lit(0))
     return (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * similarity - 1e-9) \
-        & ((F.col("a.band") < 0) | (apart <= APART))
+        & ((F.col("a.cell") < 0) | (apart <= APART[families]))
 
 
-def alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs (x, y)`` of nodes whose sets have at least the given Jaccard similarity."""
-    wanted = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
+def sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``(node, keys)``: the sets of the ``wanted (node)``, from the texts."""
     named = nodes.join(wanted, "node").select(F.col("first_id").alias("doc_id"), "node")
 
     def work(batches):
@@ -144,10 +148,12 @@ def alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, simil
             keep = [i for i, (s, n) in enumerate(zip(sets, batch.column(2).to_pylist())) if node_of(s) == n]
             yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(keep, pa.int64())),
                                               pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["node", "keys"])
-    sets = docs.select("doc_id", "text").join(named, "doc_id").select("doc_id", "text", "node") \
-        .mapInArrow(work, "node long, keys binary").groupBy("node").agg(F.first("keys").alias("keys"))
-    sets = stored(sets)
+    return stored(docs.select("doc_id", "text").join(named, "doc_id").select("doc_id", "text", "node")
+                  .mapInArrow(work, "node long, keys binary").groupBy("node").agg(F.first("keys").alias("keys")))
+
 
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs (x, y)`` of nodes whose sets have at least the given Jaccard similarity."""
     def compare(batches):
         for batch in batches:
             keep = []
@@ -160,6 +166,51 @@ def alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, simil
     return pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b").mapInArrow(compare, "x long, y long")
 
 
+def star_pairs(nodes: DataFrame, sampled: np.ndarray, similarity: float) -> DataFrame:
+    """``(x, y)``: every node with the best centre near it; the centre of a cell is the node that shares most places."""
+    placed = cells(nodes, sampled)
+    crowded = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1")
+    placed = stored(placed.join(crowded, "cell"))
+    ranks = placed.groupBy("node").agg(F.sum("mates").alias("rank"))
+    ranked = placed.join(ranks, "node")
+    top = ranked.groupBy("cell").agg(F.max(F.struct("rank", "node", "size", *_PARTS)).alias("top")).select("cell", "top.*")
+    return placed.alias("a").join(top.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.node") != F.col("b.node"))
+                                  & _near(similarity)) \
+        .groupBy(F.col("a.node").alias("x")).agg(F.max(F.struct(F.col("b.rank"), F.col("b.node").alias("y"))).alias("best")) \
+        .select("x", F.col("best.y").alias("y"))
+
+
+def bordering(nodes: DataFrame, sampled: np.ndarray, similarity: float) -> DataFrame:
+    """``(node)``: the nodes that have a near node of another part in a cell; one row each, however many there are."""
+    placed = cells(nodes, sampled, 2)
+    # nodes of different parts are different anyway; naming them gives both sides the same columns and so one shuffle
+    apart = (F.col("a.part") != F.col("b.part")) & (F.col("a.node") != F.col("b.node"))
+    return placed.alias("a").join(placed.alias("b"), (F.col("a.cell") == F.col("b.cell")) & apart & _near(similarity, 2), "left_semi") \
+        .select("node").distinct()
+
+
+def shared_members(sets: DataFrame) -> DataFrame:
+    """``(node, alone)``: how many members of a set stand in no other of these ``sets (node, keys)``; sets without any are left out."""
+    def work(batches):
+        for batch in batches:
+            keys = [np.frombuffer(k, "<i8") for k in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), list(map(len, keys))))),
+                                              pa.array(np.concatenate([np.zeros(0, "<i8"), *keys]))], ["node", "member"])
+    return sets.select("node", "keys").mapInArrow(work, "node long, member long").groupBy("member") \
+        .agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def across_pairs(nodes: DataFrame, sampled: np.ndarray, similarity: float) -> DataFrame:
+    """``(x, y)``: near nodes of different parts whose ``shared`` members allow the similarity.
+
+    Two sets have no more members in common than either shares with any other."""
+    placed = cells(nodes, sampled)
+    enough = F.least("a.shared", "b.shared") * (1 + similarity) >= (F.col("a.size") + F.col("b.size")) * similarity - 1e-9
+    return placed.alias("a").join(placed.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.part") < F.col("b.part"))
+                                  & enough & _near(similarity)) \
+        .select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, component_id)`` of every row with an id: texts whose sets have at least the given Jaccard
     similarity are linked, and ``component_id`` is the smallest id reachable.  Texts without words are
@@ -168,23 +219,17 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     marks = stored(sketches(docs, words))
     nodes = stored(marks.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"),
                                              F.first("sim").alias("sim"), F.first("least").alias("least")))
-    placed = cells(nodes, bands(nodes.count(), similarity))
-    shared = placed.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1")
-    placed = stored(placed.join(shared, ["band", "cell"]))
-    # the node that shares most places is the centre of its cells; every other node tries its best centre
-    ranks = placed.groupBy("node").agg(F.sum("mates").alias("rank"))
-    ranked = stored(placed.join(ranks, "node"))
-    top = ranked.groupBy("band", "cell").agg(F.max(F.struct("rank", "node", "size", *_PARTS)).alias("top")) \
-        .select("band", "cell", "top.*")
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.cell") == F.col("b.cell"))
-    stars = ranked.alias("a").join(top.alias("b"), same & (F.col("a.node") != F.col("b.node")) & _near(similarity)) \
-        .groupBy(F.col("a.node").alias("x")).agg(F.max(F.struct(F.col("b.rank"), F.col("b.node").alias("y"))).alias("best")) \
-        .select("x", F.col("best.y").alias("y"))
-    first = stored(components(alike(stored(stars), docs, nodes, words, similarity)))
-    parts = stored(ranked.join(first, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
-    across = parts.alias("a").join(parts.alias("b"), same & (F.col("a.part") < F.col("b.part")) & _near(similarity)) \
-        .select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
-    more = alike(stored(across), docs, nodes, words, similarity)
+    sampled = grids(similarity)
+    ends = lambda pairs: pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
+    whole = nodes.withColumn("shared", F.col("size"))
+    stars = stored(star_pairs(whole.withColumn("part", F.col("node")), sampled[:STAR_GRIDS], similarity))
+    first = stored(components(alike(stars, sets_of(ends(stars), docs, nodes, words), similarity)))
+    parts = stored(whole.join(first, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
+    wanted = stored(bordering(parts, sampled, similarity))
+    sets = sets_of(wanted, docs, nodes, words)
+    bounded = stored(parts.join(wanted, "node").join(shared_members(sets), "node", "left")
+                     .withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0))))
+    more = alike(stored(across_pairs(bounded, sampled, similarity)), sets, similarity)
     roots = components(first.select(F.col("node").alias("x"), F.col("root").alias("y")).union(more))
     joined = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     named = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
