@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabulens.functions.coerce import col
+from tabulens.plans.storage import materialize
 
 SEED = 42
 SLICE_BITS = 12
@@ -37,8 +38,9 @@ def stratified_sample(df: DataFrame, stratum: str, keys: list[str], size: int) -
     hashed, slice_of = _hashed(df, keys), F.shiftright("_hash", 64 - SLICE_BITS)
     counts = hashed.groupBy(col(stratum).alias("_of"), slice_of.alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy("_of").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).where(F.col("_before") < size) \
-        .groupBy("_of").agg(F.max("_slice").alias("_last"))
+    # stored, so that Spark knows its size and does not shuffle the table by stratum to join a row per stratum
+    last = materialize(counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).where(F.col("_before") < size)
+                       .groupBy("_of").agg(F.max("_slice").alias("_last")))
     near = hashed.join(last, col(stratum).eqNullSafe(F.col("_of"))).where(slice_of <= F.col("_last")).drop("_of", "_last")
     return _smallest(near, stratum, keys, size)
 

@@ -101,3 +101,17 @@ def test_levels_are_kept_in_range_and_columns_are_checked(spark, numbers):
     for call in (lambda: chartdata.custom_chart(df, "bar", "v", "nowhere"), lambda: tools.group_rank(df, "nowhere")):
         with pytest.raises(ValueError, match="nowhere"):
             call()
+
+
+def test_stratified_sample_does_not_shuffle_the_table(spark, tmp_path):
+    spark.range(200_000).selectExpr("id", "id % 3 AS kind").write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 50_000)
+    try:
+        from tabulens.plans import sampling
+        sample = sampling.stratified_sample(spark.read.parquet(str(tmp_path / "t")), "kind", ["id"], 100)
+        plan = sample._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r["kind"]: r["count"] for r in sample.groupBy("kind").count().collect()} == {0: 100, 1: 100, 2: 100}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
