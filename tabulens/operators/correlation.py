@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tabulens.functions.coerce import as_double, col, is_numeric, normalize
+from tabulens.functions.coerce import as_double, col, is_numeric, is_text, normalize
 from tabulens.operators.types import class_map
 
 EXPRESSION_COLUMNS = 8  # beyond it matrix products are the cheaper plan; the results are the same
@@ -18,9 +18,11 @@ PAIR_SCHEMA = "variable_a string, variable_b string, correlation double, sample_
 
 def numeric_features(df: DataFrame) -> list[str]:
     """Columns that take part: numeric class or type; booleans count as 0 and 1."""
-    classes = class_map(df)
+    # only the class of a text column is open: numbers and booleans take part whatever theirs is, other types never do
+    texts = [f.name for f in df.schema if is_text(f.dataType)]
+    classes = class_map(df.select(*map(col, texts))) if texts else {}
     return [f.name for f in df.schema
-            if is_numeric(f.dataType) or isinstance(f.dataType, T.BooleanType) or classes[f.name] == "Numerical"]
+            if is_numeric(f.dataType) or isinstance(f.dataType, T.BooleanType) or classes.get(f.name) == "Numerical"]
 
 
 def _value(df: DataFrame, name: str) -> Column:

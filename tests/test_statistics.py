@@ -159,3 +159,13 @@ def test_correlation_blocks_equal_expressions(spark):
 def test_observations_fall_back(spark):
     df = spark.range(100).selectExpr("double(id % 10) AS v")
     assert [r["rule"] for r in stats.observations(df, ["v"], [], []).collect()] == ["unremarkable"]
+
+
+def test_only_text_columns_are_classed_for_correlations(spark, monkeypatch):
+    from tabulens.operators import correlation
+    asked, real = [], correlation.class_map
+    monkeypatch.setattr(correlation, "class_map", lambda df: asked.append(df.columns) or real(df))
+    df = spark.createDataFrame([(i, float(i), i % 2 == 0, f"${i}.50", f"w{i % 3}") for i in range(40)],
+                               "a long, b double, c boolean, d string, e string")
+    assert correlation.numeric_features(df) == ["a", "b", "c", "d"] and asked == [["d", "e"]]
+    assert correlation.numeric_features(df.select("a", "c")) == ["a", "c"] and len(asked) == 1
