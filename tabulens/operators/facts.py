@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulens.functions.coerce import normalize
 from tabulens.operators import chartdata, correlation, outliers, profile, quality, stats
-from tabulens.operators.types import ROLES, role_map
+from tabulens.operators.types import ROLES, role_map, storage_type
 from tabulens.plans.storage import materialize
 
 OBSERVED, ISSUE, READING, ADVICE = "Observed", "Potential issue", "Interpretation", "Recommendation"
@@ -68,6 +68,9 @@ def report_facts(df: DataFrame, charts: int | None = None) -> DataFrame:
     Results that several sections read (a few rows per column) are stored once and read back, so
     no family is computed twice and the final plan is a union of small tables."""
     df = normalize(df)
+    if df.columns and all(storage_type(f.dataType) != "other" for f in df.schema):
+        # some thirty passes follow, each over few columns
+        df = materialize(df)
     profiled = materialize(profile.column_profile(df))
     columns = profiled.orderBy("position").collect()
     roles = {r: [c["column_name"] for c in columns if c["role"] == r] for r in ROLES}

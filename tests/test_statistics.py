@@ -169,3 +169,11 @@ def test_only_text_columns_are_classed_for_correlations(spark, monkeypatch):
                                "a long, b double, c boolean, d string, e string")
     assert correlation.numeric_features(df) == ["a", "b", "c", "d"] and asked == [["d", "e"]]
     assert correlation.numeric_features(df.select("a", "c")) == ["a", "c"] and len(asked) == 1
+
+
+def test_report_reads_a_stored_table(spark, monkeypatch):
+    from tabulens.operators import facts
+    seen, real = [], facts.quality.audit
+    monkeypatch.setattr(facts.quality, "audit", lambda df: seen.append(df.inputFiles()) or real(df))
+    df = spark.createDataFrame([(i, float(i % 7), f"w{i % 3}") for i in range(40)], "a long, b double, e string")
+    assert facts.report_facts(df).count() > 0 and seen[0]
