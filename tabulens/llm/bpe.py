@@ -23,6 +23,8 @@ from tabulens.llm.common import text_bytes
 LEAF = 4096
 WINDOW = 64
 WORDS_KEPT = 500_000
+# of whole texts, whose workers live on beside the other stages of a pipeline
+TEXT_WORDS_KEPT = 125_000
 SIGNS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 GAP = " \t\n\r\x0b\x0c"
 
@@ -54,25 +56,26 @@ def byte_signs() -> dict[int, int]:
 class Words(dict):
     """Packed ids of words (UTF-8, no white space inside), filled on demand.
 
-    Two generations are kept: the older one goes when the newer one is full, and what is used moves
-    on. A word that ends in signs after a letter is looked up in two parts, as the tokenizers used
+    Two generations of ``kept`` words at most are held: the older one goes when the newer one is full, and what
+    is used moves on. A word that ends in signs after a letter is looked up in two parts, as the tokenizers used
     here always break there; a word of Latin letters is one piece and goes to the BPE model of the
     tokenizer at once. ``prefix`` is put before each word."""
 
     SIGN_OF_BYTE = byte_signs()
 
-    def __init__(self, path: str, kind: str, prefix: str = ""):
+    def __init__(self, path: str, kind: str, prefix: str = "", kept: int = WORDS_KEPT):
         super().__init__()
+        self.kept = kept
         self.tokenizer, self.kind, self.prefix = tokenizer(path), "I" if kind == "<u4" else "i", prefix
         self.model, self.lower = self.tokenizer.model, self.tokenizer.normalizer is not None
-        self.signs = Words(path, kind) if prefix else self
+        self.signs = Words(path, kind, kept=kept) if prefix else self
         self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         packed = self.older.get(word)
         if packed is None:
             packed = self._coded(word)
-        if len(self) >= WORDS_KEPT:
+        if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
         self[word] = packed
@@ -96,9 +99,9 @@ class Words(dict):
 
 
 @lru_cache(maxsize=8)
-def words(path: str, kind: str, prefix: str = "") -> Words:
+def words(path: str, kind: str, prefix: str = "", kept: int = WORDS_KEPT) -> Words:
     """The table of the process: later tasks of a worker find the words of earlier ones."""
-    return Words(path, kind, prefix)
+    return Words(path, kind, prefix, kept)
 
 
 class Coded:
@@ -199,7 +202,7 @@ def _result(tok, doc_ids: pa.Array, packed: list[bytes]) -> pa.RecordBatch:
 
 def _encode_words(rows: DataFrame, path: str) -> DataFrame:
     def work(batches):
-        known, tok = words(path, "<i4"), tokenizer(path)
+        known, tok = words(path, "<i4", kept=TEXT_WORDS_KEPT), tokenizer(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

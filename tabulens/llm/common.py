@@ -41,7 +41,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts in ``column`` hold about ``limit`` bytes at most, or one row."""
+    """Parts of a batch whose texts (or bytes) in ``column`` hold about ``limit`` bytes at most, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     lo = 0
@@ -50,3 +50,10 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator
         hi = max(int(np.searchsorted(ends, before + limit, side="right")), lo + 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+
+
+def small(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in ``slices``: what a task makes of one part is gone before the next, so that its memory does not
+    follow the length of the texts of a whole batch."""
+    for batch in batches:
+        yield from slices(batch, column, limit)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tabulens.llm.common import map_rows, stored, text_bytes
+from tabulens.llm.common import map_rows, small, stored, text_bytes
 from tabulens.llm.components import components
 from tabulens.llm.simhash import BITS_OF_BYTE, LANES, SEED, SEGMENT_BITS
 
@@ -84,7 +84,7 @@ def grids(similarity: float = SIMILARITY) -> np.ndarray:
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``(doc_id, node, size, sim, least)`` of every row; ``least`` are the smallest hashes of a small set."""
     def work(batches):
-        for batch in batches:
+        for batch in small(batches, 1):
             sets = [shingles(x, words) for x in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
@@ -142,7 +142,7 @@ def sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) ->
     named = nodes.join(wanted, "node").select(F.col("first_id").alias("doc_id"), "node")
 
     def work(batches):
-        for batch in batches:
+        for batch in small(batches, 1):
             sets = [shingles(x, words) for x in text_bytes(batch.column(1))]
             # another text under the same id has another node
             keep = [i for i, (s, n) in enumerate(zip(sets, batch.column(2).to_pylist())) if node_of(s) == n]
@@ -155,7 +155,7 @@ def sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) ->
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs (x, y)`` of nodes whose sets have at least the given Jaccard similarity."""
     def compare(batches):
-        for batch in batches:
+        for batch in small(batches, 2):
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 common = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
@@ -192,7 +192,7 @@ def bordering(nodes: DataFrame, sampled: np.ndarray, similarity: float) -> DataF
 def shared_members(sets: DataFrame) -> DataFrame:
     """``(node, alone)``: how many members of a set stand in no other of these ``sets (node, keys)``; sets without any are left out."""
     def work(batches):
-        for batch in batches:
+        for batch in small(batches, 1):
             keys = [np.frombuffer(k, "<i8") for k in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), list(map(len, keys))))),
                                               pa.array(np.concatenate([np.zeros(0, "<i8"), *keys]))], ["node", "member"])

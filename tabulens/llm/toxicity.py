@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabulens.llm.common import fold, map_rows, text_bytes
+from tabulens.llm.common import fold, map_rows, small, text_bytes
 
 PER_LABEL = 2000
 TERMS = 2048
@@ -27,7 +27,9 @@ NEIGHBOURS = 25
 BLOCK = 64
 EVIDENCE = 3
 BEGINNINGS = (4, 5)
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000
+# texts whose terms are counted at once, all of them being kept
+COUNTED_BYTES = 1 << 18
 
 
 def core(word: bytes) -> str:
@@ -50,21 +52,27 @@ def terms_of(word: bytes) -> list[str]:
 
 
 class Known(dict):
-    """Places of the terms of a word in the vocabulary, filled on demand and emptied when full."""
+    """Places of the terms of a word in the vocabulary, filled on demand. Two generations are kept: the older one goes
+    when the newer one is full, and what is used moves on."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
         self.vocabulary = vocabulary
+        self.older: dict[bytes, tuple[int, ...]] = {}
         self.beginnings = [(n, {t[:-1]: i for t, i in vocabulary.items() if len(t) == n + 1 and t.endswith("-")})
                            for n in BEGINNINGS]
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
+        found = self.older.get(word)
+        if found is None:
+            text = core(word)
+            whole = [self.vocabulary.get(text)] if text else []
+            found = tuple(i for i in (*whole, *(known.get(text[:n]) for n, known in self.beginnings if len(text) > n))
+                          if i is not None)
         if len(self) >= WORDS_KEPT:
+            self.older = dict(self)
             self.clear()
-        text = core(word)
-        whole = [self.vocabulary.get(text)] if text else []
-        found = self[word] = tuple(i for i in (*whole, *(known.get(text[:n]) for n, known in self.beginnings if len(text) > n))
-                                   if i is not None)
+        self[word] = found
         return found
 
     def counts(self, text: bytes) -> Counter:
@@ -184,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, p
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def term_counts(batches):
-        for batch in batches:
+        for batch in small(batches, 1, COUNTED_BYTES):
             rows = [Counter(t for w in text.lower().split() for t in terms_of(w)) for text in text_bytes(batch.column(1))]
             where = pa.array([i for i, c in enumerate(rows) for _ in c], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -212,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, p
 
     def few(batches):
         words = Known(shared.value)
-        for batch in batches:
+        for batch in small(batches, 1):
             found = [words.counts(x) for x in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([list(c) for c in found], pa.list_(pa.int32())),
@@ -228,7 +236,7 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[i
 
     def work(batches):
         words, seen, n = Known(shared.value), np.zeros(len(shared.value) + 1, np.int64), 0
-        for batch in batches:
+        for batch in small(batches, 0):
             n += batch.num_rows
             for text in text_bytes(batch.column(0)):
                 found = {i for t in filter(None, map(words.__getitem__, text.lower().split())) for i in t}
@@ -255,7 +263,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches):
         known = Known(shared.value.vocabulary)
-        for batch in batches:
+        for batch in small(batches, 1):
             found = [shared.value.score(known.counts(x)) for x in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()),
                                               pa.array([e for _, e in found], EVIDENCE_TYPE)],
@@ -271,7 +279,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
     def work(batches):
         known = Known(shared.value.vocabulary)
-        for batch in batches:
+        for batch in small(batches, at):
             keep = [shared.value.score(known.counts(x))[0] < threshold for x in text_bytes(batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
     return docs.mapInArrow(work, docs.schema)

@@ -1,6 +1,8 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -107,3 +109,29 @@ def test_copies_with_own_changes_make_no_pairs(spark):
     assert border > 60 and pairs == {(7, 80)}
     found = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()}
     assert found[80] == 7 and len(found) == 82
+
+
+def test_tasks_hold_the_sets_of_few_texts_at_once(monkeypatch):
+    docs = SimpleNamespace(dtypes=[("doc_id", "bigint")])
+    monkeypatch.setattr(nearcopies, "map_rows", lambda df, columns, schema, work: work)
+    texts = [" ".join(f"w{i * j}" for j in range(20_000)) for i in range(1, 31)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(32)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(nearcopies.sketches(docs)(iter([batch])))
+    assert sum(p.num_rows for p in parts) == 32 and max(p.num_rows for p in parts) < 12
+    got = pa.Table.from_batches(parts).to_pydict()
+    assert got["doc_id"] == list(range(32))
+    sets = [nearcopies.shingles((t or "").encode()) for t in texts]
+    assert got["node"] == [nearcopies.node_of(s) for s in sets] and got["sim"] == [nearcopies.simhash(s) for s in sets]
+
+
+def test_sets_are_compared_and_their_members_read_in_parts():
+    frame = SimpleNamespace(mapInArrow=lambda work, schema: work)
+    frame.select = frame.join = lambda *a: frame
+    sets = [np.arange(i, i + 10_000, dtype=np.uint64) for i in range(0, 60_000, 1000)]
+    keys = pa.array([s.tobytes() for s in sets], pa.binary())
+    x = pa.array(range(60))
+    compared = list(nearcopies.alike(frame, frame, 0.8)(iter([pa.RecordBatch.from_arrays([x, x, keys, keys.take(pa.array([0] * 60))],
+                                                                                         ["x", "y", "a", "b"])])))
+    # i thousand of ten thousand members differ: (10 - i) / (10 + i) is 0.8 or more for 0 and 1
+    assert pa.Table.from_batches(compared).column("x").to_pylist() == [0, 1] and len(compared) > 3
+

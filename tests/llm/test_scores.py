@@ -2,8 +2,10 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +135,30 @@ def test_toxicity_finds_held_out_documents(spark):
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in got if r["score"] < 0.5}
 
 
+def test_toxicity_filter_works_on_few_texts_at_once():
+    context = SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value))
+    docs = SimpleNamespace(columns=["doc_id", "text"], schema=None, sparkSession=SimpleNamespace(sparkContext=context),
+                           mapInArrow=lambda work, schema: work)
+    vocabulary = {"bad": 0, "good": 1}
+    examples = [(i, i % 2, Counter({0 if i % 2 else 1: 1 + i % 3})) for i in range(40)]
+    model = toxicity.Model(vocabulary, np.ones(2), examples, {0: 1.0, 1: 1.0})
+    texts = [("bad " if i % 3 == 0 else "good ") * 30_000 for i in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(toxicity.keep_clean(docs, model)(iter([batch])))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == [i for i in range(30) if i % 3]
+    assert max(p.num_rows for p in parts) < 12
+
+
+def test_known_words_are_held_in_two_generations(monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS_KEPT", 4)
+    vocabulary = {t: i for i, t in enumerate(["bad", "bett-", "bette-", "worse"])}
+    known = toxicity.Known(vocabulary)
+    for i in range(50):
+        counts = known.counts(f"Bad, better {'worse ' * 2}rare{i} (bad)".encode())
+        assert counts == Counter({0: 2, 1: 1, 2: 1, 3: 2})
+        assert len(known) <= 4 and len(known.older) <= 4
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs, labels = toxic_tables(spark, 20)
     model = toxicity.fit(docs, labels.limit(0))

@@ -30,6 +30,16 @@ def test_codec_is_the_one_of_the_library(spark):
     assert bpe.encode(docs(spark).limit(0)).count() == 0
 
 
+def test_words_of_texts_are_held_in_two_bounded_generations():
+    tok, known = bpe.tokenizer(WORD), bpe.Words(WORD, "<i4", kept=5)
+    texts = [f"word{i % 13} rare{i} the {'x' * (i % 7)}-y" for i in range(200)]
+    for text in texts:
+        ids = np.frombuffer(b"".join(map(known.__getitem__, text.encode().split())), "<i4").tolist()
+        assert ids == tok.encode(text, add_special_tokens=False).ids
+        assert len(known) <= 5 and len(known.older) <= 5
+    assert bpe.words(WORD, "<i4", kept=bpe.TEXT_WORDS_KEPT).kept * 2 <= 250_000
+
+
 def test_tree_of_any_leaves_is_exact():
     tok, rng = bpe.tokenizer(WORD), random.Random(4)
     alphabets = ["abcdefghij'", "0123'sé😀", "!?.#<|", "ab cdé\n", "thofsre'll"]
