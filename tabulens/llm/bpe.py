@@ -10,9 +10,11 @@ joined sequence the one that the whole text has."""
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,9 @@ WINDOW = 64
 WORDS_KEPT = 500_000
 # of whole texts, whose workers live on beside the other stages of a pipeline
 TEXT_WORDS_KEPT = 125_000
+# words that are merged together: how long they may be, and how many at once
+MERGED_BYTES = 32
+MERGED_AT_ONCE = 4096
 SIGNS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 GAP = " \t\n\r\x0b\x0c"
 
@@ -53,6 +58,100 @@ def byte_signs() -> dict[int, int]:
     return {b: b if b in plain else next(rest) for b in range(256)}
 
 
+class Merges:
+    """The merge rules of a plain byte-level BPE, for many words at once.
+
+    Each round merges in every word its pair of the smallest rank, the leftmost of them, as the library does. Words
+    stand side by side as columns, so a round is a few operations on whole rows."""
+
+    NONE = np.iinfo(np.int32).max
+    SLOT_BITS = 20
+
+    def __init__(self, model: dict):
+        vocab, signs = model["vocab"], byte_signs()
+        self.base = max(vocab.values()) + 2
+        self.of_byte = np.array([vocab[chr(signs[b])] for b in range(256)], np.int32)
+        halves = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.made = np.array([vocab["".join(m)] for m in halves], np.int32)
+        self.keys = np.array([vocab[a] * self.base + vocab[b] for a, b in halves], np.int64)
+        # open addressing: the rank of a rule, or -1; of repeated rules the last one holds, as in the library
+        ranks = {key: rank for rank, key in enumerate(self.keys.tolist())}
+        self.slots = np.full(1 << max(self.SLOT_BITS, len(ranks).bit_length() + 2), -1, np.int32)
+        self.shift = np.uint64(65 - len(self.slots).bit_length())
+        for rank, slot in zip(ranks.values(), self._slot(self.keys[list(ranks.values())]).tolist()):
+            while self.slots[slot] >= 0:
+                slot = slot + 1 & len(self.slots) - 1
+            self.slots[slot] = rank
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs of symbols; ``NONE`` where they do not merge, or where one is missing (-1)."""
+        # a missing left symbol makes a negative key, a missing right one takes the place that no symbol has
+        keys = left.astype(np.int64) * self.base + np.where(right < 0, self.base - 1, right)
+        slots = self._slot(keys)
+        found = self.slots[slots]
+        open_ = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
+        while len(open_):
+            slots[open_] = slots[open_] + 1 & len(self.slots) - 1
+            found[open_] = self.slots[slots[open_]]
+            open_ = open_[(found[open_] >= 0) & (self.keys[found[open_]] != keys[open_])]
+        return np.where(found < 0, self.NONE, found)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each word; words of like length should stand together."""
+        return [x for lo in range(0, len(words), MERGED_AT_ONCE) for x in self._encode(words[lo:lo + MERGED_AT_ONCE])]
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(sizes.max())
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width).T
+        places = np.arange(width)[:, None]
+        sym = np.where(places < sizes, self.of_byte[raw], -1).astype(np.int32)
+        rank = np.full(sym.shape, self.NONE, np.int32)
+        if width > 1:
+            rank[:-1] = self.rank(sym[:-1].ravel(), sym[1:].ravel()).reshape(width - 1, -1)
+        out, of = np.full(sym.shape, -1, np.int32), np.arange(len(words))
+        while True:
+            least = rank.min(axis=0)
+            some = least < self.NONE
+            if not some.all():
+                out[:len(sym), of[~some]] = sym[:, ~some]
+                sym, rank, of, least = sym[:, some], rank[:, some], of[some], least[some]
+            if not len(of):
+                break
+            at, column = (rank == least).argmax(axis=0), np.arange(len(of))
+            # what stands behind the pair moves up by one
+            behind = places[:len(sym) - 1] > at
+            sym = np.where(behind, sym[1:], sym[:-1])
+            rank = np.where(behind, rank[1:], rank[:-1])
+            sym[at, column] = self.made[least]
+            after = np.where(at + 1 < len(sym), sym[np.minimum(at + 1, len(sym) - 1), column], -1)
+            rank[at, column] = self.rank(sym[at, column], after)
+            inner = np.flatnonzero(at)
+            rank[at[inner] - 1, inner] = self.rank(sym[at[inner] - 1, inner], sym[at[inner], inner])
+        flat = out.T
+        kept = flat >= 0
+        packed = flat[kept].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
+
+
+@lru_cache(maxsize=4)
+def merges(path: str) -> Merges | None:
+    """The merge rules of a tokenizer file, if it is a plain byte-level BPE without normalizer."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    model, before = made["model"], made.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(
+        model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if not plain or not byte_level or made.get("normalizer") or not all(chr(s) in model["vocab"] for s in byte_signs().values()):
+        return None
+    return Merges(model)
+
+
 class Words(dict):
     """Packed ids of words (UTF-8, no white space inside), filled on demand.
 
@@ -65,7 +164,7 @@ class Words(dict):
 
     def __init__(self, path: str, kind: str, prefix: str = "", kept: int = WORDS_KEPT):
         super().__init__()
-        self.kept = kept
+        self.path, self.kept = path, kept
         self.tokenizer, self.kind, self.prefix = tokenizer(path), "I" if kind == "<u4" else "i", prefix
         self.model, self.lower = self.tokenizer.model, self.tokenizer.normalizer is not None
         self.signs = Words(path, kind, kept=kept) if prefix else self
@@ -81,6 +180,25 @@ class Words(dict):
         self[word] = packed
         return packed
 
+    def learn(self, words: list[bytes], latin: np.ndarray) -> None:
+        """Encode the new ones of the words together that are marked as letters up to U+00FF alone, and so as one piece; a
+        space or a line end may stand before them. All others are encoded when they are looked up."""
+        rules = merges(self.path) if self.kind == "I" and not self.prefix else None
+        if rules is None:
+            return
+        new = [w for w in compress(words, latin.tolist()) if w not in self and w not in self.older and len(w) <= MERGED_BYTES]
+        new.sort(key=len)
+        if len(self) + len(new) > self.kept:
+            self.older = dict(self)
+            self.clear()
+        # the tokenizer breaks behind a line end, but not behind a single space
+        broken = [w for w in new if w.startswith(b"\n")]
+        if broken:
+            head = self[b"\n"]
+            self.update(zip(broken, [head + x for x in rules.encode([w[1:] for w in broken])]))
+            new = [w for w in new if not w.startswith(b"\n")]
+        self.update(zip(new, rules.encode(new)))
+
     def _coded(self, word: bytes) -> bytes:
         core = word.rstrip(SIGNS)
         text = core.decode()

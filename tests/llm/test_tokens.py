@@ -1,8 +1,10 @@
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabulens.llm import bpe, tokenfile
@@ -118,3 +120,53 @@ def test_query_digests(spark, tmp_path):
         ids = tok.encode(t or "", add_special_tokens=False).ids
         want.add((i, len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))))
     assert {tuple(r) for r in got} == want
+
+
+def test_words_learned_together_are_those_of_the_library():
+    random.seed(5)
+    tok, letters = bpe.tokenizer(BYTE), "abcdefghilmnorstuABSéüßñłж"
+    words = {"".join(random.choices(letters, k=random.randint(1, 40))) for _ in range(3000)}
+    words |= {"the", "aaaaaaaaaaaa", "x", "end.", "(so", "a1b", "it's", "漢字", "ªµ", "...", "<|endoftext|>"}
+    raw = [(sign + w).encode() for w in words for sign in ("", " ", "\n")]
+    table = bpe.Words(BYTE, "<u4")
+    table.learn(raw, tokenfile._latin_words(raw))
+    assert set(table) - {b"\n"} == {w for w in raw if len(w) <= bpe.MERGED_BYTES and w.decode().lstrip().isalpha()
+                                    and max(w.decode()) < "\u0100"} and len(table) > 900
+    for word in raw:
+        assert np.frombuffer(table[word], "<u4").tolist() == tok.encode(word.decode(), add_special_tokens=False).ids, word
+    bounded = bpe.Words(BYTE, "<u4", kept=100)
+    for some in (raw, raw[:30], [b" newword"]):
+        bounded.learn(some, tokenfile._latin_words(some))
+    assert len(bounded) <= 100 and bounded[b" newword"] == bpe.Words(BYTE, "<u4")[b" newword"]
+    other = bpe.Words(WORD, "<i4")
+    other.learn(raw, tokenfile._latin_words(raw))
+    assert bpe.merges(WORD) is None and not other
+
+
+def test_new_words_of_a_shard_are_encoded_together(monkeypatch):
+    frame = SimpleNamespace(first=lambda: [1], mapInArrow=lambda work, schema: work)
+    for name in ("agg", "select", "repartitionByRange", "sortWithinPartitions"):
+        setattr(frame, name, lambda *a: frame)
+    one_by_one = []
+    coded = bpe.Words._coded
+    monkeypatch.setattr(bpe.Words, "_coded", lambda self, word: one_by_one.append(word) or coded(self, word))
+    bpe.words.cache_clear()
+    random.seed(6)
+    texts = [" ".join("".join(random.choices("abcdefghiklmnoprstu", k=9)) for _ in range(500)) for _ in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 8, pa.int32()), pa.array(range(8)), pa.array(texts)], ["part", "doc_id", "text"])
+    shard, = tokenfile.encode_shards(frame)(iter([batch]))
+    row = shard.to_pylist()[0]
+    matrix = tokenfile.WaveletMatrix(row["n_tokens"], [np.frombuffer(p, np.uint8) for p in row["planes"]], row["zeros"])
+    tok = bpe.tokenizer(BYTE)
+    assert matrix.ids().tolist() == [i for t in texts for i in [*tok.encode(t, add_special_tokens=False).ids, 2]]
+    assert len(one_by_one) <= 20
+
+
+def test_texts_cut_together_are_those_of_the_library():
+    tok, tables = bpe.tokenizer(BYTE), [bpe.Words(BYTE, "<u4", p) for p in ("", " ", "\n")]
+    texts = [t or "" for _, t in ROWS] + ["", " ", "\n", "a", "a b", "a\nb c", "a ", "\na", "a  b", "a\tb", "a\x85b", "a\u3000b", "a\x1cb",
+                                         "nl\n\nnl", "l'été d'août, où ?", "x\u200bz y", "é. ×. ÷! ª, ¼. a<b. <|endoftext|>. x<|endoftext|>!! b\ne-- e" + "-" * 20, "<|endoftext|>", "...", "a!", "?", ". .a a. .", "don't 1st\n2nd. end\n- it's"]
+    for some in (texts, texts[:1], [""], [" "], []):
+        want = [tok.encode(t, add_special_tokens=False).ids for t in some]
+        got = tokenfile.coded(pa.array(some, pa.string()), tables[0], tables)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
