@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulens.llm import bpe, decontam, dedup, nearcopies, toxicity
-from tabulens.llm.common import stored
+from tabulens.llm.common import batches_of, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go."""
-    return toxicity.keep_clean(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    with batches_of(spark):
+        model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

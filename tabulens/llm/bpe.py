@@ -199,6 +199,10 @@ class Words(dict):
             new = [w for w in new if not w.startswith(b"\n")]
         self.update(zip(new, rules.encode(new)))
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def _coded(self, word: bytes) -> bytes:
         core = word.rstrip(SIGNS)
         text = core.decode()
@@ -321,12 +325,16 @@ def _result(tok, doc_ids: pa.Array, packed: list[bytes]) -> pa.RecordBatch:
 def _encode_words(rows: DataFrame, path: str) -> DataFrame:
     def work(batches):
         known, tok = words(path, "<i4", kept=TEXT_WORDS_KEPT), tokenizer(path)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                # this tokenizer lowers case itself; names of special tokens, which hold a "<", keep theirs
-                texts = [x if b"<" in x else x.lower() for x in text_bytes(part.column(1))]
-                yield _result(tok, part.column(0), [b"".join(map(known.__getitem__, x.split())) for x in texts])
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 512):
+                    part = batch.slice(lo, 512)
+                    # this tokenizer lowers case itself; names of special tokens, which hold a "<", keep theirs
+                    texts = [x if b"<" in x else x.lower() for x in text_bytes(part.column(1))]
+                    yield _result(tok, part.column(0), [b"".join(map(known.__getitem__, x.split())) for x in texts])
+        finally:
+            # the worker goes on with other stages, which have no use for the words
+            known.forget()
     return rows.mapInArrow(work, _schema(rows))
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabulens.plans.storage import materialize
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 SPACE = rb"\x20\x09-\x0D"
 
 
@@ -57,3 +59,15 @@ def small(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20)
     follow the length of the texts of a whole batch."""
     for batch in batches:
         yield from slices(batch, column, limit)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, limit: int = 4 << 20) -> Iterator[None]:
+    """Jobs that run inside pass Arrow batches of about ``limit`` bytes at most to Python, not of 10,000 rows however wide:
+    each task holds a batch in the JVM, outside the heap, and again in its worker. The session gets its own limit back."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tabulens.llm.common import map_rows, small, stored, text_bytes
+from tabulens.llm.common import batches_of, map_rows, small, stored, text_bytes
 from tabulens.llm.components import components
 from tabulens.llm.simhash import BITS_OF_BYTE, LANES, SEED, SEGMENT_BITS
 
@@ -215,7 +215,12 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     """``(doc_id, component_id)`` of every row with an id: texts whose sets have at least the given Jaccard
     similarity are linked, and ``component_id`` is the smallest id reachable.  Texts without words are
     equal.  Repeated rows give repeated results."""
-    docs = docs.where("doc_id IS NOT NULL")
+    # texts and sets reach Python in the jobs that run here, none in the result
+    with batches_of(docs.sparkSession):
+        return _near_copies(docs.where("doc_id IS NOT NULL"), words, similarity)
+
+
+def _near_copies(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     marks = stored(sketches(docs, words))
     nodes = stored(marks.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"),
                                              F.first("sim").alias("sim"), F.first("least").alias("least")))

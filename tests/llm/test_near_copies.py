@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tabulens.llm import nearcopies
+from tabulens.llm import common, nearcopies
 
 rng = random.Random(8)
 
@@ -135,3 +135,22 @@ def test_sets_are_compared_and_their_members_read_in_parts():
     # i thousand of ten thousand members differ: (10 - i) / (10 + i) is 0.8 or more for 0 and 1
     assert pa.Table.from_batches(compared).column("x").to_pylist() == [0, 1] and len(compared) > 3
 
+
+
+def test_arrow_batches_follow_bytes_while_sets_are_compared(spark, monkeypatch):
+    limits = []
+    stored = nearcopies.stored
+    monkeypatch.setattr(nearcopies, "stored", lambda df: limits.append(spark.conf.get(common.BATCH_BYTES)) or stored(df))
+    before = spark.conf.get(common.BATCH_BYTES)
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "other words")], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3} and set(limits) == {str(4 << 20)} and spark.conf.get(common.BATCH_BYTES) == before
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+    wide = spark.range(0, 4000, 1, 1).selectExpr("repeat('0123456789', 1000) AS text")
+    with common.batches_of(spark):
+        sizes = [r["n"] for r in wide.mapInArrow(rows, "n long").collect()]
+    assert max(sizes) < 6 << 20 and sum(sizes) > 40_000_000

@@ -170,3 +170,15 @@ def test_texts_cut_together_are_those_of_the_library():
         want = [tok.encode(t, add_special_tokens=False).ids for t in some]
         got = tokenfile.coded(pa.array(some, pa.string()), tables[0], tables)
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
+def test_a_task_leaves_no_words_behind():
+    frame = SimpleNamespace(mapInArrow=lambda work, schema: work, dtypes=[("doc_id", "bigint")])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words here", "and more words"])], ["doc_id", "text"])
+    known = bpe.words(WORD, "<i4", kept=bpe.TEXT_WORDS_KEPT)
+    parts = bpe._encode_words(frame, WORD)(iter([batch, batch]))
+    assert next(parts).num_rows == 2 and len(known) == 5
+    rest = list(parts)
+    tok = bpe.tokenizer(WORD)
+    assert rest[0].column(1).to_pylist() == [tok.encode(t, add_special_tokens=False).ids for t in batch.column(1).to_pylist()]
+    assert not known and not known.older
