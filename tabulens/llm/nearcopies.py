@@ -9,9 +9,12 @@ depend on the size of the table.  Sets of few shingles have coarse fingerprints;
 by the smallest hashes of the set: of two sets at the threshold each has a member of the other among these.
 
 Groups are found first with a few grids, every node being compared with its best centre alone.  Then all grids tell the
-nodes that have a near one in another group.  Of these alone the sets are read: a node's members that no other of
-them has bound its similarity to all, so copies that differ too much are not paired with each other, and
-the other near pairs across groups are compared.  A pair is linked if the exact similarity of its sets reaches the threshold."""
+nodes that have a near one in another group.  Of these alone the sets are read and searched without loss: in one order of
+all members, the rarest first, two sets at the threshold meet at one of their first members, and its places bound what they
+can have in common.  Each node is compared with the most central node of another group at each of these members,
+and groups so linked are one, until no more are; so copies with changes of their own are not paired with each other.
+The pairs that meet and are left across groups are compared.  A pair is linked if the exact similarity of its sets reaches the
+threshold."""
 
 from __future__ import annotations
 
@@ -20,7 +23,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tabulens.llm.common import batches_of, map_rows, small, stored, text_bytes
 from tabulens.llm.components import components
@@ -189,17 +192,69 @@ def bordering(nodes: DataFrame, sampled: np.ndarray, similarity: float) -> DataF
         .select("node").distinct()
 
 
-def shared_members(sets: DataFrame) -> DataFrame:
-    """``(node, alone)``: how many members of a set stand in no other of these ``sets (node, keys)``; sets without any are left out."""
+def members_of(sets: DataFrame) -> DataFrame:
+    """``(node, size, member)`` of ``sets (node, keys)``."""
     def work(batches):
         for batch in small(batches, 1):
             keys = [np.frombuffer(k, "<i8") for k in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), list(map(len, keys))))),
-                                              pa.array(np.concatenate([np.zeros(0, "<i8"), *keys]))], ["node", "member"])
-    return sets.select("node", "keys").mapInArrow(work, "node long, member long").groupBy("member") \
+            sizes = np.array(list(map(len, keys)), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), sizes))), pa.array(np.repeat(sizes, sizes)),
+                                              pa.array(np.concatenate([np.zeros(0, "<i8"), *keys]))], ["node", "size", "member"])
+    return sets.select("node", "keys").mapInArrow(work, "node long, size long, member long")
+
+
+def shared_members(sets: DataFrame) -> DataFrame:
+    """``(node, alone)``: how many members of a set stand in no other of these ``sets (node, keys)``; sets without any are left out."""
+    return members_of(sets).groupBy("member") \
         .agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
 
 
+def rare_members(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(member, node, size, place, rank)``: the first members of every set, from place 1 in one order of all members, the rarest first.
+
+    Members that stand in one set alone have a place but no row.  Two sets at the threshold have a member in common
+    among these, as many as the other set may lack and one.  ``rank`` is in how many sets a member of the node stands on average."""
+    members, of_node = members_of(sets), Window.partitionBy("node")
+    held = members.groupBy("member").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return members.join(held, "member") \
+        .withColumn("alone", F.col("size") - F.count(F.lit(1)).over(of_node)) \
+        .withColumn("rank", (F.sum("n").over(of_node) + F.col("alone")) / F.col("size")) \
+        .withColumn("place", F.col("alone") + F.row_number().over(of_node.orderBy("n", "member"))) \
+        .where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1) \
+        .select("member", "node", "size", "place", "rank")
+
+
+def _with_other(rare: DataFrame, *by: str) -> DataFrame:
+    """The rows of ``rare`` with the ``other`` of their member: the largest ``by`` of another part. Members of one part have none."""
+    best = rare.groupBy("member", "part").agg(F.max(F.struct(*by)).alias("best"))
+    two = best.withColumn("k", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("best"), "part"))).where("k <= 2")
+    two = stored(two.groupBy("member").agg(*[F.max(F.when(F.col("k") == k, F.struct("part", "best"))).alias(name)
+                                             for k, name in ((1, "first"), (2, "second"))]).where("second IS NOT NULL"))
+    return rare.join(two, "member") \
+        .withColumn("other", F.when(F.col("part") != F.col("first.part"), F.col("first.best")).otherwise(F.col("second.best")))
+
+
+def member_stars(rare: DataFrame, similarity: float) -> DataFrame:
+    """``(x, y)``: every node with the most central node of another part at each of its ``rare_members`` (with ``part``)."""
+    return _with_other(rare, "rank", "node", "size") \
+        .where(F.least("size", "other.size") >= F.greatest("size", "other.size") * similarity - 1e-9) \
+        .select(F.col("node").alias("x"), F.col("other.node").alias("y")).distinct()
+
+
+def member_pairs(rare: DataFrame, similarity: float) -> DataFrame:
+    """``(x, y)``: all nodes of different parts that meet at one of their ``rare_members`` (with ``part``) and can be at the threshold.
+
+    At the first member that two sets have in common neither has more members in common than it has left from there."""
+    share = similarity / (1 + similarity)
+    left = rare.withColumn("left", F.col("size") - F.col("place") + 1).withColumn("room", F.col("left") / share - F.col("size"))
+    # a row that no row of another part has room for makes no pair
+    some = stored(_with_other(left, "room").where((F.col("other.room") >= F.col("size") - 1e-6))
+                  .select("member", "node", "part", "size", "left"))
+    return some.alias("a").join(some.alias("b"), (F.col("a.member") == F.col("b.member")) & (F.col("a.part") < F.col("b.part"))
+                                & (F.least("a.left", "b.left") >= (F.col("a.size") + F.col("b.size")) * share - 1e-9)) \
+        .select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
+
+
 def across_pairs(nodes: DataFrame, sampled: np.ndarray, similarity: float) -> DataFrame:
     """``(x, y)``: near nodes of different parts whose ``shared`` members allow the similarity.
 
@@ -211,6 +266,23 @@ def across_pairs(nodes: DataFrame, sampled: np.ndarray, similarity: float) -> Da
         .select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
 
 
+def across_links(first: DataFrame, wanted: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(x, y)``: links that join the groups ``first (node, root)`` wherever sets of ``wanted (node)`` of different groups are
+    at the threshold; links inside a group are left out where others join it."""
+    rare, known = stored(rare_members(sets, similarity)), first.select(F.col("node").alias("x"), F.col("root").alias("y"))
+    parts, tried = first, None
+    while True:
+        placed = rare.join(stored(wanted.join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("part"))), "node")
+        pairs = member_stars(placed, similarity)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        links = stored(alike(pairs, sets, similarity))
+        if links.isEmpty():
+            return known.union(alike(stored(member_pairs(placed, similarity)), sets, similarity))
+        known = known.union(links)
+        parts = components(known)
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, component_id)`` of every row with an id: texts whose sets have at least the given Jaccard
     similarity are linked, and ``component_id`` is the smallest id reachable.  Texts without words are
@@ -232,10 +304,7 @@ def _near_copies(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     parts = stored(whole.join(first, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
     wanted = stored(bordering(parts, sampled, similarity))
     sets = sets_of(wanted, docs, nodes, words)
-    bounded = stored(parts.join(wanted, "node").join(shared_members(sets), "node", "left")
-                     .withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0))))
-    more = alike(stored(across_pairs(bounded, sampled, similarity)), sets, similarity)
-    roots = components(first.select(F.col("node").alias("x"), F.col("root").alias("y")).union(more))
+    roots = components(across_links(first, wanted, sets, similarity))
     joined = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     named = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return marks.select("doc_id", "node").join(joined.join(named, "root").select("node", "component_id"), "node") \

@@ -154,3 +154,50 @@ def test_arrow_batches_follow_bytes_while_sets_are_compared(spark, monkeypatch):
     with common.batches_of(spark):
         sizes = [r["n"] for r in wide.mapInArrow(rows, "n long").collect()]
     assert max(sizes) < 6 << 20 and sum(sizes) > 40_000_000
+
+
+def test_groups_of_copies_that_share_changes_are_joined_without_all_pairs(spark, monkeypatch):
+    draw, base, texts = random.Random(3), fresh(150), []
+    # changes from a small stock: three of them are a copy still, four are one of some copies only
+    stock = [(at, f"new{at}x{k}") for at in range(8, 146, 11) for k in range(2)]
+
+    def changed(changes):
+        words = list(base)
+        for at, word in changes:
+            words[at] = word
+        return " ".join(words)
+    for i in range(90):
+        some = [draw.choice(stock[k:k + 2]) for k in draw.sample(range(0, len(stock), 2), 4)]
+        texts += [changed(some[:1 + i % 3]), changed(some)]
+    # six changes of its own: a copy of none
+    texts += [changed([])] + [changed([(at, f"own{i}x{at}") for at in range(10, 76, 11)]) for i in range(20)]
+    sets = [set(nearcopies.shingles(t.encode()).tolist()) for t in texts]
+    linked = [[b for b in range(len(texts)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])] for a in range(len(texts))]
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min(root[b] for b in some) for some in linked]
+    compared, alike = [], nearcopies.alike
+    monkeypatch.setattr(nearcopies, "alike", lambda pairs, *rest: compared.append(pairs.count()) or alike(pairs, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()}
+    print(compared, len(texts), len(set(root)))
+    assert [found[i] for i in range(len(texts))] == root and len(set(root)) < 60
+    assert sum(compared) < 12 * len(texts)
+
+
+def test_pairs_by_rare_members_are_those_of_brute_force(spark):
+    draw, texts = random.Random(4), []
+    for _ in range(6):
+        base = fresh(draw.choice([3, 12, 30, 90]))
+        for _ in range(12):
+            words = [w if draw.random() > 0.015 else draw.choice(["one", "two", f"w{draw.randrange(10 ** 9)}"]) for w in base]
+            texts.append(" ".join(words[draw.randrange(3):]))
+    sets = {nearcopies.node_of(s): s for s in (nearcopies.shingles(t.encode()) for t in texts)}
+    frame = spark.createDataFrame([(n, bytearray(s.tobytes())) for n, s in sets.items()], "node long, keys binary")
+    for similarity in (0.8, 0.6):
+        rare = nearcopies.rare_members(frame, similarity).withColumn("part", nearcopies.F.col("node"))
+        met = nearcopies.member_pairs(rare, similarity)
+        got = {(r["x"], r["y"]) for r in nearcopies.alike(met, frame, similarity).collect()}
+        assert got == {(a, b) for a in sets for b in sets if a < b
+                       and len(np.intersect1d(sets[a], sets[b])) >= similarity * len(np.union1d(sets[a], sets[b])) - 1e-9}
+        assert len(got) > 20
