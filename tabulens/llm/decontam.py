@@ -36,7 +36,7 @@ STEPS = (56, 20)
 WHOLE = 12
 LONGEST_PIECE = 31
 FILTER_BITS = 20
-PLACES_AT_ONCE = 1 << 16
+PLACES_AT_ONCE = 24 << 10
 HITS_AT_ONCE = 1 << 13
 HITS_HELD = 1 << 18
 WINDOWS_AT_ONCE = 1 << 14
@@ -103,13 +103,14 @@ class Walk:
         """A row of hashes per table for the windows at ``starts``; ``text`` ends in ``steps`` zeros at least."""
         at, found = starts.astype(np.int64), np.zeros((self.tables, len(starts)), np.uint32)
         signs, add = np.zeros(len(starts), np.uint8), np.zeros(len(starts), np.uint32)
-        move = np.zeros(len(starts), np.int64)
+        move, index = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.intp)
         for j in range(self.steps):
             np.take(text, at, out=signs, mode="clip")
+            index[:] = signs
             for t, values in self.adds[j]:
-                np.take(values, signs, out=add, mode="clip")
+                np.take(values, index, out=add, mode="clip")
                 found[t] += add
-            np.take(self.moves[j], signs, out=move, mode="clip")
+            np.take(self.moves[j], index, out=move, mode="clip")
             at += move
         return found
 
@@ -231,7 +232,7 @@ class Pieces:
         self.row_pieces = np.minimum(np.repeat(pieces, pieces) - (number - self.in_row), self.row)
         grams = np.concatenate([t[:n * size].reshape(n, size) for t, n in zip(texts, pieces.tolist())])
         self._index(grams)
-        self.sign = np.zeros(256, np.int64)
+        self.sign = np.zeros(256, np.int16)
         used = np.unique(grams)
         self.sign[used] = np.arange(1, len(used) + 1)
         self.signs = len(used) + 1
@@ -247,9 +248,12 @@ class Pieces:
         whole = parts.sum(axis=1, dtype=np.uint32)
         self.whole = Lookup(whole, entries)
         self.open = {j: Lookup(whole - parts[:, j], entries) for j in range(1, size - 1)}
-        half = size // 2
-        self.firsts = Lookup(parts[:, :half].sum(axis=1, dtype=np.uint32), entries)
-        self.seconds = Lookup((grams[:, half:] * self.weights[:size - half]).sum(axis=1, dtype=np.uint32), entries)
+        # pieces without one of their thirds
+        self.third = a = size // 3
+        ends = parts[:, :a].sum(axis=1, dtype=np.uint32) + parts[:, size - a:].sum(axis=1, dtype=np.uint32)
+        self.fronts = Lookup(parts[:, :size - a].sum(axis=1, dtype=np.uint32), entries)
+        self.ends = Lookup(ends, entries)
+        self.backs = Lookup((grams[:, a:] * self.weights[:size - a]).sum(axis=1, dtype=np.uint32), entries)
         less = [(np.delete(grams, j, axis=1) * self.weights[:-1]).sum(axis=1, dtype=np.uint32) for j in range(size)]
         self.less = Lookup(np.concatenate(less), np.tile(entries, size))
 
@@ -266,15 +270,21 @@ class Pieces:
             for some in parts:
                 before.append(before[-1] + some)
             whole = before[size]
-            # with one edit at most one half is as it is: the first at the place itself, the second near its own place
-            half = size // 2
-            first, second = self.firsts.held(before[half][:n]), self.seconds.held(before[size - half])
-            second = np.concatenate([second, np.ones(half + 1, bool)])
-            behind = {gap: np.flatnonzero(second[half + gap:half + gap + n]) for gap in (0, 1)}
-            first_at, either = np.flatnonzero(first), np.flatnonzero(first | second[max(half - 1, 0):][:n])
+            # with one edit at most two thirds are as they are: those before the edit at the place itself, those behind it
+            # near their own place
+            a, b = self.third, size - self.third
+            front, back = self.fronts.held(before[b][:n]), self.backs.held(before[b])
+            back, tail = np.concatenate([back, np.ones(a + 1, bool)]), whole - before[b]
+            tail = np.concatenate([tail[:1], tail])
+            backs = {gap: back[max(a + gap, 0):][:n] for gap in (-1, 0, 1)}
+            ends = {gap: self.ends.held(before[a][:n] + tail[1 + gap:][:n]) for gap in (-1, 0, 1)}
+            # the byte before the block is not at hand
+            ends[-1][0] = True
+            either = np.flatnonzero(front | backs[-1] | ends[-1])
+            fronts, backs, ends = np.flatnonzero(front), *({g: np.flatnonzero(x[g]) for g in (0, 1)} for x in (backs, ends))
             probes = [(self.less, before[size - 1], either)]
-            probes += [(table, whole - parts[j], first_at if j >= half else behind[0]) for j, table in self.open.items()]
-            probes += [(self.whole, before[j][:n] + (whole - before[j])[1:], first_at if j >= half else behind[1])
+            probes += [(table, whole - parts[j], backs[0] if j < a else ends[0] if j < b else fronts) for j, table in self.open.items()]
+            probes += [(self.whole, before[j][:n] + (whole - before[j])[1:], backs[1] if j <= a else ends[1] if j < b else fronts)
                        for j in range(1, size)]
             found = []
             for table, keys, at in probes:

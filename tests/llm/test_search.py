@@ -161,3 +161,15 @@ def test_recall_on_the_table(spark):
     got = {(x["query_id"], x["vec_id"]) for x in suite.vector_graph(spark, d).collect()}
     want = {(q, i) for q, _, i in nearest_brute(vectors, {i: v for i, v in vectors.items() if i % 20 == 0}, 20)}
     assert len(got & want) / len(want) >= 0.95
+
+
+def test_few_places_are_looked_up_in_each_table(monkeypatch):
+    draw, asked, find = random.Random(9), [], decontam.Lookup.find
+    words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 6))) for _ in range(150)]
+    items = [(i, " ".join(draw.choices(words, k=40)).encode()) for i in range(100)]
+    pieces, text = decontam.Items(items).pieces, " ".join(draw.choices(words, k=8000)).encode()
+    monkeypatch.setattr(decontam.Lookup, "find", lambda self, keys: asked.append(len(keys)) or find(self, keys))
+    for some in pieces:
+        list(some.met(np.frombuffer(text, np.uint8)))
+    print(sum(asked) / len(text))
+    assert sum(asked) < 6 * len(text)
