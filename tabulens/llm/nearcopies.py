@@ -184,12 +184,16 @@ def star_pairs(nodes: DataFrame, sampled: np.ndarray, similarity: float) -> Data
 
 
 def bordering(nodes: DataFrame, sampled: np.ndarray, similarity: float) -> DataFrame:
-    """``(node)``: the nodes that have a near node of another part in a cell; one row each, however many there are."""
-    placed = cells(nodes, sampled, 2)
-    # nodes of different parts are different anyway; naming them gives both sides the same columns and so one shuffle
+    """``(node)``: the nodes that have a near node of another part in a cell; one row each, however many there are.
+
+    Nodes that a few grids tell are not looked up in the others, where they would be told once a cell again."""
     apart = (F.col("a.part") != F.col("b.part")) & (F.col("a.node") != F.col("b.node"))
-    return placed.alias("a").join(placed.alias("b"), (F.col("a.cell") == F.col("b.cell")) & apart & _near(similarity, 2), "left_semi") \
-        .select("node").distinct()
+
+    def told(some: DataFrame, grids: np.ndarray) -> DataFrame:
+        return cells(some, grids, 2).alias("a").join(cells(nodes, grids, 2).alias("b"), (F.col("a.cell") == F.col("b.cell")) & apart
+                                                     & _near(similarity, 2), "left_semi").select("node").distinct()
+    soon = stored(told(nodes, sampled[:STAR_GRIDS]))
+    return soon.union(told(nodes.join(soon, "node", "left_anti"), sampled[STAR_GRIDS:]))
 
 
 def members_of(sets: DataFrame) -> DataFrame:
