@@ -8,7 +8,10 @@ by the total bit count (again a lower bound) and then exactly.
 
 Equal fingerprints are one node.  Within a cell all nodes near its most frequent one link to that
 one alone; pairs are compared only across the components found so far, so a large group of near
-copies gives a number of links in proportion to its size."""
+copies gives a number of links in proportion to its size.
+
+Spark takes the exploded cells to be as small as their nodes and would broadcast them, all grids at
+once; the joins by cell are therefore asked to be sort-merge joins."""
 
 from __future__ import annotations
 
@@ -105,7 +108,7 @@ def stars(nodes: DataFrame, bits: int) -> DataFrame:
     placed = cells(nodes, bits)
     centres = placed.groupBy("grid", "cell").agg(F.max(F.struct("n", "fp")).alias("top"), F.count(F.lit(1)).alias("size")) \
         .where("size > 1").select("grid", "cell", F.col("top.fp").alias("centre"))
-    a, b = placed.alias("a"), centres.alias("b")
+    a, b = placed.alias("a"), centres.alias("b").hint("merge")
     return a.join(b, (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell"))
                   & (F.col("fp") != F.col("centre")) & (_apart("fp", "centre") <= bits)).select("fp", "centre").distinct()
 
@@ -115,7 +118,7 @@ def fingerprint_components(nodes: DataFrame, bits: int = 4) -> DataFrame:
     first = stored(components(stars(nodes, bits)))
     parts = stored(nodes.join(first, nodes["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("part")))
     placed = cells(parts, bits)
-    a, b = placed.alias("a"), placed.alias("b")
+    a, b = placed.alias("a"), placed.alias("b").hint("merge")
     across = a.join(b, (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell"))
                     & (F.col("a.part") < F.col("b.part")) & (_apart("a.fp", "b.fp") <= bits)
                     & (F.abs(F.bit_count("a.fp") - F.bit_count("b.fp")) <= bits)) \

@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tabulens.llm import simhash
+from tabulens.llm.common import stored
 from tabulens.llm.components import components
 
 
@@ -78,6 +79,23 @@ def test_dense_group_of_fingerprints(spark):
     assert {f: got.get(f, f) for f in want} == want
 
 
+def test_cells_are_not_broadcast(spark):
+    rng = random.Random(4)
+    fps = {rng.getrandbits(64) for _ in range(1200)}
+    fps |= {f ^ 1 << rng.randrange(64) for f in sorted(fps)[:400]}
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
+    nodes = stored(spark.createDataFrame([(s, 1) for s in signed.values()], "fp long, n long"))
+    limit, before = "spark.sql.maxBroadcastTableSize", spark.conf.get("spark.sql.maxBroadcastTableSize")
+    # the nodes fit, 35 times as many rows do not
+    spark.conf.set(limit, 3 << 20)
+    try:
+        got = {r["node"]: r["root"] for r in simhash.fingerprint_components(nodes).collect()}
+    finally:
+        spark.conf.set(limit, before)
+    want = brute_components({signed[f]: f for f in fps}, 4)
+    assert {f: got.get(f, f) for f in want} == want
+
+
 @pytest.mark.parametrize("bits", [1, 4])
 def test_every_near_pair_shares_a_cell(bits):
     rng, masks = random.Random(bits), [m % (1 << 64) for m in simhash.blocks(bits)]
